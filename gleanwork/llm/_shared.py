@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,7 +99,7 @@ def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Ite
     array = batch.column(batch.schema.get_field_index(column))
     size = 0
     start = 0
-    lengths = pa.compute.binary_length(array).fill_null(0).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(array).fill_null(0).to_numpy(zero_copy_only=False)
     for i, n in enumerate(lengths):
         if i > start and size + n > most_bytes:
             yield batch.slice(start, i - start)

@@ -17,7 +17,7 @@ from gleanwork.llm._shared import materialise, own_columns, seeded_int, word_cou
 UNIT_BITS = 24
 UNIT = 1 << UNIT_BITS
 #: Rows of a source that one window group holds, roughly.
-GROUP_ROWS = 4_000
+GROUP_ROWS = 1_000
 CYCLE = (5, 2, 1)
 SHARE_PERCENT = 150
 MOST_COPIES = 2
@@ -29,7 +29,7 @@ def size_class(size: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, share_percent: int = SHARE_PERCENT, most: int = MOST_COPIES) -> DataFrame:
-    """``source, source_size, target`` of each source of ``sizes`` (``source, source_size, n``).
+    """``source, source_size, target`` of each source of ``sizes`` (``source, source_size``).
 
     Weights repeat along the sources by code point, null last. Targets share
     ``share_percent`` of all sizes by weight; one that would pass ``most``
@@ -50,7 +50,7 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, share_perce
     t = t.withColumn("level", (F.col("budget") - F.col("below")) / F.col("above"))
     t = t.withColumn("found", F.min(F.when(F.col("cap") / F.col("weight") >= F.col("level"), F.col("level"))).over(everything))
     target = F.least(F.col("cap").cast("double"), F.coalesce("found", F.lit(float("inf"))) * F.col("weight"))
-    return t.select("source", "source_size", "n", target.alias("target"))
+    return t.select("source", "source_size", target.alias("target"))
 
 
 def sample_copies(rows: DataFrame, rate_units: str, source: str, size: str, group: str, key: str, seed: int) -> DataFrame:
@@ -58,11 +58,10 @@ def sample_copies(rows: DataFrame, rate_units: str, source: str, size: str, grou
 
     ``rate_units`` is a column of expected copies in 1/2**24. The order inside
     a source is (size class, group, size, key). The sum runs inside (source,
-    class, group), each a few thousand rows, so a hot source is spread over
+    class, group), each about a thousand rows, so a hot source is spread over
     many tasks; the sums before each group come from a table of group totals,
     which is smaller than the rows by that factor.
     """
-    rows = rows.withColumn("_class", size_class(F.col(size)))
     keys = [source, "_class", group]
     totals = rows.groupBy(*keys).agg(F.sum(rate_units).alias("_total"))
     before = Window.partitionBy(source).orderBy("_class", group).rowsBetween(Window.unboundedPreceding, -1)
@@ -95,15 +94,16 @@ def mix_sources(
     """
     rows = own_columns(rows, ["source_size", "target", "copies"])
     rows = rows.withColumn("_size", F.coalesce(F.col(size_col), F.lit(0)).cast("long"))
-    sizes = rows.groupBy(F.col(source_col).alias("source")).agg(F.sum("_size").alias("source_size"), F.count("*").alias("n"))
-    targets = materialise(source_targets(sizes, cycle, share_percent, most), "mix-targets")
-    targets = targets.withColumnRenamed("source", "_source")
-    rows = rows.join(targets, F.col(source_col).eqNullSafe(F.col("_source"))).drop("_source")
+    rows = rows.withColumn("_class", size_class(F.col("_size")))
+    classes = rows.groupBy(F.col(source_col).alias("_source"), F.col("_class").alias("_of")).agg(F.sum("_size").alias("_sum"), F.count("*").alias("_n"))
+    classes = materialise(classes, "mix-classes")
+    targets = source_targets(classes.groupBy(F.col("_source").alias("source")).agg(F.sum("_sum").alias("source_size")), cycle, share_percent, most)
+    targets = classes.join(targets, F.col("_source").eqNullSafe(F.col("source"))).select("_source", "_of", "_n", "source_size", "target")
+    rows = rows.join(materialise(targets, "mix-targets"), F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_class") == F.col("_of"))).drop("_source", "_of")
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT + 0.5)).otherwise(F.lit(0))
     rows = rows.withColumn("_rate", rate.cast("long"))
-    groups = F.greatest(F.lit(1), F.floor(F.col("n") / (GROUP_ROWS * 4)))
-    rows = rows.withColumn("_group", (seeded_int(F.col(key_col), seed) % groups).cast("int"))
-    return sample_copies(rows, "_rate", source_col, "_size", "_group", key_col, seed).drop("_rate", "_group", "_size", "n")
+    rows = rows.withColumn("_group", (seeded_int(F.col(key_col), seed) % F.greatest(F.lit(1), F.floor(F.col("_n") / GROUP_ROWS))).cast("int"))
+    return sample_copies(rows, "_rate", source_col, "_size", "_group", key_col, seed).drop("_rate", "_group", "_size", "_n")
 
 
 def mix_documents(docs: DataFrame, source_col: str = "source", text_col: str = "text", key_col: str = "doc_id", **options: int) -> DataFrame:

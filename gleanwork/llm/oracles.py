@@ -7,7 +7,7 @@ MIX = rf"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size FROM documents
 ), per_source AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM sized GROUP BY source
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), weighted AS (
   SELECT *, 2 * source_size AS cap, CAST((sum(source_size) OVER ()) AS BIGINT) * 150 / 100.0 AS budget,
     [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS weight
@@ -17,14 +17,15 @@ WITH sized AS (
     / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM weighted
 ), targets AS (
-  SELECT source, source_size, n, least(CAST(cap AS DOUBLE), coalesce(min(CASE WHEN cap / weight >= level THEN level END) OVER (), 'inf'::DOUBLE) * weight) AS target FROM levels
+  SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce(min(CASE WHEN cap / weight >= level THEN level END) OVER (), 'inf'::DOUBLE) * weight) AS target FROM levels
 ), rated AS (
   SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size * 16777216 + 0.5) AS BIGINT) ELSE 0 END AS rate,
-    CASE WHEN s.size > 0 THEN CAST(floor(log2(s.size) * 4) AS INTEGER) ELSE -1 END AS class,
-    CAST(('0x' || substr(md5('20:' || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) % greatest(1, CAST(floor(t.n / 16000) AS BIGINT)) AS grp,
+    s.class,
+    CAST(('0x' || substr(md5('20:' || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) % greatest(1, CAST(floor(s.n_class / 1000) AS BIGINT)) AS grp,
     CAST(('0x' || substr(md5('20:' || coalesce(s.source, '')), 1, 6)) AS BIGINT) AS shift
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+  FROM (SELECT *, count(*) OVER (PARTITION BY source, class) AS n_class FROM
+    (SELECT *, CASE WHEN size > 0 THEN CAST(floor(log2(size) * 4) AS INTEGER) ELSE -1 END AS class FROM sized)) s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), summed AS (
   SELECT *, shift + CAST(sum(rate) OVER (PARTITION BY source ORDER BY class, grp, size, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto FROM rated
 )

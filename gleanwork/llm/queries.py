@@ -4,20 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.llm import mixing, quality_rules, secret_scan, warc
+from gleanwork.llm import bpe, fingerprints, mixing, near_dedup, quality_rules, secret_scan, token_files, warc
 from gleanwork.llm._shared import documents, materialise, word_count
 from gleanwork.llm.oracles import ORACLES
 
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("size"))
     mixed = mixing.mix_sources(materialise(docs, "mix-sizes"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    manifest = token_files.write_token_files(docs, path or public_tokenizers.path(TOKENIZER), end_id=2)
+    return token_files.read_token_files(spark, manifest)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return bpe.encode_documents(docs, path or public_tokenizers.path(TOKENIZER))
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.col("source").alias("host"), "text")
     verdict = quality_rules.judge_quality(docs)
@@ -36,7 +59,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_mix_sources, op8_quality_rules, op9_secret_scan, op10_warc]
+    own = [op1_mix_sources, op3_fingerprints, op4_token_files, op5_bpe, op7_near_duplicates, op8_quality_rules, op9_secret_scan, op10_warc]
     return {f.__name__: f for f in own}
 
 
