@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.llm import bpe, fingerprints, mixing, near_dedup, quality_rules, secret_scan, token_files, warc
+from gleanwork.llm import bpe, compression_quality, fingerprints, lm_scoring, mixing, near_dedup, quality_rules, secret_scan, token_files, warc
 from gleanwork.llm._shared import documents, materialise, word_count
 from gleanwork.llm.oracles import ORACLES
 
@@ -22,6 +22,13 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = compression_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    docs = docs.withColumn("held_out", compression_quality.held_out())
+    return compression_quality.score_quality(docs, model)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -37,6 +44,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     return bpe.encode_documents(docs, path or public_tokenizers.path(TOKENIZER))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    return lm_scoring.cross_entropy_difference(documents(spark, sf_dir).select("doc_id", "text"), good)
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -59,7 +71,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_mix_sources, op3_fingerprints, op4_token_files, op5_bpe, op7_near_duplicates, op8_quality_rules, op9_secret_scan, op10_warc]
+    own = [op1_mix_sources, op2_compression_quality, op3_fingerprints, op4_token_files, op5_bpe, op6_lm_scoring, op7_near_duplicates, op8_quality_rules, op9_secret_scan, op10_warc]
     return {f.__name__: f for f in own}
 
 
