@@ -87,7 +87,7 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.coalesce(F.lag("bucket").over(order), F.last("bucket").over(everything))
     heads = materialise(heads.select(F.col("bucket").alias("_of"), F.col("head").alias("_head"), before.alias("_to")), "fingerprint-heads")
-    extra = base.join(heads, (F.col("bucket") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_head"))).select("doc_id", "text", F.col("_to").alias("bucket"), F.lit(1).alias("extra"))
+    extra = base.join(heads, (F.col("bucket") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_head"))).select("doc_id", "text", F.coalesce("_to", F.lit(-1)).cast("long").alias("bucket"), F.lit(1).alias("extra"))
     rows = base.withColumn("extra", F.lit(0)).unionByName(extra).repartition("bucket")
     inside = Window.partitionBy("bucket").orderBy("extra", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     rows = rows.select("*", F.row_number().over(inside).alias("row"), F.lead("text").over(inside).alias("next_text"))
