@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gleanwork.llm._shared import ASCII_SPACES, materialise
 
-SAMPLES = 32
+SAMPLES = 64
 SEED = 11
 #: Documents of one bucket of the id order.
 BUCKET_ROWS = 400
