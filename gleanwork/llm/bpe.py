@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -20,16 +21,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gleanwork.llm._shared import byte_values, own_columns, pieces
+from gleanwork.llm.words import BYTE_VALUES, mixed, powers
 
-CUT_BITS = 9
+CUT_BITS = 10
 MIN_CHUNK = 160
 MAX_CACHED_BYTES = 24 << 20
 MAX_CACHED_WORDS = 400_000
 #: Bytes of context after which no lookahead or contraction of the split pattern can change a boundary.
 CERTAIN = 16
-EDGE_WORDS = 14
+#: Bytes of the right chunk that a repair looks at.
+AHEAD = 96
+EDGES = 24
 #: Lead bytes of code points from U+0240 on, and separators on which regular-expression engines differ: such texts go to the library whole.
 UNUSUAL = bytes([0x1C, 0x1D, 0x1E, 0x1F, *range(0xC9, 0x100)])
+SPACE, LETTER, NUMBER, OTHER = range(4)
+#: Endings that stay with their apostrophe.
+ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 
 
 def gear_table(seed: int = 7) -> np.ndarray:
@@ -49,21 +56,83 @@ def rolling_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def cut_places(data: bytes) -> list[int]:
-    """Ends of chunks, the text's end last; never inside a character."""
-    n = len(data)
-    if n < 2 * MIN_CHUNK:
-        return [n]
-    raw = np.frombuffer(data, np.uint8)
-    h = rolling_hash(raw)[31:-1]
-    hits = np.flatnonzero((h >> np.uint32(32 - CUT_BITS)) == 0) + 32
-    hits = hits[(raw[hits] & 0xC0) != 0x80]
-    cuts, last = [], 0
-    for p in hits.tolist():
-        if p - last >= MIN_CHUNK and n - p >= MIN_CHUNK:
-            cuts.append(p)
-            last = p
-    return [*cuts, n]
+def cut_places(texts: list[bytes]) -> list[list[int]]:
+    """Ends of the chunks of each text, its end last; never inside a character."""
+    sizes = np.array([len(t) for t in texts])
+    ends = np.cumsum(sizes)
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    out: list[list[int]] = [[] for _ in texts]
+    if len(raw) > 32:
+        # the hash at i covers the bytes before i + 1
+        hits = np.flatnonzero((rolling_hash(raw) >> np.uint32(32 - CUT_BITS)) == 0) + 1
+        hits = hits[hits < len(raw)]
+        hits = hits[(raw[hits] & 0xC0) != 0x80]
+        own = np.searchsorted(ends, hits, side="right")
+        inside = hits - (ends - sizes)[own]
+        fit = (inside >= MIN_CHUNK) & (sizes[own] - inside >= MIN_CHUNK)
+        for i, p in zip(own[fit].tolist(), inside[fit].tolist(), strict=True):
+            cuts = out[i]
+            if not cuts or p - cuts[-1] >= MIN_CHUNK:
+                cuts.append(p)
+    for cuts, n in zip(out, sizes.tolist(), strict=True):
+        cuts.append(n)
+    return out
+
+
+@cache
+def character_classes() -> tuple[np.ndarray, np.ndarray]:
+    """Class of each byte below 0x80, and of each code point below U+0240."""
+
+    def kind(c: str) -> int:
+        if c.isspace() and not "\x1c" <= c <= "\x1f":
+            return SPACE
+        return {"L": LETTER, "N": NUMBER}.get(unicodedata.category(c)[0], OTHER)
+
+    table = np.array([kind(chr(i)) for i in range(0x240)], np.uint8)
+    return np.concatenate([table[:128], np.full(128, OTHER, np.uint8)]), table
+
+
+def pretoken_starts(raw: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Whether a pre-token of the byte-level split pattern begins at each byte.
+
+    ``begin`` has the first byte of each text in ``raw``. Runs of letters, of
+    digits and of other signs are pre-tokens, each with one plain space in
+    front; of longer white space before a run the last sign is left over.
+    """
+    n = len(raw)
+    single, double = character_classes()
+    kind = single[raw]
+    lead = np.flatnonzero(raw >= 0xC2)
+    if len(lead):
+        code = ((raw[lead] & 0x1F).astype(np.int64) << 6) | (raw[np.minimum(lead + 1, n - 1)] & 0x3F)
+        kind[lead] = double[code]
+        kind[lead + 1] = kind[lead]
+    first = np.zeros(n + 1, bool)
+    first[begin] = True
+    first[n] = True
+    start = np.empty(n + 1, bool)
+    start[0] = start[n] = True
+    np.not_equal(kind[1:], kind[:-1], out=start[1:n])
+    start |= first
+    runs = np.flatnonzero(start)
+    at, end = runs[:-1], runs[1:]
+    # white space before something else in its text
+    s = (kind[at] == SPACE) & ~first[end]
+    e = end[s]
+    start[e - 1 - ((raw[e - 1] & 0xC0) == 0x80)] = True
+    start[e[raw[e - 1] == 0x20]] = False
+    # a lone apostrophe with one of the endings after it
+    q = np.flatnonzero((raw[at] == 0x27) & (end - at == 1) & (kind[at] == OTHER) & ~first[end])
+    q = q[start[at[q]]]
+    for i in q.tolist():
+        p, upto = int(at[i]) + 1, int(end[i + 1])
+        word = raw[p : min(p + 2, upto)].tobytes()
+        size = next((len(x) for x in ENDINGS if word.startswith(x)), 0)
+        if size:
+            start[p] = False
+            if p + size < upto:
+                start[p + size] = True
+    return start[:n]
 
 
 def byte_of_char() -> dict[str, int]:
@@ -73,39 +142,67 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(shifted)}
 
 
-class Words(dict):
-    """Ids of a pre-token; the library's model encodes what is not known. Two generations bound the memory."""
+class Words:
+    """Ids of pre-tokens by their 64-bit hash, in sorted arrays; the library's model encodes what is not known.
+
+    Beyond the bound only the words of the latest call are kept.
+    """
 
     def __init__(self, model, letters: dict[int, str]) -> None:  # noqa: ANN001
-        super().__init__()
         self.model, self.letters = model, letters
-        self.older: dict[str, list[int]] = {}
-
-    def __missing__(self, word: str) -> list[int]:
-        if len(self) >= MAX_CACHED_WORDS // 2:
-            self.older = dict(self)
-            self.clear()
-        ids = self.older.get(word)
-        if ids is None:
-            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-        self[word] = ids
-        return ids
+        self.keys = np.zeros(0, np.uint64)
+        self.start = np.zeros(0, np.int64)
+        self.length = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, keys)
+        hit = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        hit[inside] = self.keys[at[inside]] == keys[inside]
+        return at, hit
+
+    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        tokenize, letters = self.model.tokenize, self.letters
+        made = [[t.id for t in tokenize(w.decode("latin-1").translate(letters))] for w in words]
+        length = np.fromiter(map(len, made), np.int64, len(made))
+        start = len(self.flat) + np.cumsum(length) - length
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(made), np.uint32, int(length.sum()))])
+        all_keys = np.concatenate([self.keys, keys])
+        order = np.argsort(all_keys, kind="stable")
+        self.keys = all_keys[order]
+        self.start, self.length = np.concatenate([self.start, start])[order], np.concatenate([self.length, length])[order]
+
+    def look_up(self, keys: np.ndarray, whole: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and numbers of ids in ``flat`` of sorted distinct hashes, whose words are ``whole[begin:end]``."""
+        at, hit = self.find(keys)
+        if not hit.all():
+            miss = np.flatnonzero(~hit)
+            self.learn(keys[miss], [whole[a:b] for a, b in zip(begin[miss].tolist(), end[miss].tolist(), strict=True)])
+            at, _ = self.find(keys)
+        start, length = self.start[at], self.length[at]
+        if len(self.keys) > MAX_CACHED_WORDS:
+            self.flat = self.flat[np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
+            self.keys, self.length, self.start = keys, length, np.cumsum(length) - length
+            start = self.start
+        return start, length
 
 
 class Chunk:
-    """Ids of a chunk and the boundaries (byte, token) of its first and last pre-tokens."""
+    """Ids of a chunk, and the boundaries (byte, token) of its first and, from the end, its last pre-tokens."""
 
     __slots__ = ("head", "ids", "size", "tail")
 
-    def __init__(self, ids: list[int], head: list[tuple[int, int]], tail: list[tuple[int, int]], size: int) -> None:
-        self.ids, self.head, self.tail, self.size = ids, head, tail, size
+    def __init__(self, ids: np.ndarray, at: np.ndarray, token: np.ndarray, size: int) -> None:
+        self.ids, self.size = ids, size
+        self.head = list(zip(at[:EDGES].tolist(), token[:EDGES].tolist(), strict=True))
+        self.tail = list(zip(at[: -EDGES - 1 : -1].tolist(), token[: -EDGES - 1 : -1].tolist(), strict=True))
 
 
 class Encoder:
     """Encodes and decodes as the tokenizers library does with the same file."""
 
     def __init__(self, path: str) -> None:
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -120,9 +217,6 @@ class Encoder:
             and len(added) <= 1 and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added)
         )
         self.special = added[0] if added else None
-        import public_tokenizers
-
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.chunks: dict[bytes, Chunk] = {}
         self.cached = 0
         self.reused = self.encoded = self.repaired = 0
@@ -133,106 +227,130 @@ class Encoder:
         self.raw = [b"" if n is None else bytes(back[c] for c in n) if all(c in back for c in n) else n.encode() for n in names]
         self.decimal = [str(i) for i in range(size)]
 
-    def plain(self, text: str) -> list[int]:
-        """Ids of a text without unusual characters, encoded in one go."""
-        return list(chain.from_iterable(map(self.words.__getitem__, self.split(text))))
-
-    def chunk(self, data: bytes) -> Chunk:
-        found = self.chunks.get(data)
-        if found is not None:
-            self.reused += 1
-            return found
-        self.encoded += 1
-        words = self.split(data.decode())
-        parts = list(map(self.words.__getitem__, words))
-        ids = list(chain.from_iterable(parts))
-        head, at, token = [(0, 0)], 0, 0
-        for w, part in zip(words[:EDGE_WORDS], parts, strict=False):
-            at += len(w.encode())
-            token += len(part)
-            head.append((at, token))
-        tail, at, token = [], len(data), len(ids)
-        for w, part in zip(words[: -EDGE_WORDS - 1 : -1], parts[: -EDGE_WORDS - 1 : -1], strict=True):
-            at -= len(w.encode())
-            token -= len(part)
-            tail.append((at, token))
+    def plain(self, texts: list[bytes]) -> list[Chunk]:
+        """Each text of usual characters, encoded whole; equal pre-tokens of the call are looked up once."""
+        sizes = np.array([len(t) for t in texts])
+        whole = b"".join(texts)
+        if not whole:
+            none = np.zeros(0, np.int64)
+            return [Chunk(none.astype(np.uint32), none, none, 0) for _ in texts]
+        raw = np.frombuffer(whole, np.uint8)
+        ends = np.cumsum(sizes)
+        begin = ends - sizes
+        at = np.flatnonzero(pretoken_starts(raw, begin[sizes > 0]))
+        upto = np.append(at[1:], len(raw))
+        up, down = powers(1 << max(16, len(raw).bit_length()))
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(BYTE_VALUES[raw] * up[: len(raw)], out=total[1:])
+        keys, where, back = np.unique(mixed((total[upto] - total[at]) * down[at]), return_index=True, return_inverse=True)
+        start, length = self.words.look_up(keys, whole, at[where], upto[where])
+        counts = length[back]
+        token = np.cumsum(counts) - counts
+        ids = self.words.flat[np.repeat(start[back] - token, counts) + np.arange(int(counts.sum()))]
+        cut = np.searchsorted(at, np.append(begin, len(raw)))
+        tokens = np.append(token, len(ids))
+        out = []
+        for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+            t = int(tokens[a])
+            out.append(Chunk(ids[t : int(tokens[b])].copy(), at[a:b] - begin[i], tokens[a:b] - t, int(sizes[i])))
+        return out
+
+    def chunked(self, pieces: list[bytes]) -> list[Chunk]:
+        """Chunks by their bytes; each is encoded once as long as the cache holds it."""
         if self.cached > MAX_CACHED_BYTES:
             self.chunks.clear()
             self.cached = 0
-        # an entry takes about 9 bytes for each byte of text, ids included
-        self.cached += len(data) + 8 * len(ids)
-        found = self.chunks[data] = Chunk(ids, head, tail, len(data))
-        return found
-
-    def joined(self, data: bytes) -> list[int]:
-        """Ids of a text of usual characters from its chunks."""
-        cuts = cut_places(data)
-        if len(cuts) == 1:
-            return self.plain(data.decode())
-        out: list[int] = []
-        start = 0
-        left: Chunk | None = None
-        left_start = 0  # place of the left chunk, and the tokens of it that its own join has replaced
-        skip = 0
-        for end in cuts:
-            right = self.chunk(data[start:end])
-            if left is not None:
-                found = self.repair(data, left, left_start, skip, right, start)
-                if found is None:
-                    return self.plain(data.decode())
-                upto, ids, skipped = found
-                out += left.ids[skip:upto]
-                out += ids
-                skip = skipped
-            left, left_start, start = right, start, end
-        assert left is not None
-        out += left.ids[skip:]
-        return out
-
-    def repair(self, data: bytes, left: Chunk, left_start: int, skip: int, right: Chunk, start: int) -> tuple[int, list[int], int] | None:
-        """(tokens of the left chunk that stay, ids of the text around the join, tokens of the right chunk that these replace).
-
-        The left chunk's boundaries are certain up to 16 bytes before its end.
+        fresh = list(dict.fromkeys(p for p in pieces if p not in self.chunks))
+        self.encoded += len(fresh)
+        self.reused += len(pieces) - len(fresh)
+        for p, c in zip(fresh, self.plain(fresh), strict=True):
+            self.chunks[p] = c
+            self.cached += 2000 + 3 * len(p)
+        return [self.chunks[p] for p in pieces]
+
+    def joined(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts of usual characters from their chunks.
+
+        A left chunk's boundaries are certain up to 16 bytes before its end.
         From the last of them the text is split again, past the join; where
         that split and the right chunk's share a boundary with 16 more bytes
-        in sight, both go on alike. None if there is no such boundary: the
-        whole text is then encoded in one go.
+        in sight, both go on alike. A text with a join that finds no such
+        place is encoded whole.
         """
-        self.repaired += 1
-        back = next(((at, token) for at, token in left.tail if at <= left.size - CERTAIN and token >= skip), None)
-        if back is None or (back[0] == 0 and left_start > 0):
-            return None
-        begin = left_start + back[0]
-        for most in (8, EDGE_WORDS):
-            head = right.head[: most + 1]
-            last = head[-1][0]
-            known = dict(head)
-            at, ids = begin, []
-            for word in self.split(data[begin : start + last].decode()):
-                place = at - start
-                if place >= 0 and place in known and place <= last - CERTAIN:
-                    return back[1], ids, known[place]
-                ids += self.words[word]
-                at += len(word.encode())
-        return None
+        cuts = cut_places(texts)
+        spans = [(i, a, b) for i, c in enumerate(cuts) for a, b in zip([0, *c], c, strict=False)]
+        found = self.chunked([texts[i][a:b] for i, a, b in spans])
+        chunks: list[list[Chunk]] = [[] for _ in texts]
+        for (i, _, _), c in zip(spans, found, strict=True):
+            chunks[i].append(c)
+        joins, windows = [], []
+        for i, row in enumerate(chunks):
+            place = 0
+            for j in range(len(row) - 1):
+                left, right = row[j], row[j + 1]
+                place += left.size
+                back = next(((a, t) for a, t in left.tail if a <= left.size - CERTAIN), None)
+                ahead = [(a, t) for a, t in right.head if a <= AHEAD]
+                if back is not None and (back[0] or not j) and ahead[-1][0] > CERTAIN:
+                    joins.append((i, j, back, ahead, left.size - back[0]))
+                    windows.append(texts[i][place - left.size + back[0] : place + ahead[-1][0]])
+                else:
+                    joins.append((i, j, None, None, 0))
+                    windows.append(b"")
+        self.repaired += len(joins)
+        stays: list[list[tuple[int, int, np.ndarray]]] = [[] for _ in texts]  # of each join: tokens kept left, tokens replaced right, ids between
+        whole: dict[int, None] = {}
+        for (i, _, back, ahead, offset), w in zip(joins, self.plain(windows), strict=True):
+            place = None
+            if back is not None:
+                known = dict(ahead)
+                last = ahead[-1][0] - CERTAIN
+                place = next(((known[a - offset], t) for a, t in [*w.head, *w.tail[::-1]] if a - offset >= 0 and a - offset <= last and a - offset in known), None)
+            if place is None or (stays[i] and back[1] < stays[i][-1][1]):
+                whole[i] = None
+            else:
+                stays[i].append((back[1], place[0], w.ids[: place[1]]))
+        out: list[np.ndarray] = []
+        for i, row in enumerate(chunks):
+            parts, skip = [], 0
+            if i not in whole:
+                for c, (keep, replaced, between) in zip(row, stays[i], strict=False):
+                    parts += [c.ids[skip:keep], between]
+                    skip = replaced
+                parts.append(row[-1].ids[skip:])
+            out.append(np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.uint32))
+        if whole:
+            for i, c in zip(whole, self.plain([texts[i] for i in whole]), strict=True):
+                out[i] = c.ids
+        return out
 
-    def encode(self, data: bytes) -> list[int]:
-        """Ids of a text in UTF-8."""
-        if not data:
-            return []
-        if not self.simple or len(data.translate(None, UNUSUAL)) != len(data):
-            return self.tokenizer.encode(data.decode("utf-8", "replace"), add_special_tokens=False).ids
-        mark = self.special and self.special["content"].encode()
-        if not mark or mark not in data:
-            return self.joined(data)
-        out: list[int] = []
-        for i, part in enumerate(data.split(mark)):
-            if i:
-                out.append(self.special["id"])
-            if part:
-                out += self.joined(part)
+    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text in UTF-8, as uint32."""
+        mark = self.special["content"].encode() if self.special else b""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        parts: list[bytes] = []
+        owner: list[tuple[int, int]] = []
+        for i, data in enumerate(texts):
+            if not data:
+                out[i] = np.zeros(0, np.uint32)
+            elif not self.simple or len(data.translate(None, UNUSUAL)) != len(data):
+                out[i] = np.array(self.tokenizer.encode(data.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+            else:
+                own = data.split(mark) if mark and mark in data else [data]
+                owner.append((i, len(own)))
+                parts += own
+        done = iter(self.joined(parts)) if parts else iter(())
+        for i, n in owner:
+            row = [next(done) for _ in range(n)]
+            if n > 1:
+                between = np.array([self.special["id"]], np.uint32)
+                row = [x for k, y in enumerate(row) for x in ((between, y) if k else (y,))]
+            out[i] = np.concatenate(row) if len(row) > 1 else row[0]
         return out
 
+    def encode(self, data: bytes) -> list[int]:
+        return self.encode_all([data])[0].tolist()
+
     def decode(self, ids: list[int]) -> bytes:
         """Decoded text in UTF-8; bytes that are not UTF-8 become replacement characters."""
         raw = b"".join(map(self.raw.__getitem__, ids))
@@ -263,11 +381,10 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", ids_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         decimal = own.decimal
-        for batch in (x for b in batches for x in pieces(b, text_col)):
+        for batch in (x for b in batches for x in pieces(b, text_col, 1 << 20)):
             at = batch.schema.get_field_index(text_col)
             counts, ids_sha, text_sha, all_ids = [], [], [], []
-            for data in byte_values(batch.column(at)):
-                ids = own.encode(data)
+            for ids in map(np.ndarray.tolist, own.encode_all(byte_values(batch.column(at)))):
                 counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join([decimal[i] for i in ids]).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(own.decode(ids)).hexdigest())

@@ -32,6 +32,7 @@ COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = 15
 BLOCK = 4096
+TOGETHER = 32
 MAGIC = b"GWS8"
 HEADER = struct.Struct("<4sIQQQQ")
 FILE_IDS = 2 << 20
@@ -59,7 +60,17 @@ def choices(ids: np.ndarray) -> np.ndarray:
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words, and the first word of each block."""
+    """Words, and the first word of each block. Blocks are packed a few at a time, so that the work stays in the cache."""
+    words, offsets, base = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
+    for i in range(0, len(ids), TOGETHER * BLOCK):
+        w, o = pack_blocks(ids[i : i + TOGETHER * BLOCK])
+        words.append(w)
+        offsets.append(o + np.uint64(base))
+        base += len(w)
+    return np.concatenate(words), np.concatenate(offsets)
+
+
+def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     blocks = -(-n // BLOCK)
     if not blocks:
@@ -107,6 +118,14 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     """All ids of a file."""
+    parts, bounds = [np.zeros(0, np.uint64)], np.append(offsets, np.uint64(len(words))).astype(np.int64)
+    for i in range(0, len(offsets), TOGETHER):
+        a, b = int(bounds[i]), int(bounds[min(i + TOGETHER, len(offsets))])
+        parts.append(unpack_blocks(words[a:b], bounds[i : min(i + TOGETHER, len(offsets))] - a, min(n - i * BLOCK, TOGETHER * BLOCK)))
+    return np.concatenate(parts)
+
+
+def unpack_blocks(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(len(offsets) * BLOCK + 240, np.uint64)
     if not len(offsets):
         return out[:0]
@@ -197,17 +216,16 @@ def write_token_files(docs: DataFrame, path: str, end_id: int | None = None, fol
             doc_ids.clear(), lengths.clear(), ids.clear()
             return made
 
-        for batch in (x for b in batches for x in pieces(b, "text")):
-            for doc, data in zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), strict=True):
-                found = own.encode(data)
+        for batch in (x for b in batches for x in pieces(b, "text", 1 << 20)):
+            for doc, found in zip(batch.column(0).to_pylist(), own.encode_all(byte_values(batch.column(1))), strict=True):
                 if end_id is not None:
-                    found.append(end_id)
+                    found = np.append(found, np.uint32(end_id))
                 if doc_ids and total + len(found) > FILE_IDS:
                     yield close()
                     total, seq = 0, seq + 1
                 doc_ids.append(doc)
                 lengths.append(len(found))
-                ids.append(np.array(found, np.uint32))
+                ids.append(found)
                 total += len(found)
         if doc_ids:
             yield close()
