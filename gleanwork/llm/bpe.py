@@ -26,7 +26,7 @@ from gleanwork.llm.words import BYTE_VALUES, mixed, powers
 CUT_BITS = 10
 MIN_CHUNK = 160
 MAX_CACHED_BYTES = 24 << 20
-MAX_CACHED_WORDS = 400_000
+MAX_CACHED_WORDS = 2_000_000
 #: Bytes of context after which no lookahead or contraction of the split pattern can change a boundary.
 CERTAIN = 16
 #: Bytes of the right chunk that a repair looks at.

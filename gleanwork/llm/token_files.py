@@ -32,7 +32,7 @@ COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = 15
 BLOCK = 4096
-TOGETHER = 32
+TOGETHER = 96
 MAGIC = b"GWS8"
 HEADER = struct.Struct("<4sIQQQQ")
 FILE_IDS = 2 << 20
@@ -51,7 +51,7 @@ def choices(ids: np.ndarray) -> np.ndarray:
         fit = np.ones((blocks, n + 256), bool)
         np.less(ids, np.uint64(limit), out=fit[:, :n])
         width = 1  # widened to the selector's count by doubling
-        while width < count:
+        while width < count and fit.any():
             step = min(width, count - width)
             fit[:, : n + 256 - step] &= fit[:, step:].copy()
             width += step
@@ -126,38 +126,39 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
 
 
 def unpack_blocks(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(len(offsets) * BLOCK + 240, np.uint64)
+    stride = BLOCK + 240  # room for the padding of a block's last word
+    out = np.zeros(len(offsets) * stride, np.uint64)
     if not len(offsets):
         return out[:0]
-    selector = (words >> np.uint64(60)).astype(np.int64)
+    selector = (words >> np.uint64(60)).astype(np.int8)
     # a word after an escape is data; escapes are rare, so they are walked
-    data = np.zeros(len(words), bool)
     escapes = np.flatnonzero(selector == ESCAPE)
-    last = -1
-    for e in escapes.tolist():
-        if e != last:
-            last = e + 1
-            data[last] = True
-    heads = np.flatnonzero(~data)
-    block = np.searchsorted(offsets, heads, side="right") - 1
-    step = COUNTS[selector[heads]]
-    upto = np.cumsum(step) - step
-    begin = upto[np.searchsorted(heads, offsets.astype(np.int64))]
-    place = block * BLOCK + upto - begin[block]
+    heads = np.arange(len(words))
+    if len(escapes):
+        data = np.zeros(len(words), bool)
+        last = -1
+        for e in escapes.tolist():
+            if e != last:
+                last = e + 1
+                data[last] = True
+        heads = heads[~data]
     sel = selector[heads]
-    # rising order of selectors is not the order of places, so padding past a block's end must not overwrite the next block
-    end = np.minimum((block + 1) * BLOCK, n)
-    for s in np.unique(sel):
+    first = np.searchsorted(heads, offsets)  # of each block, among the heads
+    step = COUNTS[sel]
+    upto = np.cumsum(step) - step
+    block = np.repeat(np.arange(len(offsets)), np.diff(np.append(first, len(heads))))
+    place = block * stride + upto - upto[first][block]
+    value = words[heads]
+    for s in np.flatnonzero(np.bincount(sel, minlength=16)).tolist():
         mine = np.flatnonzero(sel == s)
         if s == ESCAPE:
             out[place[mine]] = words[heads[mine] + 1]
         elif BITS[s]:
             mask = np.uint64((1 << int(BITS[s])) - 1)
+            to, word = place[mine], value[mine]
             for i in range(int(COUNTS[s])):
-                to = place[mine] + i
-                fit = to < end[mine]
-                out[to[fit]] = (words[heads[mine][fit]] >> np.uint64(i * int(BITS[s]))) & mask
-    return out[:n]
+                out[to + i] = (word >> np.uint64(i * int(BITS[s]))) & mask
+    return out.reshape(len(offsets), stride)[:, :BLOCK].reshape(-1)[:n]
 
 
 def file_image(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
