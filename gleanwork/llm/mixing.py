@@ -35,9 +35,11 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, share_perce
     ``share_percent`` of all sizes by weight; one that would pass ``most``
     times its source's size stops there and its excess is shared again by
     weight, until none is above. That fixed point is found in one pass: with
-    sources by (most * size / weight), the first one whose ratio reaches the
-    level that is left for it and all after it sets the level. The table has a
-    row for each source of the mix, which is configuration, not corpus.
+    sources by (most * size / weight), let the level of each be what stopped
+    ones before it leave, divided by the weights from it on. Levels rise as
+    long as sources stop below them and fall from then on, so the highest is
+    the fixed point. The table has a row for each source of the mix, which is
+    configuration, not corpus.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     weights = F.array(*[F.lit(float(w)) for w in cycle])
@@ -48,8 +50,7 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, share_perce
     t = t.withColumn("below", F.sum("cap").over(ratio.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("cap"))
     t = t.withColumn("above", F.sum("weight").over(ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
     t = t.withColumn("level", (F.col("budget") - F.col("below")) / F.col("above"))
-    t = t.withColumn("found", F.min(F.when(F.col("cap") / F.col("weight") >= F.col("level"), F.col("level"))).over(everything))
-    target = F.least(F.col("cap").cast("double"), F.coalesce("found", F.lit(float("inf"))) * F.col("weight"))
+    target = F.least(F.col("cap").cast("double"), F.max("level").over(everything) * F.col("weight"))
     return t.select("source", "source_size", target.alias("target"))
 
 

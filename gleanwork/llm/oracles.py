@@ -17,7 +17,7 @@ WITH sized AS (
     / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM weighted
 ), targets AS (
-  SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce(min(CASE WHEN cap / weight >= level THEN level END) OVER (), 'inf'::DOUBLE) * weight) AS target FROM levels
+  SELECT source, source_size, least(CAST(cap AS DOUBLE), max(level) OVER () * weight) AS target FROM levels
 ), rated AS (
   SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size * 16777216 + 0.5) AS BIGINT) ELSE 0 END AS rate,
