@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pathlib import Path
 from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,8 +171,6 @@ def docx_bytes(lines: list[tuple[str, str]], title: str = "CV") -> bytes:
 
 def render_docx(lines: DataFrame, key: str = "id") -> DataFrame:
     """``key, docx`` (binary): each document's lines in template order."""
-    import pandas as pd
-
     @F.pandas_udf(BINARY)
     def made(column: pd.Series) -> pd.Series:
         return column.map(lambda rows: docx_bytes([(r["bold"], r["rest"]) for r in rows]))
