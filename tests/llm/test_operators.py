@@ -173,7 +173,7 @@ def test_near_duplicates(spark, odd, empty):
 def test_line_frequency(spark, odd, empty):
     own = lambda i: prose(60, 500 + i)
     rows = [(i, f"Common footer line\n{own(i)}", "h") for i in range(30)] + [(100 + i, f"{own(200 + i)}\nOnly here {i}", "h") for i in range(5)]
-    short = "\n".join(f"menu item number {k} of the page" for k in range(12))
+    short = "\n".join(prose(7, 900 + k) for k in range(12))
     rows += [(200 + i, f"{short}\nx{i}", "h") for i in range(25)] + [(300, f"{short}\nother", "g")]
     df = spark.createDataFrame(rows, "doc_id long, text string, host string")
     verdict = {r.doc_id: r for r in quality_rules.judge_quality(df).collect()}
