@@ -121,6 +121,12 @@ CV_LINES = [
 L10N = [("en", "SKILLS_TITLE", "SKILLS"), ("en", "language_fr", "French"), ("fr", "SKILLS_TITLE", "COMPÉTENCES"), ("fr", "language_fr", "Français")]
 ANALYSES_IN = [(1, 101, "x", 1, "grade out of range"), (2, -1, "x", 1, "grade out of range"), (3, 50, "  ", 1, "blank analysis"), (4, 50, "x", 99, "unknown job"), (5, 50, "x", 2, "already graded"), (6, 50, " ok ", 1, None), (7, 60, "again", 1, "already graded")]
 
+LABELLED = [
+    ("https://x.wd3.myworkdayjobs.com/a", "", None, "workday"), ("https://careers.acme.com/", "<script src='https://cdn.phenompeople.com/x.js'>", None, "phenom"),
+    ("https://careers.acme.com/", "app.ashbyhq.com and cdn.lever.co", "generic", "generic"), ("https://careers.acme.com/", "", "generic", "generic"),
+]
+WORKDAY_PAGES = [(0, [f"Job {i}" for i in range(20)]), (20, [f"Job {i}" for i in range(20, 40)]), (40, [f"Job {i}" for i in range(40, 45)]), (60, ["Beyond"])]
+
 
 def sql_value(x: object) -> str:
     if x is None:

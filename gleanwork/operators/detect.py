@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gleanwork.functions.html import extract_page
 from gleanwork.functions.urls import host_of, host_suffixes, normal_host, path_of, query_values, registrable
-from gleanwork.plans.registry import ATS, ATS_CAP, INDEX, INFRA, SOURCE_CAP, URL_SOURCES, Rule, all_rules, known_domains
+from gleanwork.plans.registry import ASSET_MARKERS, ATS, ATS_CAP, INDEX, INFRA, OWNED_HOSTS, SOURCE_CAP, URL_SOURCES, Rule, all_rules, known_domains
 
 URL_COLUMNS = {
     "redirect": "redirect_chain", "canonical": "canonical_urls", "script_src": "script_srcs", "iframe_src": "iframe_srcs",
@@ -226,3 +226,28 @@ def failed(fetches: DataFrame) -> DataFrame:
     return fetches.where(F.col("error").isNotNull() | (F.col("status") != 200)).select(
         F.col("url"), F.lit("unknown").alias("status"), F.lit(0).cast("long").alias("score"), F.lit(0.0).alias("confidence"), F.coalesce("error", F.concat(F.lit("http "), F.col("status").cast("string"))).alias("error")
     )
+
+
+def evidence_list(evidence: DataFrame, page: str = "page_id") -> DataFrame:
+    """``page, evidence``: what fired on a page, strongest tier first, then most points, then rule order."""
+    row = F.struct("tier", (-F.col("allowed")).alias("_less"), "rule_idx", "signal_id", "source", F.col("allowed").alias("points"), "matched")
+    return evidence.groupBy(page).agg(F.array_sort(F.collect_list(row)).alias("_e")).select(
+        page, F.transform("_e", lambda e: F.struct(e["signal_id"].alias("signal_id"), e["source"].alias("source"), e["points"].alias("points"), e["tier"].alias("tier"), e["matched"].alias("matched"))).alias("evidence")
+    )
+
+
+def ground_truth(url: str, html: str, fallback: str) -> Column:
+    """Label of a page: the owner of its host, else the only vendor whose marks it has, else ``fallback``."""
+    owners = F.create_map(*[F.lit(x) for pair in OWNED_HOSTS.items() for x in pair])
+    owner = F.get(F.filter(F.transform(host_suffixes(host_of(url)), lambda d: owners[d]), lambda a: a.isNotNull()), F.lit(0))
+    low = F.lower(F.coalesce(F.col(html), F.lit("")))
+    marks = F.array(*[F.struct(F.lit(m).alias("mark"), F.lit(a).alias("ats")) for m, a in ASSET_MARKERS.items()])
+    hits = F.array_distinct(F.transform(F.filter(marks, lambda x: F.contains(low, x["mark"])), lambda x: x["ats"]))
+    return F.coalesce(owner, F.when(F.size(hits) == 1, F.get(hits, F.lit(0))), F.col(fallback))
+
+
+def fixture_name(url: str, expected: str) -> Column:
+    """File name of a saved page: label, host and a digest of its URL."""
+    label = F.concat(F.coalesce(F.nullif(F.col(expected), F.lit("")), F.lit("none")), F.lit("_"), F.replace(F.lower(F.regexp_extract(url, "//([^/?#]*)", 1)), F.lit(":"), F.lit("_")))
+    slug = F.regexp_replace(F.regexp_replace(label, "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.concat(slug, F.lit("_"), F.substring(F.sha1(url), 1, 8), F.lit(".html"))

@@ -117,5 +117,19 @@ ORACLES: dict[str, str] = {
     "ascii_slug": values_sql("text, slug", X.SLUGS),
     "document_filename": values_sql("text, name", [(t, "_".join(x for x in ("Ann_Lee", s, "Dev") if x) + ".docx") for t, s in X.SLUGS]),
     "write_validation": values_sql("id, rejected", [(x[0], x[4]) for x in X.ANALYSES_IN]),
+    "ground_truth": values_sql("id, label", [(i, x[3]) for i, x in enumerate(X.LABELLED)]),
+    "fixture_names": r"""SELECT page_id, trim(regexp_replace((CASE WHEN page_id % 2 = 0 THEN 'lever' ELSE 'none' END) || '_' || replace(lower(regexp_extract(url, '//([^/?#]*)', 1)), ':', '_'), '[^a-z0-9]+', '_', 'g'), '_')
+        || '_' || substr(sha1(url), 1, 8) || '.html' AS name FROM pages""",
+    "evidence_order": values_sql("page_id, pos, signal_id, points", [(1, 0, "lever.hostname", 60), (1, 1, "lever.posting_uuid", 40), (3, 0, "phenom.script_src", 45), (3, 1, "phenom.link_href", 40)]),
+    "workday_feed": "SELECT 'Job ' || i AS title, 'https://acme.wd3.myworkdayjobs.com/en-US/careers/job/' || i AS url, 'Lyon' AS place FROM range(45) AS t(i)",
+    "comeet_feed": values_sql("title, url, place", [("Dev", "https://c/1", "Tel Aviv")]),
+    "wordpress_feed": values_sql("board_url, title, url", [("https://a.fr/carrieres", "Go developer – Team", "https://a.fr/offres/go")]),
+    "reason_lines": f"WITH {DIAGNOSED} SELECT page_id, cause, CAST(anchors AS DOUBLE) AS anchors, CAST(scripts AS DOUBLE) AS scripts FROM c",
+    "rejected_negatives": "SELECT count(*) FILTER (quality = 0) AS negatives, count(*) FILTER (quality = 0 AND toxic = 0) AS rejected FROM labels",
+    "host_suffix_join": f"""WITH h AS (SELECT page_id, {HOST.format('url')} AS host FROM pages), k AS (SELECT DISTINCT regexp_extract(host, '([^.]+\\.)?[^.]+$') AS domain FROM h)
+        SELECT page_id, domain FROM h JOIN k ON host = domain OR ends_with(host, '.' || domain)""",
+    "reindexed_columns": f"WITH {JOBS} SELECT coalesce(company, '') AS company, '' AS place, '' AS via FROM j",
+    "via_counts": "SELECT role AS via, count(*) AS n FROM conversations GROUP BY role",
+    "deduplicated_stream": "SELECT DISTINCT user_id FROM events",
     "streaming_resume": "SELECT event_id, user_id, event_type FROM events WHERE event_type IS NOT NULL",
 }

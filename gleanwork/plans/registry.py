@@ -162,6 +162,21 @@ INFRA = (
     "cr-relay.com", "s81c.com", "cloudinary", "adobeaemcloud", "brightcove", "mux.com", "indeed.com", "glassdoor", "welcometothejungle", "jobijoba",
     "hellowork",
 )
+#: Hosts that only a vendor serves, and marks in a page that only its infrastructure leaves: labels of a test corpus.
+OWNED_HOSTS = {
+    "myworkdayjobs.com": "workday", "smartrecruiters.com": "smartrecruiters", "boards.greenhouse.io": "greenhouse", "job-boards.greenhouse.io": "greenhouse", "icims.com": "icims",
+    "taleo.net": "taleo", "jobs.lever.co": "lever", "teamtailor.com": "teamtailor", "recruitee.com": "recruitee", "jobs.ashbyhq.com": "ashby", "apply.workable.com": "workable",
+    "bamboohr.com": "bamboohr", "comeet.co": "comeet", "onlyfy.jobs": "onlyfy", "breezy.hr": "breezy", "talentlyft.com": "talentlyft", "jobs.personio.de": "personio",
+    "jobs.personio.com": "personio", "pinpointhq.com": "pinpoint", "jobs.jobvite.com": "jobvite", "applytojob.com": "jazzhr", "app.jazz.co": "jazzhr", "avature.net": "avature",
+    "careers.hibob.com": "hibob", "njoyn.com": "njoyn", "softgarden.de": "softgarden", "digitalrecruiters.com": "digitalrecruiters",
+}
+ASSET_MARKERS = {
+    "teamtailor-cdn.com": "teamtailor", "app.teamtailor.com": "teamtailor", "cdn.lever.co": "lever", "jobs.lever.co": "lever", "app.ashbyhq.com": "ashby", "jobs.ashbyhq.com": "ashby",
+    "jobs.smartrecruiters.com": "smartrecruiters", "api.smartrecruiters.com": "smartrecruiters", "apply.workable.com": "workable", "api.breezy.hr": "breezy",
+    "boards.greenhouse.io": "greenhouse", "job-boards.greenhouse.io": "greenhouse", "jobs.jobvite.com": "jobvite", "jobs.personio.de": "personio", "applytojob.com": "jazzhr",
+    "myworkdayjobs.com": "workday", "cdn.phenompeople.com": "phenom", "tbcdn.talentbrew.com": "radancy", "tmpwebeng.com": "radancy", "front.hibob.com": "hibob",
+    "api.digitalrecruiters.com": "digitalrecruiters", "career.softgarden.de": "softgarden",
+}
 # --- end of fixed values ---
 
 INDEX = {a.name: i for i, a in enumerate(ATS)}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +60,12 @@ def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and the executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared or 'file://' + tempfile.mkdtemp(prefix='gleanwork-')}/stream-{uuid.uuid4().hex}"
+
+
 @query
 def keyword_hits(spark, sf_dir):
     return postings(spark, sf_dir).select("doc_id", T.keyword_hits(["title", "description"], KEYWORDS).alias("hits"))
@@ -475,9 +483,7 @@ def write_validation(spark, sf_dir):
 
 @query
 def streaming_resume(spark, sf_dir):
-    import tempfile
-
-    folder = tempfile.mkdtemp(prefix="gleanwork-stream-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/stream-{id(object())}"
+    folder = stream_folder(spark)
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     events.write.mode("overwrite").parquet(f"{folder}/in")
     for _ in range(2):  # the second run finds nothing new
@@ -485,6 +491,90 @@ def streaming_resume(spark, sf_dir):
     return spark.read.schema(events.schema).parquet(f"{folder}/out")
 
 
+@query
+def ground_truth(spark, sf_dir):
+    rows = spark.createDataFrame([(i, *x[:3]) for i, x in enumerate(X.LABELLED)], "id long, url string, html string, fallback string")
+    return rows.select("id", D.ground_truth("url", "html", "fallback").alias("label"))
+
+
+@query
+def fixture_names(spark, sf_dir):
+    return table(spark, sf_dir, "pages").withColumn("label", F.when(F.col("page_id") % 2 == 0, "lever")).select("page_id", D.fixture_name("url", "label").alias("name"))
+
+
+@query
+def evidence_order(spark, sf_dir):
+    pages = spark.createDataFrame([x[:3] for x in X.PLATFORM_PAGES if x[0] in (1, 3)], "page_id long, url string, html string")
+    rows = D.evidence_list(D.capped_points(D.fired_rules(D.extract_signals(pages))))
+    return rows.select("page_id", F.posexplode("evidence").alias("pos", "e")).select("page_id", F.col("pos").cast("long").alias("pos"), "e.signal_id", "e.points")
+
+
+@query
+def workday_feed(spark, sf_dir):
+    page = lambda titles: json.dumps({"total": 45, "jobPostings": [{"title": t, "externalPath": f"/job/{t.split()[-1]}", "locationsText": " Lyon "} for t in titles]})
+    at = "https://acme.wd3.myworkdayjobs.com/wday/cxs/acme/careers/jobs"
+    fetches = spark.createDataFrame([(at, "POST", json.dumps({"offset": o}), 200, page(t)) for o, t in X.WORKDAY_PAGES], "url string, method string, request_body string, status int, body string")
+    boards = spark.createDataFrame([("https://acme.wd3.myworkdayjobs.com/en-US/careers/", "Acme", "workday")], "board_url string, company string, ats string")
+    return C.workday_postings(boards, fetches).select("title", "url", "place")
+
+
+@query
+def comeet_feed(spark, sf_dir):
+    html = '<script>{"company_uid": "30.005", "token": "0123456789ABCDEF0"}</script>'
+    boards = spark.createDataFrame([("https://www.comeet.co/jobs/acme", "Acme", "comeet", html)], "board_url string, company string, ats string, html string")
+    body = json.dumps([{"name": "Dev", "url_comeet_hosted_page": "https://c/1", "location": {"name": "Tel Aviv, Israel", "city": "Tel Aviv"}}, {"name": "No url"}])
+    fetches = spark.createDataFrame([("https://www.comeet.co/careers-api/2.0/company/30.005/positions?token=0123456789ABCDEF0", 200, body)], "url string, status int, body string")
+    return C.comeet_postings(boards, fetches).select("title", "url", "place")
+
+
+@query
+def wordpress_feed(spark, sf_dir):
+    boards = spark.createDataFrame([("https://a.fr/carrieres", "Acme", None, "<link href='/wp-content/x.css'>"), ("https://b.fr/", "B", None, "<p>plain</p>")], "board_url string, company string, ats string, html string")
+    posts = json.dumps([{"title": {"rendered": "Go developer &#8211; Team"}, "link": "https://a.fr/offres/go"}, {"title": {"rendered": ""}, "link": "https://a.fr/offres/x"}])
+    fetches = spark.createDataFrame([("https://a.fr/wp-json/wp/v2/types", 200, json.dumps({"post": {}, "offres": {}})), ("https://a.fr/wp-json/wp/v2/offres?per_page=100&page=1", 200, posts)], "url string, status int, body string")
+    return C.wordpress_postings(boards, fetches).select("board_url", "title", "url")
+
+
+@query
+def reason_lines(spark, sf_dir):
+    rows = diagnose.diagnose(table(spark, sf_dir, "pages"))
+    none = F.lit(None).cast("string")
+    text = diagnose.reason_text(F.col("cause"), F.col("anchors"), F.col("scripts"), F.col("marker"), none)
+    return reports.parse_reasons(rows.select("page_id", text.alias("reason"))).select("page_id", "cause", "anchors", "scripts")
+
+
+@query
+def rejected_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 0, "unknown").otherwise("x").alias("expected"), F.when(F.col("toxic") == 0, "unknown").otherwise("x").alias("predicted"))
+    return reports.rejected_negatives(rows, "expected", "predicted")
+
+
+@query
+def host_suffix_join(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", F.explode(U.host_suffixes(U.host_of("url"))).alias("domain"))
+    known = table(spark, sf_dir, "pages").select(U.registrable(U.host_of("url")).alias("domain")).distinct()
+    return p.join(known, "domain").select("page_id", "domain")
+
+
+@query
+def reindexed_columns(spark, sf_dir):
+    return store.reindexed(jobs(spark, sf_dir).select("id", "company", "place"), ["company", "place", "via"])
+
+
+@query
+def via_counts(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy(F.col("role").alias("via")).agg(F.count("*").alias("n"))
+
+
+@query
+def deduplicated_stream(spark, sf_dir):
+    folder = f"{stream_folder(spark)}"
+    events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    events.dropDuplicates(["user_id"]).union(events.limit(0)).write.mode("overwrite").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+    return incremental.run_to_end(incremental.deduplicated_stream(stream, "user_id", "ts", "60 days"), f"{folder}/out", f"{folder}/state").select("user_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

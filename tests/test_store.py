@@ -100,3 +100,20 @@ def test_functions_in_sql(spark):
     assert tuple(row) == ("https://a/b", True, "a.b", "&", "e_b")
     assert spark.sql("""SELECT url FROM html_anchors('<a href="/x">y</a>', 'https://a')""").collect()[0].url == "https://a/x"
     assert spark.sql("""SELECT title FROM json_jobpostings('{"@type":"JobPosting","title":"T"}')""").collect()[0].title == "T"
+
+
+def test_templates_are_filled(spark):
+    from gleanwork.operators import templates
+
+    lines = [("", "Ann Lee ☀")] + [("", f"{{{t}}}") for t in documents.TOKENS] + [("", "{LANG}")]
+    template = documents.docx_bytes(lines)
+    blocks = {t: [("Head", " rest"), ("", "• one")] for t in documents.TOKENS}
+    made = templates.fill(template, blocks, {"LANG": "French"})
+    df = spark.createDataFrame([(made,)], "content binary")
+    found = df.select(templates.docx_paragraphs("content").alias("p")).collect()[0].p
+    assert found[0] == "Ann Lee " and found[1:3] == ["Head rest", "• one"] and found[-1] == "French"
+    assert templates.fill(template, blocks, {"LANG": "French"}) == made
+    with pytest.raises(ValueError, match="LANG"):
+        templates.fill(template, blocks, {})
+    with pytest.raises(ValueError, match="PROFILE_TEXT"):
+        templates.fill(documents.docx_bytes(lines[:2]), blocks, {})
