@@ -167,6 +167,8 @@ def test_near_duplicates(spark, odd, empty):
     kept = near_dedup.drop_near_duplicates(odd.withColumnRenamed("lang", "class_id"))
     assert kept.columns == ["doc_id", "text", "class_id", "source", "n_chars"]
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "4", "5", "6", "None"]
+    nameless = spark.createDataFrame([(None, prose(50, 1)), (None, prose(50, 2)), (7, prose(50, 3)), (7, prose(50, 3))], "doc_id long, text string")
+    assert near_dedup.drop_near_duplicates(nameless).count() == 3
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
