@@ -51,6 +51,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end at 8 MB: rows are whole texts, and a batch has several copies on its way through a worker."""
+    name, most = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+    size = spark.conf.get(name, None)
+    digits = "".join(c for c in size or "" if c.isdigit() or c == "-")
+    if size is None or not size.endswith("b") or int(digits or 0) > most or int(digits or 0) <= 0:
+        spark.conf.set(name, f"{most}b")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
