@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.llm._shared import materialise, new_folder, read_bytes, write_bytes
+from gleanwork.llm._shared import bound_batches, materialise, new_folder, read_bytes, write_bytes
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -126,6 +126,7 @@ def write_warc(pages: DataFrame, folder: str | None = None) -> DataFrame:
     and repeated rows give records of their own.
     """
     spark = pages.sparkSession
+    bound_batches(spark)
     folder = folder or new_folder(spark, "warc")
     rows = refer_to(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")))
 
@@ -248,7 +249,7 @@ def read_warc(spark: SparkSession, manifest: DataFrame, keep_payload: bool = Tru
             yield pa.RecordBatch.from_pylist(rows, parts_schema)
 
     files = manifest.select("file").repartition(max(1, min(manifest.count(), 4096)), "file")
-    records = files.mapInArrow(run, PART)
+    records = materialise(files.mapInArrow(run, PART), "warc-records")  # parsed once for both branches below
     whole = ["page_id", "refers_to", "url", "payload", "payload_bytes", "payload_digest", "digest_ok", "kind"]
     segments = records.where("origin is not null").groupBy("origin").agg(
         F.collect_list(F.struct("number", "total", "block")).alias("parts"), F.max("page_id").alias("page_id"), F.max("url").alias("url"), F.max("payload_digest").alias("stated")
