@@ -20,18 +20,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gleanwork.llm._shared import byte_values, own_columns, pieces
+from gleanwork.llm._shared import bound_batches, byte_values, own_columns, pieces
 from gleanwork.llm.words import BYTE_VALUES, mixed, powers
 
 CUT_BITS = 10
 MIN_CHUNK = 160
 MAX_CACHED_BYTES = 24 << 20
-MAX_CACHED_WORDS = 2_000_000
+MAX_CACHED_WORDS = 800_000
 #: Bytes of context after which no lookahead or contraction of the split pattern can change a boundary.
 CERTAIN = 16
 #: Bytes of the right chunk that a repair looks at.
 AHEAD = 96
-EDGES = 24
 #: Lead bytes of code points from U+0240 on, and separators on which regular-expression engines differ: such texts go to the library whole.
 UNUSUAL = bytes([0x1C, 0x1D, 0x1E, 0x1F, *range(0xC9, 0x100)])
 SPACE, LETTER, NUMBER, OTHER = range(4)
@@ -189,14 +188,19 @@ class Words:
 
 
 class Chunk:
-    """Ids of a chunk, and the boundaries (byte, token) of its first and, from the end, its last pre-tokens."""
+    """Ids of a chunk, its first boundaries (byte, token), and the last one that its end cannot change."""
 
-    __slots__ = ("head", "ids", "size", "tail")
+    __slots__ = ("back", "head", "ids", "size")
 
     def __init__(self, ids: np.ndarray, at: np.ndarray, token: np.ndarray, size: int) -> None:
         self.ids, self.size = ids, size
-        self.head = list(zip(at[:EDGES].tolist(), token[:EDGES].tolist(), strict=True))
-        self.tail = list(zip(at[: -EDGES - 1 : -1].tolist(), token[: -EDGES - 1 : -1].tolist(), strict=True))
+        n = int(np.searchsorted(at, AHEAD, side="right"))
+        self.head = list(zip(at[:n].tolist(), token[:n].tolist(), strict=True))
+        last = int(np.searchsorted(at, size - CERTAIN, side="right")) - 1
+        self.back = (int(at[last]), int(token[last])) if last >= 0 else None
+
+
+Encoded = tuple[np.ndarray, np.ndarray, np.ndarray, int]
 
 
 class Encoder:
@@ -227,19 +231,19 @@ class Encoder:
         self.raw = [b"" if n is None else bytes(back[c] for c in n) if all(c in back for c in n) else n.encode() for n in names]
         self.decimal = [str(i) for i in range(size)]
 
-    def plain(self, texts: list[bytes]) -> list[Chunk]:
-        """Each text of usual characters, encoded whole; equal pre-tokens of the call are looked up once."""
+    def plain(self, texts: list[bytes]) -> list[Encoded]:
+        """Ids, pre-tokens' places and first tokens, and size of each text of usual characters, encoded whole; equal pre-tokens of the call are looked up once."""
         sizes = np.array([len(t) for t in texts])
         whole = b"".join(texts)
         if not whole:
             none = np.zeros(0, np.int64)
-            return [Chunk(none.astype(np.uint32), none, none, 0) for _ in texts]
+            return [(none.astype(np.uint32), none, none, 0) for _ in texts]
         raw = np.frombuffer(whole, np.uint8)
         ends = np.cumsum(sizes)
         begin = ends - sizes
         at = np.flatnonzero(pretoken_starts(raw, begin[sizes > 0]))
         upto = np.append(at[1:], len(raw))
-        up, down = powers(1 << max(16, len(raw).bit_length()))
+        up, down = powers(len(raw) + 1)
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(BYTE_VALUES[raw] * up[: len(raw)], out=total[1:])
         keys, where, back = np.unique(mixed((total[upto] - total[at]) * down[at]), return_index=True, return_inverse=True)
@@ -252,7 +256,7 @@ class Encoder:
         out = []
         for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
             t = int(tokens[a])
-            out.append(Chunk(ids[t : int(tokens[b])].copy(), at[a:b] - begin[i], tokens[a:b] - t, int(sizes[i])))
+            out.append((ids[t : int(tokens[b])].copy(), at[a:b] - begin[i], tokens[a:b] - t, int(sizes[i])))
         return out
 
     def chunked(self, pieces: list[bytes]) -> list[Chunk]:
@@ -264,8 +268,8 @@ class Encoder:
         self.encoded += len(fresh)
         self.reused += len(pieces) - len(fresh)
         for p, c in zip(fresh, self.plain(fresh), strict=True):
-            self.chunks[p] = c
-            self.cached += 2000 + 3 * len(p)
+            self.chunks[p] = Chunk(*c)
+            self.cached += 3000 + 3 * len(p)
         return [self.chunks[p] for p in pieces]
 
     def joined(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -289,8 +293,7 @@ class Encoder:
             for j in range(len(row) - 1):
                 left, right = row[j], row[j + 1]
                 place += left.size
-                back = next(((a, t) for a, t in left.tail if a <= left.size - CERTAIN), None)
-                ahead = [(a, t) for a, t in right.head if a <= AHEAD]
+                back, ahead = left.back, right.head
                 if back is not None and (back[0] or not j) and ahead[-1][0] > CERTAIN:
                     joins.append((i, j, back, ahead, left.size - back[0]))
                     windows.append(texts[i][place - left.size + back[0] : place + ahead[-1][0]])
@@ -305,11 +308,11 @@ class Encoder:
             if back is not None:
                 known = dict(ahead)
                 last = ahead[-1][0] - CERTAIN
-                place = next(((known[a - offset], t) for a, t in [*w.head, *w.tail[::-1]] if a - offset >= 0 and a - offset <= last and a - offset in known), None)
+                place = next(((known[a - offset], t) for a, t in zip(w[1].tolist(), w[2].tolist(), strict=True) if a - offset >= 0 and a - offset <= last and a - offset in known), None)
             if place is None or (stays[i] and back[1] < stays[i][-1][1]):
                 whole[i] = None
             else:
-                stays[i].append((back[1], place[0], w.ids[: place[1]]))
+                stays[i].append((back[1], place[0], w[0][: place[1]]))
         out: list[np.ndarray] = []
         for i, row in enumerate(chunks):
             parts, skip = [], 0
@@ -321,7 +324,7 @@ class Encoder:
             out.append(np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.uint32))
         if whole:
             for i, c in zip(whole, self.plain([texts[i] for i in whole]), strict=True):
-                out[i] = c.ids
+                out[i] = c[0]
         return out
 
     def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -374,6 +377,7 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", ids_col
     ``_in``. ``path`` names a byte-level BPE file of the tokenizers library
     that all executors have.
     """
+    bound_batches(docs.sparkSession)
     docs = own_columns(docs, ["n_tokens", "ids_sha256", "decoded_sha256", *([ids_col] if ids_col else [])])
     kept = [f for f in docs.schema.fields if f.name != text_col]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), OUTPUT, *([f"`{ids_col}` array<int>"] if ids_col else [])])
@@ -381,7 +385,7 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", ids_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         decimal = own.decimal
-        for batch in (x for b in batches for x in pieces(b, text_col, 1 << 20)):
+        for batch in (x for b in batches for x in pieces(b, text_col, 900_000)):
             at = batch.schema.get_field_index(text_col)
             counts, ids_sha, text_sha, all_ids = [], [], [], []
             for ids in map(np.ndarray.tolist, own.encode_all(byte_values(batch.column(at)))):

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanwork.llm._shared import byte_values, own_columns
+from gleanwork.llm._shared import bound_batches, byte_values, own_columns
 
 #: The classifier is fitted on a bounded sample of labelled rows: so many texts
 #: of each label train its dictionary, and so many others the calibration.
@@ -120,6 +120,7 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", cut: fl
     score like any other; clashing input columns get the suffix ``_in``. No
     shuffle.
     """
+    bound_batches(docs.sparkSession)
     docs = own_columns(docs, ["score", "predicted"])
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)

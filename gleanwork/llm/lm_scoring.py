@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanwork.llm._shared import materialise, own_columns
+from gleanwork.llm._shared import bound_batches, materialise, own_columns
 from gleanwork.llm.counters import summed_counters
 from gleanwork.llm.words import mixed, small_pieces, word_hashes
 
@@ -103,6 +103,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     All rows make the background, so both models cover the whole corpus. With
     an empty target, its model is uniform.
     """
+    bound_batches(docs.sparkSession)
     wanted = materialise(target_ids.select(F.col("doc_id").alias("_id")).distinct(), "target-ids").withColumn("is_target", F.lit(True))
     marked = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id"), "left")
     background, target = count_models(marked)

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gleanwork.llm._shared import own_columns, text_values
+from gleanwork.llm._shared import bound_batches, own_columns, text_values
 
 #: Order of kinds with the same start; base kinds come first.
 BASE_KINDS = ("assign", "access", "hex")
@@ -199,6 +199,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", redact_to: str | None
     columns that clash with output names get the suffix ``_in``; rows repeat as
     they come. No shuffle: each row is judged alone.
     """
+    bound_batches(docs.sparkSession)
     added = [x.split()[0] for x in OUTPUT.split(", ")]
     clash = [x for x in [*added, redact_to] if x and x != text_col]
     docs = own_columns(docs, clash)

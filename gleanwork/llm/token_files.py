@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanwork.llm._shared import byte_values, materialise, new_folder, pieces, read_bytes, write_bytes
+from gleanwork.llm._shared import bound_batches, byte_values, materialise, new_folder, pieces, read_bytes, write_bytes
 from gleanwork.llm.bpe import encoder
 
 #: Ids and bits of each selector; 15 is the escape.
@@ -199,6 +199,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int | None = None, fol
     whole, and the manifest lists those of successful tasks only.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     folder = folder or new_folder(spark, "token-files")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
 
@@ -217,7 +218,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int | None = None, fol
             doc_ids.clear(), lengths.clear(), ids.clear()
             return made
 
-        for batch in (x for b in batches for x in pieces(b, "text", 1 << 20)):
+        for batch in (x for b in batches for x in pieces(b, "text", 900_000)):
             for doc, found in zip(batch.column(0).to_pylist(), own.encode_all(byte_values(batch.column(1))), strict=True):
                 if end_id is not None:
                     found = np.append(found, np.uint32(end_id))

@@ -18,12 +18,24 @@ BYTE_VALUES = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64
 RUN_FACTORS = np.random.default_rng(4).integers(1, 1 << 62, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@cache
+#: Longest table of powers that a worker keeps; longer texts make their own for the moment.
+KEPT_POWERS = 1 << 20
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse for i below n, modulo 2**64."""
+    return kept_powers() if n <= KEPT_POWERS else made_powers(n)
+
+
+@cache
+def kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return made_powers(KEPT_POWERS)
+
+
+def made_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, BASE, np.uint64), np.full(n, INVERSE, np.uint64)
     up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return np.multiply.accumulate(up, out=up), np.multiply.accumulate(down, out=down)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -63,8 +75,7 @@ def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nd
     lasts = offsets[1:][offsets[:-1] < offsets[1:]] - 1
     finish[lasts] = ~space[lasts]
     start, end = np.flatnonzero(begins), np.flatnonzero(finish) + 1
-    n = 1 << max(16, int(len(raw)).bit_length())
-    up, down = powers(n)
+    up, down = powers(len(raw) + 1)
     total = np.empty(len(raw) + 1, np.uint64)
     total[0] = 0
     np.cumsum(BYTE_VALUES[raw] * up[: len(raw)], out=total[1:])
@@ -106,7 +117,7 @@ def row_terms(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (key >> np.uint64(48)).astype(np.int64), key & np.uint64((1 << 48) - 1), np.diff(np.append(at, len(new)))
 
 
-def small_pieces(column: pa.Array, most_bytes: int = 1 << 20, most_rows: int = 4096) -> Iterator[tuple[int, pa.Array]]:
+def small_pieces(column: pa.Array, most_bytes: int = 900_000, most_rows: int = 4096) -> Iterator[tuple[int, pa.Array]]:
     """(first row, slice) with about ``most_bytes`` each, one row at least."""
     lengths = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     start, size = 0, 0
