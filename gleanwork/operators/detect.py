@@ -202,8 +202,12 @@ def looks_unrendered() -> Column:
 
 
 def detect(pages: DataFrame, **columns: str) -> DataFrame:
-    """Verdict of each page; pages without evidence are unknown with score 0."""
-    signals = extract_signals(pages, **columns)
+    """Verdict of each page; pages without evidence are unknown with score 0.
+
+    The signals are kept while the session lasts, as every kind of rule reads
+    them and a page should be parsed once; a lost part is parsed again.
+    """
+    signals = extract_signals(pages, **columns).persist()
     found = verdicts(scores(capped_points(fired_rules(signals))))
     leads = unknown_vendors(signals)
     rows = signals.select("page_id", "is_job_page", looks_unrendered().alias("_shell")).join(found, "page_id", "left").join(leads, "page_id", "left")
