@@ -105,6 +105,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     """
     bound_batches(docs.sparkSession)
     wanted = materialise(target_ids.select(F.col("doc_id").alias("_id")).distinct(), "target-ids").withColumn("is_target", F.lit(True))
-    marked = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id"), "left")
+    # the ids grow with the corpus, so they are never broadcast: the plan is the same at every size
+    marked = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
     background, target = count_models(marked)
     return score_documents(docs, background, target)
