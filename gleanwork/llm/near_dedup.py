@@ -1,9 +1,10 @@
 """Near-duplicates by improved consistent weighted sampling.
 
 Texts are bags of five-word shingles weighted by TF-IDF. A signature of
-weighted samples is cut into bands; texts that share a band meet through a few
-leaders of the bucket, never in all pairs; each meeting is verified by the
-weighted Jaccard similarity of the whole texts; linked texts form classes.
+weighted samples is cut into bands; texts that share a band meet through
+leaders of the bucket, in rounds that end when all that are left are of one
+class; each meeting is verified by the weighted Jaccard similarity of the whole
+texts; linked texts form classes.
 """
 
 from __future__ import annotations
@@ -35,7 +36,9 @@ RARE_TEXTS = 10
 FLOOR = 3.0
 TABLE_BITS = 16
 EXPECTED = 24
-EXTRA_LEADERS = 6
+#: Leaders of a bucket in the round after the first; each later round has GROWTH times as many,
+#: so a bucket of any size has met in all its open pairs after a few rounds.
+MORE_LEADERS, GROWTH = 6, 4
 
 
 # --- document frequencies -------------------------------------------------
@@ -288,6 +291,62 @@ def leaders(buckets: DataFrame, number: int) -> DataFrame:
     return buckets.groupBy("key").agg(F.min_by("node", rank).alias("leader"))
 
 
+def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after ``links`` (``a, b``) of roots have joined whole classes."""
+    over = components(links).select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    named = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root"))
+    known = roots.union(named.join(roots.select("node"), "node", "left_anti"))
+    known = known.join(over, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"))
+    return materialise(known, "roots")
+
+
+def open_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of different classes in a bucket, one of which leads.
+
+    ``rows``: ``key, node, root, leads, main``, where ``main`` is the commonest
+    class of the bucket. Of each pair one at least is not of that class, so
+    its members never meet each other in the join.
+    """
+    x, y = rows.alias("x"), rows.alias("y")
+    differ = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
+    few, lead = F.col("x.root") != F.col("x.main"), F.col("x.leads")
+    by_few = x.where(few & lead).join(y, differ)
+    by_main = x.where(~few & lead).join(y.where("root <> main"), differ)
+    both = by_few.select("x.node", F.col("y.node").alias("other")).union(by_main.select("x.node", F.col("y.node").alias("other")))
+    return both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def met_in_full(buckets: DataFrame, done: DataFrame, roots: DataFrame, texts: DataFrame, table, threshold: float) -> DataFrame:  # noqa: ANN001
+    """``roots`` when no bucket (``node, key, members``) holds two members of different classes that have not met.
+
+    A member's place in its bucket, from 0 to 1, is by hash. In each round those
+    below a limit that rises with the rounds lead: they meet all members of other
+    classes, and are then settled in this bucket. ``done``: the pairs met before.
+    """
+    place = (F.xxhash64("node", "key").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))) * F.col("members")
+    left = buckets.where("members > 2").select("key", "node", place.alias("place"))
+    upto = MORE_LEADERS
+    while True:
+        now = left.join(roots, "node", "left").select("key", "node", "place", F.coalesce("root", "node").alias("root"))
+        sizes = now.groupBy("key", "root").agg(F.count("*").alias("n"))
+        mains = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
+        now = materialise(now.join(mains, "key").select("key", "node", "place", "root", "main", (F.col("place") < upto).alias("leads")), "open-members")
+        if now.isEmpty():
+            return roots
+        pairs = materialise(open_pairs(now).join(done.select("a", "b"), ["a", "b"], "left_anti"), "open-pairs")
+        fresh = materialise(verified(pairs, texts, table, threshold), "verified-more")
+        root_of = lambda of, name: roots.select(F.col("node").alias(of), F.col("root").alias(name))
+        late = fresh.where("similar").join(root_of("a", "r1"), "a", "left").join(root_of("b", "r2"), "b", "left")
+        late = late.select(F.coalesce("r1", "a").alias("a"), F.coalesce("r2", "b").alias("b")).where("a <> b").distinct()
+        late = materialise(late, "late-links")
+        # links found late join whole classes, so only those are followed again
+        if not late.isEmpty():
+            roots = joined_roots(roots, late)
+        done = done.select("a", "b").union(fresh.select("a", "b"))
+        left = now.where("not leads").select("key", "node", "place")
+        upto *= GROWTH
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """``doc_id, class_id, is_kept`` of each row of ``docs`` (``doc_id, text``).
 
@@ -297,8 +356,11 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     node, so copies are never paired. Null counts as the empty text; all texts
     without words are near only their equals; repeated rows share their class.
     ``is_kept`` marks the rows with the least id. Each bucket is compared with
-    one leader first, then members that failed meet further leaders, so the
-    number of comparisons follows the number of members.
+    one leader first. Where members are of several classes, more and more of
+    them lead, until every two members have met or are of one class; so the
+    classes are those of all pairs that share a band. Comparisons follow the
+    number of members where buckets are of one class, and the number of pairs
+    of different classes elsewhere.
     """
     return classes(docs, threshold).drop("node")
 
@@ -330,30 +392,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     first = materialise(verified(meetings(leaders(buckets, 0), buckets), texts, table, threshold), "verified")
     links = first.where("similar")
     roots = components(links)
-    # members of larger buckets that are not in their leader's class meet other leaders
-    root_of = lambda of, name: roots.select(F.col("node").alias(of), F.col("root").alias(name))
-    open_members = buckets.where("members > 2").join(leaders(buckets.where("members > 2"), 0), "key")
-    open_members = open_members.join(root_of("node", "r1"), "node", "left").join(root_of("leader", "r2"), "leader", "left")
-    open_members = open_members.where(F.coalesce("r1", "node") != F.coalesce("r2", "leader")).select("node", "key", F.coalesce("r1", "node").alias("own"))
-    open_members = materialise(open_members, "open-members")
-    more = None
-    for number in range(1, EXTRA_LEADERS + 1):
-        leader = leaders(buckets.join(open_members.select("key").distinct(), "key"), number)
-        met = open_members.join(leader, "key").where("node <> leader").join(root_of("leader", "r2"), "leader", "left").where(F.coalesce("r2", "leader") != F.col("own"))
-        met = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-        more = met if more is None else more.union(met)
-    more = more.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = materialise(verified(more, texts, table, threshold), "verified-more")
-    # links found late join whole classes, so only those are followed again
-    late = second.where("similar").join(root_of("a", "r1"), "a", "left").join(root_of("b", "r2"), "b", "left")
-    late = late.select(F.coalesce("r1", "a").alias("a"), F.coalesce("r2", "b").alias("b")).where("a <> b").distinct()
-    late = materialise(late, "late-links")
-    if not late.isEmpty():
-        over = components(late).select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        named = late.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root"))
-        known = roots.union(named.join(roots.select("node"), "node", "left_anti"))
-        roots = known.join(over, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"))
-        roots = materialise(roots, "roots")
+    roots = met_in_full(buckets, first, roots, texts, table, threshold)
     marked = marked.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     found = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).groupBy("root").agg(F.min("least").alias("class_id"))
     out = marked.join(found, "root").select("doc_id", "node", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_kept"))

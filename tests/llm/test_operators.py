@@ -172,6 +172,17 @@ def test_near_duplicates(spark, odd, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_that_share_a_passage(spark):
+    passage = prose(193, 70)
+    rows = []
+    for i in range(200):  # 0.78 alike by the passage and 0.82 in a pair: most shared buckets are large and hold many classes
+        own, other = prose(20, 7000 + i).split(), prose(16, 8000 + i).split()
+        rows += [(10 * i, f"{passage} {' '.join(own)}"), (10 * i + 1, f"{passage} {' '.join(own[:4] + other)}")]
+    found = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(found[k] // 10 == k // 10 for k, _ in rows)
+    assert sum(found[10 * i + 1] == 10 * i for i in range(200)) >= 197  # a pair shares no band in one of a few hundred cases
+
+
 def test_line_frequency(spark, odd, empty):
     own = lambda i: prose(60, 500 + i)
     rows = [(i, f"Common footer line\n{own(i)}", "h") for i in range(30)] + [(100 + i, f"{own(200 + i)}\nOnly here {i}", "h") for i in range(5)]
