@@ -1,7 +1,7 @@
 """Secret scans with structural confirmation.
 
 Pattern spans (assignments, access-key ids, hex runs) are always kept. On top
-of them, base64 and hex candidates are decoded and reported only if their
+of them, base64 candidates and hex ones in either letter case are decoded and reported only if their
 bytes parse: DER key encodings with nested lengths that add up, OpenSSH key
 blobs, and signed-token headers.
 """
@@ -34,6 +34,9 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}(?:\r?\n[A-Za-z0-9+/]{4,}={0,2})*")
 #: First characters of base64 whose bytes begin a DER sequence or an OpenSSH key.
 BASE64_STARTS = ("M", "b3BlbnNzaC1rZXktdjEA", "AAAA")
+HEX_CANDIDATE = re.compile(r"[0-9A-Fa-f]{24,}")
+LINE_END = re.compile(r"\r?\n")
+KEY_NAME = re.compile(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+")
 HEX_STARTS = ("30", "6f70656e7373682d6b65792d7631", "000000")
 
 Span = tuple[str, int, int]
@@ -114,7 +117,7 @@ def ssh_key(data: bytes) -> bool:
             return False
         fields.append(data[at + 4 : at + 4 + n])
         at += 4 + n
-    return at == len(data) and len(fields) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", fields[0]) is not None
+    return at == len(data) and len(fields) >= 2 and KEY_NAME.fullmatch(fields[0]) is not None
 
 
 def token_header(part: str) -> bool:
@@ -141,25 +144,87 @@ def base_spans(text: str) -> list[Span]:
     return spans
 
 
+def key_kind(data: bytes | None) -> str | None:
+    """Kind of the key structure that the bytes are."""
+    if not data:
+        return None
+    return "der" if der_key(data) else "ssh" if ssh_key(data) else None
+
+
+def stated_size(data: bytes) -> int | None:
+    """Bytes of the outer DER sequence as its header states them; the data may end before."""
+    outer = _der(data, 0, 1 << 40) if len(data) >= 6 and data[0] == 0x30 else None
+    return outer[2] if outer else None
+
+
+def base64_key(found: str) -> tuple[str, int] | None:
+    """Kind and length of the key that a base64 candidate begins with: all of it, or the longest stretch of whole lines."""
+    kind = key_kind(_decoded64(found))
+    if kind:
+        return kind, len(found)
+    breaks = list(LINE_END.finditer(found))
+    head = _decoded64(found[:40]) if breaks else None
+    if not head:
+        return None
+    size = stated_size(head)
+    if size is None and not head.startswith(b"openssh-key-v1"):
+        n = int.from_bytes(head[:4], "big")
+        if not 1 <= n <= 64 or not re.match(rb"ssh-|ecdsa-|sk-", head[4:]):
+            return None
+    removed = 0  # characters of line ends so far
+    ends = []
+    for m in breaks:
+        n = (m.start() - removed) * 3 // 4
+        removed += m.end() - m.start()
+        if size is None or size <= n <= size + 4:  # padding counts as two bytes at most
+            ends.append(m.start())
+    for end in reversed(ends):
+        kind = key_kind(_decoded64(found[:end]))
+        if kind:
+            return kind, end
+    return None
+
+
+def base64_spans(text: str) -> list[Span]:
+    """Keys in base64; where a candidate holds none, the next may begin at its next line."""
+    spans: list[Span] = []
+    m = BASE64.search(text)
+    while m:
+        found = base64_key(m[0]) if m[0].startswith(BASE64_STARTS) else None
+        if found:
+            spans.append((found[0], m.start(), m.start() + found[1]))
+            at = m.start() + found[1]
+        else:
+            line = LINE_END.search(m[0])
+            at = m.start() + line.start() if line else m.end()
+        m = BASE64.search(text, at)
+    return spans
+
+
+def hex_key(found: str) -> tuple[str, int] | None:
+    """Kind and length of the key that hex digits begin with: all of them, or as many as a DER header states."""
+    if not found.lower().startswith(HEX_STARTS):
+        return None
+    data = bytes.fromhex(found[: len(found) // 2 * 2])
+    kind = key_kind(data)
+    if kind:
+        return kind, 2 * len(data)
+    size = stated_size(data)
+    kind = key_kind(data[:size]) if size and size < len(data) else None
+    return (kind, 2 * size) if kind else None
+
+
 def confirmed_spans(text: str, hexes: list[Span]) -> list[Span]:
     """Candidates that decode to a key or signed-token structure."""
     spans: list[Span] = []
     if "eyJ" in text:
         spans += [("token", m.start(), m.end()) for m in TOKEN.finditer(text) if token_header(m[1])]
-    for m in BASE64.finditer(text):
-        if m[0].startswith(BASE64_STARTS) and (data := _decoded64(m[0])):
-            if der_key(data):
-                spans.append(("der", m.start(), m.end()))
-            elif ssh_key(data):
-                spans.append(("ssh", m.start(), m.end()))
-    for _, start, end in hexes:
-        found = text[start:end]
-        if found.startswith(HEX_STARTS) and len(found) % 2 == 0:
-            data = bytes.fromhex(found)
-            if der_key(data):
-                spans.append(("der", start, end))
-            elif ssh_key(data):
-                spans.append(("ssh", start, end))
+    spans += base64_spans(text)
+    # runs of digits in either letter case, and the lower-case runs of the base pattern in them
+    for start, end in sorted({(a, b) for _, a, b in hexes} | {m.span() for m in HEX_CANDIDATE.finditer(text)}):
+        found = hex_key(text[start:end])
+        if found and (span := (found[0], start, start + found[1])) not in spans:
+            spans.append(span)
     return spans
 
 

@@ -156,6 +156,27 @@ def test_spans():
     assert secret_scan.scan("") == ([], []) and secret_scan.redacted("abc", []) == "abc"
 
 
+@pytest.mark.parametrize("data", [RSA, WRAPPED, SSH, RSA + b"\0", RSA + b"\0\0"])
+@pytest.mark.parametrize("padded", [True, False])
+def test_keys_before_prose(data, padded):
+    key = base64.b64encode(data).decode()
+    key = key if padded else key.rstrip("=")
+    lines = "\r\n".join(key[i : i + 64] for i in range(0, len(key), 64))
+    for own in (key, lines):
+        for after in ("\nthis is prose", "\r\nwords\nmore\nthan one line", f"\n{own}\nthis"):
+            spans = secret_scan.confirmed_spans(f"see {own}{after}", [])
+            assert spans[0][1] == 4 and spans[-1][2] == 4 + len(own) * (1 + (own in after)) + (own in after)
+    notes = "M" + "x" * 50
+    assert secret_scan.confirmed_spans(f"{notes}\n{key}\nthis", [])[0][1:] == (52, 52 + len(key))
+
+
+def test_hex_keys_in_any_letter_case():
+    for digits in (RSA.hex(), RSA.hex().upper(), SSH.hex().upper(), RSA.hex()[:90].upper() + RSA.hex()[90:]):
+        for after in ("", " is it", *([] if digits.lower() == SSH.hex() else ["f", "abcabcabc"])):
+            spans = secret_scan.scan(f"key {digits}{after}")[1]
+            assert any(k in ("der", "ssh") and a == 4 and 0 <= b - 4 - len(digits) <= 4 for k, a, b in spans)
+
+
 @pytest.mark.parametrize("text", ["PaSSword:abcdef", "ſecret=abcdefgh", "token=abc", "apikey==abcdef", "AKIA" + "A" * 15, "f" * 23])
 def test_base_spans_follow_the_patterns(text):
     import re
