@@ -117,3 +117,26 @@ def test_templates_are_filled(spark):
         templates.fill(template, blocks, {})
     with pytest.raises(ValueError, match="PROFILE_TEXT"):
         templates.fill(documents.docx_bytes(lines[:2]), blocks, {})
+
+
+def test_deduplicated_stream_gets_all_events(spark, monkeypatch):
+    from gleanwork import queries
+
+    monkeypatch.setattr(queries.incremental, "deduplicated_stream", lambda stream, *_: stream)
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert queries.queries()["deduplicated_stream"](spark, "/root/testdata/sf0.001").count() == events
+
+
+def test_deduplicated_stream_inside_and_beyond_the_window(spark, tmp_path):
+    import time
+
+    from gleanwork.streaming import incremental
+
+    files = [[("a", "01 00"), ("a", "01 12"), ("b", "01 00")], [("b", "01 13"), ("c", "05 00")], [("d", "05 05")], [("a", "05 06"), ("c", "05 10")]]
+    for rows in files:
+        df = spark.createDataFrame(rows, "k string, t string").selectExpr("k", "to_timestamp('2024-01-' || t, 'yyyy-MM-dd HH') AS t")
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    found = incremental.run_to_end(incremental.deduplicated_stream(stream, "k", "t"), f"{tmp_path}/out", f"{tmp_path}/state").collect()
+    assert sorted(r.k for r in found) == ["a", "a", "b", "c", "d"]  # "a" comes again four days after its state has ended
