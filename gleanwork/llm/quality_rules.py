@@ -22,11 +22,9 @@ SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
 
 #: A line counts as boilerplate of its host if this many distinct texts of the
-#: host hold it, and this share of them. Lines with more words are prose, whose
-#: repetition is a matter of near-duplicate removal.
+#: host hold it, and this share of them, however long it is.
 MIN_DOCS = 20
 MIN_SHARE = 0.005
-MAX_LINE_WORDS = 25
 #: A document that loses more than this share of its words is depleted.
 MAX_LOST = 0.5
 MIN_WORDS = 50
@@ -59,8 +57,8 @@ def line_hash(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(line) - (1 << 63)
 
 
-def text_stats(text: bytes, max_line_words: int) -> tuple[list[int], dict[int, int]]:
-    """[n_words, space-free bytes, n_symbols, n_dup_lines, n_repeat_words], and the words of each short line's hash."""
+def text_stats(text: bytes, max_line_words: int | None = None) -> tuple[list[int], dict[int, int]]:
+    """[n_words, space-free bytes, n_symbols, n_dup_lines, n_repeat_words], and the words of each line's hash (with a limit: of lines of so many words at most)."""
     words = text.split()
     seen: set[bytes] = set()
     dup = 0
@@ -73,7 +71,7 @@ def text_stats(text: bytes, max_line_words: int) -> tuple[list[int], dict[int, i
             dup += 1
         else:
             seen.add(line)
-        if len(own) <= max_line_words:
+        if max_line_words is None or len(own) <= max_line_words:
             h = line_hash(own)
             lines[h] = lines.get(h, 0) + len(own)
     spaces = len(text) - len(text.translate(None, SPACES))
@@ -84,8 +82,8 @@ def text_stats(text: bytes, max_line_words: int) -> tuple[list[int], dict[int, i
 STAT_SCHEMA = "doc_id long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<hash:long,words:long>>"
 
 
-def line_stats(docs: DataFrame, max_line_words: int = MAX_LINE_WORDS) -> DataFrame:
-    """One row for each input row: base figures and the hashes of its short lines."""
+def line_stats(docs: DataFrame) -> DataFrame:
+    """One row for each input row: base figures and the hashes of its lines."""
     lines_type = pa.list_(pa.struct([("hash", pa.int64()), ("words", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +92,7 @@ def line_stats(docs: DataFrame, max_line_words: int = MAX_LINE_WORDS) -> DataFra
             points = pc.utf8_length(text).fill_null(0).to_pylist()
             rows: dict[str, list] = {k: [] for k in ("text_hash", *STATS, "lines")}
             for data, n in zip(byte_values(text), points, strict=True):
-                (words, spaces, symbols, dup, repeat), lines = text_stats(data, max_line_words)
+                (words, spaces, symbols, dup, repeat), lines = text_stats(data)
                 rows["text_hash"].append(xxhash.xxh3_64_intdigest(data) - (1 << 63))
                 for k, v in zip(STATS, (words, n - spaces, symbols, dup, repeat), strict=True):
                     rows[k].append(v)
@@ -143,7 +141,7 @@ def judge_quality(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float =
     input row. Null and empty texts have no words and fail the base rules; a
     null host or id is a value like any other; repeated rows get the same
     verdict and count as one document. The text is read once; afterwards only
-    hashes of short lines move.
+    hashes of lines move.
     """
     bound_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long"), F.col("host").cast("string"), F.col("text").cast("string"))
@@ -160,7 +158,7 @@ def judge_quality(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float =
 
 
 def cleaned_text(text: bytes, lost: set[int]) -> bytes:
-    return b"\n".join(x for x in text.split(b"\n") if not (own := x.split()) or len(own) > MAX_LINE_WORDS or line_hash(own) not in lost)
+    return b"\n".join(x for x in text.split(b"\n") if not (own := x.split()) or line_hash(own) not in lost)
 
 
 def clean_documents(docs: DataFrame, host_col: str = "source", **limits: float) -> DataFrame:

@@ -201,6 +201,16 @@ def test_line_frequency(spark, odd, empty):
     assert quality_rules.clean_documents(empty).count() == 0
 
 
+def test_long_lines_count(spark):
+    notice = prose(60, 77)
+    rows = [(i, f"{notice}\n{prose(70, 600 + i)}", "h") for i in range(30)] + [(100 + i, f"{notice}\nx{i}", "h") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    verdict = {r.doc_id: r for r in quality_rules.judge_quality(df.withColumnRenamed("source", "host")).collect()}
+    assert verdict[0].lost_words == 0 and verdict[1].lost_words == 60 and verdict[1].kept and not verdict[101].kept
+    clean = {r.doc_id: r.text for r in quality_rules.clean_documents(df).collect()}
+    assert clean[0].startswith(notice) and clean[1] == prose(70, 601) and 101 not in clean
+
+
 def test_secret_columns(spark, odd, empty):
     docs = odd.withColumnRenamed("lang", "spans")
     found = secret_scan.scan_secrets(docs, redact_to="text")
