@@ -1,10 +1,10 @@
 """Near-duplicates by improved consistent weighted sampling.
 
 Texts are bags of five-word shingles weighted by TF-IDF. A signature of
-weighted samples is cut into bands; texts that share a band meet through
-leaders of the bucket, in rounds that end when all that are left are of one
-class; each meeting is verified by the weighted Jaccard similarity of the whole
-texts; linked texts form classes.
+weighted samples is cut into bands. Texts that share a band first meet one
+leader of the bucket; where members are left in different classes, these are
+compared with all members in blocks. Each comparison is the weighted Jaccard
+similarity of the whole texts; linked texts form classes.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanwork.llm import sieve
@@ -36,9 +36,10 @@ RARE_TEXTS = 10
 FLOOR = 3.0
 TABLE_BITS = 16
 EXPECTED = 24
-#: Leaders of a bucket in the round after the first; each later round has GROWTH times as many,
-#: so a bucket of any size has met in all its open pairs after a few rounds.
-MORE_LEADERS, GROWTH = 6, 4
+#: Members of a bucket, and bytes of their texts, that a block holds on average.
+BLOCK_MEMBERS, BLOCK_BYTES = 512, 4 << 20
+#: Shingles of a block whose columns are multiplied at a time.
+STRIPE = 2048
 
 
 # --- document frequencies -------------------------------------------------
@@ -182,7 +183,7 @@ def text_node(data: bytes) -> bytes:
 
 
 def banded(docs: DataFrame, table) -> DataFrame:  # noqa: ANN001
-    """``doc_id, node, bands`` of each row; texts without words have no bands."""
+    """``doc_id, node, size, bands`` of each row, the size in bytes; texts without words have no bands."""
     list_type = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +196,13 @@ def banded(docs: DataFrame, table) -> DataFrame:  # noqa: ANN001
                 keys = band_keys(weighted_samples(rows, terms, weights, n)).view(np.int64)
                 filled = np.bincount(rows, minlength=n) > 0
                 made += [k if f else None for k, f in zip(keys, filled.tolist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "node": pa.array([text_node(x) for x in byte_values(text)], pa.binary()), "bands": pa.array(made, list_type)})
+            data = byte_values(text)
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column(0), "node": pa.array(map(text_node, data), pa.binary()),
+                "size": pa.array(map(len, data), pa.int64()), "bands": pa.array(made, list_type),
+            })
 
-    return docs.mapInArrow(run, "doc_id long, node binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, node binary, size long, bands array<long>")
 
 
 def sieved(docs: DataFrame, bits) -> DataFrame:  # noqa: ANN001
@@ -227,35 +232,112 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return shared / total if total else 0.0
 
 
+def bags(texts: pa.Array, weight: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted shingles and their weights of each text."""
+    found = []
+    for _, n, rows, terms, counts in shingle_terms(texts):
+        w = counts * weight[slot_of(terms)].astype(np.float64)
+        cut = np.searchsorted(rows, np.arange(n + 1))
+        found += [(terms[x:y], w[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+    return found
+
+
 def verified(pairs: DataFrame, texts: DataFrame, table, threshold: float) -> DataFrame:  # noqa: ANN001
-    """The pairs ``a, b`` (with ``similar``) of nodes; ``texts`` has ``node, text`` once each."""
-    met = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    met = met.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    """Those of the pairs ``a, b`` of ids that are similar; ``texts`` has ``id, text`` once each."""
+    met = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    met = met.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = table.value
         held: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # of leaders, which come many times
-
-        def bags(texts: list) -> list[tuple[np.ndarray, np.ndarray]]:
-            found = []
-            for _, n, rows, terms, counts in shingle_terms(pa.array(texts, pa.large_string())):
-                w = counts * weight[slot_of(terms)].astype(np.float64)
-                cut = np.searchsorted(rows, np.arange(n + 1))
-                found += [(terms[x:y], w[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
-            return found
-
         for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            a = batch.column(0).to_pylist()
             wanted: dict[bytes, int] = {}
             for i, node in enumerate(a):
                 if node not in held:
                     wanted.setdefault(node, i)
-            fresh = dict(zip(wanted, bags([batch.column(2)[i].as_py() for i in wanted.values()]), strict=True))
-            similar = [weighted_jaccard(fresh.get(x) or held[x], y) >= threshold for x, y in zip(a, bags(batch.column(3).to_pylist()), strict=True)]
+            fresh = dict(zip(wanted, bags(batch.column(2).take(pa.array(list(wanted.values()), pa.int64())), weight), strict=True))
+            similar = [weighted_jaccard(fresh.get(x) or held[x], y) >= threshold for x, y in zip(a, bags(batch.column(3), weight), strict=True)]
             held = {k: v for k, v in (held | fresh).items() if k == a[-1]}  # rows of one node follow each other
-            yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1), "similar": pa.array(similar, pa.bool_())})
+            yield batch.select(["a", "b"]).filter(pa.array(similar, pa.bool_()))
+
+    return met.mapInArrow(run, "a binary, b binary")
+
+
+def shared_weights(rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Weight that each row of ``left`` shares with each row of ``right``.
+
+    The lesser of two counts of a shingle is the sum of the steps between the
+    counts that occur, up to those that both rows reach. So every (shingle,
+    step) is a column that a row has or has not, and the shared weights are a
+    product of matrices, a stripe of columns at a time.
+    """
+    order = np.lexsort((counts, terms))
+    t, c = terms[order], counts[order]
+    new_term = np.append(True, t[1:] != t[:-1])
+    new_step = new_term | np.append(True, c[1:] != c[:-1])
+    step = np.cumsum(new_step) - 1
+    first = np.maximum.accumulate(np.where(new_term, step, 0))  # first step of the entry's shingle
+    at = np.flatnonzero(new_step)
+    before = np.append(0, c[at[:-1]])
+    size = (c[at] - np.where(new_term[at], 0, before)) * weight[slot_of(t[at])].astype(np.float64)
+    reach = step - first + 1
+    row = np.repeat(rows[order], reach)
+    column = np.arange(int(reach.sum())) - np.repeat(np.cumsum(reach) - reach, reach) + np.repeat(first, reach)
+    often = np.bincount(column, minlength=len(at)) > 1
+    row, column = row[often[column]], column[often[column]]
+    column = (np.cumsum(often) - 1)[column]
+    size = size[often]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)))
+    n = int(max(left.max(), right.max())) + 1
+    for begin in range(0, len(size), STRIPE):
+        upto = min(begin + STRIPE, len(size))
+        x, y = np.searchsorted(column, [begin, upto])
+        has = np.zeros((n, upto - begin))
+        has[row[x:y], column[x:y] - begin] = 1
+        out += (has[left] * size[begin:upto]) @ has[right].T
+    return out
+
 
-    return met.mapInArrow(run, "a binary, b binary, similar boolean")
+def linked_roots(a: list[bytes], b: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """Fewest of the links that keep the same classes together."""
+    parent: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while (y := parent.get(x, x)) != x:
+            parent[x] = parent.get(y, y)
+            x = y
+        return x
+
+    found = []
+    for x, y in zip(a, b, strict=True):
+        p, q = top(x), top(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            found.append((x, y))
+    return found
+
+
+def block_links(block: pa.Table, weight: np.ndarray, threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links of classes by all pairs of a block (``root, few, many, text``) with a row of ``few`` and one of ``many``."""
+    column = block.column("text").combine_chunks()
+    parts = list(shingle_terms(column))
+    rows = np.concatenate([first + r for first, _, r, _, _ in parts])
+    terms, counts = np.concatenate([t for *_, t, _ in parts]), np.concatenate([c for *_, c in parts])
+    few = np.flatnonzero(block.column("few").to_numpy())
+    many = np.flatnonzero(block.column("many").to_numpy())
+    if not len(few) or not len(many):
+        return []
+    total = np.bincount(rows, counts * weight[slot_of(terms)].astype(np.float64), block.num_rows)
+    shared = shared_weights(rows, terms, counts, weight, few, many)
+    root = block.column("root").to_pylist()
+    number = {x: i for i, x in enumerate(dict.fromkeys(root))}
+    of = np.array([number[x] for x in root])
+    alike = (shared >= threshold * (total[few][:, None] + total[many][None, :] - shared)) & (of[few][:, None] != of[many][None, :])
+    x, y = np.nonzero(alike)
+    return linked_roots([root[i] for i in few[x]], [root[i] for i in many[y]])
 
 
 # --- classes --------------------------------------------------------------
@@ -285,10 +367,19 @@ def components(links: DataFrame) -> DataFrame:
         edges = materialise(moved.union(low.select("hi", F.col("m").alias("lo"))).distinct(), "small-star")
 
 
-def leaders(buckets: DataFrame, number: int) -> DataFrame:
-    """One member of each bucket by a hash order of its own."""
-    rank = F.xxhash64("node", F.lit(number)) if number else F.xxhash64("node")
-    return buckets.groupBy("key").agg(F.min_by("node", rank).alias("leader"))
+def node_id(least: Column, node: Column) -> Column:
+    """25 bytes that sort by the least ``doc_id`` of a text (null last), then by its digest, so the least id of a class names it."""
+    shifted = F.lpad(F.hex(F.coalesce(least, F.lit(0)).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.when(least.isNull(), F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), F.unhex(shifted), node)
+
+
+def least_of(node: Column) -> Column:
+    value = F.conv(F.hex(F.substring(node, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+    return F.when(F.hex(F.substring(node, 1, 1)) == "00", value)
+
+
+def digest_of(node: Column) -> Column:
+    return F.substring(node, 10, 16)
 
 
 def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -300,51 +391,41 @@ def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(known, "roots")
 
 
-def open_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of different classes in a bucket, one of which leads.
+def open_blocks(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """``key, i, j, id, root, few, many``: blocks in which all open pairs of the buckets (``key, id, size, members``) meet.
 
-    ``rows``: ``key, node, root, leads, main``, where ``main`` is the commonest
-    class of the bucket. Of each pair one at least is not of that class, so
-    its members never meet each other in the join.
+    Members of a bucket's commonest class need not meet each other. So the
+    others (few) are dealt into blocks i, all members into blocks j, and
+    each few meets each many in block (i, j) of its key. A bucket of one
+    block has each member once.
     """
-    x, y = rows.alias("x"), rows.alias("y")
-    differ = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
-    few, lead = F.col("x.root") != F.col("x.main"), F.col("x.leads")
-    by_few = x.where(few & lead).join(y, differ)
-    by_main = x.where(~few & lead).join(y.where("root <> main"), differ)
-    both = by_few.select("x.node", F.col("y.node").alias("other")).union(by_main.select("x.node", F.col("y.node").alias("other")))
-    return both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-
-
-def met_in_full(buckets: DataFrame, done: DataFrame, roots: DataFrame, texts: DataFrame, table, threshold: float) -> DataFrame:  # noqa: ANN001
-    """``roots`` when no bucket (``node, key, members``) holds two members of different classes that have not met.
-
-    A member's place in its bucket, from 0 to 1, is by hash. In each round those
-    below a limit that rises with the rounds lead: they meet all members of other
-    classes, and are then settled in this bucket. ``done``: the pairs met before.
-    """
-    place = (F.xxhash64("node", "key").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))) * F.col("members")
-    left = buckets.where("members > 2").select("key", "node", place.alias("place"))
-    upto = MORE_LEADERS
-    while True:
-        now = left.join(roots, "node", "left").select("key", "node", "place", F.coalesce("root", "node").alias("root"))
-        sizes = now.groupBy("key", "root").agg(F.count("*").alias("n"))
-        mains = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
-        now = materialise(now.join(mains, "key").select("key", "node", "place", "root", "main", (F.col("place") < upto).alias("leads")), "open-members")
-        if now.isEmpty():
-            return roots
-        pairs = materialise(open_pairs(now).join(done.select("a", "b"), ["a", "b"], "left_anti"), "open-pairs")
-        fresh = materialise(verified(pairs, texts, table, threshold), "verified-more")
-        root_of = lambda of, name: roots.select(F.col("node").alias(of), F.col("root").alias(name))
-        late = fresh.where("similar").join(root_of("a", "r1"), "a", "left").join(root_of("b", "r2"), "b", "left")
-        late = late.select(F.coalesce("r1", "a").alias("a"), F.coalesce("r2", "b").alias("b")).where("a <> b").distinct()
-        late = materialise(late, "late-links")
-        # links found late join whole classes, so only those are followed again
-        if not late.isEmpty():
-            roots = joined_roots(roots, late)
-        done = done.select("a", "b").union(fresh.select("a", "b"))
-        left = now.where("not leads").select("key", "node", "place")
-        upto *= GROWTH
+    now = buckets.where("members > 2").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "size", F.coalesce("root", "id").alias("root"))
+    sizes = now.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    main = F.max(F.struct("n", "root"))
+    found = sizes.groupBy("key").agg(main.alias("top"), F.count("*").alias("classes"), F.sum("n").alias("members"), F.sum("bytes").alias("bytes")).where("classes > 1")
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK_MEMBERS, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    found = found.select("key", F.col("top.root").alias("main"), blocks.alias("js"), (1 - F.col("top.n") / F.col("members")).alias("share"))
+    found = found.withColumn("is", F.greatest(F.lit(1), F.ceil(F.col("js") * F.col("share"))).cast("int"))
+    now = materialise(now.join(found, "key").select("key", "id", "root", "js", "is", (F.col("root") != F.col("main")).alias("other")), "open-members")
+    place = lambda n, seed: F.pmod(F.xxhash64("id", "key", F.lit(seed)), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    many = now.select("key", upto("is").alias("i"), place("js", 0).alias("j"), "id", "root", (F.col("other") & (F.col("js") == 1)).alias("few"), F.lit(True).alias("many"))
+    few = now.where("other and js > 1").select("key", place("is", 1).alias("i"), upto("js").alias("j"), "id", "root", F.lit(True).alias("few"), F.lit(False).alias("many"))
+    return many.union(few)
+
+
+def met_in_full(buckets: DataFrame, roots: DataFrame, texts: DataFrame, table, threshold: float) -> DataFrame:  # noqa: ANN001
+    """``roots`` when any two members of a bucket are of one class or have been compared."""
+    blocks = open_blocks(buckets, roots).join(texts, "id").select("key", "i", "j", "root", "few", "many", "text")
+
+    def compare(block: pa.Table) -> pa.Table:
+        found = block_links(block, table.value, threshold)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
+
+    late = blocks.groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+    late = materialise(late, "late-links")
+    # links found late join whole classes, so only those are followed again
+    return roots if late.isEmpty() else joined_roots(roots, late)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -355,12 +436,13 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     ``doc_id`` of the class (null if all its ids are null). Equal texts are one
     node, so copies are never paired. Null counts as the empty text; all texts
     without words are near only their equals; repeated rows share their class.
-    ``is_kept`` marks the rows with the least id. Each bucket is compared with
-    one leader first. Where members are of several classes, more and more of
-    them lead, until every two members have met or are of one class; so the
-    classes are those of all pairs that share a band. Comparisons follow the
-    number of members where buckets are of one class, and the number of pairs
-    of different classes elsewhere.
+    ``is_kept`` marks the rows of one text of the class, those with the least
+    id. Whole texts count, however long; an empty table gives an empty result;
+    other columns of ``docs`` are ignored. The classes are those of all pairs
+    that share a band: each bucket is compared with one leader, and members
+    left in different classes with all others of the bucket, in blocks of
+    bounded size. Comparisons follow the number of members where buckets are
+    of one class, and the number of pairs of different classes elsewhere.
     """
     return classes(docs, threshold).drop("node")
 
@@ -372,38 +454,31 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     table = spark.sparkContext.broadcast(frequency_table(rows))
     marked = materialise(banded(rows, table), "bands")
-    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"))
-    # one carrier of each text stands for its copies
-    carriers = nodes.join(marked, "node").where(F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "least", "bands").dropDuplicates(["node"])
-    buckets = carriers.where("bands is not null").select("node", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    # one row of each text stands for its copies, whose bands are the same
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = nodes.select("node", node_id(F.col("least"), F.col("node")).alias("id"), "size", "bands")
+    buckets = nodes.where("bands is not null").select("id", "size", F.explode("bands").alias("key"))
+    shared = buckets.groupBy("key").agg(F.count("*").alias("members"), F.min_by("id", F.xxhash64("id")).alias("leader")).where("members > 1")
     buckets = materialise(buckets.join(shared, "key"), "buckets")
-    wanted = buckets.select("node").distinct().join(nodes, "node")
-    wanted = materialise(wanted, "wanted")
+    wanted = buckets.select("id").distinct()
+    wanted = materialise(wanted.select(digest_of(F.col("id")).alias("node"), least_of(F.col("id")).alias("least"), "id"), "wanted")
     named = sieved(rows, spark.sparkContext.broadcast(sieve.made(wanted.select("node"), wanted.count())))
     # the wanted nodes grow with the corpus, so they are never broadcast: the plan is the same at every size
-    texts = named.join(wanted.hint("merge"), "node").where(F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "text").dropDuplicates(["node"])
+    texts = named.join(wanted.hint("merge"), "node").where(F.col("doc_id").eqNullSafe(F.col("least"))).select("id", "text").dropDuplicates(["id"])
     texts = materialise(texts, "near-texts")
-
-    def meetings(leader: DataFrame, members: DataFrame) -> DataFrame:
-        met = members.join(leader, "key").where("node <> leader")
-        return met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-
-    first = materialise(verified(meetings(leaders(buckets, 0), buckets), texts, table, threshold), "verified")
-    links = first.where("similar")
-    roots = components(links)
-    roots = met_in_full(buckets, first, roots, texts, table, threshold)
-    marked = marked.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    found = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).groupBy("root").agg(F.min("least").alias("class_id"))
-    out = marked.join(found, "root").select("doc_id", "node", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_kept"))
-    return materialise(out, "near-classes")
+    meetings = buckets.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    roots = components(materialise(verified(meetings, texts, table, threshold), "verified"))
+    roots = met_in_full(buckets, roots, texts, table, threshold)
+    named = nodes.select("node", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("root", "id").alias("root"))
+    out = marked.select("doc_id", "node").join(named, "node").withColumn("class_id", least_of(F.col("root")))
+    kept = (F.col("node") == digest_of(F.col("root"))) & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    return materialise(out.select("doc_id", "node", "class_id", kept.alias("is_kept")), "near-classes")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """One row of each class, the one with the least ``doc_id``; same columns as ``docs``.
 
-    Of repeated rows one stays. Rows without id stay unless a row with an id
-    or an equal text is in their class.
+    Of repeated rows one stays, and of a class without ids one row.
     """
     names = docs.columns
     held = own_columns(docs, ["node"])

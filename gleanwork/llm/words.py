@@ -15,6 +15,11 @@ INVERSE = pow(BASE, -1, 1 << 64)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 BYTE_VALUES = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: A second polynomial, over a prime field: modulo 2**64 alone, long words made by
+#: doubling (the Thue-Morse word and its complement) have equal values at any base.
+PRIME, PRIME_BASE = (1 << 31) - 1, 1_220_703_125
+PRIME_INVERSE = pow(PRIME_BASE, -1, PRIME)
+PRIME_VALUES = np.random.default_rng(8).integers(1, PRIME, 256, dtype=np.uint64)
 RUN_FACTORS = np.random.default_rng(4).integers(1, 1 << 62, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -38,6 +43,29 @@ def made_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up, out=up), np.multiply.accumulate(down, out=down)
 
 
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers below n of the second base and of its inverse, modulo the prime."""
+    return tuple(x[:n] for x in kept_prime_powers()) if n <= KEPT_POWERS else made_prime_powers(n)
+
+
+@cache
+def kept_prime_powers() -> tuple[np.ndarray, np.ndarray]:
+    return made_prime_powers(KEPT_POWERS)
+
+
+def made_prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    made = []
+    for base in (PRIME_BASE, PRIME_INVERSE):
+        out = np.ones(n, np.uint32)
+        done = 1
+        while done < n:
+            more = min(done, n - done)
+            out[done : done + more] = out[:more].astype(np.uint64) * np.uint64(pow(base, done, PRIME)) % np.uint64(PRIME)
+            done += more
+        made.append(out)
+    return made[0], made[1]
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * MULTIPLIER
@@ -56,7 +84,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each word, and how many words each row has.
 
-    A word's hash is its polynomial over byte values, from differences of
+    A word's hash mixes its polynomials over two rings, from differences of
     prefix sums, so the work for each byte is a few array operations.
     """
     column = pc.fill_null(column, "")
@@ -79,7 +107,11 @@ def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nd
     total = np.empty(len(raw) + 1, np.uint64)
     total[0] = 0
     np.cumsum(BYTE_VALUES[raw] * up[: len(raw)], out=total[1:])
-    hashes = mixed((total[end] - total[start]) * down[start])
+    hashes = (total[end] - total[start]) * down[start]
+    up, down = prime_powers(len(raw) + 1)
+    np.cumsum(PRIME_VALUES[raw] * up[: len(raw)] % np.uint64(PRIME), out=total[1:])
+    second = (total[end] - total[start]) % np.uint64(PRIME) * down[start] % np.uint64(PRIME)
+    hashes = mixed(hashes ^ mixed(second + np.uint64(1)))
     at = np.searchsorted(start, offsets)
     return hashes, np.diff(at)
 
