@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -31,9 +30,7 @@ MAX_CACHED_WORDS = 800_000
 CERTAIN = 16
 #: Bytes of the right chunk that a repair looks at.
 AHEAD = 96
-#: Lead bytes of code points from U+0240 on, and separators on which regular-expression engines differ: such texts go to the library whole.
-UNUSUAL = bytes([0x1C, 0x1D, 0x1E, 0x1F, *range(0xC9, 0x100)])
-SPACE, LETTER, NUMBER, OTHER = range(4)
+SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
 #: Endings that stay with their apostrophe.
 ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 
@@ -78,34 +75,65 @@ def cut_places(texts: list[bytes]) -> list[list[int]]:
     return out
 
 
-@cache
-def character_classes() -> tuple[np.ndarray, np.ndarray]:
-    """Class of each byte below 0x80, and of each code point below U+0240."""
+class CharacterClasses:
+    """Class of each code point in the byte-level split pattern, asked of the library when it is first met."""
+
+    def __init__(self) -> None:
+        from tokenizers import pre_tokenizers
+
+        self.split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+        self.table = np.full(0x110000, UNKNOWN, np.uint8)
+        self.learn(np.arange(0x240))
+        #: By byte, for characters of one byte.
+        self.single = np.concatenate([self.table[:128], np.full(128, OTHER, np.uint8)])
 
-    def kind(c: str) -> int:
-        if c.isspace() and not "\x1c" <= c <= "\x1f":
-            return SPACE
-        return {"L": LETTER, "N": NUMBER}.get(unicodedata.category(c)[0], OTHER)
+    def kind(self, char: str) -> int:
+        """The class whose run goes on through the character."""
+        together = lambda x: len(self.split(x + char + x)) == 1
+        return LETTER if together("a") else NUMBER if together("1") else OTHER if together("!") else SPACE
 
-    table = np.array([kind(chr(i)) for i in range(0x240)], np.uint8)
-    return np.concatenate([table[:128], np.full(128, OTHER, np.uint8)]), table
+    def learn(self, codes: np.ndarray) -> None:
+        self.table[codes] = [self.kind(chr(c)) for c in codes.tolist()]
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        found = self.table[codes]
+        if (found == UNKNOWN).any():
+            self.learn(np.unique(codes[found == UNKNOWN]))
+            found = self.table[codes]
+        return found
+
+
+@cache
+def character_classes() -> CharacterClasses:
+    return CharacterClasses()
+
+
+def byte_classes(raw: np.ndarray) -> np.ndarray:
+    """Class of the character of each byte of valid UTF-8."""
+    classes = character_classes()
+    kind = classes.single[raw]
+    for least, most, size in ((0xC0, 0xE0, 2), (0xE0, 0xF0, 3), (0xF0, 0x100, 4)):
+        lead = np.flatnonzero((raw >= least) & (raw < most))
+        if len(lead):
+            code = raw[lead].astype(np.int64) & (0xFF >> (size + 1))
+            for i in range(1, size):
+                code = (code << 6) | (raw[lead + i] & 0x3F)
+            found = classes.of(code)
+            for i in range(size):
+                kind[lead + i] = found
+    return kind
 
 
 def pretoken_starts(raw: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Whether a pre-token of the byte-level split pattern begins at each byte.
 
-    ``begin`` has the first byte of each text in ``raw``. Runs of letters, of
-    digits and of other signs are pre-tokens, each with one plain space in
-    front; of longer white space before a run the last sign is left over.
+    ``raw`` is valid UTF-8 and ``begin`` has the first byte of each text in
+    it. Runs of letters, of digits and of other signs are pre-tokens, each
+    with one plain space in front; of longer white space before a run the last
+    sign is left over.
     """
     n = len(raw)
-    single, double = character_classes()
-    kind = single[raw]
-    lead = np.flatnonzero(raw >= 0xC2)
-    if len(lead):
-        code = ((raw[lead] & 0x1F).astype(np.int64) << 6) | (raw[np.minimum(lead + 1, n - 1)] & 0x3F)
-        kind[lead] = double[code]
-        kind[lead + 1] = kind[lead]
+    kind = byte_classes(raw)
     first = np.zeros(n + 1, bool)
     first[begin] = True
     first[n] = True
@@ -118,7 +146,10 @@ def pretoken_starts(raw: np.ndarray, begin: np.ndarray) -> np.ndarray:
     # white space before something else in its text
     s = (kind[at] == SPACE) & ~first[end]
     e = end[s]
-    start[e - 1 - ((raw[e - 1] & 0xC0) == 0x80)] = True
+    last = e - 1
+    for _ in range(3):  # to the first byte of its last character
+        last = last - ((raw[last] & 0xC0) == 0x80)
+    start[last] = True
     start[e[raw[e - 1] == 0x20]] = False
     # a lone apostrophe with one of the endings after it
     q = np.flatnonzero((raw[at] == 0x27) & (end - at == 1) & (kind[at] == OTHER) & ~first[end])
@@ -141,18 +172,24 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(shifted)}
 
 
+def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places ``start[i], ..., start[i] + length[i] - 1`` of all i, one after the other."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+
+
 class Words:
-    """Ids of pre-tokens by their 64-bit hash, in sorted arrays; the library's model encodes what is not known.
+    """Ids of pre-tokens, found by a 64-bit hash and held against their bytes; the library's model encodes what is not known.
 
     Beyond the bound only the words of the latest call are kept.
     """
 
     def __init__(self, model, letters: dict[int, str]) -> None:  # noqa: ANN001
         self.model, self.letters = model, letters
+        none = np.zeros(0, np.int64)
         self.keys = np.zeros(0, np.uint64)
-        self.start = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.start, self.length, self.flat = none, none, np.zeros(0, np.uint32)
+        self.from_, self.size, self.bytes = none, none, np.zeros(0, np.uint8)
+        self.exact = 0
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.keys, keys)
@@ -161,31 +198,66 @@ class Words:
         hit[inside] = self.keys[at[inside]] == keys[inside]
         return at, hit
 
-    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+    def made(self, words: list[bytes]) -> list[list[int]]:
         tokenize, letters = self.model.tokenize, self.letters
-        made = [[t.id for t in tokenize(w.decode("latin-1").translate(letters))] for w in words]
+        return [[t.id for t in tokenize(w.decode("latin-1").translate(letters))] for w in words]
+
+    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        made = self.made(words)
         length = np.fromiter(map(len, made), np.int64, len(made))
-        start = len(self.flat) + np.cumsum(length) - length
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        start, from_ = len(self.flat) + np.cumsum(length) - length, len(self.bytes) + np.cumsum(size) - size
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(made), np.uint32, int(length.sum()))])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(words), np.uint8)])
         all_keys = np.concatenate([self.keys, keys])
         order = np.argsort(all_keys, kind="stable")
         self.keys = all_keys[order]
         self.start, self.length = np.concatenate([self.start, start])[order], np.concatenate([self.length, length])[order]
+        self.from_, self.size = np.concatenate([self.from_, from_])[order], np.concatenate([self.size, size])[order]
 
-    def look_up(self, keys: np.ndarray, whole: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and numbers of ids in ``flat`` of sorted distinct hashes, whose words are ``whole[begin:end]``."""
+    def look_up(self, keys: np.ndarray, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Places and numbers of ids in ``flat`` of sorted distinct hashes, whose words are ``raw[begin:end]``; none if another word has one of the hashes."""
         at, hit = self.find(keys)
         if not hit.all():
             miss = np.flatnonzero(~hit)
+            whole = raw.tobytes()
             self.learn(keys[miss], [whole[a:b] for a, b in zip(begin[miss].tolist(), end[miss].tolist(), strict=True)])
             at, _ = self.find(keys)
+        size = end - begin
+        if (self.size[at] != size).any() or (self.bytes[spread(self.from_[at], size)] != raw[spread(begin, size)]).any():
+            return None
         start, length = self.start[at], self.length[at]
         if len(self.keys) > MAX_CACHED_WORDS:
-            self.flat = self.flat[np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
+            self.flat, self.bytes = self.flat[spread(start, length)], self.bytes[spread(self.from_[at], size)]
             self.keys, self.length, self.start = keys, length, np.cumsum(length) - length
+            self.size, self.from_ = size, np.cumsum(size) - size
             start = self.start
         return start, length
 
+    def ids(self, raw: np.ndarray, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pre-tokens that begin at ``at`` in ``raw`` and fill it, and how many each has.
+
+        Equal pre-tokens are looked up once. Where two words have one hash,
+        the pre-tokens of the call are told apart by their bytes alone.
+        """
+        upto = np.append(at[1:], len(raw))
+        keys, where, back = np.unique(keys, return_index=True, return_inverse=True)
+        size, first = upto - at, at[where][back]
+        same = (size == size[where][back]).all() and (raw[np.arange(len(raw)) + np.repeat(first - at, size)] == raw).all()
+        found = self.look_up(keys, raw, at[where], upto[where]) if same else None
+        if found is None:
+            self.exact += 1
+            whole = raw.tobytes()
+            number: dict[bytes, int] = {}
+            back = np.array([number.setdefault(whole[a:b], len(number)) for a, b in zip(at.tolist(), upto.tolist(), strict=True)])
+            made = self.made(list(number))
+            length = np.fromiter(map(len, made), np.int64, len(made))
+            start, flat = np.cumsum(length) - length, np.fromiter(chain.from_iterable(made), np.uint32, int(length.sum()))
+        else:
+            (start, length), flat = found, self.flat
+        counts = length[back]
+        return flat[spread(start[back], counts)], counts
+
 
 class Chunk:
     """Ids of a chunk, its first boundaries (byte, token), and the last one that its end cannot change."""
@@ -200,6 +272,14 @@ class Chunk:
         self.back = (int(at[last]), int(token[last])) if last >= 0 else None
 
 
+def valid(data: bytes) -> bytes:
+    try:
+        data.decode()
+    except UnicodeDecodeError:
+        return data.decode("utf-8", "replace").encode()
+    return data
+
+
 Encoded = tuple[np.ndarray, np.ndarray, np.ndarray, int]
 
 
@@ -221,7 +301,9 @@ class Encoder:
             and len(added) <= 1 and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added)
         )
         self.special = added[0] if added else None
+        #: Chunks of late and those before them; what is used again moves to the former.
         self.chunks: dict[bytes, Chunk] = {}
+        self.older: dict[bytes, Chunk] = {}
         self.cached = 0
         self.reused = self.encoded = self.repaired = 0
         back = byte_of_char()
@@ -232,7 +314,7 @@ class Encoder:
         self.decimal = [str(i) for i in range(size)]
 
     def plain(self, texts: list[bytes]) -> list[Encoded]:
-        """Ids, pre-tokens' places and first tokens, and size of each text of usual characters, encoded whole; equal pre-tokens of the call are looked up once."""
+        """Ids, pre-tokens' places and first tokens, and size of each text, encoded whole."""
         sizes = np.array([len(t) for t in texts])
         whole = b"".join(texts)
         if not whole:
@@ -246,11 +328,8 @@ class Encoder:
         up, down = powers(len(raw) + 1)
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(BYTE_VALUES[raw] * up[: len(raw)], out=total[1:])
-        keys, where, back = np.unique(mixed((total[upto] - total[at]) * down[at]), return_index=True, return_inverse=True)
-        start, length = self.words.look_up(keys, whole, at[where], upto[where])
-        counts = length[back]
+        ids, counts = self.words.ids(raw, at, mixed((total[upto] - total[at]) * down[at]))
         token = np.cumsum(counts) - counts
-        ids = self.words.flat[np.repeat(start[back] - token, counts) + np.arange(int(counts.sum()))]
         cut = np.searchsorted(at, np.append(begin, len(raw)))
         tokens = np.append(token, len(ids))
         out = []
@@ -261,19 +340,27 @@ class Encoder:
 
     def chunked(self, pieces: list[bytes]) -> list[Chunk]:
         """Chunks by their bytes; each is encoded once as long as the cache holds it."""
-        if self.cached > MAX_CACHED_BYTES:
-            self.chunks.clear()
-            self.cached = 0
-        fresh = list(dict.fromkeys(p for p in pieces if p not in self.chunks))
+        if self.cached > MAX_CACHED_BYTES // 2:
+            self.older, self.chunks, self.cached = self.chunks, {}, 0
+        fresh = []
+        for p in dict.fromkeys(pieces):
+            if p not in self.chunks:
+                if (c := self.older.get(p)) is None:
+                    fresh.append(p)
+                else:
+                    self.keep(p, c)
         self.encoded += len(fresh)
         self.reused += len(pieces) - len(fresh)
         for p, c in zip(fresh, self.plain(fresh), strict=True):
-            self.chunks[p] = Chunk(*c)
-            self.cached += 3000 + 3 * len(p)
+            self.keep(p, Chunk(*c))
         return [self.chunks[p] for p in pieces]
 
+    def keep(self, piece: bytes, chunk: Chunk) -> None:
+        self.chunks[piece] = chunk
+        self.cached += 3000 + 3 * len(piece)
+
     def joined(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of texts of usual characters from their chunks.
+        """Ids of texts from their chunks.
 
         A left chunk's boundaries are certain up to 16 bytes before its end.
         From the last of them the text is split again, past the join; where
@@ -328,7 +415,7 @@ class Encoder:
         return out
 
     def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text in UTF-8, as uint32."""
+        """Ids of each text in UTF-8, as uint32; bytes that are not UTF-8 count as replacement characters."""
         mark = self.special["content"].encode() if self.special else b""
         out: list[np.ndarray | None] = [None] * len(texts)
         parts: list[bytes] = []
@@ -336,9 +423,10 @@ class Encoder:
         for i, data in enumerate(texts):
             if not data:
                 out[i] = np.zeros(0, np.uint32)
-            elif not self.simple or len(data.translate(None, UNUSUAL)) != len(data):
+            elif not self.simple:
                 out[i] = np.array(self.tokenizer.encode(data.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
             else:
+                data = valid(data)
                 own = data.split(mark) if mark and mark in data else [data]
                 owner.append((i, len(own)))
                 parts += own
@@ -372,8 +460,10 @@ OUTPUT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text", ids_col: str | None = None) -> DataFrame:
     """Add ``n_tokens, ids_sha256, decoded_sha256`` (and the ids, as ``ids_col``) of each row's whole text.
 
-    One output row for each input row, no shuffle. Null counts as empty and has
-    no tokens; input columns that clash with output names get the suffix
+    One output row for each input row, no shuffle; repeated rows are rows of
+    their own and an empty table gives an empty result. Null counts as empty and
+    has no tokens; texts of any length and any characters are encoded in chunks;
+    input columns that clash with output names get the suffix
     ``_in``. ``path`` names a byte-level BPE file of the tokenizers library
     that all executors have.
     """
