@@ -112,8 +112,9 @@ def byte_classes(raw: np.ndarray) -> np.ndarray:
     """Class of the character of each byte of valid UTF-8."""
     classes = character_classes()
     kind = classes.single[raw]
-    for least, most, size in ((0xC0, 0xE0, 2), (0xE0, 0xF0, 3), (0xF0, 0x100, 4)):
-        lead = np.flatnonzero((raw >= least) & (raw < most))
+    leads = np.flatnonzero(raw >= 0xC0)
+    for least, most, size in ((0xC0, 0xE0, 2), (0xE0, 0xF0, 3), (0xF0, 0x100, 4)) if len(leads) else ():
+        lead = leads[(raw[leads] >= least) & (raw[leads] < most)]
         if len(lead):
             code = raw[lead].astype(np.int64) & (0xFF >> (size + 1))
             for i in range(1, size):
@@ -177,6 +178,19 @@ def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
 
 
+def alike(raw: np.ndarray, at: np.ndarray, size: np.ndarray, where: np.ndarray, back: np.ndarray) -> bool:
+    """Whether each word ``raw[at:at + size]`` has the bytes of word ``where[back]``: the first eight at once, more one by one."""
+    if (size != size[where][back]).any():
+        return False
+    padded = np.append(raw, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))[at]
+    eight &= (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * np.minimum(size, 8).astype(np.uint64)))
+    if (eight != eight[where][back]).any():
+        return False
+    long = np.flatnonzero(size > 8)
+    return bool((raw[spread(at[long] + 8, size[long] - 8)] == raw[spread(at[where][back[long]] + 8, size[long] - 8)]).all())
+
+
 class Words:
     """Ids of pre-tokens, found by a 64-bit hash and held against their bytes; the library's model encodes what is not known.
 
@@ -186,51 +200,53 @@ class Words:
     def __init__(self, model, letters: dict[int, str]) -> None:  # noqa: ANN001
         self.model, self.letters = model, letters
         none = np.zeros(0, np.int64)
-        self.keys = np.zeros(0, np.uint64)
+        #: Sorted hashes and the row of each; rows are in the order in which words came.
+        self.keys, self.rows = np.zeros(0, np.uint64), none
         self.start, self.length, self.flat = none, none, np.zeros(0, np.uint32)
         self.from_, self.size, self.bytes = none, none, np.zeros(0, np.uint8)
         self.exact = 0
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place among the hashes, whether there, and row (if there) of each."""
         at = np.searchsorted(self.keys, keys)
-        hit = np.zeros(len(keys), bool)
-        inside = at < len(self.keys)
-        hit[inside] = self.keys[at[inside]] == keys[inside]
-        return at, hit
+        if not len(self.keys):
+            return at, np.zeros(len(keys), bool), at
+        inside = np.minimum(at, len(self.keys) - 1)
+        return at, self.keys[inside] == keys, self.rows[inside]
 
     def made(self, words: list[bytes]) -> list[list[int]]:
         tokenize, letters = self.model.tokenize, self.letters
         return [[t.id for t in tokenize(w.decode("latin-1").translate(letters))] for w in words]
 
-    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+    def learn(self, keys: np.ndarray, at: np.ndarray, words: list[bytes]) -> None:
+        """Add sorted hashes that belong at the places ``at``."""
         made = self.made(words)
         length = np.fromiter(map(len, made), np.int64, len(made))
         size = np.fromiter(map(len, words), np.int64, len(words))
-        start, from_ = len(self.flat) + np.cumsum(length) - length, len(self.bytes) + np.cumsum(size) - size
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(made), np.uint32, int(length.sum()))])
-        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(words), np.uint8)])
-        all_keys = np.concatenate([self.keys, keys])
-        order = np.argsort(all_keys, kind="stable")
-        self.keys = all_keys[order]
-        self.start, self.length = np.concatenate([self.start, start])[order], np.concatenate([self.length, length])[order]
-        self.from_, self.size = np.concatenate([self.from_, from_])[order], np.concatenate([self.size, size])[order]
+        self.keys = np.insert(self.keys, at, keys)
+        self.rows = np.insert(self.rows, at, len(self.length) + np.arange(len(keys)))
+        self.start = np.append(self.start, len(self.flat) + np.cumsum(length) - length)
+        self.from_ = np.append(self.from_, len(self.bytes) + np.cumsum(size) - size)
+        self.length, self.size = np.append(self.length, length), np.append(self.size, size)
+        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(made), np.uint32, int(length.sum())))
+        self.bytes = np.append(self.bytes, np.frombuffer(b"".join(words), np.uint8))
 
     def look_up(self, keys: np.ndarray, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """Places and numbers of ids in ``flat`` of sorted distinct hashes, whose words are ``raw[begin:end]``; none if another word has one of the hashes."""
-        at, hit = self.find(keys)
+        at, hit, row = self.find(keys)
         if not hit.all():
             miss = np.flatnonzero(~hit)
             whole = raw.tobytes()
-            self.learn(keys[miss], [whole[a:b] for a, b in zip(begin[miss].tolist(), end[miss].tolist(), strict=True)])
-            at, _ = self.find(keys)
+            self.learn(keys[miss], at[miss], [whole[a:b] for a, b in zip(begin[miss].tolist(), end[miss].tolist(), strict=True)])
+            _, _, row = self.find(keys)
         size = end - begin
-        if (self.size[at] != size).any() or (self.bytes[spread(self.from_[at], size)] != raw[spread(begin, size)]).any():
+        if (self.size[row] != size).any() or (self.bytes[spread(self.from_[row], size)] != raw[spread(begin, size)]).any():
             return None
-        start, length = self.start[at], self.length[at]
+        start, length = self.start[row], self.length[row]
         if len(self.keys) > MAX_CACHED_WORDS:
-            self.flat, self.bytes = self.flat[spread(start, length)], self.bytes[spread(self.from_[at], size)]
-            self.keys, self.length, self.start = keys, length, np.cumsum(length) - length
-            self.size, self.from_ = size, np.cumsum(size) - size
+            self.flat, self.bytes = self.flat[spread(start, length)], self.bytes[spread(self.from_[row], size)]
+            self.keys, self.rows, self.length, self.size = keys, np.arange(len(keys)), length, size
+            self.start, self.from_ = np.cumsum(length) - length, np.cumsum(size) - size
             start = self.start
         return start, length
 
@@ -242,9 +258,7 @@ class Words:
         """
         upto = np.append(at[1:], len(raw))
         keys, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        size, first = upto - at, at[where][back]
-        same = (size == size[where][back]).all() and (raw[np.arange(len(raw)) + np.repeat(first - at, size)] == raw).all()
-        found = self.look_up(keys, raw, at[where], upto[where]) if same else None
+        found = self.look_up(keys, raw, at[where], upto[where]) if alike(raw, at, upto - at, where, back) else None
         if found is None:
             self.exact += 1
             whole = raw.tobytes()
