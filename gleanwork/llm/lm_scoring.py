@@ -1,111 +1,296 @@
 """Language-model scoring by cross-entropy difference.
 
-A target and a background bigram model are counted over the whole corpus in
-one pass. They are matched: the same order, the same smoothing, and one shared
-vocabulary of 2**17 hash classes of lower-case words. A document's score is
-the mean difference of its tokens' losses under the two.
+A target and a background bigram model are counted over the whole corpus.
+They are matched: the same order, the same smoothing, and one vocabulary, the
+distinct lower-case words of the corpus, by 64-bit hashes. A document's score
+is the mean difference of its words' losses under the two models of all other
+documents, so no document is scored by its own counts.
+
+Counts are exact and grow with the corpus. Texts are kept as blocks of word
+numbers. Each block sends its distinct words and bigrams, by ranges of their
+hashes, to the tasks that sum a range over all blocks; these answer each block
+with the sums for what it sent, in the order in which it was sent.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanwork.llm import sieve
 from gleanwork.llm._shared import bound_batches, materialise, own_columns
-from gleanwork.llm.counters import summed_counters
 from gleanwork.llm.words import mixed, small_pieces, word_hashes
 
-WORD_BITS, PAIR_BITS = 17, 20
 #: Weight of the bigram estimate; the rest is the unigram's, smoothed by one count spread over the vocabulary.
 BIGRAM_WEIGHT = 0.6
-WORDS, PAIRS = 1 << WORD_BITS, 1 << PAIR_BITS
-#: Counters of one model: words, then pairs, then tokens.
-MODEL = WORDS + PAIRS
-SIZE = 2 * MODEL
-
-
-def classes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, rows, row of each word, its class, class of the word before or -1, slot of the pair) by pieces."""
-    for first, part in small_pieces(column):
-        hashes, counts = word_hashes(part)
-        rows = np.repeat(np.arange(len(counts)), counts)
-        word = (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-        before = np.empty_like(word)
-        before[:1] = -1
-        before[1:] = np.where(rows[1:] == rows[:-1], word[:-1], -1)
-        pair = (mixed((before + 1).astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-        yield first, len(counts), rows, word, before, pair
-
-
-def count_models(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counters (words, then pairs) of the background (all rows of ``text, is_target``) and of the target rows."""
-
-    def count(table: np.ndarray, batch: pa.RecordBatch) -> None:
-        target = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
-        for first, n, rows, word, _, pair in classes(batch.column(0)):
-            table[:WORDS] += np.bincount(word, minlength=WORDS)
-            table[WORDS:MODEL] += np.bincount(pair, minlength=PAIRS)
-            own = target[first : first + n][rows]
-            table[MODEL : MODEL + WORDS] += np.bincount(word[own], minlength=WORDS)
-            table[MODEL + WORDS :] += np.bincount(pair[own], minlength=PAIRS)
-
-    table, _ = summed_counters(docs.select("text", "is_target"), SIZE, count, "ngram-counts")
-    return table[:MODEL], table[MODEL:]
-
-
-def losses(model: np.ndarray, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """Minus the logarithm of each token's probability."""
-    words, pairs = model[:WORDS], model[WORDS:]
-    total = float(words.sum())
-    single = (words[word] + 1.0 / WORDS) / (total + 1.0)
-    context = np.where(before >= 0, words[np.maximum(before, 0)], 0).astype(float)
-    joint = np.minimum(pairs[pair], context) / np.maximum(context, 1.0)
-    share = np.where(context > 0, BIGRAM_WEIGHT, 0.0)
-    return -np.log(share * joint + (1 - share) * single)
+#: Bytes of text of a block, one row at least.
+BLOCK_BYTES = 8 << 20
+#: Distinct grams of blocks that a range has on average, and the fewest ranges.
+RANGE_GRAMS, MIN_RANGES = 2_000_000, 32
+FIGURES = "n_words long, target_loss double, background_loss double, difference double"
 
 
-def score_documents(docs: DataFrame, background: np.ndarray, target: np.ndarray, text_col: str = "text") -> DataFrame:
-    """Add ``n_words, target_loss, background_loss, difference`` (nats for each word; lower: more like the target).
+def packed(values: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(values).tobytes(), 1)
 
-    Null and empty texts have no words and losses of 0; clashing input columns
-    get the suffix ``_in``. The two models are broadcast: 2 * 9 MB, fixed by
-    the vocabulary.
-    """
-    docs = own_columns(docs, ["n_words", "target_loss", "background_loss", "difference"])
-    kept = [f for f in docs.schema.fields if f.name != text_col]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_words long, target_loss double, background_loss double, difference double"])
-    models = docs.sparkSession.sparkContext.broadcast((background, target))
+
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), kind)
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their rows of counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order], first, axis=0) if len(keys) else counts
+
+
+def pair_hashes(hashes: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of each word with the one before it; a row's first word has none (-1)."""
+    left = np.where(before >= 0, hashes[np.maximum(before, 0)], np.uint64(0))
+    return mixed(mixed(left) + hashes[word] * np.uint64(0x9FB21C651E98DF25))
+
+
+def words_before(word: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The word before each, or -1."""
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    starts = (np.cumsum(lengths) - lengths)[lengths > 0]
+    before[starts] = -1
+    return before
+
+
+class Block:
+    """Texts as numbers of their distinct words."""
+
+    def __init__(self, hashes: np.ndarray, word: np.ndarray, lengths: np.ndarray, target: np.ndarray) -> None:
+        self.hashes, self.word, self.lengths, self.target = hashes, word, lengths, target
+        self.rows = np.repeat(np.arange(len(lengths)), lengths)
+        self.before = words_before(word, lengths)
+
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted hashes of distinct bigrams, and the number of each word's."""
+        pairs = (self.before + 1).astype(np.int64) * (len(self.hashes) + 1) + self.word
+        pairs, number = np.unique(pairs, return_inverse=True)
+        before, word = np.divmod(pairs, len(self.hashes) + 1)
+        hashes = pair_hashes(self.hashes, before - 1, word)
+        order = np.argsort(hashes, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        return hashes[order], place[number]
+
+    def counts(self, number: np.ndarray, size: int) -> np.ndarray:
+        """Columns: how often each gram occurs, and how often in target rows."""
+        own = self.target[self.rows]
+        return np.stack([np.bincount(number, minlength=size), np.bincount(number[own], minlength=size)], 1)
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple[Block, pa.Table]]:
+    """Blocks of consecutive rows, and the rows' other columns."""
+    held: list[tuple[np.ndarray, np.ndarray, pa.RecordBatch]] = []
+    size = 0
+
+    def close() -> tuple[Block, pa.Table]:
+        hashes, word = np.unique(np.concatenate([h for h, _, _ in held]), return_inverse=True)
+        rows = pa.Table.from_batches([b for _, _, b in held])
+        target = rows.column(TARGET).fill_null(False).to_numpy().astype(bool)
+        block = Block(hashes, word.astype(np.int64), np.concatenate([n for _, n, _ in held]), target)
+        held.clear()
+        return block, rows.drop_columns([TARGET])
+
+    for batch in batches:
+        at = batch.schema.get_field_index(text_col)
+        others = batch.select([n for n in batch.schema.names if n not in (text_col, KEY)])
+        for first, part in small_pieces(batch.column(at)):
+            if held and size + part.nbytes > BLOCK_BYTES:
+                yield close()
+                size = 0
+            hashes, counts = word_hashes(part)
+            held.append((hashes, counts, others.slice(first, len(part))))
+            size += part.nbytes
+    if held:
+        yield close()
+
+
+#: Columns that the operator adds on its way: whether a row is of the target, and its id's digest.
+TARGET, KEY = "_is_target", "_key"
+BLOCKS = "block string, n_grams long, n_words long, n_target long, rows binary, hashes binary, word binary, lengths binary, target binary, pairs binary, word_counts binary, pair_counts binary"
+ARROW_BLOCKS = pa.schema([("block", pa.string()), ("n_grams", pa.int64()), ("n_words", pa.int64()), ("n_target", pa.int64()), *[(n.split()[0], pa.binary()) for n in BLOCKS.split(", ")[4:]]])
+
+
+def written_blocks(docs: DataFrame, text_col: str, label: str, misses=None) -> DataFrame:  # noqa: ANN001
+    """The blocks of a table, written: word numbers, distinct grams with their counts, and the other columns packed; with a sieve, of the rows that it stops."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        if misses is not None:
+            batches = (b.filter(pa.array(~held_by(misses.value, b))) for b in batches if b.num_rows)
+        for seq, (block, rows) in enumerate(blocks_of((b for b in batches if b.num_rows), text_col)):
+            pairs, number = block.bigrams()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as out:
+                out.write_table(rows)
+            yield pa.RecordBatch.from_pylist([{
+                "block": f"{label}-{part}-{seq}", "n_grams": len(block.hashes) + len(pairs), "n_words": len(block.word), "n_target": int(block.lengths[block.target].sum()),
+                "rows": sink.getvalue().to_pybytes(), "hashes": block.hashes.tobytes(), "word": packed(block.word.astype("<u4")),
+                "lengths": packed(block.lengths.astype("<i8")), "target": packed(block.target), "pairs": pairs.tobytes(),
+                "word_counts": packed(block.counts(block.word, len(block.hashes)).astype("<i8")), "pair_counts": packed(block.counts(number, len(pairs)).astype("<i8")),
+            }], ARROW_BLOCKS)
+
+    return materialise(docs.mapInArrow(run, BLOCKS), f"lm-{label}")
+
+
+def held_by(bits: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    return sieve.passes(bits, batch.column(batch.schema.get_field_index(KEY)).to_pylist())
+
+
+def marked_blocks(docs: DataFrame, target_ids: DataFrame, text_col: str) -> DataFrame:
+    """Blocks of all rows, with the target rows marked.
+
+    Rows whose id may be wanted by a filter of fixed size move to a join that
+    decides; all others stay where they are read. The ids grow with the
+    corpus, so they are never broadcast.
+    """
+    key = lambda name: F.unhex(F.md5(F.coalesce(F.col(name).cast("string"), F.lit(""))))
+    wanted = materialise(target_ids.select(F.col("doc_id").alias("_id")).distinct(), "target-ids")
+    bits = docs.sparkSession.sparkContext.broadcast(sieve.made(wanted.select(key("_id")), wanted.count()))
+    keyed = docs.withColumn(KEY, key("doc_id"))
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            n, sums = np.zeros(batch.num_rows, np.int64), np.zeros((2, batch.num_rows))
-            for first, size, rows, word, before, pair in classes(batch.column(at)):
-                mine = slice(first, first + size)
-                n[mine] = np.bincount(rows, minlength=size)
-                for i, model in enumerate(models.value):
-                    sums[i, mine] = np.bincount(rows, losses(model, word, before, pair), size)
-            mean = sums / np.maximum(n, 1)
-            columns = {x: batch.column(i) for i, x in enumerate(batch.schema.names) if i != at}
-            columns |= {"n_words": pa.array(n), "target_loss": pa.array(mean[1]), "background_loss": pa.array(mean[0]), "difference": pa.array(mean[1] - mean[0])}
-            yield pa.RecordBatch.from_pydict(columns)
-
-    return docs.mapInArrow(run, schema)
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """Score all rows of ``docs`` (``doc_id, text``) against the rows whose ids are in ``target_ids`` (``doc_id``).
-
-    All rows make the background, so both models cover the whole corpus. With
-    an empty target, its model is uniform.
+            if batch.num_rows:
+                yield batch.filter(pa.array(held_by(bits.value, batch)))
+
+    likely = keyed.mapInArrow(hits, keyed.schema).join(wanted.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
+    likely = likely.withColumn(TARGET, F.col("_id").isNotNull()).drop("_id")
+    rest = keyed.withColumn(TARGET, F.lit(False))
+    return written_blocks(likely, text_col, "likely").union(written_blocks(rest, text_col, "rest", bits))
+
+
+def answers(blocks: DataFrame, ranges: int) -> DataFrame:
+    """``kind, part, block, counts, distinct``: sums over all blocks of the grams that the block sent of this range.
+
+    Kind 0 are words, 1 bigrams. A range of hashes is one group, of bounded
+    mean size as ranges follow the corpus; a gram that all blocks hold adds 24
+    bytes a block to one group.
+    """
+    schema = "kind int, part int, block string, counts binary, distinct long"
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        borders = np.array([((i << 64) + ranges - 1) // ranges for i in range(ranges)], np.uint64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                for kind, (keys, counts) in enumerate((("hashes", "word_counts"), ("pairs", "pair_counts"))):
+                    hashes, sums = np.frombuffer(row[keys], "<u8"), unpacked(row[counts], "<i8").reshape(-1, 2)
+                    cuts = np.append(np.searchsorted(hashes, borders), len(hashes)).tolist()
+                    out = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+                    yield pa.RecordBatch.from_pydict({
+                        "kind": pa.array([kind] * len(out), pa.int32()), "part": pa.array([i for i, _, _ in out], pa.int32()), "block": pa.array([row["block"]] * len(out)),
+                        "keys": pa.array([hashes[a:b].tobytes() for _, a, b in out], pa.binary()), "sums": pa.array([packed(sums[a:b]) for _, a, b in out], pa.binary()),
+                    })
+
+    def sum_range(group: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(x, "<u8") for x in group.column("keys").to_pylist()]
+        own = [unpacked(x, "<i8").reshape(-1, 2) for x in group.column("sums").to_pylist()]
+        total, sums = summed(np.concatenate(keys), np.concatenate(own))
+        found = [packed(sums[np.searchsorted(total, k)]) for k in keys]
+        return pa.table({
+            "kind": group.column("kind"), "part": group.column("part"), "block": group.column("block"),
+            "counts": pa.array(found, pa.binary()), "distinct": pa.array([len(total)] + [0] * (len(found) - 1), pa.int64()),
+        })
+
+    sent = blocks.select("block", "hashes", "word_counts", "pairs", "pair_counts").mapInArrow(send, "kind int, part int, block string, keys binary, sums binary")
+    return materialise(sent.groupBy("kind", "part").applyInArrow(sum_range, schema), "lm-counts")
+
+
+def losses(count: np.ndarray, context: np.ndarray, joint: np.ndarray, total: np.ndarray, vocabulary: int) -> np.ndarray:
+    """Minus the logarithm of each word's probability.
+
+    ``count``, ``context``, ``joint``: how often the model has the word, the
+    word before it, and the two in a row; ``total``: words of the model.
+    """
+    single = (count + 1.0 / vocabulary) / (total + 1.0)
+    share = np.where(context > 0, BIGRAM_WEIGHT, 0.0)
+    return -np.log(share * (joint / np.maximum(context, 1)) + (1 - share) * single)
+
+
+def own_counts(rows: np.ndarray, number: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted (row, gram) keys and how often each row has the gram."""
+    return np.unique(rows * size + number, return_counts=True)
+
+
+def block_figures(block: Block, words: np.ndarray, pairs: np.ndarray, totals: tuple[int, int], vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean losses (background, target) of each row, by the counts of all other rows of the corpus.
+
+    ``words`` and ``pairs`` have the corpus' counts of the block's words and
+    bigrams, in two columns: all rows, target rows.
     """
-    bound_batches(docs.sparkSession)
-    wanted = materialise(target_ids.select(F.col("doc_id").alias("_id")).distinct(), "target-ids").withColumn("is_target", F.lit(True))
-    # the ids grow with the corpus, so they are never broadcast: the plan is the same at every size
-    marked = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
-    background, target = count_models(marked)
-    return score_documents(docs, background, target)
+    _, number = block.bigrams()
+    size = max(1, len(block.hashes))
+    rows, word, before = block.rows, block.word, np.maximum(block.before, 0)
+    key, times = own_counts(rows, word, size)
+
+    def mine(of: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(key, rows * size + of), max(0, len(key) - 1))
+        return np.where(key[at] == rows * size + of, times[at], 0) if len(key) else np.zeros(0, np.int64)
+
+    _, back, pair_times = np.unique(rows * max(1, len(pairs)) + number, return_inverse=True, return_counts=True)
+    own_word, own_before, own_pair = mine(word), mine(before), pair_times[back]
+    has = block.before >= 0
+    sums = np.zeros((2, len(block.lengths)))
+    for i in range(2):
+        left = np.ones(len(rows), np.int64) if i == 0 else block.target[rows].astype(np.int64)  # whether the model has counted the row
+        count = words[word, i] - left * own_word
+        context = np.where(has, words[before, i] - left * own_before, 0)
+        joint = pairs[number, i] - left * own_pair
+        total = totals[i] - left * block.lengths[rows]
+        sums[i] = np.bincount(rows, losses(count, context, joint, total, vocabulary), len(block.lengths))
+    return sums / np.maximum(block.lengths, 1), block.lengths
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add ``n_words, target_loss, background_loss, difference`` to each row of ``docs`` (``doc_id``, the text, other columns), without its text.
+
+    Losses are nats for each word; a lower difference is more like the target,
+    which are the rows whose ids are in ``target_ids`` (``doc_id``). All rows
+    make the background, and each is scored by the counts of all others: a
+    text that occurs twice is known from its copy. Null and empty texts have no
+    words and losses of 0; null ids are no target; repeated ids of
+    ``target_ids`` count once, repeated rows of ``docs`` are rows of their own;
+    texts of any length count whole; an empty table gives an empty result; with
+    an empty target, its model knows only the vocabulary's size. Input columns
+    that clash with output names get the suffix ``_in``.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    docs = own_columns(docs, ["n_words", "target_loss", "background_loss", "difference", TARGET, KEY, "_id"])
+    kept = [f for f in docs.schema.fields if f.name != text_col]
+    blocks = marked_blocks(docs, target_ids, text_col)
+    n_words, n_target, n_grams = blocks.agg(F.sum("n_words"), F.sum("n_target"), F.sum("n_grams")).first()
+    ranges = max(MIN_RANGES, -(-(n_grams or 0) // RANGE_GRAMS))
+    found = answers(blocks, ranges)
+    vocabulary = found.where("kind = 0").agg(F.sum("distinct")).first()[0] or 1
+    totals = (n_words or 0, n_target or 0)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), FIGURES])
+
+    def score(own: pa.Table, sent: pa.Table) -> pa.Table:
+        row = own.slice(0, 1).to_pylist()[0]
+        counts: list[dict[int, bytes]] = [{}, {}]
+        for kind, part, data in zip(*(sent.column(n).to_pylist() for n in ("kind", "part", "counts")), strict=True):
+            counts[kind][part] = data
+        words, pairs = (np.concatenate([unpacked(x[p], "<i8").reshape(-1, 2) for p in sorted(x)] or [np.zeros((0, 2), np.int64)]) for x in counts)
+        block = Block(np.frombuffer(row["hashes"], "<u8"), unpacked(row["word"], "<u4").astype(np.int64), unpacked(row["lengths"], "<i8"), unpacked(row["target"], "?"))
+        mean, n = block_figures(block, words, pairs, totals, vocabulary)
+        rows = pa.ipc.open_stream(row["rows"]).read_all()
+        figures = {"n_words": n, "target_loss": mean[1], "background_loss": mean[0], "difference": mean[1] - mean[0]}
+        return pa.table({x: rows.column(x) for x in rows.column_names} | {x: pa.array(v) for x, v in figures.items()})
+
+    slim = blocks.select("block", "rows", "hashes", "word", "lengths", "target")
+    return slim.groupBy("block").cogroup(found.select("block", "kind", "part", "counts").groupBy("block")).applyInArrow(score, schema)

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from gleanwork.llm import bpe, compression_quality, lm_scoring, near_dedup, quality_rules, secret_scan, sieve, token_files, warc, words
+from gleanwork.llm import bpe, compression_quality, near_dedup, quality_rules, secret_scan, sieve, token_files, warc, words
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -209,18 +209,6 @@ def test_archive_records_are_gzip_members():
     assert zlib.decompressobj(31).decompress(data).startswith(b"WARC/1.1\r\n")
 
 
-def test_losses_are_those_of_a_proper_model():
-    column = pa.array(["a b a b a b c", "a b"])
-    model = np.zeros(lm_scoring.MODEL, np.int64)
-    for _, _, _, word, _, pair in lm_scoring.classes(column):
-        model[: lm_scoring.WORDS] += np.bincount(word, minlength=lm_scoring.WORDS)
-        model[lm_scoring.WORDS :] += np.bincount(pair, minlength=lm_scoring.PAIRS)
-    _, _, _, word, before, pair = next(lm_scoring.classes(pa.array(["a b"])))
-    loss = lm_scoring.losses(model, word, before, pair)
-    assert abs(loss[0] + np.log(4 / 10)) < 1e-4  # four of nine words, one count spread
-    assert abs(loss[1] + np.log(0.6 * 4 / 4 + 0.4 * 4 / 10)) < 1e-4
-
-
 def test_compression_separates_and_survives_few_texts():
     assert compression_quality.trained_dictionary([]) == b""
     plain = compression_quality.compressor(b"")
