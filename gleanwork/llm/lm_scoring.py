@@ -31,7 +31,7 @@ from gleanwork.llm.words import mixed, small_pieces, word_hashes
 BIGRAM_WEIGHT = 0.6
 #: Bytes of text of a block, one row at least.
 BLOCK_BYTES = 8 << 20
-#: Distinct grams of blocks that a range has on average, and the fewest ranges.
+#: Grams of blocks that a range has on average, at most, and the fewest ranges.
 RANGE_GRAMS, MIN_RANGES = 2_000_000, 32
 FIGURES = "n_words long, target_loss double, background_loss double, difference double"
 
@@ -44,6 +44,20 @@ def unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), kind)
 
 
+def coded(keys: np.ndarray, base: np.uint64) -> bytes:
+    """Sorted keys from ``base`` on as their differences, in as few bytes as the largest needs."""
+    steps = np.diff(keys, prepend=base)
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def decoded(data: bytes, base: np.uint64) -> np.ndarray:
+    width = data[0]
+    steps = np.zeros(((len(data) - 1) // width, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) + base
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their rows of counts."""
     order = np.argsort(keys, kind="stable")
@@ -121,32 +135,34 @@ def blocks_of(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tupl
 
 #: Columns that the operator adds on its way: whether a row is of the target, and its id's digest.
 TARGET, KEY = "_is_target", "_key"
-BLOCKS = "block string, n_grams long, n_words long, n_target long, rows binary, hashes binary, word binary, lengths binary, target binary, pairs binary, word_counts binary, pair_counts binary"
-ARROW_BLOCKS = pa.schema([("block", pa.string()), ("n_grams", pa.int64()), ("n_words", pa.int64()), ("n_target", pa.int64()), *[(n.split()[0], pa.binary()) for n in BLOCKS.split(", ")[4:]]])
+BLOCKS = "block string, n_words long, n_target long, rows binary, hashes binary, word binary, lengths binary, target binary"
+ARROW_BLOCKS = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[k]) for n, k in map(str.split, BLOCKS.split(", "))])
 
 
 def written_blocks(docs: DataFrame, text_col: str, label: str, misses=None) -> DataFrame:  # noqa: ANN001
-    """The blocks of a table, written: word numbers, distinct grams with their counts, and the other columns packed; with a sieve, of the rows that it stops."""
+    """The blocks of a table, written: word numbers and the other columns, packed; with a sieve, of the rows that it stops."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         if misses is not None:
             batches = (b.filter(pa.array(~held_by(misses.value, b))) for b in batches if b.num_rows)
         for seq, (block, rows) in enumerate(blocks_of((b for b in batches if b.num_rows), text_col)):
-            pairs, number = block.bigrams()
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema) as out:
                 out.write_table(rows)
             yield pa.RecordBatch.from_pylist([{
-                "block": f"{label}-{part}-{seq}", "n_grams": len(block.hashes) + len(pairs), "n_words": len(block.word), "n_target": int(block.lengths[block.target].sum()),
+                "block": f"{label}-{part}-{seq}", "n_words": len(block.word), "n_target": int(block.lengths[block.target].sum()),
                 "rows": sink.getvalue().to_pybytes(), "hashes": block.hashes.tobytes(), "word": packed(block.word.astype("<u4")),
-                "lengths": packed(block.lengths.astype("<i8")), "target": packed(block.target), "pairs": pairs.tobytes(),
-                "word_counts": packed(block.counts(block.word, len(block.hashes)).astype("<i8")), "pair_counts": packed(block.counts(number, len(pairs)).astype("<i8")),
+                "lengths": packed(block.lengths.astype("<i8")), "target": packed(block.target),
             }], ARROW_BLOCKS)
 
     return materialise(docs.mapInArrow(run, BLOCKS), f"lm-{label}")
 
 
+def read_block(row: dict) -> Block:
+    return Block(np.frombuffer(row["hashes"], "<u8"), unpacked(row["word"], "<u4").astype(np.int64), unpacked(row["lengths"], "<i8"), unpacked(row["target"], "?"))
+
+
 def held_by(bits: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
     return sieve.passes(bits, batch.column(batch.schema.get_field_index(KEY)).to_pylist())
 
@@ -183,21 +199,25 @@ def answers(blocks: DataFrame, ranges: int) -> DataFrame:
     """
     schema = "kind int, part int, block string, counts binary, distinct long"
 
+    borders = [((i << 64) + ranges - 1) // ranges for i in range(ranges)]
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        borders = np.array([((i << 64) + ranges - 1) // ranges for i in range(ranges)], np.uint64)
-        for batch in batches:
-            for row in batch.to_pylist():
-                for kind, (keys, counts) in enumerate((("hashes", "word_counts"), ("pairs", "pair_counts"))):
-                    hashes, sums = np.frombuffer(row[keys], "<u8"), unpacked(row[counts], "<i8").reshape(-1, 2)
-                    cuts = np.append(np.searchsorted(hashes, borders), len(hashes)).tolist()
-                    out = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
-                    yield pa.RecordBatch.from_pydict({
-                        "kind": pa.array([kind] * len(out), pa.int32()), "part": pa.array([i for i, _, _ in out], pa.int32()), "block": pa.array([row["block"]] * len(out)),
-                        "keys": pa.array([hashes[a:b].tobytes() for _, a, b in out], pa.binary()), "sums": pa.array([packed(sums[a:b]) for _, a, b in out], pa.binary()),
-                    })
+        firsts = np.array(borders, np.uint64)
+        for row in (r for b in batches for r in b.to_pylist()):
+            block = read_block(row)
+            pairs, number = block.bigrams()
+            for kind, (hashes, of) in enumerate(((block.hashes, block.word), (pairs, number))):
+                counts = block.counts(of, len(hashes)).astype("<i8")
+                cuts = np.append(np.searchsorted(hashes, firsts), len(hashes)).tolist()
+                out = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+                yield pa.RecordBatch.from_pydict({
+                    "kind": pa.array([kind] * len(out), pa.int32()), "part": pa.array([i for i, _, _ in out], pa.int32()), "block": pa.array([row["block"]] * len(out), pa.string()),
+                    "keys": pa.array([coded(hashes[a:b], firsts[i]) for i, a, b in out], pa.binary()), "sums": pa.array([packed(counts[a:b]) for _, a, b in out], pa.binary()),
+                })
 
     def sum_range(group: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, "<u8") for x in group.column("keys").to_pylist()]
+        base = np.uint64(borders[group.column("part")[0].as_py()])
+        keys = [decoded(x, base) for x in group.column("keys").to_pylist()]
         own = [unpacked(x, "<i8").reshape(-1, 2) for x in group.column("sums").to_pylist()]
         total, sums = summed(np.concatenate(keys), np.concatenate(own))
         found = [packed(sums[np.searchsorted(total, k)]) for k in keys]
@@ -206,7 +226,7 @@ def answers(blocks: DataFrame, ranges: int) -> DataFrame:
             "counts": pa.array(found, pa.binary()), "distinct": pa.array([len(total)] + [0] * (len(found) - 1), pa.int64()),
         })
 
-    sent = blocks.select("block", "hashes", "word_counts", "pairs", "pair_counts").mapInArrow(send, "kind int, part int, block string, keys binary, sums binary")
+    sent = blocks.select("block", "hashes", "word", "lengths", "target").mapInArrow(send, "kind int, part int, block string, keys binary, sums binary")
     return materialise(sent.groupBy("kind", "part").applyInArrow(sum_range, schema), "lm-counts")
 
 
@@ -273,8 +293,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, text_col: s
     docs = own_columns(docs, ["n_words", "target_loss", "background_loss", "difference", TARGET, KEY, "_id"])
     kept = [f for f in docs.schema.fields if f.name != text_col]
     blocks = marked_blocks(docs, target_ids, text_col)
-    n_words, n_target, n_grams = blocks.agg(F.sum("n_words"), F.sum("n_target"), F.sum("n_grams")).first()
-    ranges = max(MIN_RANGES, -(-(n_grams or 0) // RANGE_GRAMS))
+    n_words, n_target = blocks.agg(F.sum("n_words"), F.sum("n_target")).first()
+    ranges = max(MIN_RANGES, -(-(n_words or 0) // RANGE_GRAMS))
     found = answers(blocks, ranges)
     vocabulary = found.where("kind = 0").agg(F.sum("distinct")).first()[0] or 1
     totals = (n_words or 0, n_target or 0)
@@ -286,8 +306,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, text_col: s
         for kind, part, data in zip(*(sent.column(n).to_pylist() for n in ("kind", "part", "counts")), strict=True):
             counts[kind][part] = data
         words, pairs = (np.concatenate([unpacked(x[p], "<i8").reshape(-1, 2) for p in sorted(x)] or [np.zeros((0, 2), np.int64)]) for x in counts)
-        block = Block(np.frombuffer(row["hashes"], "<u8"), unpacked(row["word"], "<u4").astype(np.int64), unpacked(row["lengths"], "<i8"), unpacked(row["target"], "?"))
-        mean, n = block_figures(block, words, pairs, totals, vocabulary)
+        mean, n = block_figures(read_block(row), words, pairs, totals, vocabulary)
         rows = pa.ipc.open_stream(row["rows"]).read_all()
         figures = {"n_words": n, "target_loss": mean[1], "background_loss": mean[0], "difference": mean[1] - mean[0]}
         return pa.table({x: rows.column(x) for x in rows.column_names} | {x: pa.array(v) for x, v in figures.items()})
