@@ -37,11 +37,16 @@ FIGURES = "n_words long, target_loss double, background_loss double, difference
 
 
 def packed(values: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(values).tobytes(), 1)
+    """Numbers by planes of their bytes, of which the high ones are nearly empty."""
+    rows = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize * (values.size // max(1, len(values))))
+    return zlib.compress(np.ascontiguousarray(rows.T).tobytes(), 1)
 
 
-def unpacked(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), kind)
+def unpacked(data: bytes, kind: str, columns: int = 1) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    width = np.dtype(kind).itemsize * columns
+    rows = np.ascontiguousarray(raw.reshape(width, len(raw) // width).T).view(kind)
+    return rows if columns > 1 else rows.ravel()
 
 
 def coded(keys: np.ndarray, base: np.uint64) -> bytes:
@@ -218,7 +223,7 @@ def answers(blocks: DataFrame, ranges: int) -> DataFrame:
     def sum_range(group: pa.Table) -> pa.Table:
         base = np.uint64(borders[group.column("part")[0].as_py()])
         keys = [decoded(x, base) for x in group.column("keys").to_pylist()]
-        own = [unpacked(x, "<i8").reshape(-1, 2) for x in group.column("sums").to_pylist()]
+        own = [unpacked(x, "<i8", 2) for x in group.column("sums").to_pylist()]
         total, sums = summed(np.concatenate(keys), np.concatenate(own))
         found = [packed(sums[np.searchsorted(total, k)]) for k in keys]
         return pa.table({
@@ -305,7 +310,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, text_col: s
         counts: list[dict[int, bytes]] = [{}, {}]
         for kind, part, data in zip(*(sent.column(n).to_pylist() for n in ("kind", "part", "counts")), strict=True):
             counts[kind][part] = data
-        words, pairs = (np.concatenate([unpacked(x[p], "<i8").reshape(-1, 2) for p in sorted(x)] or [np.zeros((0, 2), np.int64)]) for x in counts)
+        words, pairs = (np.concatenate([unpacked(x[p], "<i8", 2) for p in sorted(x)] or [np.zeros((0, 2), np.int64)]) for x in counts)
         mean, n = block_figures(read_block(row), words, pairs, totals, vocabulary)
         rows = pa.ipc.open_stream(row["rows"]).read_all()
         figures = {"n_words": n, "target_loss": mean[1], "background_loss": mean[0], "difference": mean[1] - mean[0]}
