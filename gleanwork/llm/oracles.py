@@ -55,11 +55,12 @@ covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i
 lines AS (SELECT r, doc_id, host, text, pos, line FROM (SELECT r, doc_id, host, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d)
   WHERE regexp_matches(line, '{WORD}')),
 dup AS (SELECT r, CAST(sum(k - 1) AS BIGINT) AS n FROM (SELECT r, line, count(*) AS k FROM lines GROUP BY r, line) GROUP BY r),
-short AS (SELECT r, doc_id, host, text, lower(array_to_string(regexp_extract_all(line, '{WORD}'), ' ')) AS norm, len(regexp_extract_all(line, '{WORD}')) AS n FROM lines WHERE len(regexp_extract_all(line, '{WORD}')) <= 25),
-hosts AS (SELECT host, count(DISTINCT text) AS n FROM d GROUP BY host),
-freq AS (SELECT s.host, s.norm, min(s.doc_id) AS first_doc FROM short s JOIN hosts h ON s.host IS NOT DISTINCT FROM h.host
-  GROUP BY s.host, s.norm, h.n HAVING count(DISTINCT s.text) >= 20 AND count(DISTINCT s.text) >= 0.005 * h.n),
-lost AS (SELECT s.r, CAST(sum(s.n) AS BIGINT) AS n FROM short s JOIN freq f ON s.norm = f.norm AND s.host IS NOT DISTINCT FROM f.host WHERE s.doc_id IS DISTINCT FROM f.first_doc GROUP BY s.r),
+normal AS (SELECT r, host, doc, doc_id, lower(array_to_string(w, ' ')) AS norm, len(w) AS n FROM
+  (SELECT r, host, doc_id, coalesce(CAST(doc_id AS VARCHAR), 'text:' || text) AS doc, regexp_extract_all(line, '{WORD}') AS w FROM lines)),
+hosts AS (SELECT host, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), 'text:' || text)) AS n FROM d GROUP BY host),
+freq AS (SELECT s.host, s.norm, min(s.doc_id) AS first_doc FROM normal s JOIN hosts h ON s.host IS NOT DISTINCT FROM h.host
+  GROUP BY s.host, s.norm, h.n HAVING count(DISTINCT s.doc) >= 20 AND count(DISTINCT s.doc) >= least(0.005 * h.n, 1000)),
+lost AS (SELECT s.r, CAST(sum(s.n) AS BIGINT) AS n FROM normal s JOIN freq f ON s.norm = f.norm AND s.host IS NOT DISTINCT FROM f.host WHERE s.doc_id IS DISTINCT FROM f.first_doc GROUP BY s.r),
 base AS (
   SELECT d.r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '{SPACE}', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,

@@ -21,10 +21,12 @@ from gleanwork.llm._shared import bound_batches, byte_values, materialise, own_c
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
 
-#: A line counts as boilerplate of its host if this many distinct texts of the
-#: host hold it, and this share of them, however long it is.
+#: A line counts as boilerplate of its host if this many distinct documents of
+#: the host hold it, and this share of them, however long it is. Where the share
+#: would ask for more than ENOUGH_DOCS documents, these are enough.
 MIN_DOCS = 20
 MIN_SHARE = 0.005
+ENOUGH_DOCS = 1000
 #: A document that loses more than this share of its words is depleted.
 MAX_LOST = 0.5
 MIN_WORDS = 50
@@ -57,8 +59,8 @@ def line_hash(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(line) - (1 << 63)
 
 
-def text_stats(text: bytes, max_line_words: int | None = None) -> tuple[list[int], dict[int, int]]:
-    """[n_words, space-free bytes, n_symbols, n_dup_lines, n_repeat_words], and the words of each line's hash (with a limit: of lines of so many words at most)."""
+def text_stats(text: bytes) -> tuple[list[int], dict[int, int]]:
+    """[n_words, space-free bytes, n_symbols, n_dup_lines, n_repeat_words], and the words of each line's hash."""
     words = text.split()
     seen: set[bytes] = set()
     dup = 0
@@ -71,9 +73,8 @@ def text_stats(text: bytes, max_line_words: int | None = None) -> tuple[list[int
             dup += 1
         else:
             seen.add(line)
-        if max_line_words is None or len(own) <= max_line_words:
-            h = line_hash(own)
-            lines[h] = lines.get(h, 0) + len(own)
+        h = line_hash(own)
+        lines[h] = lines.get(h, 0) + len(own)
     spaces = len(text) - len(text.translate(None, SPACES))
     symbols = len(text) - len(text.translate(None, SYMBOLS))
     return [len(words), spaces, symbols, dup, repeat_words(words)], lines
@@ -106,20 +107,22 @@ def line_stats(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, STAT_SCHEMA)
 
 
-def frequent_lines(stats: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+def frequent_lines(stats: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, enough: int = ENOUGH_DOCS) -> DataFrame:
     """``host, hash, first_doc`` of the lines above the limits.
 
-    Equal texts of a host count once. The key is first made distinct with the
-    text's hash in it, so a line that all documents share is counted by many
-    tasks, and only partial counts meet. A null host is a host of its own.
+    Documents are told apart by ``doc_id``, those without one by their text.
+    The key is first made distinct with the document in it, so a line that all
+    documents share is counted by many tasks, and only partial counts meet. A
+    null host is a host of its own.
     """
-    hosts = stats.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("host_texts"))
-    carried = stats.select("host", "text_hash", "doc_id", F.explode("lines").alias("line"))
-    carried = carried.groupBy("host", F.col("line.hash").alias("hash"), "text_hash").agg(F.min("doc_id").alias("first_doc"))
-    counted = carried.groupBy("host", "hash").agg(F.count("*").alias("n_docs"), F.min("first_doc").alias("first_doc"))
+    document = ["doc_id", "nameless"]
+    held = stats.select("host", "doc_id", F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("nameless"), "lines")
+    hosts = held.select("host", *document).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    carried = held.select("host", *document, F.explode("lines.hash").alias("hash")).distinct()
+    counted = carried.groupBy("host", "hash").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
     counted = counted.where(F.col("n_docs") >= min_docs).alias("c")
     joined = counted.join(hosts.alias("h"), F.col("c.host").eqNullSafe(F.col("h.host")))
-    return joined.where(F.col("n_docs") >= min_share * F.col("host_texts")).select("c.host", "hash", "first_doc")
+    return joined.where(F.col("n_docs") >= F.least(min_share * F.col("host_docs"), F.lit(float(enough)))).select("c.host", "hash", "first_doc")
 
 
 def lost_lines(stats: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -133,20 +136,21 @@ def lost_lines(stats: DataFrame, frequent: DataFrame) -> DataFrame:
     return met.groupBy("doc_id", "host", "text_hash").agg(F.sum("words").alias("lost_words"), F.collect_set("hash").alias("lost_hashes"))
 
 
-def judge_quality(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, max_lost: float = MAX_LOST) -> DataFrame:
+def judge_quality(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, enough: int = ENOUGH_DOCS, max_lost: float = MAX_LOST) -> DataFrame:
     """Figures and verdict of each row of ``docs`` (``doc_id, host, text``).
 
     Returns ``doc_id, host, text_hash``, the base figures, ``base_failed``,
     ``kept``, ``lost_words`` and ``lost_hashes`` (null: none); one row for each
-    input row. Null and empty texts have no words and fail the base rules; a
-    null host or id is a value like any other; repeated rows get the same
-    verdict and count as one document. The text is read once; afterwards only
-    hashes of lines move.
+    input row, none for an empty table. Null and empty texts have no words and
+    fail the base rules; a null host is a value like any other, rows without id
+    are told apart by their texts; repeated rows get the same verdict and count
+    as one document; texts and lines of any length count whole; other columns
+    are ignored. The text is read once; afterwards only hashes of lines move.
     """
     bound_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long"), F.col("host").cast("string"), F.col("text").cast("string"))
     stats = materialise(line_stats(slim), "line-stats")
-    frequent = materialise(frequent_lines(stats, min_docs, min_share), "frequent-lines")
+    frequent = materialise(frequent_lines(stats, min_docs, min_share, enough), "frequent-lines")
     lost = lost_lines(stats, frequent).alias("l")
     s = stats.drop("lines").alias("s")
     on = F.col("s.doc_id").eqNullSafe(F.col("l.doc_id")) & F.col("s.host").eqNullSafe(F.col("l.host")) & (F.col("s.text_hash") == F.col("l.text_hash"))

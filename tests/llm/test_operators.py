@@ -201,6 +201,19 @@ def test_line_frequency(spark, odd, empty):
     assert quality_rules.clean_documents(empty).count() == 0
 
 
+def test_lines_of_equal_documents_and_of_large_hosts(spark):
+    own = lambda i: prose(60, 1500 + i)
+    rows = [(i, f"{own(0)}\n{own(1)}", "h") for i in range(30)] + [(None, f"Common line\n{own(i)}", "n") for i in range(25)] + [(7, f"Common line\n{own(i)}", "one") for i in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string")
+    found = quality_rules.judge_quality(df).collect()
+    # thirty equal documents are thirty documents; rows without ids are told apart by their texts; one id is one document
+    assert sorted(r.doc_id for r in found if r.host == "h" and r.kept) == [0]
+    assert all((r.lost_words, r.kept) == (2 if r.host == "n" else 0, True) for r in found if r.host in ("n", "one") and r.lost_words)
+    assert not any(r.lost_words for r in found if r.host == "one")
+    assert not any(r.lost_words for r in quality_rules.judge_quality(df, min_share=2.0).collect())
+    assert any(r.lost_words for r in quality_rules.judge_quality(df, min_share=2.0, enough=30).collect())
+
+
 def test_long_lines_count(spark):
     notice = prose(60, 77)
     rows = [(i, f"{notice}\n{prose(70, 600 + i)}", "h") for i in range(30)] + [(100 + i, f"{notice}\nx{i}", "h") for i in range(5)]

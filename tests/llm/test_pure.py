@@ -121,7 +121,7 @@ def test_repeated_windows(text, n):
 
 
 def test_text_figures():
-    (n, spaces, symbols, dup, _), lines = quality_rules.text_stats("A# b\n\nA# b\n  \n$c d|\x85".encode(), 25)
+    (n, spaces, symbols, dup, _), lines = quality_rules.text_stats("A# b\n\nA# b\n  \n$c d|\x85".encode())
     assert (n, symbols, dup) == (6, 4, 1)
     assert sum(lines.values()) == 6 and spaces > 0
     assert quality_rules.line_hash([b"A#", b"b"]) == quality_rules.line_hash([b"a#", b"B"])
