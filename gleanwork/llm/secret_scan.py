@@ -31,19 +31,24 @@ ASSIGN_HINTS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}(?:\r?\n[A-Za-z0-9+/]{4,}={0,2})*")
+#: Between the lines of a key: a line end and what indents the next line, or the escapes of a line end in a quoted string.
+LINE_END = re.compile(r"\r?\n[ \t]*|(?:\\r)?\\n")
+BASE64 = re.compile(rf"(?:(?<![A-Za-z0-9+/\\])|(?<=\\n)|(?<=\\)(?![nr]))[A-Za-z0-9+/]{{40,}}={{0,2}}(?:(?:{LINE_END.pattern})[A-Za-z0-9+/]{{4,}}={{0,2}})*")
+#: The alphabet of URLs, on one line.
+URL_BASE64 = re.compile(r"(?<![A-Za-z0-9_-])(?:M|b3BlbnNzaC1rZXktdjEA|AAAA)[A-Za-z0-9_-]{39,}={0,2}")
 #: First characters of base64 whose bytes begin a DER sequence or an OpenSSH key.
 BASE64_STARTS = ("M", "b3BlbnNzaC1rZXktdjEA", "AAAA")
 HEX_CANDIDATE = re.compile(r"[0-9A-Fa-f]{24,}")
-LINE_END = re.compile(r"\r?\n")
-KEY_NAME = re.compile(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+")
+KEY_NAME = re.compile(rb"(ssh|ecdsa)-[a-z0-9@.-]+")
+#: Fields of a public key blob; a private one has more. Keys on hardware tokens hold no secret.
+PUBLIC_FIELDS = {b"ssh-ed25519": 2, b"ssh-ed448": 2, b"ssh-rsa": 3, b"ssh-dss": 5}
 HEX_STARTS = ("30", "6f70656e7373682d6b65792d7631", "000000")
 
 Span = tuple[str, int, int]
 
 
 def _decoded64(text: str) -> bytes | None:
-    text = re.sub(r"[\r\n]", "", text).rstrip("=").replace("-", "+").replace("_", "/")
+    text = LINE_END.sub("", text).rstrip("=").replace("-", "+").replace("_", "/")
     if len(text) % 4 == 1:
         text = text[:-1]
     try:
@@ -71,6 +76,22 @@ def _der(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + size) if at + size <= end else None
 
 
+def nested(data: bytes, at: int, end: int) -> bool:
+    """Whether the stretch is one octet string or number, or one sequence that its members fill."""
+    own = _der(data, at, end)
+    if not own or own[2] != end or own[1] == end:
+        return False
+    if own[0] in (0x02, 0x04):
+        return True
+    at = own[1]
+    while own[0] == 0x30 and at < end:
+        x = _der(data, at, end)
+        if not x:
+            return False
+        at = x[2]
+    return at == end
+
+
 def der_key(data: bytes) -> bool:
     """Whether the bytes are a key structure: an outer sequence whose members fill it exactly."""
     outer = _der(data, 0, len(data))
@@ -91,8 +112,8 @@ def der_key(data: bytes) -> bool:
 
     if len(tags) >= 9 and set(tags) == {0x02}:  # version and the numbers of an RSA key
         return True
-    if len(tags) >= 3 and tags[:3] == [0x02, 0x30, 0x04] and has_oid(members[1]):  # wrapped private key
-        return True
+    if len(tags) >= 3 and tags[:3] == [0x02, 0x30, 0x04] and has_oid(members[1]):  # wrapped private key, itself an element
+        return nested(data, *members[2][1:])
     if len(tags) >= 2 and tags[:2] == [0x02, 0x04] and set(tags[2:]) <= {0xA0, 0xA1}:  # elliptic-curve private key
         return data[members[0][1] : members[0][2]] == b"\x01"
     if tags == [0x30, 0x04] and has_oid(members[0]):  # encrypted private key
@@ -101,7 +122,7 @@ def der_key(data: bytes) -> bool:
 
 
 def ssh_key(data: bytes) -> bool:
-    """Whether the bytes are an OpenSSH private key or a public-key blob whose lengths nest."""
+    """Whether the bytes are an OpenSSH private key, or a blob of more fields than a public key has, whose lengths nest."""
     magic = b"openssh-key-v1\0"
     if data.startswith(magic):
         at = len(magic)
@@ -117,7 +138,7 @@ def ssh_key(data: bytes) -> bool:
             return False
         fields.append(data[at + 4 : at + 4 + n])
         at += 4 + n
-    return at == len(data) and len(fields) >= 2 and KEY_NAME.fullmatch(fields[0]) is not None
+    return at == len(data) and bool(fields) and KEY_NAME.fullmatch(fields[0]) is not None and len(fields) > PUBLIC_FIELDS.get(fields[0], 3)
 
 
 def token_header(part: str) -> bool:
@@ -169,7 +190,7 @@ def base64_key(found: str) -> tuple[str, int] | None:
     size = stated_size(head)
     if size is None and not head.startswith(b"openssh-key-v1"):
         n = int.from_bytes(head[:4], "big")
-        if not 1 <= n <= 64 or not re.match(rb"ssh-|ecdsa-|sk-", head[4:]):
+        if not 1 <= n <= 64 or not re.match(rb"ssh-|ecdsa-", head[4:]):
             return None
     removed = 0  # characters of line ends so far
     ends = []
@@ -220,6 +241,10 @@ def confirmed_spans(text: str, hexes: list[Span]) -> list[Span]:
     if "eyJ" in text:
         spans += [("token", m.start(), m.end()) for m in TOKEN.finditer(text) if token_header(m[1])]
     spans += base64_spans(text)
+    for m in URL_BASE64.finditer(text):
+        found = key_kind(_decoded64(m[0])) if "-" in m[0] or "_" in m[0] else None
+        if found:
+            spans.append((found, *m.span()))
     # runs of digits in either letter case, and the lower-case runs of the base pattern in them
     for start, end in sorted({(a, b) for _, a, b in hexes} | {m.span() for m in HEX_CANDIDATE.finditer(text)}):
         found = hex_key(text[start:end])
@@ -260,9 +285,11 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", redact_to: str | None
     Adds ``n_assign, n_access, n_hex`` (long), ``base_spans`` and ``spans``
     (``kind:start:end`` in code points, end exclusive, comma-joined), and
     ``base_sha256``. With ``redact_to``, that column gets the text with every
-    span replaced. Null texts count as empty; empty texts have no spans; input
-    columns that clash with output names get the suffix ``_in``; rows repeat as
-    they come. No shuffle: each row is judged alone.
+    span replaced. Null texts count as empty; empty texts have no spans; texts of
+    any length are scanned whole; input columns that clash with output names
+    get the suffix ``_in``; rows repeat as they come, and an empty table gives
+    an empty result. Public keys are no secrets. No shuffle: each row is judged
+    alone.
     """
     bound_batches(docs.sparkSession)
     added = [x.split()[0] for x in OUTPUT.split(", ")]
