@@ -76,14 +76,14 @@ def header_text(value: str | None) -> str:
     return "".join(c for c in value or "" if c not in "\r\n")
 
 
-def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, is_revisit: bool, name: str) -> Iterator[bytes]:
+def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, is_revisit: bool, name: str, refers_url: str | None = None) -> Iterator[bytes]:
     """Records of a page: a revisit, a response, or a response and its continuations."""
     digest = hashlib.sha1(payload).digest()
     own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
     shared = [("WARC-Date", DATE), ("WARC-Target-URI", header_text(url))]
     fields = [*shared, ("WARC-Payload-Digest", "sha1:" + base64.b32encode(digest).decode()), ("X-Page-Id", "" if page_id is None else str(page_id)), ("X-Payload-Length", str(len(payload)))]
     if is_revisit:
-        more = [("WARC-Profile", PROFILE), ("WARC-Refers-To-Page", str(refers_to))]
+        more = [("WARC-Profile", PROFILE), ("WARC-Refers-To-Target-URI", header_text(refers_url)), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page", str(refers_to))]
         yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *fields, *more, ("Content-Type", "application/http;msgtype=response")], b"HTTP/1.1 200 OK\r\n\r\n")
         return
     block = http_block(payload)
@@ -97,20 +97,20 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to
 
 
 def refer_to(pages: DataFrame) -> DataFrame:
-    """Add ``refers_to`` (null for responses) and ``is_revisit`` to ``page_id, url, html``.
+    """Add ``refers_to`` and ``refers_url`` (null for responses) and ``is_revisit`` to ``page_id, url, html``.
 
     Of equal payloads of at least 1000 bytes, the rows with the largest page
     id are responses and the others revisit it. Only digests move, and each
     task sends one row for each payload it met.
     """
     size = F.coalesce(F.octet_length("html"), F.lit(0))
-    slim = pages.where(size >= MIN_SHARED_BYTES).select("page_id", F.sha2("html", 256).alias("digest"))
-    groups = slim.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
-    groups = materialise(groups.select(F.col("digest").alias("_digest"), F.col("refers_to").alias("_to")), "warc-repeats")
+    slim = pages.where(size >= MIN_SHARED_BYTES).select("page_id", "url", F.sha2("html", 256).alias("digest"))
+    groups = slim.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.max_by("url", "page_id").alias("refers_url"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
+    groups = materialise(groups.select(F.col("digest").alias("_digest"), F.col("refers_to").alias("_to"), F.col("refers_url").alias("_url")), "warc-repeats")
     own = F.when(size >= MIN_SHARED_BYTES, F.sha2("html", 256))
     met = pages.withColumn("_own", own).join(groups, F.col("_own") == F.col("_digest"), "left")
     revisit = F.coalesce(F.col("_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_to")), F.lit(False))
-    return met.select("page_id", "url", "html", F.when(revisit, F.col("_to")).alias("refers_to"), revisit.alias("is_revisit"))
+    return met.select("page_id", "url", "html", F.when(revisit, F.col("_to")).alias("refers_to"), revisit.alias("is_revisit"), F.when(revisit, F.col("_url")).alias("refers_url"))
 
 
 MANIFEST = "file string, records long, bytes long"
@@ -123,7 +123,9 @@ def write_warc(pages: DataFrame, folder: str | None = None) -> DataFrame:
     under a name of its own; the manifest, written by Spark, lists only files
     of tasks that succeeded, so repeated attempts leave no double records. Null
     html is an empty payload, null page ids and urls are kept as empty fields,
-    and repeated rows give records of their own.
+    repeated rows give records of their own, other columns are left out, and
+    an empty table writes no file. A revisit names its response by target URI
+    and date, and by page.
     """
     spark = pages.sparkSession
     bound_batches(spark)
@@ -144,10 +146,10 @@ def write_warc(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
         task = uuid.uuid4().hex
         for batch in batches:
-            ids, urls, to, re = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
+            ids, urls, to, re, to_url = (batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5))
             html = batch.column(2).cast(pa.binary())
             for i, page in enumerate(ids):
-                for data in page_records(page, urls[i], html[i].as_py() or b"", to[i], re[i], f"{folder}/{task}/{n}"):
+                for data in page_records(page, urls[i], html[i].as_py() or b"", to[i], re[i], f"{folder}/{task}/{n}", to_url[i]):
                     out.append(data)
                     size += len(data)
                 n += 1
@@ -161,42 +163,85 @@ def write_warc(pages: DataFrame, folder: str | None = None) -> DataFrame:
     return materialise(rows.mapInArrow(run, MANIFEST), "warc-manifest")
 
 
-def archive_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower case) and block of each record of a gzipped archive."""
+def members(data: bytes) -> Iterator[bytes]:
+    """Unpacked members of a gzipped archive, or a plain archive as it is; ValueError where the archive is cut or damaged."""
+    if not data.startswith(b"\x1f\x8b"):
+        yield data
+        return
     view = memoryview(data)
     while len(view):
         unpacker = zlib.decompressobj(31)
-        raw = unpacker.decompress(view)
+        try:
+            raw = unpacker.decompress(view)
+        except zlib.error as e:
+            raise ValueError(str(e)) from e
+        if not unpacker.eof:
+            raise ValueError("archive ends inside a record")
         view = view[len(view) - len(unpacker.unused_data) :]
-        head, gap, rest = raw.partition(b"\r\n\r\n")
-        if not gap or not head.startswith(b"WARC/1."):
-            raise ValueError("not a WARC record")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8").split("\r\n")[1:])}
-        size = int(fields["content-length"])
-        if len(rest) != size + 4:
-            raise ValueError("record of another length than it states")
-        yield fields, rest[:size]
+        yield raw
+
+
+def archive_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields (lower case) and block of each record of an archive, gzipped by record or whole, or plain."""
+    for raw in members(data):
+        at = 0
+        while at < len(raw):
+            end = raw.find(b"\r\n\r\n", at)
+            if end < 0 or not raw.startswith(b"WARC/1.", at):
+                raise ValueError("not a WARC record")
+            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in raw[at:end].decode("utf-8", "replace").split("\r\n")[1:])}
+            size = fields.get("content-length", "")
+            upto = end + 4 + (int(size) if size.isdecimal() else len(raw))
+            if raw[upto : upto + 4] != b"\r\n\r\n":
+                raise ValueError("record of another length than it states")
+            yield fields, raw[end + 4 : upto]
+            at = upto + 4
 
 
 PART = "kind string, page_id long, refers_to long, url string, payload binary, payload_bytes long, payload_digest string, digest_ok boolean, origin string, number long, total long, block binary"
 
 
 def _number(text: str | None) -> int | None:
-    return int(text) if text else None
+    return int(text) if text and text.removeprefix("-").isdecimal() else None
+
+
+def _base16(field: str) -> str | None:
+    """SHA-1 in lower-case hex, of a digest field in base 32 or hex; null for any other."""
+    kind, _, value = field.partition(":")
+    try:
+        raw = base64.b32decode(value.upper()) if len(value) == 32 else bytes.fromhex(value) if len(value) == 40 else b""
+    except ValueError:
+        return None
+    return raw.hex() if raw and kind.lower() == "sha1" else None
+
+
+def _invalid(fields: dict[str, str]) -> dict:
+    return {"kind": "invalid", "page_id": _number(fields.get("x-page-id")), "url": fields.get("warc-target-uri")}
 
 
-def _base16(field: str) -> str:
-    return base64.b32decode(field.removeprefix("sha1:")).hex() if field else ""
+def record_row(fields: dict[str, str], block: bytes, keep_payload: bool) -> dict | None:
+    """Row of a record: a page, a segment or an invalid one; none for records of other types."""
+    kind = fields.get("warc-type")
+    try:
+        if kind == "continuation":
+            total = fields.get("warc-segment-total-length")
+            return {"kind": kind, "origin": fields["warc-segment-origin-id"], "number": int(fields["warc-segment-number"]), "total": int(total) if total else None, "block": block}
+        if kind == "response" and "warc-segment-number" in fields:
+            stated = _base16(fields.get("warc-payload-digest", ""))
+            return {"kind": kind, "origin": fields["warc-record-id"], "number": int(fields["warc-segment-number"]), "block": block, "page_id": _number(fields.get("x-page-id")), "url": fields.get("warc-target-uri"), "payload_digest": stated}
+        return _as_page(fields, block, keep_payload) if kind in ("response", "revisit") else None
+    except (KeyError, ValueError):
+        return _invalid(fields)
 
 
 def _as_page(fields: dict[str, str], block: bytes, keep_payload: bool) -> dict:
     stated = _base16(fields.get("warc-payload-digest", ""))
     row = {"kind": fields["warc-type"], "page_id": _number(fields.get("x-page-id")), "url": fields.get("warc-target-uri"), "payload_digest": stated}
     if fields["warc-type"] == "revisit":
-        return row | {"refers_to": _number(fields.get("warc-refers-to-page")), "payload_bytes": _number(fields.get("x-payload-length")), "digest_ok": True}
+        return row | {"refers_to": _number(fields.get("x-refers-to-page")), "payload_bytes": _number(fields.get("x-payload-length")), "digest_ok": True}
     payload = http_payload(block)
     found = hashlib.sha1(payload).hexdigest()
-    return row | {"payload": payload if keep_payload else None, "payload_bytes": len(payload), "payload_digest": found, "digest_ok": found == stated}
+    return row | {"payload": payload if keep_payload else None, "payload_bytes": len(payload), "payload_digest": found, "digest_ok": None if stated is None else found == stated}
 
 
 def reassembled(parts: list[tuple[int, int | None, bytes]]) -> bytes:
@@ -214,7 +259,12 @@ def read_warc(spark: SparkSession, manifest: DataFrame, keep_payload: bool = Tru
     """Page records of the archives in ``manifest``: ``page_id, url, payload, payload_bytes, payload_digest, digest_ok, record_type, refers_to``.
 
     Whole records are finished where they are read. Only segmented ones move:
-    they are grouped by origin, and a group is one record's segments.
+    they are grouped by origin, and a group is one record's segments. Archives
+    may be gzipped or plain. ``digest_ok`` is null where no SHA-1 is stated. A
+    record that cannot be read (bad fields or framing, missing segments) is a
+    row of type ``invalid`` without payload, as is the rest of an archive that
+    is cut or damaged; nothing fails the job. Records of other types are left
+    out, and an empty manifest gives an empty result.
     """
     schema = pa.schema([("kind", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("digest_ok", pa.bool_()), ("origin", pa.string()), ("number", pa.int64()), ("total", pa.int64()), ("block", pa.binary())])
 
@@ -222,14 +272,17 @@ def read_warc(spark: SparkSession, manifest: DataFrame, keep_payload: bool = Tru
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 rows, size = [], 0
-                for fields, block in archive_records(read_bytes(name)):
-                    kind = fields["warc-type"]
-                    if kind == "continuation":
-                        rows.append({"kind": kind, "origin": fields["warc-segment-origin-id"], "number": int(fields["warc-segment-number"]), "total": _number(fields.get("warc-segment-total-length")), "block": block})
-                    elif kind == "response" and "warc-segment-number" in fields:
-                        rows.append({"kind": kind, "origin": fields["warc-record-id"], "number": 1, "block": block, "page_id": _number(fields.get("x-page-id")), "url": fields.get("warc-target-uri"), "payload_digest": _base16(fields.get("warc-payload-digest", ""))})
-                    elif kind in ("response", "revisit"):
-                        rows.append(_as_page(fields, block, keep_payload))
+                records = archive_records(read_bytes(name))
+                while True:
+                    try:
+                        fields, block = next(records)
+                    except StopIteration:
+                        break
+                    except ValueError:
+                        rows.append(_invalid({}))
+                        break
+                    if row := record_row(fields, block, keep_payload):
+                        rows.append(row)
                     size += len(block)
                     if size > 8 << 20:
                         yield pa.RecordBatch.from_pylist(rows, schema)
@@ -243,9 +296,13 @@ def read_warc(spark: SparkSession, manifest: DataFrame, keep_payload: bool = Tru
         for batch in batches:
             rows = []
             for x in batch.to_pylist():
-                payload = http_payload(reassembled([(p["number"], p["total"], p["block"]) for p in x["parts"]]))
+                try:
+                    payload = http_payload(reassembled([(p["number"], p["total"], p["block"]) for p in x["parts"]]))
+                except ValueError:
+                    rows.append({"page_id": x["page_id"], "url": x["url"], "kind": "invalid"})
+                    continue
                 found = hashlib.sha1(payload).hexdigest()
-                rows.append({"page_id": x["page_id"], "url": x["url"], "payload": payload if keep_payload else None, "payload_bytes": len(payload), "payload_digest": found, "digest_ok": found == x["stated"], "kind": "response"})
+                rows.append({"page_id": x["page_id"], "url": x["url"], "payload": payload if keep_payload else None, "payload_bytes": len(payload), "payload_digest": found, "digest_ok": None if x["stated"] is None else found == x["stated"], "kind": "response"})
             yield pa.RecordBatch.from_pylist(rows, parts_schema)
 
     files = manifest.select("file").repartition(max(1, min(manifest.count(), 4096)), "file")
