@@ -42,6 +42,9 @@ class Model:
     weights: tuple[float, ...]
 
 
+NEUTRAL = Model(b"", b"", (0.0,) * 5, (1.0,) * 5, (0.0,) * 6)
+
+
 def trained_dictionary(texts: list[bytes]) -> bytes:
     """A dictionary of the texts; of too few for training, their own content."""
     texts = [x for x in texts if x]
@@ -87,13 +90,16 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Model from ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, quality`` 0 or 1).
 
-    Without labels of both kinds all texts score 0.5.
+    Without labelled texts of both kinds (at most 64 KiB long) all texts score
+    0.5. Of repeated ids in ``labels`` the lower label counts; repeated rows of
+    ``docs`` count as often as they come; null ids and null texts are not
+    learned from.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.withColumn("rank", F.md5(F.col("doc_id").cast("string")))
     totals = {q: n for q, n in known.groupBy("quality").count().collect()}
     if len(totals) < 2:
-        return Model(b"", b"", (0.0,) * 5, (1.0,) * 5, (0.0,) * 6)
+        return NEUTRAL
     most = DICT_TEXTS + FIT_TEXTS
     drawn = [known.where(F.col("quality") == q).orderBy("rank", "doc_id").limit(most) for q in (0, 1)]
     ids = docs.sparkSession.createDataFrame(drawn[0].union(drawn[1]).collect(), known.schema).withColumnRenamed("doc_id", "_id")  # at most 2 * most rows
@@ -104,6 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     split = {q: min(DICT_TEXTS, len(x) // 2) for q, x in by_label.items()}
     good, bad = (trained_dictionary(by_label[q][: split[q]]) for q in (1, 0))
     rest = {q: x[split[q] :] for q, x in by_label.items()}
+    if not rest[0] or not rest[1]:
+        return NEUTRAL
     y = np.array([q for q in (0, 1) for _ in rest[q]], float)
     # both labels weigh as in all labelled rows
     share = {q: totals[q] / sum(totals.values()) * len(y) / max(1, len(rest[q])) for q in (0, 1)}
@@ -117,8 +125,9 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", cut: fl
     """Add ``score`` (0 to 1, higher: good likelier) and ``predicted`` (1 if score >= ``cut``) to each row.
 
     Only the text is looked at. Null counts as empty, and the empty text has a
-    score like any other; clashing input columns get the suffix ``_in``. No
-    shuffle.
+    score like any other; texts of any length are compressed whole; repeated
+    rows are scored one by one and an empty table gives an empty result;
+    clashing input columns get the suffix ``_in``. No shuffle.
     """
     bound_batches(docs.sparkSession)
     docs = own_columns(docs, ["score", "predicted"])

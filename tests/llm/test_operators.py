@@ -246,3 +246,25 @@ def test_warc_round_trip(spark):
         assert r.payload_bytes == len(html) and r.payload_digest == hashlib.sha1(html).hexdigest()
         assert r.record_type == "revisit" or bytes(r.payload) == html
     assert warc.read_warc(spark, warc.write_warc(df.where("false"))).count() == 0
+
+
+def test_labels_without_texts_score_evenly(spark, odd):
+    labels = spark.createDataFrame([(1000 + i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = compression_quality.fit(odd, labels)
+    assert {r.score for r in compression_quality.score_quality(odd, model).collect()} == {0.5}
+    long = spark.createDataFrame([(1000 + i, "x " * 40_000) for i in range(40)], "doc_id long, text string")
+    assert compression_quality.fit(long, labels) == compression_quality.NEUTRAL
+    assert compression_quality.score_quality(odd.where("false"), model).count() == 0
+
+
+def test_columns_that_clash(spark, odd):
+    """Operators that keep columns rename those that clash; those with fixed columns leave the others out."""
+    clash = odd.withColumnRenamed("lang", "n_tokens").withColumnRenamed("source", "fingerprint").withColumnRenamed("n_chars", "text_hash")
+    assert fingerprints.fingerprint_documents(clash).columns[:4] == ["doc_id", "n_chars", "edited_sha256", "fingerprint"]
+    assert token_files.read_token_files(spark, token_files.write_token_files(clash, PATH, 2)).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    verdict = quality_rules.judge_quality(clash.withColumnRenamed("fingerprint", "host").withColumnRenamed("n_tokens", "kept"))
+    assert verdict.columns.count("kept") == 1 and verdict.count() == len(ODD)
+    renamed = odd.selectExpr("doc_id", "text", "lang as text_hash", "source", "n_chars")
+    assert quality_rules.clean_documents(renamed).columns == renamed.columns
+    pages = spark.createDataFrame([(1, "https://a", "x", "y", "z")], "page_id long, url string, html string, record_type string, payload string")
+    assert warc.read_warc(spark, warc.write_warc(pages)).first().record_type == "response"

@@ -24,6 +24,22 @@ def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
     assert seen[1] <= seen[0] and seen[2] <= seen[1] and seen[3] == seen[2] and seen[4] == seen[5] > 0
 
 
+@pytest.mark.parametrize("rows", [
+    [],
+    [(1, "one line of words " * 20, "en", "a", 1, "x"), (1, "one line of words " * 20, "en", "a", 1, "x"), (None, None, None, None, None, None), (2, "", None, "a", 0, "y"), (None, " ".join(f"w{i}" for i in range(90)), "en", None, 3, "z")],
+])
+def test_stages_on_odd_tables(spark, tmp_path, rows):
+    """Nulls, repeats, empty tables and a further column whose name the stages use themselves."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, node string")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        out.write.parquet(str(tmp_path / str(i)))
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+    assert docs.count() == sum(r[3] is None and r[1] is not None for r in rows) * docs.count()
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()

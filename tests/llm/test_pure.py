@@ -1,6 +1,8 @@
 """Kernels against plain versions, without a session."""
 
 import base64
+import gzip
+import hashlib
 import json
 import random
 import zlib
@@ -133,14 +135,20 @@ def der(tag, body):
 
 
 RSA = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([i]) * 40) for i in range(1, 9)))
-WRAPPED = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48")) + der(4, b"k" * 40))
-SSH = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", b"k" * 32))
+WRAPPED = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48")) + der(4, der(4, b"k" * 32)))
+SSH = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", b"k" * 32, b"s" * 64))
+PUBLIC = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", b"k" * 32))
+OPENSSH = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"k" * 90
 JWT = base64.urlsafe_b64encode(json.dumps({"alg": "HS256", "typ": "JWT"}).encode()).decode().rstrip("=")
 
 
 def test_structures():
     assert secret_scan.der_key(RSA) and secret_scan.der_key(WRAPPED) and secret_scan.ssh_key(SSH)
     assert not secret_scan.der_key(RSA[:-3]) and not secret_scan.der_key(b"\x30\x10" + b"x" * 16) and not secret_scan.ssh_key(SSH + b"x")
+    assert not secret_scan.ssh_key(PUBLIC) and secret_scan.ssh_key(OPENSSH)
+    for inner in (b"k" * 40, der(4, b"k" * 32)[:-1], der(0x30, der(2, b"1") + b"\x04\x20")):
+        assert not secret_scan.der_key(der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48")) + der(4, inner)))
+    assert secret_scan.der_key(der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48")) + der(4, RSA)))
     assert secret_scan.token_header(JWT) and not secret_scan.token_header("eyJhIjoxfQ")
 
 
@@ -170,6 +178,18 @@ def test_keys_before_prose(data, padded):
     assert secret_scan.confirmed_spans(f"{notes}\n{key}\nthis", [])[0][1:] == (52, 52 + len(key))
 
 
+@pytest.mark.parametrize("data", [RSA, WRAPPED, SSH, OPENSSH])
+def test_keys_in_other_dress(data):
+    key = base64.b64encode(data).decode()
+    rows = [key[i : i + 64] for i in range(0, len(key), 64)]
+    for gap in ("\n    ", "\r\n\t", "\\n", "\\r\\n"):
+        text = f"-----BEGIN PRIVATE KEY-----{gap}{gap.join(rows)}{gap}-----END PRIVATE KEY-----"
+        assert [(a, b) for _, a, b in secret_scan.confirmed_spans(text, [])] == [(text.index(rows[0]), text.index(rows[0]) + len(gap.join(rows)))]
+    dashed = base64.urlsafe_b64encode(data).decode()
+    assert {(a, b) for _, a, b in secret_scan.confirmed_spans(f"key={dashed} next", [])} == {(4, 4 + len(dashed))}
+    assert secret_scan.confirmed_spans(f"ssh-ed25519 {base64.b64encode(PUBLIC).decode()} me@host", []) == []
+
+
 def test_hex_keys_in_any_letter_case():
     for digits in (RSA.hex(), RSA.hex().upper(), SSH.hex().upper(), RSA.hex()[:90].upper() + RSA.hex()[90:]):
         for after in ("", " is it", *([] if digits.lower() == SSH.hex() else ["f", "abcabcabc"])):
@@ -209,6 +229,26 @@ def test_archive_records_are_gzip_members():
     assert zlib.decompressobj(31).decompress(data).startswith(b"WARC/1.1\r\n")
 
 
+def test_archives_of_other_writers():
+    parts = list(warc.page_records(7, "https://a", b"x" * 40_000, None, False, "n")) + list(warc.page_records(8, "https://b", b"yy", 7, True, "m", "https://a"))
+    data = b"".join(parts)
+    plain = b"".join(zlib.decompressobj(31).decompress(x) for x in parts)
+    found = list(warc.archive_records(data))
+    assert list(warc.archive_records(plain)) == found == list(warc.archive_records(gzip.compress(plain)))
+    revisit = found[-1][0]
+    assert revisit["warc-refers-to-target-uri"] == "https://a" and revisit["warc-refers-to-date"]
+    for cut in (1, 4, 9, 200):
+        with pytest.raises(ValueError):
+            list(warc.archive_records(data[:-cut]))
+    digest = hashlib.sha1(b"yy").hexdigest()
+    for stated, good in ((f"sha1:{digest}", True), (f"SHA1:{digest.upper()}", True), ("sha1:" + "0" * 40, False), ("md5:abc", None), ("sha1:zz", None)):
+        row = warc.record_row({"warc-type": "response", "warc-payload-digest": stated}, warc.http_block(b"yy"), True)
+        assert (row["payload"], row["digest_ok"]) == (b"yy", good)
+    for bad in (b"no header", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nzz\r\nabc"):
+        assert warc.record_row({"warc-type": "response", "x-page-id": "5"}, bad, True) == {"kind": "invalid", "page_id": 5, "url": None}
+    assert warc.record_row({"warc-type": "continuation"}, b"", True)["kind"] == "invalid" and warc.record_row({"warc-type": "warcinfo"}, b"", True) is None
+
+
 def test_compression_separates_and_survives_few_texts():
     assert compression_quality.trained_dictionary([]) == b""
     plain = compression_quality.compressor(b"")
