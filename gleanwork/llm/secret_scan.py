@@ -33,11 +33,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
 #: Between the lines of a key: a line end and what indents the next line, or the escapes of a line end in a quoted string.
 LINE_END = re.compile(r"\r?\n[ \t]*|(?:\\r)?\\n")
-BASE64 = re.compile(rf"(?:(?<![A-Za-z0-9+/\\])|(?<=\\n)|(?<=\\)(?![nr]))[A-Za-z0-9+/]{{40,}}={{0,2}}(?:(?:{LINE_END.pattern})[A-Za-z0-9+/]{{4,}}={{0,2}})*")
-#: The alphabet of URLs, on one line.
-URL_BASE64 = re.compile(r"(?<![A-Za-z0-9_-])(?:M|b3BlbnNzaC1rZXktdjEA|AAAA)[A-Za-z0-9_-]{39,}={0,2}")
-#: First characters of base64 whose bytes begin a DER sequence or an OpenSSH key.
+#: First characters of base64 whose bytes begin a DER sequence or an OpenSSH key; a candidate begins with one and has 40 characters.
 BASE64_STARTS = ("M", "b3BlbnNzaC1rZXktdjEA", "AAAA")
+BASE64 = tuple(re.compile(rf"{x}[A-Za-z0-9+/]{{{40 - len(x)},}}={{0,2}}(?:(?:{LINE_END.pattern})[A-Za-z0-9+/]{{4,}}={{0,2}})*") for x in BASE64_STARTS)
+#: The same in the alphabet of URLs, on one line.
+URL_BASE64 = tuple(re.compile(rf"{x}[A-Za-z0-9_-]{{{40 - len(x)},}}={{0,2}}") for x in BASE64_STARTS)
+#: A candidate begins where no character of its alphabet is in front, or only the escape of a line end.
+BEFORE, URL_BEFORE = re.compile(r"(?<![A-Za-z0-9+/])|(?<=\\n)"), re.compile(r"(?<![A-Za-z0-9_-])|(?<=\\n)")
 HEX_CANDIDATE = re.compile(r"[0-9A-Fa-f]{24,}")
 KEY_NAME = re.compile(rb"(ssh|ecdsa)-[a-z0-9@.-]+")
 #: Fields of a public key blob; a private one has more. Keys on hardware tokens hold no secret.
@@ -209,16 +211,21 @@ def base64_key(found: str) -> tuple[str, int] | None:
 def base64_spans(text: str) -> list[Span]:
     """Keys in base64; where a candidate holds none, the next may begin at its next line."""
     spans: list[Span] = []
-    m = BASE64.search(text)
-    while m:
-        found = base64_key(m[0]) if m[0].startswith(BASE64_STARTS) else None
-        if found:
-            spans.append((found[0], m.start(), m.start() + found[1]))
-            at = m.start() + found[1]
-        else:
-            line = LINE_END.search(m[0])
-            at = m.start() + line.start() if line else m.end()
-        m = BASE64.search(text, at)
+    for pattern in BASE64:
+        m = pattern.search(text)
+        while m:
+            found = base64_key(m[0]) if BEFORE.match(text, m.start()) else None
+            if found:
+                spans.append((found[0], m.start(), m.start() + found[1]))
+                at = m.start() + found[1]
+            else:
+                line = LINE_END.search(m[0])
+                at = m.start() + line.start() if line else m.end()
+            m = pattern.search(text, at)
+    for pattern in URL_BASE64:
+        for m in pattern.finditer(text):
+            if ("-" in m[0] or "_" in m[0]) and URL_BEFORE.match(text, m.start()) and (kind := key_kind(_decoded64(m[0]))):
+                spans.append((kind, *m.span()))
     return spans
 
 
@@ -241,10 +248,6 @@ def confirmed_spans(text: str, hexes: list[Span]) -> list[Span]:
     if "eyJ" in text:
         spans += [("token", m.start(), m.end()) for m in TOKEN.finditer(text) if token_header(m[1])]
     spans += base64_spans(text)
-    for m in URL_BASE64.finditer(text):
-        found = key_kind(_decoded64(m[0])) if "-" in m[0] or "_" in m[0] else None
-        if found:
-            spans.append((found, *m.span()))
     # runs of digits in either letter case, and the lower-case runs of the base pattern in them
     for start, end in sorted({(a, b) for _, a, b in hexes} | {m.span() for m in HEX_CANDIDATE.finditer(text)}):
         found = hex_key(text[start:end])
