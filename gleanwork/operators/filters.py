@@ -20,15 +20,19 @@ def recover_titles(postings: DataFrame) -> DataFrame:
     return postings.withColumn("title", F.when(is_blank("title"), title_from_url("url")).otherwise(F.col("title")))
 
 
-def capped_per_group(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
+def capped_per_group(rows: DataFrame, group: str, key: str, most: int, exempt: Column | None = None) -> DataFrame:
     """At most ``most`` rows of each group, an even choice that every run repeats; a null group is dropped.
 
     Ranked by md5 of the key: a group's window keeps only the first ``most``
     rows of each task before the shuffle, so a huge company costs no more than
-    its cap in each task.
+    its cap in each task. ``exempt`` rows stay and do not count: each is a
+    group of its own, so one window over one scan serves both.
     """
-    order = Window.partitionBy(group).orderBy(F.md5(F.coalesce(F.col(key), F.lit(""))), key)
-    return rows.where(F.col(group).isNotNull()).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
+    free = F.coalesce(exempt, F.lit(False)) if exempt is not None else F.lit(False)
+    rows = rows.withColumn("_free", free).where(F.col("_free") | F.col(group).isNotNull())
+    rows = rows.withColumn("_alone", F.when(F.col("_free"), F.monotonically_increasing_id()))
+    order = Window.partitionBy(group, "_alone").orderBy(F.md5(F.coalesce(F.col(key), F.lit(""))), key)
+    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank", "_free", "_alone")
 
 
 def first_filter(postings: DataFrame, keywords: Sequence[str], blacklist: Sequence[str], min_hits: int = MIN_HITS, most_unjudged: int = MAX_UNJUDGED_PER_COMPANY) -> DataFrame:
@@ -39,10 +43,8 @@ def first_filter(postings: DataFrame, keywords: Sequence[str], blacklist: Sequen
     rows = recover_titles(postings).where(~matches_any(["title", "url"], blacklist))
     if not keywords:
         return rows
-    rows = rows.withColumn("_hits", keyword_hits(["title", "url"], keywords))
-    judged = rows.where(F.col("_hits") >= min_hits)
-    unjudged = rows.where((F.col("_hits") < min_hits) & is_blank("title"))
-    return judged.unionByName(capped_per_group(unjudged, "company", "url", most_unjudged)).drop("_hits")
+    rows = rows.withColumn("_judged", keyword_hits(["title", "url"], keywords) >= min_hits).where(F.col("_judged") | is_blank("title"))
+    return capped_per_group(rows, "company", "url", most_unjudged, F.col("_judged")).drop("_judged")
 
 
 def detail_threshold() -> Column:
@@ -65,7 +67,6 @@ def second_filter(postings: DataFrame, keywords: Sequence[str], blacklist: Seque
 
 def dedupe(postings: DataFrame, url: str = "url", order: Sequence[str] = ("pos",)) -> DataFrame:
     """First row of each normalised URL by ``order``; rows without URL all stay."""
-    window = Window.partitionBy("_key").orderBy(*order)
-    keyed = postings.withColumn("_key", norm_url(url))
-    first = keyed.where(F.col("_key").isNotNull()).withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
-    return first.unionByName(keyed.where(F.col("_key").isNull())).drop("_key")
+    keyed = postings.withColumn("_key", norm_url(url)).withColumn("_alone", F.when(F.col("_key").isNull(), F.monotonically_increasing_id()))
+    window = Window.partitionBy("_key", "_alone").orderBy(*order)
+    return keyed.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n", "_key", "_alone")

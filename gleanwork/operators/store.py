@@ -20,8 +20,16 @@ def since(timestamp: str, window: str, now: Column | None = None) -> Column:
 
 
 def not_in(rows: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
-    """Null-aware anti join, as SQL's NOT IN: one null in ``other`` leaves no row, and null keys go unless ``other`` is empty."""
-    return rows.sparkSession.sql(f"SELECT * FROM {{rows}} WHERE `{key}` NOT IN (SELECT `{other_key}` FROM {{other}})", rows=rows, other=other)
+    """Null-aware anti join, as SQL's NOT IN: one null in ``other`` leaves no row, and null keys go unless ``other`` is empty.
+
+    Written as a plain anti join and two counts, so that the planner chooses
+    by size how to join; NOT IN itself broadcasts ``other`` whatever its size.
+    """
+    return rows.sparkSession.sql(
+        f"""SELECT r.* FROM {{rows}} r LEFT ANTI JOIN {{other}} o ON r.`{key}` = o.`{other_key}`
+        WHERE (SELECT count_if(`{other_key}` IS NULL) FROM {{other}}) = 0 AND (r.`{key}` IS NOT NULL OR (SELECT count(*) FROM {{other}}) = 0)""",
+        rows=rows, other=other,
+    )
 
 
 def limited(rows: DataFrame, limit: int) -> DataFrame:

@@ -40,7 +40,7 @@ ORACLES: dict[str, str] = {
     "recover_titles": "SELECT page_id, 'Senior Dev ' || page_id AS title FROM pages",
     "first_filter": f"""WITH {POSTINGS}, h AS (SELECT *, {hits('title')} + {hits('url')} AS n FROM p WHERE {hits('title', "('was')")} + {hits('url', "('was')")} = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY md5(url), url) AS k FROM h WHERE n < 2 AND {BLANK.format('title')} AND company IS NOT NULL)
-        SELECT doc_id, company, title, url FROM h WHERE n >= 2 UNION ALL SELECT doc_id, company, title, url FROM r WHERE k <= 3""",
+        SELECT doc_id, company, title, url FROM h WHERE n >= 2 UNION ALL SELECT doc_id, company, title, url FROM r WHERE k <= 300""",
     "second_filter": f"""WITH {POSTINGS}, h AS (SELECT *, {hits('title')} + {hits('url')} + {hits('description')} AS n FROM p
         WHERE {hits('title', "('idiot')")} + {hits('url', "('idiot')")} + {hits('description', "('idiot')")} = 0 AND NOT {BLANK.format('description')})
         SELECT doc_id, title, CAST(n AS BIGINT) AS keyword_hits FROM h WHERE n >= CASE WHEN {BLANK.format('title')} OR {BLANK.format('url')} THEN 3 ELSE 5 END""",
@@ -69,7 +69,7 @@ ORACLES: dict[str, str] = {
     "graded_join": f"{BOTH} SELECT j.id, adequation_grade, company, title, url, ai_model, timestamp FROM a JOIN j ON j.id = a.job_id",
     "cv_queue": f"{BOTH} SELECT j.id, adequation_grade, company, title, CAST(NULL AS VARCHAR) AS place, url FROM a JOIN j ON j.id = a.job_id WHERE j.id NOT IN (SELECT job_id FROM a WHERE job_id % 3 = 0) AND adequation_grade >= 70",
     "generated_documents": f"{BOTH} SELECT a.id, title, company, adequation_grade, 'en' AS locale, url FROM a JOIN j ON j.id = a.job_id WHERE a.job_id % 3 = 0",
-    "generation_row": f"{BOTH} SELECT md5(description) AS digest, a.id AS analysis_id, depth_analysis FROM a JOIN j ON j.id = a.job_id WHERE j.id = 2",
+    "generation_row": f"{BOTH} SELECT md5(description) AS digest, a.id AS analysis_id, depth_analysis FROM a JOIN j ON j.id = a.job_id WHERE j.id = 1",
     "three_way_join": "SELECT c_mktsegment, count(*) AS n, count(DISTINCT o_orderkey) AS n_orders, sum(l_quantity) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment",
     "insert_ignore": f"""WITH {POSTINGS}, b AS (SELECT doc_id AS pos, company, md5(description) AS url FROM p), s AS (SELECT doc_id AS id, md5(description) AS url FROM p WHERE doc_id % 5 = 0),
         f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY pos) AS k FROM b) WHERE k = 1 AND url NOT IN (SELECT url FROM s))
@@ -79,13 +79,13 @@ ORACLES: dict[str, str] = {
     "resume_anti": f"WITH {POSTINGS} SELECT doc_id, url FROM p WHERE NOT EXISTS (SELECT 1 FROM p AS q WHERE q.doc_id % 4 = 1 AND q.url = p.url)",
     "funnel_counts": f"WITH {POSTINGS} SELECT count(*) AS kept, count(*) FILTER (doc_id % 4 <> 0) AS todo, count(*) FILTER (doc_id % 4 <> 0 AND doc_id % 3 <> 0) AS fresh FROM p",
     "value_counts_top": "SELECT coalesce(CASE WHEN event_id % 11 > 0 THEN event_type END, '(blank)') AS label, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, label LIMIT 4",
-    "mean_median": "SELECT avg(p_size) AS mean, CAST(median(p_size) AS DOUBLE) AS median FROM part",
+    "mean_median": "SELECT round(CAST(avg(o_totalprice) AS DOUBLE), 4) AS mean, round(CAST(median(o_totalprice) AS DOUBLE), 4) AS median FROM orders",
     "group_mean_top15": f"{BOTH} SELECT company AS label, avg(adequation_grade) AS mean FROM j JOIN a ON j.id = a.job_id GROUP BY company ORDER BY mean DESC, label LIMIT 15",
     "grade_histogram": f"WITH {ANALYSES}, b AS (SELECT unnest(range(20)) AS bin) SELECT CAST(bin * 5 AS BIGINT) AS low, (SELECT count(*) FROM a WHERE adequation_grade BETWEEN 0 AND 100 AND least(adequation_grade // 5, 19) = bin) AS n FROM b",
     "nlargest_15": "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 15",
     "distinct_counts": "SELECT count(DISTINCT user_id) AS n_user_id, count(DISTINCT event_type) AS n_event_type FROM events",
     "non_null_counts": values_sql("n_marker, n_redirect", [(1, 1)]),
-    "per_board_counts": f"WITH p AS (SELECT page_id, {HOST.format('url')} AS h FROM pages) SELECT h AS url, CASE WHEN count(*) FILTER (page_id % 50 = 3) = 0 THEN count(*) FILTER (page_id % 2 = 0) END AS n FROM p GROUP BY h",
+    "per_board_counts": f"WITH p AS (SELECT html, {HOST.format('url')} AS h FROM pages) SELECT h AS url, CASE WHEN count(*) FILTER (length(html) > 9000) = 0 THEN count(*) END AS n FROM p GROUP BY h",
     "first_strategy": """WITH s AS (SELECT page_id AS id, 'b' || (page_id % 40) AS board_url, CASE WHEN page_id % 3 = 0 THEN 'links' WHEN page_id % 7 = 0 THEN 'sitemap' ELSE 'rendered' END AS via FROM pages),
         r AS (SELECT *, CASE via WHEN 'sitemap' THEN 2 WHEN 'links' THEN 3 ELSE 4 END AS k FROM s) SELECT id, board_url, via FROM (SELECT *, min(k) OVER (PARTITION BY board_url) AS m FROM r) WHERE k = m""",
     "host_sample": f"SELECT page_id, host FROM (SELECT page_id, {HOST.format('url')} AS host, row_number() OVER (PARTITION BY {HOST.format('url')} ORDER BY page_id % 5 = 0 DESC, md5(url), url) AS k FROM pages) WHERE k <= 2",
@@ -93,13 +93,13 @@ ORACLES: dict[str, str] = {
     "json_first_string": values_sql("json, path, found", X.FIRST_STRINGS),
     "feed_items": values_sql("board_url, company, title, url, place, via", [("https://careers.smartrecruiters.com/acme", "Acme", "Dev", "https://jobs.smartrecruiters.com/acme/7", "Paris", "feed")]),
     "feed_paging": "SELECT 'Job ' || i AS title, 'https://jobs.smartrecruiters.com/acme/' || i AS url FROM range(250) AS t(i)",
-    "xml_items": values_sql("pos, title, city, url", [(0, "Dev & Ops", "Lyon", "https://a/1"), (1, "QA <b>", None, "https://a/2")]),
-    "jsonld_postings": values_sql("title, description, company, place", [("Data Engineer", "R&D team", "Acme", "Lyon")]),
+    "xml_items": values_sql("pos, title, city, url", [(0, "Bake & Serve", "Oslo", "https://a/1"), (1, "Cook <2>", None, "https://a/2")]),
+    "jsonld_postings": values_sql("title, description, company, place", [("Ship Cook", "Fish & bread", "Harbour Line", "Bergen")]),
     "sitemap_urls": values_sql("pos, url", [(0, "https://a.fr/jobs/1-dev"), (1, "https://a.fr/jobs/2-ops"), (2, "https://a.fr/jobs/333")]),
     "sitemap_frontier": values_sql("board_url, sitemap, n_jobs", [("https://a.fr/careers", "https://a.fr/sitemap.xml", 3), ("https://b.fr/careers", "https://b.fr/sm-jobs.xml", 3), ("https://c.fr/careers", "https://c.fr/maps/all.xml", 3)]),
     "detail_ladder": values_sql("url, via, title, description, place", [(x[0], *x[2:]) for x in X.DETAIL_PAGES]),
     "html_tables": values_sql("board_url, company, title, url, place, via", [("https://a.njoyn.com/x/", "Acme", "Buyer", "https://a.njoyn.com/x/xweb.asp?Page=JobDetails&Jobid=J1", "Paris", "njoyn")]),
-    "board_links": values_sql("title, url", [("Data Engineer", "https://a.fr/jobs/11-data-engineer"), ("Dev Ops H/F", "https://a.fr/jobs/12-dev-ops"), ("13 Chef De Projet", "https://a.fr/jobs/13-chef-de-projet")]),
+    "board_links": values_sql("title, url", [("Ship Cook", "https://a.fr/jobs/41-ship-cook"), ("Deck Hand H/F", "https://a.fr/jobs/42-deck-hand"), ("43 Second Mate", "https://a.fr/jobs/43-second-mate")]),
     "url_signals": values_sql("page_id, signal_id, points", [(1, "lever.hostname", 60), (3, "phenom.script_src", 45), (3, "phenom.link_href", 40), (5, "breezy.hostname", 60), (5, "bamboohr.iframe_src", 45), (6, "teamtailor.canonical", 50), (6, "recruitee.canonical", 50)]),
     "capped_scores": """WITH l AS (SELECT l_orderkey AS page_id, 'a' || (l_partkey % 3) AS ats, l_returnflag AS source, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 1000000 + l_suppkey * 100 + CAST(floor(l_quantity) AS BIGINT) AS k, CAST(floor(l_quantity) AS INTEGER) AS points FROM lineitem),
         u AS (SELECT *, least(70, coalesce(sum(points) OVER (PARTITION BY page_id, ats, source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS used FROM l),

@@ -83,7 +83,7 @@ def recover_titles(spark, sf_dir):
 
 @query
 def first_filter(spark, sf_dir):
-    return filters.first_filter(postings(spark, sf_dir), KEYWORDS, BLACKLIST, most_unjudged=3).select("doc_id", "company", "title", "url")
+    return filters.first_filter(postings(spark, sf_dir), KEYWORDS, BLACKLIST).select("doc_id", "company", "title", "url")
 
 
 @query
@@ -234,7 +234,7 @@ def generated_documents(spark, sf_dir):
 @query
 def generation_row(spark, sf_dir):
     a = analyses(spark, sf_dir)
-    return store.for_generation(jobs(spark, sf_dir), a, 2).select(F.md5("description").alias("digest"), "analysis_id", "depth_analysis")
+    return store.for_generation(jobs(spark, sf_dir), a, 1).select(F.md5("description").alias("digest"), "analysis_id", "depth_analysis")
 
 
 @query
@@ -279,8 +279,8 @@ def value_counts_top(spark, sf_dir):
 
 @query
 def mean_median(spark, sf_dir):
-    m = reports.mean_median(table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("p_size")), "p_size")
-    return m
+    m = reports.mean_median(table(spark, sf_dir, "orders"), "o_totalprice")
+    return m.select(F.round("mean", 4).alias("mean"), F.round("median", 4).alias("median"))
 
 
 @query
@@ -313,8 +313,8 @@ def non_null_counts(spark, sf_dir):
 def per_board_counts(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select(U.host_of("url").alias("board_url"), "url", "page_id")
     boards = p.select(F.col("board_url").alias("url")).distinct()
-    failed = p.where("page_id % 50 = 3").select("board_url")
-    return reports.per_board(boards, p.where("page_id % 2 = 0"), failed)
+    failed = table(spark, sf_dir, "pages").where(F.length("html") > 9000).select(U.host_of("url").alias("board_url"))
+    return reports.per_board(boards, p, failed)
 
 
 @query
