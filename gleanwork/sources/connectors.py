@@ -50,17 +50,22 @@ def feed_requests(boards: DataFrame, feed: Feed) -> DataFrame:
     return rows.withColumn("endpoint", templated(feed.endpoint, token=F.col("token")))
 
 
-def feed_pages(requests: DataFrame, fetches: DataFrame, feed: Feed) -> DataFrame:
-    """Bodies of a board's pages. Paged feeds state a total; pages follow until it is seen."""
-    bodies = fetches.where("status = 200").select(F.col("url").alias("_url"), "body")
-    first = requests.join(bodies, F.col("endpoint") == F.col("_url")).drop("_url").withColumn("offset", F.lit(0).cast("long"))
+def feed_page_urls(requests: DataFrame, fetches: DataFrame, feed: Feed) -> DataFrame:
+    """``requests`` with ``offset`` and ``_page`` of each page known so far: the first, and in paged feeds those up to the total that it states."""
+    first = requests.withColumn("offset", F.lit(0).cast("long")).withColumn("_page", F.col("endpoint"))
     if not feed.param:
         return first
+    bodies = fetches.where("status = 200").select(F.col("url").alias("_url"), "body")
     total = F.coalesce(F.try_variant_get(F.try_parse_json("body"), f"$.{feed.total}", "bigint"), F.lit(0))
-    more = first.withColumn("_last", F.least((total - 1).cast("long"), F.lit((FEED_PAGES - 1) * FEED_PAGE))).where(F.col("_last") >= FEED_PAGE)
-    more = more.withColumn("offset", F.explode(F.sequence(F.lit(FEED_PAGE), F.col("_last"), F.lit(FEED_PAGE)))).drop("_last", "body")
-    more = more.withColumn("_page", U.with_param(F.col("endpoint"), F.lit(feed.param), F.col("offset")))
-    return first.unionByName(more.join(bodies, F.col("_page") == F.col("_url")).drop("_url", "_page"))
+    more = requests.join(bodies, F.col("endpoint") == F.col("_url")).withColumn("_last", F.least((total - 1).cast("long"), F.lit((FEED_PAGES - 1) * FEED_PAGE))).where(F.col("_last") >= FEED_PAGE)
+    more = more.withColumn("offset", F.explode(F.sequence(F.lit(FEED_PAGE), F.col("_last"), F.lit(FEED_PAGE)))).drop("_last", "body", "_url")
+    return first.unionByName(more.withColumn("_page", U.with_param(F.col("endpoint"), F.lit(feed.param), F.col("offset").cast("string"))))
+
+
+def feed_pages(requests: DataFrame, fetches: DataFrame, feed: Feed) -> DataFrame:
+    """Bodies of a board's pages. Paged feeds state a total; pages follow until it is seen."""
+    bodies = fetches.where("status = 200").select(F.col("url").alias("_url"), "body")
+    return feed_page_urls(requests, fetches, feed).join(bodies, F.col("_page") == F.col("_url")).drop("_url", "_page")
 
 
 def xml_items(body: Column, tag: str, *fields: str) -> Column:
@@ -102,26 +107,42 @@ def feed_postings(boards: DataFrame, fetches: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def workday_postings(boards: DataFrame, fetches: DataFrame) -> DataFrame:
-    """Workday boards: pages of 20 by POST, up to the first short one; ``request_body`` holds the offset."""
+def workday_endpoints(boards: DataFrame) -> DataFrame:
+    """Workday boards with ``endpoint`` and the base of their postings' URLs."""
     at = U.workday_endpoint("board_url")
     rows = boards.where("ats = 'workday'").withColumn("_at", at).where("_at is not null")
     rows = rows.withColumn("endpoint", F.concat(F.col("_at.root"), F.lit("/wday/cxs/"), F.col("_at.tenant"), F.lit("/"), F.get("_at.segments", F.lit(0)), F.lit("/jobs")))
-    rows = rows.withColumn("_base", F.regexp_replace(F.regexp_extract("board_url", r"^([^?#]*)", 1), "/+$", ""))
+    return rows.withColumn("_base", F.regexp_replace(F.regexp_extract("board_url", r"^([^?#]*)", 1), "/+$", ""))
+
+
+def workday_pages(boards: DataFrame, fetches: DataFrame) -> DataFrame:
+    """Fetched pages of Workday boards with ``offset`` and ``items``, up to the first short one."""
+    rows = workday_endpoints(boards)
     posts = fetches.where("lower(method) = 'post' and status = 200").select(F.col("url").alias("_url"), F.get_json_object("request_body", "$.offset").cast("long").alias("offset"), "body")
     items = J.feed_items("body", F.lit("jobPostings"), F.lit("title"), F.lit("locationsText"), F.lit("externalPath"))
     pages = rows.join(posts, F.col("endpoint") == F.col("_url")).withColumn("items", items)
     before = Window.partitionBy("board_url").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
-    pages = pages.withColumn("_short", F.coalesce(F.max(F.size("items") < WORKDAY_PAGE).over(before), F.lit(False))).where(~F.col("_short") & (F.col("offset") < WORKDAY_PAGE * WORKDAY_PAGES))
+    short = F.coalesce(F.max(F.size("items") < WORKDAY_PAGE).over(before), F.lit(False))
+    return pages.withColumn("_short", short).where(~F.col("_short") & (F.col("offset") < WORKDAY_PAGE * WORKDAY_PAGES)).drop("_short", "_url", "body")
+
+
+def workday_postings(boards: DataFrame, fetches: DataFrame) -> DataFrame:
+    """Workday boards: pages of 20 by POST, up to the first short one; ``request_body`` holds the offset."""
+    pages = workday_pages(boards, fetches)
     jobs = pages.select("board_url", "company", "_base", F.explode("items").alias("i")).select("board_url", "company", F.trim("i.title").alias("title"), F.col("i.link").alias("_path"), F.concat("_base", "i.link").alias("url"), F.nullif(F.trim("i.place"), F.lit("")).alias("place"), F.lit("workday").alias("via"))
     return jobs.where(_filled("title", "_path")).select(*JOBS)
 
 
-def comeet_postings(boards: DataFrame, fetches: DataFrame) -> DataFrame:
-    """Comeet boards: company id and token from the page, then one JSON request."""
+def comeet_endpoints(boards: DataFrame) -> DataFrame:
+    """Comeet boards with ``endpoint``, from the company id and token in their page."""
     uid, token = F.regexp_extract("html", COMEET_UID, 1), F.regexp_extract("html", COMEET_TOKEN, 1)
     rows = boards.where("ats = 'comeet'").withColumn("_uid", uid).withColumn("_token", token).where("_uid <> '' and _token <> ''")
-    rows = rows.withColumn("endpoint", templated(COMEET_API, uid=F.col("_uid"), token=F.col("_token")))
+    return rows.withColumn("endpoint", templated(COMEET_API, uid=F.col("_uid"), token=F.col("_token")))
+
+
+def comeet_postings(boards: DataFrame, fetches: DataFrame) -> DataFrame:
+    """Comeet boards: company id and token from the page, then one JSON request."""
+    rows = comeet_endpoints(boards)
     items = J.feed_items("body", F.lit(""), F.lit("name"), F.lit("location.city"), F.lit("url_comeet_hosted_page"))
     met = rows.join(fetches.where("status = 200").select(F.col("url").alias("_url"), "body"), F.col("endpoint") == F.col("_url"))
     jobs = met.select("board_url", "company", F.explode(items).alias("i")).select("board_url", "company", "i.title", F.col("i.link").alias("url"), "i.place", F.lit("comeet").alias("via"))
@@ -146,18 +167,33 @@ def root_of(url: Column | str) -> Column:
     return F.concat(U.scheme_of(url), F.lit("://"), F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
 
 
-def wordpress_postings(boards: DataFrame, fetches: DataFrame) -> DataFrame:
-    """WordPress boards (by their page's markers): the first job-like post type, pages of 100 up to the first short one."""
-    ok = fetches.where("status = 200").select(F.col("url").alias("_url"), "body")
+def wordpress_types(boards: DataFrame) -> DataFrame:
+    """Boards whose page has WordPress marks, with the ``endpoint`` that lists their post types."""
     rows = boards.where(F.rlike(F.coalesce("html", F.lit("")), F.lit(WORDPRESS_MARKER))).withColumn("_root", root_of("board_url"))
-    types = rows.join(ok, F.concat("_root", F.lit("/wp-json/wp/v2/types")) == F.col("_url")).withColumn("_names", F.json_object_keys("body"))
+    return rows.withColumn("endpoint", F.concat("_root", F.lit("/wp-json/wp/v2/types")))
+
+
+def wordpress_pages(boards: DataFrame, fetches: DataFrame) -> DataFrame:
+    """``board_url, company, page, _page``: the pages of the first job-like post type of boards whose types were fetched."""
+    ok = fetches.where("status = 200").select(F.col("url").alias("_url"), "body")
+    types = wordpress_types(boards).join(ok, F.col("endpoint") == F.col("_url")).withColumn("_names", F.json_object_keys("body"))
     kind = F.get(F.filter("_names", lambda n: F.rlike(n, F.lit(WORDPRESS_TYPE))), F.lit(0))
     types = types.select("board_url", "company", "_root", kind.alias("_type")).where("_type is not null")
-    pages = types.withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(WORDPRESS_PAGES)))).withColumn("_page", F.concat("_root", F.lit("/wp-json/wp/v2/"), "_type", F.lit(f"?per_page={WORDPRESS_PAGE}&page="), F.col("page").cast("string")))
+    return types.withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(WORDPRESS_PAGES)))).withColumn("_page", F.concat("_root", F.lit("/wp-json/wp/v2/"), "_type", F.lit(f"?per_page={WORDPRESS_PAGE}&page="), F.col("page").cast("string")))
+
+
+def wordpress_read(boards: DataFrame, fetches: DataFrame) -> DataFrame:
+    """Fetched pages with ``items``, up to the first short one."""
+    ok = fetches.where("status = 200").select(F.col("url").alias("_url"), "body")
     items = J.feed_items("body", F.lit(""), F.lit("title.rendered"), F.lit("-"), F.lit("link"))
-    pages = pages.join(ok, F.col("_page") == F.col("_url")).withColumn("items", items)
+    pages = wordpress_pages(boards, fetches).join(ok, F.col("_page") == F.col("_url")).withColumn("items", items)
     before = Window.partitionBy("board_url").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    pages = pages.withColumn("_short", F.coalesce(F.max(F.size("items") < WORDPRESS_PAGE).over(before), F.lit(False))).where(~F.col("_short"))
+    return pages.withColumn("_short", F.coalesce(F.max(F.size("items") < WORDPRESS_PAGE).over(before), F.lit(False))).where(~F.col("_short")).drop("_short", "_url", "body")
+
+
+def wordpress_postings(boards: DataFrame, fetches: DataFrame) -> DataFrame:
+    """WordPress boards (by their page's markers): the first job-like post type, pages of 100 up to the first short one."""
+    pages = wordpress_read(boards, fetches)
     jobs = pages.select("board_url", "company", F.explode("items").alias("i")).select("board_url", "company", H.html_unescape("i.title").alias("title"), F.col("i.link").alias("url"), F.lit(None).cast("string").alias("place"), F.lit("wordpress").alias("via"))
     return jobs.where(_filled("title", "url")).select(*JOBS)
 
@@ -172,19 +208,24 @@ def nested_sitemaps(xml: Column | str) -> Column:
 
 
 def find_sitemaps(boards: DataFrame, fetches: DataFrame) -> DataFrame:
-    """``board_url, sitemap, jobs`` of boards with a sitemap of three postings or more, by a budget of four requests.
+    """``board_url, sitemap, jobs`` of boards with a sitemap of three postings or more, by a budget of four requests."""
+    return sitemap_search(boards, fetches).where("sitemap is not null").select("board_url", "sitemap", "jobs")
+
+
+def sitemap_search(boards: DataFrame, fetches: DataFrame) -> DataFrame:
+    """``board_url, sitemap, jobs, next``: what the search has found, and the first place it asks for that ``fetches`` has not.
 
     Each round takes one request of every open board: the two usual places,
     then job-like children of an index, then those robots.txt names. The loop
     has as many rounds as requests, whatever the number of boards; a board's
     queue is an array on its row.
     """
-    ok = fetches.where("status = 200").select(F.col("url").alias("_url"), "body")
+    known = fetches.groupBy(F.col("url").alias("_url")).agg(F.max(F.when(F.col("status") == 200, F.col("body"))).alias("body"))
     root = root_of("board_url")
     empty = F.array().cast("array<string>")
     rows = boards.select("board_url").distinct().withColumn("_root", root).select(
         "board_url", "_root", F.array(F.concat("_root", F.lit("/sitemap.xml")), F.concat("_root", F.lit("/sitemap_index.xml"))).alias("queue"), empty.alias("nested"), empty.alias("seen"),
-        F.lit(False).alias("robots"), F.lit(None).cast("string").alias("sitemap"), empty.alias("jobs"),
+        F.lit(False).alias("robots"), F.lit(None).cast("string").alias("sitemap"), empty.alias("jobs"), F.lit(None).cast("string").alias("next"),
     )
     for _ in range(SITEMAP_REQUESTS):
         fresh = F.array_except("queue", "seen")
@@ -192,7 +233,7 @@ def find_sitemaps(boards: DataFrame, fetches: DataFrame) -> DataFrame:
         rows = rows.withColumn("queue", F.when(F.size(fresh) > 0, fresh).otherwise(nested)).withColumn("nested", F.when(F.size(fresh) > 0, F.col("nested")).otherwise(empty))
         ask_robots = (F.size("queue") == 0) & ~F.col("robots")
         target = F.when(F.col("sitemap").isNotNull(), F.lit(None)).when(ask_robots, F.concat("_root", F.lit("/robots.txt"))).otherwise(F.get("queue", F.lit(0)))
-        rows = rows.withColumn("_ask", ask_robots).withColumn("_target", target).join(ok, F.col("_target") == F.col("_url"), "left")
+        rows = rows.withColumn("_ask", ask_robots).withColumn("_target", target).join(known, F.col("_target") == F.col("_url"), "left")
         named = F.transform(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(ROBOTS), F.lit(1)), lambda u: U.resolve(F.col("_root"), u))
         jobs = sitemap_urls(F.coalesce("body", F.lit("")))
         hit = F.col("sitemap").isNull() & ~F.col("_ask") & (F.size(jobs) >= MIN_SITEMAP_JOBS)
@@ -201,8 +242,9 @@ def find_sitemaps(boards: DataFrame, fetches: DataFrame) -> DataFrame:
             F.when(F.col("_ask"), F.col("nested")).otherwise(F.concat("nested", nested_sitemaps(F.coalesce("body", F.lit(""))))).alias("nested"),
             F.when(F.col("_target").isNull(), F.col("seen")).otherwise(F.concat("seen", F.array("_target"))).alias("seen"), (F.col("robots") | F.col("_ask")).alias("robots"),
             F.when(hit, F.col("_target")).otherwise(F.col("sitemap")).alias("sitemap"), F.when(hit, jobs).otherwise(F.col("jobs")).alias("jobs"),
+            F.coalesce("next", F.when(F.col("_url").isNull(), F.col("_target"))).alias("next"),
         )
-    return rows.where("sitemap is not null").select("board_url", "sitemap", "jobs")
+    return rows.select("board_url", "sitemap", "jobs", "next")
 
 
 def sitemap_postings(boards: DataFrame, fetches: DataFrame) -> DataFrame:

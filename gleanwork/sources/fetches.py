@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 import urllib.error
 import urllib.request
@@ -100,8 +101,8 @@ def fetch(url: str, method: str = "GET", request_body: str | None = None, max_by
 
 
 class _Part(InputPartition):
-    def __init__(self, urls: list[str]) -> None:
-        self.urls = urls
+    def __init__(self, requests: list[tuple]) -> None:
+        self.requests = requests
 
 
 class HttpPages(DataSource):
@@ -124,22 +125,25 @@ class HttpPages(DataSource):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.urls = [u.strip() for u in options.get("urls", "").split("\n") if u.strip()]
+        #: (url, method, request body) by the lines of two options: URLs, or JSON objects with these names.
+        self.requests = [(u.strip(), "GET", None) for u in options.get("urls", "").split("\n") if u.strip()]
+        posts = [json.loads(x) for x in options.get("requests", "").split("\n") if x.strip()]
+        self.requests += [(x["url"], x.get("method", "GET").upper(), x.get("request_body")) for x in posts]
         self.delay = float(options.get("delay", DELAY))
         self.max_bytes = int(options.get("max_bytes", MAX_BYTES))
         self.timeout = float(options.get("timeout", TIMEOUT))
 
     def partitions(self) -> list[InputPartition]:
-        by_host: dict[str, list[str]] = {}
-        for url in dict.fromkeys(self.urls):
-            by_host.setdefault(url.split("/")[2] if url.count("/") >= 2 else url, []).append(url)
-        return [_Part(urls) for urls in by_host.values()] or [_Part([])]
+        by_host: dict[str, list[tuple]] = {}
+        for x in dict.fromkeys(self.requests):
+            by_host.setdefault(x[0].split("/")[2] if x[0].count("/") >= 2 else x[0], []).append(x)
+        return [_Part(x) for x in by_host.values()] or [_Part([])]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        for i, url in enumerate(partition.urls):
+        for i, (url, method, body) in enumerate(partition.requests):
             if i:
                 time.sleep(self.delay)
-            yield fetch(url, max_bytes=self.max_bytes, timeout=self.timeout)
+            yield fetch(url, method, body, self.max_bytes, self.timeout)
 
 
 def register(spark: SparkSession) -> None:
@@ -148,6 +152,11 @@ def register(spark: SparkSession) -> None:
 
 def fetch_table(urls: DataFrame, column: str = "url", max_bytes: int = MAX_BYTES, delay: float = DELAY) -> DataFrame:
     """Fetch the distinct URLs of a frame, each host's in one task; a distributed form of the data source."""
+    return fetch_requests(urls.select(F.col(column).alias("url")), max_bytes, delay)
+
+
+def fetch_requests(requests: DataFrame, max_bytes: int = MAX_BYTES, delay: float = DELAY) -> DataFrame:
+    """Fetch the distinct requests of a frame (``url``, and if there ``method`` and ``request_body``), each host's in one task."""
     from gleanwork.functions.urls import host_of
 
     def run(batches):  # noqa: ANN001, ANN202
@@ -155,12 +164,15 @@ def fetch_table(urls: DataFrame, column: str = "url", max_bytes: int = MAX_BYTES
 
         for batch in batches:
             rows = []
-            for url in batch.column(0).to_pylist():
-                rows.append(fetch(url, max_bytes=max_bytes))
+            for url, method, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                rows.append(fetch(url, method, body, max_bytes))
                 time.sleep(delay)
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             kinds = {"status": pa.int32(), "redirect_chain": pa.list_(pa.string())}
             yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], kinds.get(n, pa.string())) for i, n in enumerate(names)})
 
-    wanted = urls.select(F.col(column).alias("url")).where("url is not null").distinct()
+    has = set(requests.columns)
+    method = F.upper(F.coalesce("method", F.lit("GET"))) if "method" in has else F.lit("GET")
+    body = F.col("request_body") if "request_body" in has else F.lit(None).cast("string")
+    wanted = requests.select("url", method.alias("method"), body.alias("request_body")).where("url is not null").distinct()
     return wanted.repartition(host_of("url")).mapInArrow(run, SCHEMA)
