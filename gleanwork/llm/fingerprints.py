@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanwork.llm._shared import ASCII_SPACES, materialise
+from gleanwork.operators.ranges import stretch_of
 
 SAMPLES = 64
 SEED = 11
@@ -72,22 +73,25 @@ def fingerprint_text(signature: Column) -> Column:
 def with_neighbours(docs: DataFrame) -> DataFrame:
     """``bucket, row, extra, doc_id, text, next_text`` in ascending ``doc_id`` order, each bucket in one partition.
 
-    The order is cut into buckets by arithmetic on the ids. Each bucket also
-    gets a copy of the first document of the next one (the last bucket: of the
-    first), marked ``extra``, so every document finds its follower beside it.
-    Null ids come first; equal ids are ordered by their texts' hashes.
+    The order is cut into buckets at measured quantiles of the ids and evenly
+    between them, so clustered and outlying ids have buckets of their own. Each
+    bucket also gets a copy of the first document of the next one (the last
+    bucket: of the first), marked ``extra``, so every document finds its
+    follower beside it. Null ids come first; they and equal ids are ordered by
+    their texts' hashes, and null ids are cut into buckets by these.
     """
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    low, high, n = base.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, (int(high or 0) - int(low or 0) + 1) // max(1, int(n) // BUCKET_ROWS))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long")
-    base = base.withColumn("bucket", bucket)
-    heads = base.groupBy("bucket").agg(F.min("doc_id").alias("head"))
+    nameless = F.floor(F.xxhash64("text") / F.lit(float(1 << 44))) - F.lit(1 << 21)
+    bucket = F.when(F.col("doc_id").isNull(), nameless).otherwise(stretch_of(base, "doc_id", BUCKET_ROWS))
+    base = base.withColumn("bucket", bucket.cast("long"))
+    heads = base.groupBy("bucket").agg(F.min(F.struct("doc_id", F.xxhash64("text").alias("hash"))).alias("head"))
     order = Window.orderBy("bucket")
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.coalesce(F.lag("bucket").over(order), F.last("bucket").over(everything))
-    heads = materialise(heads.select(F.col("bucket").alias("_of"), F.col("head").alias("_head"), before.alias("_to")), "fingerprint-heads")
-    extra = base.join(heads, (F.col("bucket") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_head"))).select("doc_id", "text", F.coalesce("_to", F.lit(-1)).cast("long").alias("bucket"), F.lit(1).alias("extra"))
+    heads = heads.select(F.col("bucket").alias("_of"), F.col("head.doc_id").alias("_head"), F.col("head.hash").alias("_hash"), before.alias("_to"))
+    heads = materialise(heads, "fingerprint-heads")
+    first = (F.col("bucket") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_head")) & (F.xxhash64("text") == F.col("_hash"))
+    extra = base.join(heads, first).select("doc_id", "text", F.col("_to").alias("bucket"), F.lit(1).alias("extra"))
     rows = base.withColumn("extra", F.lit(0)).unionByName(extra).repartition("bucket")
     inside = Window.partitionBy("bucket").orderBy("extra", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     rows = rows.select("*", F.row_number().over(inside).alias("row"), F.lead("text").over(inside).alias("next_text"))
