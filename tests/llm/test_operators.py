@@ -103,22 +103,6 @@ def test_fingerprints(spark, odd, empty):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
-def test_fingerprints_of_clustered_and_missing_ids(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 5)
-    ids = [*range(40), *range(10**6, 10**6 + 30), 10**15]
-    docs = [(i, prose(30, 4000 + k)) for k, i in enumerate(ids)] + [(None, prose(25, 4900 + k)) for k in range(12)]
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    buckets = fingerprints.with_neighbours(df).where("extra = 0").groupBy("bucket").count().collect()
-    assert max(r["count"] for r in buckets) <= 20 and sum(r["count"] for r in buckets) == len(docs)
-    found = fingerprints.fingerprint_documents(df).collect()
-    by_id = {r.doc_id: r for r in found if r.doc_id is not None}
-    for (a, text), (_, after) in zip(docs[:70], docs[1:71], strict=True):
-        q = len(text) // 4
-        assert by_id[a].edited_sha256 == hashlib.sha256((text[: len(text) - q] + after[:q]).encode()).hexdigest()
-    # the documents without ids follow each other once around: all edited texts differ
-    assert len({r.edited_sha256 for r in found}) == len(docs)
-
-
 def test_token_files_round_trip(spark, odd, empty):
     manifest = token_files.write_token_files(odd.repartition(3), PATH, end_id=2)
     rows = token_files.read_token_files(spark, manifest, with_ids=True).collect()
