@@ -15,7 +15,7 @@ SQL = {
     "host_of(url STRING) RETURNS STRING": r"regexp_replace(split_part(lower(regexp_replace(regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//([^/?#]*)', 1), '^.*@', '')), ':', 1), '\\.+$', '')",
     "keyword_hits(x STRING, pattern STRING) RETURNS BIGINT": "regexp_count(coalesce(x, ''), pattern)",
 }
-PYTHON = {"html_unescape": H.html_unescape, "html_to_text": H.html_to_text, "ascii_slug": J.ascii_slug, "json_walk_strings": J.json_strings, "json_first_string": J.json_first_string, "extract_page": H.extract_page}
+PYTHON = {"html_unescape": H.html_unescape, "html_to_text": H.html_to_text, "ascii_slug": J.ascii_slug, "json_walk_strings": J.json_strings, "json_first_string": J.json_first_string, "extract_page": H.extract_page, "html_table_rows": H.html_table_rows}
 
 
 @F.udtf(returnType="pos long, url string, label string, card_title string")

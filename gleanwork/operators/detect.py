@@ -218,6 +218,16 @@ def detect(pages: DataFrame, **columns: str) -> DataFrame:
     )
 
 
+def result_line() -> Column:
+    """A verdict as a line for a console."""
+    name = F.when(F.col("detected_ats").isNotNull(), F.concat("detected_ats", F.lit(": "))).otherwise(F.lit(""))
+    rivals = F.when(F.col("conflicts").isNotNull(), F.concat(F.lit(" between "), F.array_join("conflicts", " and "))).otherwise(F.lit(""))
+    figures = F.concat(F.lit(" (score "), F.col("score").cast("string"), F.lit(", confidence "), F.col("confidence").cast("string"), F.lit(")"))
+    shell = F.when(F.col("needs_rendering"), F.lit(", looks unrendered")).otherwise(F.lit(""))
+    lead = F.when(F.col("unknown_vendor").isNotNull(), F.concat(F.lit(", maybe "), F.col("unknown_vendor"))).otherwise(F.lit(""))
+    return F.concat(name, F.col("status"), rivals, figures, shell, lead)
+
+
 def with_rendered(first: DataFrame, rendered: DataFrame) -> DataFrame:
     """Verdicts of ``first``, replaced by those of rendered pages that are no longer unknown."""
     better = rendered.where("status <> 'unknown'")

@@ -98,3 +98,22 @@ def host_sample(rows: DataFrame, host: str, key: str, labelled: str, most: int,
     order = Window.partitionBy(host).orderBy(F.desc(labelled), F.md5(key), key)
     found = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
     return found.orderBy(F.desc(labelled), F.md5(key), key).limit(limit) if limit else found
+
+
+def row_at(rows: DataFrame, place: int, *order: Column | str) -> DataFrame:
+    """The row at a place (from 0) of the ordered rows; none beyond the last. Only the rows up to it leave a task."""
+    return rows.orderBy(*order).offset(place).limit(1)
+
+
+def complete(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows with a value in all of these columns."""
+    return rows.na.drop(subset=list(columns))
+
+
+def chart_spec(report: DataFrame, mark: str, x: str, y: str) -> DataFrame:
+    """One row: ``spec``, a Vega-Lite chart of a report with its rows inside. Reports are counts, bins or top rows, so the text stays small."""
+    kind = lambda name: "quantitative" if report.schema[name].dataType.typeName() in ("integer", "long", "double", "float", "short") else "nominal"
+    side = lambda name: F.struct(F.lit(name).alias("field"), F.lit(kind(name)).alias("type"))
+    values = F.array_sort(F.collect_list(F.struct(*report.columns)))
+    spec = F.struct(F.lit(mark).alias("mark"), F.struct(side(x).alias("x"), side(y).alias("y")).alias("encoding"), F.struct(values.alias("values")).alias("data"))
+    return report.agg(F.to_json(spec).alias("spec"))

@@ -186,6 +186,24 @@ def known_domains() -> list[str]:
     return sorted({d for a in ATS for d in (*a.hosts, *a.assets)})
 
 
+#: Platforms that are read by a connector of their own (see ``sources.connectors``).
+CONNECTORS = ("workday", "comeet", "njoyn")
+
+
+def platform_readers() -> list[tuple[str, str, str | None]]:
+    """``(ats, reader, endpoint)`` of each platform: its feed, its own connector, links of its posting shape, or only what reads any page."""
+    feeds = {f.ats: f.endpoint for f in FEEDS}
+
+    def reader(name: str) -> str:
+        if name in feeds:
+            return "feed"
+        if name in CONNECTORS:
+            return "connector"
+        return "links" if name in SHAPES else "general"
+
+    return [(a.name, reader(a.name), feeds.get(a.name)) for a in ATS]
+
+
 def all_rules() -> list[Rule]:
     """Every rule in firing order: of each platform its host, URL sources, structured data, own rules, text and metadata."""
     rules: list[Rule] = []

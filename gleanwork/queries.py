@@ -563,7 +563,8 @@ def reindexed_columns(spark, sf_dir):
 
 @query
 def via_counts(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy(F.col("role").alias("via")).agg(F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("role").alias("via"))
+    return reports.value_counts(rows, "via").select(F.col("label").alias("via"), "n")
 
 
 @query
@@ -576,8 +577,12 @@ def deduplicated_stream(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    from gleanwork import queries_stored
+
+    return QUERIES | queries_stored.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    from gleanwork import queries_stored
+
+    return ORACLES | queries_stored.ORACLES

@@ -56,8 +56,15 @@ def usable(fetches: DataFrame) -> DataFrame:
 
 
 def json_body(fetches: DataFrame) -> DataFrame:
-    """Add ``json`` (variant; null for bodies that do not parse)."""
-    return fetches.withColumn("json", F.try_parse_json("body"))
+    """Add ``json`` (variant; null for bodies that do not parse as one whole value).
+
+    The parser stops after the first value, so the body is read as the first of
+    two items, the second a mark: what follows the value leaves the mark out of place.
+    """
+    mark = "end of body"
+    pair = F.try_parse_json(F.concat(F.lit("["), F.col("body"), F.lit(f', "{mark}"]')))
+    whole = F.try_variant_get(pair, "$[1]", "string") == mark
+    return fetches.withColumn("json", F.when(whole, F.try_variant_get(pair, "$[0]", "variant")))
 
 
 class _Redirects(urllib.request.HTTPRedirectHandler):
