@@ -108,9 +108,13 @@ def mix_sources(
 
 
 def mix_documents(docs: DataFrame, source_col: str = "source", text_col: str = "text", key_col: str = "doc_id", **options: int) -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as often as it is taken, same columns. Sizes are words."""
+    """The mixed corpus: each row of ``docs`` as often as it is taken, same columns. Sizes are words.
+
+    Words are counted once, in the pass that writes the rows with their sizes;
+    the passes that sum sizes and draw read only slim columns of that table.
+    """
     names = docs.columns
-    sized = docs.withColumn("_words", word_count(F.col(text_col)))
+    sized = materialise(docs.withColumn("_words", word_count(F.col(text_col))), "mix-sized")
     mixed = mix_sources(sized, source_col, "_words", key_col, **options)
     mixed = mixed.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     kept = [n for n in mixed.columns if n not in ("_words", "_copy", "source_size", "target", "copies")]
