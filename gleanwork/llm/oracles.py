@@ -73,4 +73,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM base
 """
 
-ORACLES = {"op1_mix_sources": MIX, "op8_quality_rules": QUALITY, "op10_warc": WARC}
+SNAPSHOTS = """
+WITH cased AS (
+  SELECT doc_id, text, lang, source, coalesce(CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda crc, b: list_reduce(list_prepend(xor(crc, b), CAST(range(8) AS BIGINT[])),
+    lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 10 AS INTEGER), 9) AS k FROM documents
+), later AS (
+  SELECT CASE WHEN k IN (3, 4) THEN -1 - doc_id ELSE doc_id END AS id, CASE WHEN k = 1 THEN coalesce(text, '') || '+' ELSE text END AS text,
+    CASE WHEN k = 2 THEN source ELSE lang END AS lang, CASE WHEN k = 2 THEN lang WHEN k = 4 THEN NULL ELSE source END AS source FROM cased WHERE k <> 0
+  UNION ALL SELECT -1 - doc_id, text, lang, source FROM cased WHERE k = 5
+), n AS (
+  SELECT id, text, lang, source, sha256(coalesce(text, '~') || chr(10) || coalesce(lang, '~') || chr(10) || coalesce(source, '~')) AS sha FROM later
+), o AS (SELECT doc_id AS id, text, lang, source FROM documents),
+met AS (
+  SELECT n.id AS key, o.id AS old_key, concat_ws(',', CASE WHEN o.text IS DISTINCT FROM n.text THEN 'text' END,
+    CASE WHEN o.lang IS DISTINCT FROM n.lang THEN 'lang' END, CASE WHEN o.source IS DISTINCT FROM n.source THEN 'source' END) AS changed, sha
+  FROM o JOIN n ON o.id IS NOT DISTINCT FROM n.id
+), o1 AS (SELECT *, row_number() OVER (PARTITION BY text, lang, source ORDER BY id) AS i FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.id IS NOT DISTINCT FROM o.id)),
+n1 AS (SELECT *, row_number() OVER (PARTITION BY text, lang, source ORDER BY id DESC) AS i FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE n.id IS NOT DISTINCT FROM o.id))
+SELECT key, old_key, CASE WHEN changed = '' THEN 'same' ELSE 'update' END AS op, changed, sha AS row_sha256 FROM met
+UNION ALL
+SELECT coalesce(n1.id, o1.id), o1.id, CASE WHEN o1.i IS NULL THEN 'insert' WHEN n1.i IS NULL THEN 'delete' ELSE 'rekey' END, '', n1.sha
+FROM o1 FULL JOIN n1 ON o1.i = n1.i AND o1.text IS NOT DISTINCT FROM n1.text AND o1.lang IS NOT DISTINCT FROM n1.lang AND o1.source IS NOT DISTINCT FROM n1.source
+"""
+
+ORACLES = {"op12_snapshot_diff": SNAPSHOTS, "op1_mix_sources": MIX, "op8_quality_rules": QUALITY, "op10_warc": WARC}
