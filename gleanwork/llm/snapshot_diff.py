@@ -102,7 +102,7 @@ def numbered(rows: Iterator[tuple[Key, tuple]], hot: set, carry: dict) -> Iterat
 def pair_sorted(rows: RDD, sample: list[Key], n: int) -> RDD:
     """``(earlier row or None, later row or None)`` for all rows, keyed ``((group, side, order), row)``."""
     cuts, hot = cuts_of(sample, n)
-    dealt = rows.repartitionAndSortWithinPartitions(n, lambda k: bisect_right(cuts, k))
+    dealt = rows.repartitionAndSortWithinPartitions(len(cuts) + 1, lambda k: bisect_right(cuts, k))
     pairs = dealt.mapPartitions(lambda part: two_pointers(x for x in part if x[0][0] not in hot))
     if not hot:
         return pairs
