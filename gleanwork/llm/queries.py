@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.llm import bpe, compression_quality, fingerprints, lm_scoring, mixing, near_dedup, quality_rules, secret_scan, snapshot_diff, token_files, warc
+from gleanwork.llm import alignment, bpe, compression_quality, fingerprints, lm_scoring, mixing, near_dedup, quality_rules, secret_scan, snapshot_diff, token_files, warc
 from gleanwork.llm._shared import documents, materialise, word_count
 from gleanwork.llm.oracles import ORACLES
 
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +75,13 @@ def op12_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_diff.diff_snapshots(docs, snapshot_diff.later_snapshot(docs), "doc_id", ["text", "lang", "source"])
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str, path: str | None = None, pieces: str | None = None) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return alignment.align_tokenizers(docs, path or public_tokenizers.path(TOKENIZER), pieces or public_tokenizers.path(PIECES))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_mix_sources, op2_compression_quality, op3_fingerprints, op4_token_files, op5_bpe, op6_lm_scoring, op7_near_duplicates, op8_quality_rules, op9_secret_scan, op10_warc, op12_snapshot_diff]
+    own = [op1_mix_sources, op2_compression_quality, op3_fingerprints, op4_token_files, op5_bpe, op6_lm_scoring, op7_near_duplicates, op8_quality_rules, op9_secret_scan, op10_warc, op12_snapshot_diff, op13_alignment]
     return {f.__name__: f for f in own}
 
 
