@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.llm import alignment, bpe, compression_quality, fingerprints, lm_scoring, mixing, near_dedup, quality_rules, secret_scan, snapshot_diff, token_files, warc
+from gleanwork.llm import alignment, bpe, compression_quality, fingerprints, lm_scoring, mixing, near_dedup, nearest, quality_rules, secret_scan, snapshot_diff, token_files, warc
 from gleanwork.llm._shared import documents, materialise, word_count
 from gleanwork.llm.oracles import ORACLES
 
@@ -70,6 +70,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, manifest, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op12_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return snapshot_diff.diff_snapshots(docs, snapshot_diff.later_snapshot(docs), "doc_id", ["text", "lang", "source"])
@@ -81,7 +85,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str, path: str | None = None, pi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_mix_sources, op2_compression_quality, op3_fingerprints, op4_token_files, op5_bpe, op6_lm_scoring, op7_near_duplicates, op8_quality_rules, op9_secret_scan, op10_warc, op12_snapshot_diff, op13_alignment]
+    own = [op1_mix_sources, op2_compression_quality, op3_fingerprints, op4_token_files, op5_bpe, op6_lm_scoring, op7_near_duplicates, op8_quality_rules, op9_secret_scan, op10_warc, op11_nearest, op12_snapshot_diff, op13_alignment]
     return {f.__name__: f for f in own}
 
 
