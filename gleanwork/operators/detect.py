@@ -1,34 +1,19 @@
 """Platform detection: evidence from rules, capped scores, verdicts.
 
-Pages become a long table of signals. Domain rules are one hash join of host
-suffixes with the domain list; the other rules are literal predicates on one
-row for each page. No page meets a rule in a cross product.
+Pages become rows of signals, from one parse or from a store, and these probes
+that meet the rules' keys in one hash join (see ``rules``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanwork.functions.html import extract_page
-from gleanwork.functions.urls import host_of, host_suffixes, normal_host, path_of, query_values, registrable
-from gleanwork.plans.registry import ASSET_MARKERS, ATS, ATS_CAP, INDEX, INFRA, OWNED_HOSTS, SOURCE_CAP, URL_SOURCES, Rule, all_rules, known_domains
-
-URL_COLUMNS = {
-    "redirect": "redirect_chain", "canonical": "canonical_urls", "script_src": "script_srcs", "iframe_src": "iframe_srcs",
-    "form_action": "form_actions", "link_href": "link_hrefs", "anchor": "anchor_urls", "script_url": "script_urls",
-}
-VENDOR_COLUMNS = ("script_srcs", "iframe_srcs", "form_actions", "link_hrefs", "canonical_urls")
-TEXT_PREVIEW, URL_PREVIEW, META_PREVIEW = 200, 160, 120
-
-
-def rules_table(spark: SparkSession) -> DataFrame:
-    """A row for each rule: ``rule_idx, ats, ats_idx, signal_id, source, points, tier``."""
-    rows = [(i, r.ats, INDEX[r.ats], r.signal_id, r.source, r.points, r.tier) for i, r in enumerate(all_rules())]
-    return spark.createDataFrame(rows, "rule_idx int, ats string, ats_idx int, signal_id string, source string, points int, tier int")
+from gleanwork.functions.urls import host_of, host_suffixes, normal_host, path_of, query_values
+from gleanwork.operators import rules
+from gleanwork.plans.registry import ASSET_MARKERS, ATS, ATS_CAP, INFRA, OWNED_HOSTS, SOURCE_CAP, known_domains
+from gleanwork.sources.shared import materialise
 
 
 def domains_table(spark: SparkSession) -> DataFrame:
@@ -44,88 +29,9 @@ def extract_signals(pages: DataFrame, page_id: str = "page_id", url: str = "url"
     return page.select("page_id", "url", "html", "redirect_chain", normal_host(host_of("url")).alias("host"), F.lower(path_of("url")).alias("path"), query_values("url").alias("query"), "p.*")
 
 
-def url_evidence(signals: DataFrame) -> DataFrame:
-    """Vendor domains in URL sources: enough distinct URLs of another host than the page's."""
-    spark = signals.sparkSession
-    sources = F.array(*[F.struct(F.lit(s).alias("source"), F.col(c).alias("urls")) for s, c in URL_COLUMNS.items()])
-    urls = signals.select("page_id", F.col("host").alias("page_host"), F.explode(sources).alias("s")).select("page_id", "page_host", "s.source", F.posexplode(F.array_distinct("s.urls")).alias("pos", "url"))
-    urls = urls.withColumn("host", host_of("url")).where("host <> '' and host <> page_host")
-    met = urls.select("page_id", "source", "pos", "url", F.explode(host_suffixes("host")).alias("domain")).join(F.broadcast(domains_table(spark)), "domain")
-    hits = met.groupBy("page_id", "ats", "source").agg(F.array_sort(F.collect_set(F.struct("pos", "url"))).alias("hits"))
-    needed = F.create_map(*[x for s, (_, _, n) in URL_SOURCES.items() for x in (F.lit(s), F.lit(n))])[F.col("source")]
-    enough = hits.withColumn("needed", needed).where(F.size("hits") >= F.col("needed"))
-    matched = F.array_min(F.transform(F.slice("hits", F.lit(1), F.col("needed")), lambda x: x["url"]))
-    return enough.select("page_id", F.concat_ws(".", "ats", "source").alias("signal_id"), matched.alias("matched"))
-
-
-def host_evidence(signals: DataFrame) -> DataFrame:
-    met = signals.select("page_id", "host", F.explode(host_suffixes("host")).alias("domain")).join(F.broadcast(domains_table(signals.sparkSession).where("is_host")), "domain")
-    return met.groupBy("page_id", "ats").agg(F.first("host").alias("matched")).select("page_id", F.concat(F.col("ats"), F.lit(".hostname")).alias("signal_id"), "matched")
-
-
-def jsonld_evidence(signals: DataFrame) -> DataFrame:
-    strings = signals.select("page_id", F.posexplode("jsonld_strings").alias("pos", "value")).where(F.contains(F.col("value"), F.lit("//")))
-    met = strings.select("page_id", "pos", "value", F.explode(host_suffixes(host_of("value"))).alias("domain")).join(F.broadcast(domains_table(signals.sparkSession)), "domain")
-    first = met.groupBy("page_id", "ats").agg(F.min_by("value", "pos").alias("value"))
-    return first.select("page_id", F.concat(F.col("ats"), F.lit(".jsonld")).alias("signal_id"), F.substring("value", 1, URL_PREVIEW).alias("matched"))
-
-
-def _text_match(column: str, needle: str) -> Column:
-    return F.when(F.contains(F.lower(column), F.lit(needle.lower())), F.lit(needle))
-
-
-def _names(term: str) -> Callable[[Column], Column]:
-    return lambda entry: F.contains(F.lower(F.concat(entry["key"], F.lit(" "), entry["value"])), F.lit(term.lower()))
-
-
-def rule_match(rule: Rule) -> Column:
-    """What a rule matched on a page's row of signals; null if it does not fire."""
-    if rule.kind == "path":
-        found = F.nullif(F.regexp_extract("path", f"(?i){rule.what}", 0), F.lit(""))
-    elif rule.kind == "query":
-        values = F.coalesce(F.col("query")[rule.what.lower()], F.array().cast("array<string>"))
-        if rule.value:
-            values = F.filter(values, lambda v: F.rlike(v, F.lit(f"^(?i)(?:{rule.value})$")))
-        found = F.when(F.size(values) > 0, F.concat(F.lit(f"{rule.what}="), F.get(values, F.lit(0))))
-    elif rule.kind in ("text", "html"):
-        found = _text_match("html" if rule.kind == "html" else rule.source, rule.what)
-    elif rule.kind == "url":
-        found = F.get(F.filter(URL_COLUMNS[rule.source], lambda u: F.contains(F.lower(u), F.lit(rule.what.lower()))), F.lit(0))
-    elif rule.kind in ("class", "id"):
-        found = F.when(F.array_contains("classes" if rule.kind == "class" else "ids", rule.what.lower()), F.lit(rule.what))
-    elif rule.kind == "data":
-        values = F.col("data_attrs")[rule.what.lower()]
-        if rule.value:
-            hit = F.get(F.filter(values, lambda v: F.rlike(v, F.lit(f"(?i){rule.value}"))), F.lit(0))
-            found = F.concat(F.lit(f"{rule.what}="), hit)
-        else:
-            found = F.when(values.isNotNull(), F.lit(rule.what))
-    elif rule.kind == "terms":
-        found = F.coalesce(*[_text_match("text", t) for t in rule.what.split("\n")])
-    elif rule.kind == "meta":
-        entries = F.map_entries("meta")
-        hits = [F.get(F.filter(entries, _names(t)), F.lit(0)) for t in rule.what.split("\n")]
-        first = F.coalesce(*hits)
-        found = F.substring(F.concat(first["key"], F.lit("="), first["value"]), 1, META_PREVIEW)
-    else:
-        raise ValueError(rule.kind)
-    return F.when(F.array_contains("host_ats", rule.ats), found) if rule.gated else found
-
-
-def page_evidence(signals: DataFrame) -> DataFrame:
-    """Rules on the page's own row: path, query, text, classes, attributes, metadata."""
-    own = [r for r in all_rules() if r.kind not in ("hostname", "domain", "jsonld")]
-    owners = host_evidence(signals).groupBy("page_id").agg(F.collect_set(F.split_part("signal_id", F.lit("."), F.lit(1))).alias("host_ats"))
-    signals = signals.join(owners, "page_id", "left").withColumn("host_ats", F.coalesce("host_ats", F.array().cast("array<string>")))
-    fired = F.array(*[F.struct(F.lit(r.signal_id).alias("signal_id"), rule_match(r).alias("matched")) for r in own])
-    return signals.select("page_id", F.explode(F.filter(fired, lambda x: x["matched"].isNotNull() & (x["matched"] != ""))).alias("x")).select("page_id", "x.*")
-
-
 def fired_rules(signals: DataFrame) -> DataFrame:
     """``page_id`` with the columns of the rules that fired and what they matched."""
-    found = reduce(DataFrame.unionByName, [f(signals) for f in (host_evidence, url_evidence, jsonld_evidence, page_evidence)])
-    rules = F.broadcast(rules_table(signals.sparkSession))  # 379 rows
-    return found.join(rules, "signal_id").withColumn("matched", F.substring("matched", 1, TEXT_PREVIEW))
+    return rules.fired(rules.met_keys(signals))
 
 
 def capped_points(fired: DataFrame, page: str = "page_id", cap: int = SOURCE_CAP) -> DataFrame:
@@ -186,14 +92,15 @@ def is_infra(host: Column) -> Column:
     return below_any(host, [m for m in INFRA if "." in m]) | F.rlike(host, F.lit(plain))
 
 
-def unknown_vendors(signals: DataFrame) -> DataFrame:
-    """``page_id, unknown_vendor``: the third-party domain of most distinct URLs (two at least), ties by name."""
-    urls = signals.select("page_id", F.col("host").alias("page_host"), F.explode(F.array_distinct(F.flatten(F.array(*VENDOR_COLUMNS)))).alias("url")).withColumn("host", host_of("url"))
-    urls = urls.where("host <> '' and host <> page_host").where(~F.col("host").endswith(F.concat(F.lit("."), F.col("page_host"))))
+def leading_vendors(met: DataFrame) -> DataFrame:
+    """``page_id, unknown_vendor`` of the probes of other sites: the domain of most distinct URLs (two at least), ties by name.
+
+    Hosts of infrastructure and of known platforms are left out.
+    """
+    urls = met.where(F.col("kind") == rules.VENDOR).select("page_id", F.col("key").alias("host"), F.col("value").alias("domain"), "pos")
     urls = urls.where(~is_infra(F.col("host")) & ~below_any(F.col("host"), known_domains()))
-    counts = urls.groupBy("page_id", registrable("host").alias("domain")).agg(F.countDistinct("url").alias("n")).where("n >= 2")
-    order = Window.partitionBy("page_id").orderBy(F.desc("n"), "domain")
-    return counts.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("page_id", F.col("domain").alias("unknown_vendor"))
+    counts = urls.groupBy("page_id", "domain").agg(F.countDistinct("pos").alias("n")).where("n >= 2")
+    return counts.groupBy("page_id").agg(F.min(F.struct(-F.col("n"), F.col("domain").alias("d"))).alias("m")).select("page_id", F.col("m.d").alias("unknown_vendor"))
 
 
 def looks_unrendered() -> Column:
@@ -202,19 +109,27 @@ def looks_unrendered() -> Column:
 
 
 def detect(pages: DataFrame, **columns: str) -> DataFrame:
-    """Verdict of each page; pages without evidence are unknown with score 0.
+    """Verdict of each page; pages without evidence are unknown with score 0. See ``detect_signals``."""
+    return detect_signals(extract_signals(pages, **columns))
+
+
+def detect_signals(signals: DataFrame) -> DataFrame:
+    """Verdict of each page from its signals, parsed now or stored.
 
-    The signals are kept while the session lasts, as every kind of rule reads
-    them and a page should be parsed once; a lost part is parsed again.
+    Signals are read once: what meets a rule, and a row with the flags of each
+    page, is written to the shared folder, and all further steps read these
+    slim rows. Rows of one ``page_id`` count as one page.
     """
-    signals = extract_signals(pages, **columns).persist()
-    found = verdicts(scores(capped_points(fired_rules(signals))))
-    leads = unknown_vendors(signals)
-    rows = signals.select("page_id", "is_job_page", looks_unrendered().alias("_shell")).join(found, "page_id", "left").join(leads, "page_id", "left")
+    flags = {"job": F.col("is_job_page"), "shell": looks_unrendered()}
+    met = materialise(rules.met_keys(signals, rules.page_probes(flags)).drop("check", "label", "shows"), "met-rules")
+    found = verdicts(scores(capped_points(rules.fired(met))))
+    has = lambda flag: F.max(F.array_contains(F.split("value", ","), flag))
+    rows = met.where(F.col("kind") == rules.PAGE).groupBy("page_id").agg(has("job").alias("is_job_page"), has("shell").alias("shell"))
+    rows = rows.join(found, "page_id", "left").join(leading_vendors(met), "page_id", "left")
     status = F.coalesce("status", F.lit("unknown"))
     return rows.select(
         "page_id", "detected_ats", status.alias("status"), F.coalesce("score", F.lit(0)).cast("long").alias("score"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-        "conflicts", "is_job_page", (F.coalesce("_shell", F.lit(False)) & (status == "unknown")).alias("needs_rendering"), F.when(status == "unknown", F.col("unknown_vendor")).alias("unknown_vendor"),
+        "conflicts", "is_job_page", (F.col("shell") & (status == "unknown")).alias("needs_rendering"), F.when(status == "unknown", F.col("unknown_vendor")).alias("unknown_vendor"),
     )
 
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +18,7 @@ from gleanwork.operators import details, diagnose, documents, filters, reports,
 from gleanwork.oracles import ORACLES
 from gleanwork.plans.registry import FEEDS
 from gleanwork.sources import connectors as C
+from gleanwork.sources.shared import new_folder
 from gleanwork.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,8 +61,7 @@ def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_folder(spark: SparkSession) -> str:
     """A new folder that the driver and the executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or 'file://' + tempfile.mkdtemp(prefix='gleanwork-')}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 @query
