@@ -5,35 +5,35 @@ from __future__ import annotations
 import json
 
 TITLES = [
-    ("https://talent.example/fr/emplois/ingenieur-qualite/55120", "Ingenieur Qualite"),
-    ("https://talent.example/offres/7zk2mm9qp4-chargee-de-paie-h-f/", "Chargee De Paie H F"),
-    ("https://talent.example/nl/jobs/planner-%7C-haven/30412", "Planner | Haven"),
-    ("https://talent.example/jobs/ma%C3%AEtre-nageur/118", "Maître Nageur"),
-    ("https://talent.example/jobs/junior-rust-engineer.html", "Junior Rust Engineer"),
-    ("https://talent.example/jobs/night-auditor", "Night Auditor"),
-    ("https://talent.example/pastry-chef", "Pastry Chef"),
-    ("https://talent.example/careers/site_supervisor_m_w", "Site Supervisor M W"),
-    ("https://hire.example/jobs/509177-acheteur-textile", "Acheteur Textile"),
-    ("https://hire.example/jobs/principal_tax_lawyer/", "Principal Tax Lawyer"),
-    ("https://hire.example/carrieres/soudeur-tig.html", "Soudeur Tig"),
-    ("https://hire.example/jobs/agent-de-quai.aspx", "Agent De Quai"),
-    ("https://hire.example/jobs/90210", ""),
-    ("https://hire.example/job/7", ""),
-    ("https://hire.example/", ""),
-    ("https://hire.example", ""),
+    ("https://orchard.example/fr/emplois/ingenieur-qualite/55120", "Ingenieur Qualite"),
+    ("https://orchard.example/offres/7zk2mm9qp4-chargee-de-paie-h-f/", "Chargee De Paie H F"),
+    ("https://orchard.example/nl/jobs/planner-%7C-haven/30412", "Planner | Haven"),
+    ("https://orchard.example/jobs/ma%C3%AEtre-nageur/118", "Maître Nageur"),
+    ("https://orchard.example/jobs/junior-rust-engineer.html", "Junior Rust Engineer"),
+    ("https://orchard.example/jobs/night-auditor", "Night Auditor"),
+    ("https://orchard.example/pastry-chef", "Pastry Chef"),
+    ("https://orchard.example/careers/site_supervisor_m_w", "Site Supervisor M W"),
+    ("https://orchard.example/jobs/509177-acheteur-textile", "Acheteur Textile"),
+    ("https://orchard.example/jobs/principal_tax_lawyer/", "Principal Tax Lawyer"),
+    ("https://orchard.example/carrieres/soudeur-tig.html", "Soudeur Tig"),
+    ("https://orchard.example/jobs/agent-de-quai.aspx", "Agent De Quai"),
+    ("https://orchard.example/jobs/90210", ""),
+    ("https://orchard.example/job/7", ""),
+    ("https://orchard.example/", ""),
+    ("https://orchard.example", ""),
 ]
 POSTING_PATHS = [
-    ("/jobs/5512-regisseur-son", True), ("/emplois/plombier-chauffagiste", True), ("/offre-emploi/88-monteur-cable", True), ("/offres-demploi/juriste-social", True),
-    ("/offres-d-emploi/gardien-de-nuit", True), ("/nos-offres/libraire-jeunesse", True), ("/de/nos-offres-emploi/31-9-2-controleur", True),
-    ("/fr/espace/carrieres/technicien-froid-h-f", True), ("/fr/espace/carrieres/91b7c0aa-12f3-4c55-9e0d-7a6b5c4d3e2f", True),
-    ("/career-paths/ten-tips", False), ("/jobs-newsletter/spring", False), ("/offres-demploi/", False), ("/press/kit", False),
-    ("/emplois/", False), ("/carrieres/", False), ("/nos-offres/", False),
+    ("/orchard/jobs/5512-regisseur-son", True), ("/orchard/emplois/plombier-chauffagiste", True), ("/orchard/offre-emploi/88-monteur-cable", True), ("/orchard/offres-demploi/juriste-social", True),
+    ("/orchard/offres-d-emploi/gardien-de-nuit", True), ("/orchard/nos-offres/libraire-jeunesse", True), ("/orchard/de/nos-offres-emploi/31-9-2-controleur", True),
+    ("/orchard/fr/espace/carrieres/technicien-froid-h-f", True), ("/orchard/fr/espace/carrieres/91b7c0aa-12f3-4c55-9e0d-7a6b5c4d3e2f", True),
+    ("/orchard/career-paths/ten-tips", False), ("/orchard/jobs-newsletter/spring", False), ("/orchard/offres-demploi/", False), ("/orchard/press/kit", False),
+    ("/orchard/emplois/", False), ("/orchard/carrieres/", False), ("/orchard/nos-offres/", False),
 ]
 SHAPED = [
-    ("teamtailor", "https://hire.example/jobs/440-baker", True), ("teamtailor", "https://hire.example/jobs/baker", False), ("icims", "https://hire.example/jobs/31/baker/job", True),
-    ("breezy", "https://hire.example/p/7c1d", True), ("bamboohr", "https://hire.example/careers/52", True), ("personio", "https://hire.example/job/901", True), ("personio", "https://hire.example/press", False),
-    ("pinpoint", "https://hire.example/jobs/63/", True), ("pinpoint", "https://hire.example/jobs/63?ref=mail", False), ("radancy", "https://hire.example/job/oslo/baker/71/804", True), ("radancy", "https://hire.example/job/oslo/baker/71/all", False),
-    ("njoyn", "https://hire.example/cl/xweb/xweb.asp?clid=9&Page=JobDetails&Jobid=B-3", True), ("njoyn", "https://hire.example/cl/xweb/xweb.asp?Page=Search", False),
+    ("teamtailor", "https://orchard.example/jobs/440-baker", True), ("teamtailor", "https://orchard.example/jobs/baker", False), ("icims", "https://orchard.example/jobs/31/baker/job", True),
+    ("breezy", "https://orchard.example/p/7c1d", True), ("bamboohr", "https://orchard.example/careers/52", True), ("personio", "https://orchard.example/job/901", True), ("personio", "https://orchard.example/press", False),
+    ("pinpoint", "https://orchard.example/jobs/63/", True), ("pinpoint", "https://orchard.example/jobs/63?ref=mail", False), ("radancy", "https://orchard.example/job/oslo/baker/71/804", True), ("radancy", "https://orchard.example/job/oslo/baker/71/all", False),
+    ("njoyn", "https://orchard.example/cl/xweb/xweb.asp?clid=9&Page=JobDetails&Jobid=B-3", True), ("njoyn", "https://orchard.example/cl/xweb/xweb.asp?Page=Search", False),
 ]
 HOSTS = [
     ("https://lumen.jobs.personio.de/", "personio"), ("https://orchard.breezy.hr/", "breezy"), ("https://orchard.wd12.myworkdayjobs.com/open", "workday"),
@@ -42,7 +42,7 @@ HOSTS = [
 REASONS = [
     ("no job-shaped links (14 anchors, 3 scripts)", "no job-shaped links", 14.0, 3.0, None, None),
     ('likely javascript-rendered (2 anchors, 40 scripts, id="root")', "likely javascript-rendered", 2.0, 40.0, 'id="root"', None),
-    ("no links on the page (0 anchors, 7 scripts) (redirected to https://hire.example/login?next=%2F)", "no links on the page", 0.0, 7.0, None, "https://hire.example/login?next=%2F"),
+    ("no links on the page (0 anchors, 7 scripts) (redirected to https://orchard.example/login?next=%2F)", "no links on the page", 0.0, 7.0, None, "https://orchard.example/login?next=%2F"),
     ("fetch failed: ReadTimeout", "fetch failed: ReadTimeout", None, None, None, None),
 ]
 TOKENS = [
@@ -51,8 +51,8 @@ TOKENS = [
     ("recruitee", "https://lumen.recruitee.com", "lumen"), ("workable", "https://apply.workable.com/harbour-co/", "harbour-co"),
 ]
 FIRST_STRINGS = [
-    (json.dumps({"x": " ", "y": "", "z": "Oslo"}), "", "Oslo"), ("[]", "", None), (json.dumps({"site": {"town": "Turku"}}), "site.town", "Turku"), (json.dumps({"site": [{"town": "Turku"}]}), "site.town", "Turku"),
-    (json.dumps({"site": {}}), "site.town.zip", None), (json.dumps({"site": "plain"}), "site.town", None), (json.dumps("Bergen"), "", "Bergen"), (json.dumps({"label": "Bergen"}), "", "Bergen"),
+    (json.dumps({"x": " ", "y": "", "z": "Oslo"}), "", "Oslo"), ("[]", "", None), (json.dumps({"site": {"town": "orchard"}}), "site.town", "orchard"), (json.dumps({"site": [{"town": "orchard"}]}), "site.town", "orchard"),
+    (json.dumps({"site": {}}), "site.town.zip", None), (json.dumps({"site": "plain"}), "site.town", None), (json.dumps("orchard"), "", "orchard"), (json.dumps({"label": "orchard"}), "", "orchard"),
     (json.dumps([{"town": "Malmö"}]), "", "Malmö"), ("{broken", "", None), (json.dumps({"floor": 12}), "", None),
 ]
 WORKDAY_URLS = [
@@ -61,30 +61,30 @@ WORKDAY_URLS = [
     ("https://orchard.wd12.myworkdayjobs.com/", None),
 ]
 JOINS = [
-    ("https://x.com/a/b?q=1", "c", "https://x.com/a/c"), ("https://x.com/a/b", "/c", "https://x.com/c"), ("https://x.com/a/b", "//y.com/c", "https://y.com/c"),
-    ("https://x.com/a/b", "?p=2", "https://x.com/a/b?p=2"), ("https://x.com/a/b", "#f", "https://x.com/a/b#f"), ("https://x.com/a/", "../c", "https://x.com/c"), ("https://x.com/a", "http://z.com/", "http://z.com/"),
+    ("https://orchard.com/a/b?q=1", "c", "https://orchard.com/a/c"), ("https://orchard.com/a/b", "/c", "https://orchard.com/c"), ("https://orchard.com/a/b", "//y.com/c", "https://y.com/c"),
+    ("https://orchard.com/a/b", "?p=2", "https://orchard.com/a/b?p=2"), ("https://orchard.com/a/b", "#f", "https://orchard.com/a/b#f"), ("https://orchard.com/a/", "../c", "https://orchard.com/c"), ("https://orchard.com/a", "http://z.com/", "http://z.com/"),
 ]
-SLUGS = [("Møbel & Træ", "Mbel_Tr"), ("Crème brûlée - Lab", "Creme_brulee_Lab"), ("", ""), ("東京", "")]
-XML = "<jobs><job><title>Bake &amp; Serve</title><city> Oslo </city><url>https://a/1</url></job><job><title><![CDATA[Cook <2>]]></title><url>https://a/2</url></job></jobs>"
-SITEMAP = "".join(f"<url><loc> {u} </loc></url>" for u in ("https://a.fr/jobs/1-dev", "https://a.fr/about", "https://a.fr/jobs/2-ops", "https://a.fr/jobs/1-dev", "https://a.fr/jobs/333"))
+SLUGS = [("Møbel & Træ orchard", "Mbel_Tr_orchard"), ("Crème brûlée - orchard", "Creme_brulee_orchard"), ("", ""), ("東京", "")]
+XML = "<jobs><job><title>Bake &amp; Serve</title><city> Oslo </city><url>https://orchard/1</url></job><job><title><![CDATA[Cook <2>]]></title><url>https://orchard/2</url></job></jobs>"
+SITEMAP = "".join(f"<url><loc> {u} </loc></url>" for u in ("https://orchard.fr/jobs/1-dev", "https://orchard.fr/about", "https://orchard.fr/jobs/2-ops", "https://orchard.fr/jobs/1-dev", "https://orchard.fr/jobs/333"))
 FETCHES = [
-    ("https://a.fr/sitemap.xml", SITEMAP),
-    ("https://b.fr/sitemap_index.xml", "<loc>https://b.fr/sm-jobs.xml</loc><loc>https://b.fr/sm-stores.xml</loc>"),
-    ("https://b.fr/sm-jobs.xml", SITEMAP.replace("a.fr", "b.fr")),
-    ("https://c.fr/robots.txt", "User-agent: *\nSitemap: https://c.fr/maps/all.xml\n"),
-    ("https://c.fr/maps/all.xml", SITEMAP.replace("a.fr", "c.fr")),
-    ("https://d.fr/sitemap.xml", "<loc>https://d.fr/jobs/1-dev</loc>"),
+    ("https://a.orchard.fr/sitemap.xml", SITEMAP),
+    ("https://b.orchard.fr/sitemap_index.xml", "<loc>https://b.orchard.fr/sm-jobs.xml</loc><loc>https://b.orchard.fr/sm-stores.xml</loc>"),
+    ("https://b.orchard.fr/sm-jobs.xml", SITEMAP),
+    ("https://c.orchard.fr/robots.txt", "User-agent: *\nSitemap: https://c.orchard.fr/maps/all.xml\n"),
+    ("https://c.orchard.fr/maps/all.xml", SITEMAP),
+    ("https://d.orchard.fr/sitemap.xml", "<loc>https://d.orchard.fr/jobs/1-dev</loc>"),
 ]
 JSONLD_PAGE = (
     '<html><head><script type="application/ld+json">{"@graph":[{"@type":"JobPosting","title":"Ship Cook","description":"&lt;p&gt;Fish &amp;amp; bread&lt;/p&gt;",'
-    '"hiringOrganization":{"name":"Harbour Line"},"jobLocation":[{"address":{"addressLocality":"Bergen"}}]}]}</script></head><body><nav>Menu</nav><h1>Other</h1></body></html>'
+    '"hiringOrganization":{"name":"orchard Line"},"jobLocation":[{"address":{"addressLocality":"Bergen"}}]}]}</script></head><body><nav>Menu</nav><h1>Other</h1></body></html>'
 )
 DETAIL_PAGES = [
-    ("https://p/1", JSONLD_PAGE, "jsonld", "Ship Cook", "Fish & bread", "Bergen"),
-    ("https://p/2", '<body><nav>Menu</nav><main><nav>x</nav>Missions.<footer>f</footer></main></body>', "main", "Row title", "Missions.", "Row place"),
-    ("https://p/3", '<head><meta property="og:title" content="Og"></head><body><h1>H</h1><div role="main">Text</div></body>', "main", "Og", "Text", "Row place"),
-    ("https://p/4", "<body><header>Top</header><h1>Head</h1><p>Body text</p><script>x()</script></body>", "body", "Head", "Head\nBody text", "Row place"),
-    ("https://p/5", None, "none", "Row title", "", "Row place"),
+    ("https://orchard/1", JSONLD_PAGE, "jsonld", "Ship Cook", "Fish & bread", "Bergen"),
+    ("https://orchard/2", '<body><nav>Menu</nav><main><nav>x</nav>Missions.<footer>f</footer></main></body>', "main", "Row title", "Missions.", "Row place"),
+    ("https://orchard/3", '<head><meta property="og:title" content="Og"></head><body><h1>H</h1><div role="main">Text</div></body>', "main", "Og", "Text", "Row place"),
+    ("https://orchard/4", "<body><header>Top</header><h1>Head</h1><p>Body text</p><script>x()</script></body>", "body", "Head", "Head\nBody text", "Row place"),
+    ("https://orchard/5", None, "none", "Row title", "", "Row place"),
 ]
 NJOYN_PAGE = (
     "<table><tr><td>layout</td></tr></table><table><tr><th>Job ID</th><th>City</th><th>Title</th></tr>"
@@ -108,7 +108,7 @@ CV = {
     "skills": [{"competence": "Deck", "skills": ["Knots", "Charts", "Radar"]}, {"competence": "Radio", "skills": ["Morse"]}],
     "experiences": [
         {"role": "Second Mate", "company": "Harbour Line", "location": "Bergen, Norway", "start_date": "May, 2019", "end_date": "June, 2023", "bullets": ["Kept watch"]},
-        {"role": "Deckhand", "company": "Orchard Ferries", "location": "Turku, Finland", "start_date": "March, 2016", "end_date": "May, 2019", "bullets": ["Moored", "Painted"]},
+        {"role": "Deckhand", "company": "orchard Ferries", "location": "Turku, Finland", "start_date": "March, 2016", "end_date": "May, 2019", "bullets": ["Moored", "Painted"]},
     ],
     "education": [
         {"diploma": "Mate licence", "institution": "Sea School", "location": "Oslo", "period": "2015", "degree": "Navigation", "details": " "},
@@ -118,7 +118,7 @@ CV = {
 CV_LINES = [
     ("CV_INTRODUCTION", 0, "", "Twelve years at sea", True), ("PROFILE_TEXT", 0, "", "Calm in storms", True), ("SKILLS_LIST_TEXT", 0, "Deck: ", "Knots, Charts, Radar", True), ("SKILLS_LIST_TEXT", 1, "Radio: ", "Morse", True),
     ("EXPERIENCES_PLACEHOLDER", 0, "Second Mate - Harbour Line", ", Bergen, Norway (May, 2019 - June, 2023)", False), ("EXPERIENCES_PLACEHOLDER", 1, "", "• Kept watch", True),
-    ("EXPERIENCES_PLACEHOLDER", 2, "Deckhand - Orchard Ferries", ", Turku, Finland (March, 2016 - May, 2019)", False), ("EXPERIENCES_PLACEHOLDER", 3, "", "• Moored", False), ("EXPERIENCES_PLACEHOLDER", 4, "", "• Painted", True),
+    ("EXPERIENCES_PLACEHOLDER", 2, "Deckhand - orchard Ferries", ", Turku, Finland (March, 2016 - May, 2019)", False), ("EXPERIENCES_PLACEHOLDER", 3, "", "• Moored", False), ("EXPERIENCES_PLACEHOLDER", 4, "", "• Painted", True),
     ("EDUCATION_PLACEHOLDER", 0, "Mate licence - Sea School", ", Oslo (2015)", False), ("EDUCATION_PLACEHOLDER", 1, "", "Navigation", True),
     ("EDUCATION_PLACEHOLDER", 2, "Radio licence - Coast College", ", Malmö (2014)", False), ("EDUCATION_PLACEHOLDER", 3, "", "Signals", False), ("EDUCATION_PLACEHOLDER", 4, "", "Night classes", True),
 ]
@@ -148,21 +148,25 @@ RULE_PAGES = [
 ]
 #: One board of each feed: platform, board, request, body, and the posting it gives.
 FEED_BOARDS = [
-    ("greenhouse", "https://boards.greenhouse.io/orchard", "https://boards-api.greenhouse.io/v1/boards/orchard/jobs", '{"jobs": [{"title": " Cook ", "location": {"name": "Oslo"}, "absolute_url": "https://g/1"}]}', "Cook", "Oslo", "https://g/1"),
-    ("lever", "https://jobs.lever.co/orchard", "https://api.lever.co/v0/postings/orchard?mode=json", '[{"text": "Mate", "categories": {"location": "Turku"}, "hostedUrl": "https://l/1"}]', "Mate", "Turku", "https://l/1"),
-    ("ashby", "https://jobs.ashbyhq.com/orchard", "https://api.ashbyhq.com/posting-api/job-board/orchard", '{"jobs": [{"title": "Pilot", "location": "Bergen", "jobUrl": "https://a/1"}]}', "Pilot", "Bergen", "https://a/1"),
-    ("recruitee", "https://orchard.recruitee.com/", "https://orchard.recruitee.com/api/offers/", '{"offers": [{"title": "Clerk", "location": "Riga", "careers_url": "https://r/1"}, {"title": "", "careers_url": "https://r/2"}]}', "Clerk", "Riga", "https://r/1"),
-    ("workable", "https://apply.workable.com/orchard/", "https://apply.workable.com/api/v1/widget/accounts/orchard?details=true", '{"jobs": [{"title": "Baker", "city": "Gdansk", "url": "https://w/1"}]}', "Baker", "Gdansk", "https://w/1"),
+    ("greenhouse", "https://boards.greenhouse.io/orchard", "https://boards-api.greenhouse.io/v1/boards/orchard/jobs", '{"jobs": [{"title": " Cook ", "location": {"name": "Oslo"}, "absolute_url": "https://g.orchard/1"}]}', "Cook", "Oslo", "https://g.orchard/1"),
+    ("lever", "https://jobs.lever.co/orchard", "https://api.lever.co/v0/postings/orchard?mode=json", '[{"text": "Mate", "categories": {"location": "Turku"}, "hostedUrl": "https://l.orchard/1"}]', "Mate", "Turku", "https://l.orchard/1"),
+    ("ashby", "https://jobs.ashbyhq.com/orchard", "https://api.ashbyhq.com/posting-api/job-board/orchard", '{"jobs": [{"title": "Pilot", "location": "Bergen", "jobUrl": "https://a.orchard/1"}]}', "Pilot", "Bergen", "https://a.orchard/1"),
+    ("recruitee", "https://orchard.recruitee.com/", "https://orchard.recruitee.com/api/offers/", '{"offers": [{"title": "Clerk", "location": "Riga", "careers_url": "https://r.orchard/1"}, {"title": "", "careers_url": "https://r.orchard/2"}]}', "Clerk", "Riga", "https://r.orchard/1"),
+    ("workable", "https://apply.workable.com/orchard/", "https://apply.workable.com/api/v1/widget/accounts/orchard?details=true", '{"jobs": [{"title": "Baker", "city": "Gdansk", "url": "https://w.orchard/1"}]}', "Baker", "Gdansk", "https://w.orchard/1"),
     ("smartrecruiters", "https://careers.smartrecruiters.com/orchard", "https://api.smartrecruiters.com/v1/companies/orchard/postings?limit=100", '{"totalFound": 1, "content": [{"id": 9, "name": "Smith", "location": {"city": "Kiel"}}]}', "Smith", "Kiel", "https://jobs.smartrecruiters.com/orchard/9"),
-    ("breezy", "https://orchard.breezy.hr/", "https://orchard.breezy.hr/json", '[{"name": "Tailor", "location": {"city": "Ghent", "name": "Ghent, BE"}, "url": "https://b/1"}]', "Tailor", "Ghent", "https://b/1"),
+    ("breezy", "https://orchard.breezy.hr/", "https://orchard.breezy.hr/json", '[{"name": "Tailor", "location": {"city": "Ghent", "name": "Ghent, BE"}, "url": "https://b.orchard/1"}]', "Tailor", "Ghent", "https://b.orchard/1"),
     ("bamboohr", "https://orchard.bamboohr.com/careers", "https://orchard.bamboohr.com/careers/list", '{"result": [{"id": "31", "jobOpeningName": "Miller", "atsLocation": {"city": "Lyon"}}]}', "Miller", "Lyon", "https://orchard.bamboohr.com/careers/31"),
-    ("pinpoint", "https://orchard.pinpointhq.com/", "https://orchard.pinpointhq.com/postings.json", '{"data": [{"title": "Nurse", "location": {"city": "Cork"}, "url": "https://p/1"}]}', "Nurse", "Cork", "https://p/1"),
+    ("pinpoint", "https://orchard.pinpointhq.com/", "https://orchard.pinpointhq.com/postings.json", '{"data": [{"title": "Nurse", "location": {"city": "Cork"}, "url": "https://p.orchard/1"}]}', "Nurse", "Cork", "https://p.orchard/1"),
     ("personio", "https://orchard.jobs.personio.de/", "https://orchard.jobs.personio.de/xml", "<workzag-jobs><position><id>4</id><name>Potter &amp; Co</name><office>Ulm</office></position></workzag-jobs>", "Potter & Co", "Ulm", "https://orchard.jobs.personio.de/job/4"),
-    ("jazzhr", "https://orchard.applytojob.com/", "https://app.jazz.co/feeds/export/jobs/orchard", "<jobs><job><title>Sailor</title><city>Porto</city><url>https://j/1</url></job></jobs>", "Sailor", "Porto", "https://j/1"),
+    ("jazzhr", "https://orchard.applytojob.com/", "https://app.jazz.co/feeds/export/jobs/orchard", "<jobs><job><title>Sailor</title><city>Porto</city><url>https://j.orchard/1</url></job></jobs>", "Sailor", "Porto", "https://j.orchard/1"),
 ]
 WORKDAY_PAGES = [(0, [f"Job {i}" for i in range(20)]), (20, [f"Job {i}" for i in range(20, 40)]), (40, [f"Job {i}" for i in range(40, 45)]), (60, ["Beyond"])]
 
 
+CONTENT_TYPES = [("text/html; x=orchard", True), ("TEXT/PLAIN; charset=x", True), ("application/json", True), ("application/xhtml+xml", True), ("image/png", False), ("application/pdf", False), ("", True), (None, True), ("application/octet-stream", False)]
+READERS = [("workday", "connector", None), ("comeet", "connector", None), ("njoyn", "connector", None), ("lever", "feed", "https://api.lever.co/v0/postings/{token}?mode=json"), ("taleo", "links", None), ("hibob", "general", None), ("phenom", "general", None)]
+
+
 def sql_value(x: object) -> str:
     if x is None:
         return "NULL"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from gleanwork import fixtures as X
-from gleanwork.fixtures import values_sql
 
 WORDS = "('that', 'tion', 'ention', 'thatin')"
 JOB_SHAPE = (
@@ -49,17 +47,9 @@ ORACLES: dict[str, str] = {
     "url_parts": rf"""WITH u AS (SELECT page_id, url, {HOST.format('url')} AS host FROM pages)
         SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) AS scheme, host, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)', 1) AS path,
         regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query, regexp_extract(host, '([^.]+\.)?[^.]+$') AS domain, regexp_replace(split_part(url, '#', 1), '/+$', '') AS norm FROM u""",
-    "title_from_url": values_sql("url, title", X.TITLES),
-    "posting_url_shape": values_sql("path, is_posting", X.POSTING_PATHS),
-    "vendor_shape": values_sql("ats, url, is_posting", X.SHAPED),
-    "ats_from_host": values_sql("url, ats", X.HOSTS),
-    "url_resolution": values_sql("base, link, url", X.JOINS),
-    "workday_api": values_sql("url, api", X.WORKDAY_URLS),
-    "feed_tokens": values_sql("ats, url, token", X.TOKENS),
     "page_titles": r"SELECT page_id, nullif(trim(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '') AS title FROM pages",
     "page_shapes": f"WITH {DIAGNOSED} SELECT page_id, CAST(anchors AS BIGINT) AS anchors, CAST(scripts AS BIGINT) AS scripts, marker FROM c",
     "diagnose_verdict": f"WITH {DIAGNOSED} SELECT page_id, cause FROM c",
-    "parse_reasons": values_sql("reason, cause, anchors, scripts, marker, redirect", X.REASONS),
     "miss_report": f"WITH {DIAGNOSED} SELECT cause AS label, count(*) AS n FROM c GROUP BY cause",
     "pending_analysis": f"{BOTH} SELECT id, company, title FROM j WHERE id NOT IN (SELECT job_id FROM a) AND timestamp >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 7 DAY",
     "pending_count": f"{BOTH} SELECT count(*) AS pending FROM j WHERE id NOT IN (SELECT job_id FROM a) AND timestamp >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 30 DAY",
@@ -84,46 +74,21 @@ ORACLES: dict[str, str] = {
     "grade_histogram": f"WITH {ANALYSES}, b AS (SELECT unnest(range(20)) AS bin) SELECT CAST(bin * 5 AS BIGINT) AS low, (SELECT count(*) FROM a WHERE adequation_grade BETWEEN 0 AND 100 AND least(adequation_grade // 5, 19) = bin) AS n FROM b",
     "nlargest_15": "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 15",
     "distinct_counts": "SELECT count(DISTINCT user_id) AS n_user_id, count(DISTINCT event_type) AS n_event_type FROM events",
-    "non_null_counts": values_sql("n_marker, n_redirect", [(1, 1)]),
     "per_board_counts": f"WITH p AS (SELECT html, {HOST.format('url')} AS h FROM pages) SELECT h AS url, CASE WHEN count(*) FILTER (length(html) > 9000) = 0 THEN count(*) END AS n FROM p GROUP BY h",
     "first_strategy": """WITH s AS (SELECT page_id AS id, 'b' || (page_id % 40) AS board_url, CASE WHEN page_id % 3 = 0 THEN 'links' WHEN page_id % 7 = 0 THEN 'sitemap' ELSE 'rendered' END AS via FROM pages),
         r AS (SELECT *, CASE via WHEN 'sitemap' THEN 2 WHEN 'links' THEN 3 ELSE 4 END AS k FROM s) SELECT id, board_url, via FROM (SELECT *, min(k) OVER (PARTITION BY board_url) AS m FROM r) WHERE k = m""",
     "host_sample": f"SELECT page_id, host FROM (SELECT page_id, {HOST.format('url')} AS host, row_number() OVER (PARTITION BY {HOST.format('url')} ORDER BY page_id % 5 = 0 DESC, md5(url), url) AS k FROM pages) WHERE k <= 2",
     "json_path": "SELECT event_id, props->>'$.k' AS k, props->>'$.k' AS k_text FROM events",
-    "json_first_string": values_sql("json, path, found", X.FIRST_STRINGS),
-    "feed_items": values_sql("board_url, company, title, url, place, via", [("https://careers.smartrecruiters.com/acme", "Acme", "Dev", "https://jobs.smartrecruiters.com/acme/7", "Paris", "feed")]),
-    "feed_paging": "SELECT 'Job ' || i AS title, 'https://jobs.smartrecruiters.com/acme/' || i AS url FROM range(250) AS t(i)",
-    "xml_items": values_sql("pos, title, city, url", [(0, "Bake & Serve", "Oslo", "https://a/1"), (1, "Cook <2>", None, "https://a/2")]),
-    "jsonld_postings": values_sql("title, description, company, place", [("Ship Cook", "Fish & bread", "Harbour Line", "Bergen")]),
-    "sitemap_urls": values_sql("pos, url", [(0, "https://a.fr/jobs/1-dev"), (1, "https://a.fr/jobs/2-ops"), (2, "https://a.fr/jobs/333")]),
-    "sitemap_frontier": values_sql("board_url, sitemap, n_jobs", [("https://a.fr/careers", "https://a.fr/sitemap.xml", 3), ("https://b.fr/careers", "https://b.fr/sm-jobs.xml", 3), ("https://c.fr/careers", "https://c.fr/maps/all.xml", 3)]),
-    "detail_ladder": values_sql("url, via, title, description, place", [(x[0], *x[2:]) for x in X.DETAIL_PAGES]),
-    "html_tables": values_sql("board_url, company, title, url, place, via", [("https://a.njoyn.com/x/", "Acme", "Buyer", "https://a.njoyn.com/x/xweb.asp?Page=JobDetails&Jobid=J1", "Paris", "njoyn")]),
-    "board_links": values_sql("title, url", [("Ship Cook", "https://a.fr/jobs/41-ship-cook"), ("Deck Hand H/F", "https://a.fr/jobs/42-deck-hand"), ("43 Second Mate", "https://a.fr/jobs/43-second-mate")]),
-    "url_signals": values_sql("page_id, signal_id, points", [(1, "lever.hostname", 60), (3, "phenom.script_src", 45), (3, "phenom.link_href", 40), (5, "breezy.hostname", 60), (5, "bamboohr.iframe_src", 45), (6, "teamtailor.canonical", 50), (6, "recruitee.canonical", 50)]),
     "capped_scores": """WITH l AS (SELECT l_orderkey AS page_id, 'a' || (l_partkey % 3) AS ats, l_returnflag AS source, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 1000000 + l_suppkey * 100 + CAST(floor(l_quantity) AS BIGINT) AS k, CAST(floor(l_quantity) AS INTEGER) AS points FROM lineitem),
         u AS (SELECT *, least(70, coalesce(sum(points) OVER (PARTITION BY page_id, ats, source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS used FROM l),
         w AS (SELECT *, greatest(0, least(points, 70 - used)) AS allowed FROM u)
         SELECT page_id, ats, CAST(least(sum(allowed), 100) AS BIGINT) AS score, count(*) AS n_evidence FROM w WHERE allowed > 0 GROUP BY page_id, ats""",
-    "verdict": values_sql("page_id, status, winner, score, runner_up, second_score, confidence", [(1, "detected", "a", 90, "b", 20, 0.933), (2, "unknown", "a", 50, None, 0, 0.187), (3, "ambiguous", "a", 60, "b", 55, 0.333), (4, "detected", "b", 60, "a", 90, 0.35)]),
-    "detect_fixtures": values_sql("page_id, detected_ats, status", [(x[0], x[3], x[4]) for x in X.PLATFORM_PAGES]),
-    "unknown_vendor": values_sql("page_id, needs_rendering, unknown_vendor", [(1, False, None), (2, False, None), (3, False, None), (4, False, None), (5, False, None), (6, False, None), (7, True, "vendorx.io")]),
     "accuracy_report": """WITH l AS (SELECT 'q' || quality AS e, 'q' || toxic AS p FROM labels), c AS (SELECT unnest(['q0', 'q1']) AS label), n AS (
         SELECT label, (SELECT count(*) FROM l WHERE e = label AND p = label) AS tp, (SELECT count(*) FROM l WHERE e <> label AND p = label) AS fp, (SELECT count(*) FROM l WHERE e = label AND p <> label) AS fn FROM c)
         SELECT label, tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM n""",
     "look_back_window": "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 24 HOUR",
-    "cv_sections": values_sql("token, pos, bold, rest, ends_entry", X.CV_LINES),
-    "l10n_lookup": values_sql("id, locale, text", [(1, "fr", "COMPÉTENCES: Français!"), (2, "de", "SKILLS: French!"), (3, "en", "SKILLS: French!")]),
-    "ascii_slug": values_sql("text, slug", X.SLUGS),
-    "document_filename": values_sql("text, name", [(t, "_".join(x for x in ("Ann_Lee", s, "Dev") if x) + ".docx") for t, s in X.SLUGS]),
-    "write_validation": values_sql("id, rejected", [(x[0], x[4]) for x in X.ANALYSES_IN]),
-    "ground_truth": values_sql("id, label", [(i, x[3]) for i, x in enumerate(X.LABELLED)]),
     "fixture_names": r"""SELECT page_id, trim(regexp_replace((CASE WHEN page_id % 2 = 0 THEN 'lever' ELSE 'none' END) || '_' || replace(lower(regexp_extract(url, '//([^/?#]*)', 1)), ':', '_'), '[^a-z0-9]+', '_', 'g'), '_')
         || '_' || substr(sha1(url), 1, 8) || '.html' AS name FROM pages""",
-    "evidence_order": values_sql("page_id, pos, signal_id, points", [(1, 0, "lever.hostname", 60), (1, 1, "lever.posting_uuid", 40), (3, 0, "phenom.script_src", 45), (3, 1, "phenom.link_href", 40)]),
-    "workday_feed": "SELECT 'Job ' || i AS title, 'https://acme.wd3.myworkdayjobs.com/en-US/careers/job/' || i AS url, 'Lyon' AS place FROM range(45) AS t(i)",
-    "comeet_feed": values_sql("title, url, place", [("Dev", "https://c/1", "Tel Aviv")]),
-    "wordpress_feed": values_sql("board_url, title, url", [("https://a.fr/carrieres", "Go developer – Team", "https://a.fr/offres/go")]),
     "reason_lines": f"WITH {DIAGNOSED} SELECT page_id, cause, CAST(anchors AS DOUBLE) AS anchors, CAST(scripts AS DOUBLE) AS scripts FROM c",
     "rejected_negatives": "SELECT count(*) FILTER (quality = 0) AS negatives, count(*) FILTER (quality = 0 AND toxic = 0) AS rejected FROM labels",
     "host_suffix_join": f"""WITH h AS (SELECT page_id, {HOST.format('url')} AS host FROM pages), k AS (SELECT DISTINCT regexp_extract(host, '([^.]+\\.)?[^.]+$') AS domain FROM h)

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork import fixtures as X
 from gleanwork.functions import html as H
-from gleanwork.functions import jsonx as J
 from gleanwork.functions import text as T
 from gleanwork.functions import urls as U
 from gleanwork.operators import detect as D
-from gleanwork.operators import details, diagnose, documents, filters, reports, store
+from gleanwork.operators import diagnose, filters, reports, store
 from gleanwork.oracles import ORACLES
-from gleanwork.plans.registry import FEEDS
 from gleanwork.sources import connectors as C
 from gleanwork.sources.shared import new_folder
 from gleanwork.streaming import incremental
@@ -107,45 +103,6 @@ def url_parts(spark, sf_dir):
     return p.select("page_id", U.scheme_of("url").alias("scheme"), U.host_of("url").alias("host"), U.path_of("url").alias("path"), U.query_of("url").alias("query"), U.registrable(U.host_of("url")).alias("domain"), U.norm_url("url").alias("norm"))
 
 
-@query
-def title_from_url(spark, sf_dir):
-    return spark.createDataFrame(X.TITLES, "url string, expected string").select("url", U.title_from_url("url").alias("title"))
-
-
-@query
-def posting_url_shape(spark, sf_dir):
-    return spark.createDataFrame(X.POSTING_PATHS, "path string, expected boolean").select("path", U.is_posting_path("path").alias("is_posting"))
-
-
-@query
-def vendor_shape(spark, sf_dir):
-    rows = spark.createDataFrame(X.SHAPED, "ats string, url string, expected boolean")
-    met = rows.join(F.broadcast(C.shapes_table(spark)), F.col("ats") == F.col("shape_ats"))
-    return met.select("ats", "url", F.rlike(U.link_target("url", F.col("match_query")), F.concat(F.lit("(?i)"), F.col("shape"))).alias("is_posting"))
-
-
-@query
-def ats_from_host(spark, sf_dir):
-    return spark.createDataFrame(X.HOSTS, "url string, expected string").select("url", U.ats_from_host("url").alias("ats"))
-
-
-@query
-def url_resolution(spark, sf_dir):
-    return spark.createDataFrame(X.JOINS, "base string, link string, expected string").select("base", "link", H.url_join("base", "link").alias("url"))
-
-
-@query
-def workday_api(spark, sf_dir):
-    return spark.createDataFrame(X.WORKDAY_URLS, "url string, expected string").select("url", U.workday_api("url").alias("api"))
-
-
-@query
-def feed_tokens(spark, sf_dir):
-    rows = spark.createDataFrame(X.TOKENS, "ats string, url string, expected string")
-    token = F.coalesce(*[F.when(F.col("ats") == f.ats, U.first_token([F.col("url")], f.tokens)) for f in FEEDS])
-    return rows.select("ats", "url", token.alias("token"))
-
-
 @query
 def anchors(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", F.explode(H.html_anchors("html", "url")).alias("a"))
@@ -168,12 +125,6 @@ def diagnose_verdict(spark, sf_dir):
     return diagnose.diagnose(table(spark, sf_dir, "pages")).select("page_id", "cause")
 
 
-@query
-def parse_reasons(spark, sf_dir):
-    rows = spark.createDataFrame(X.REASONS, "reason string, c string, a double, s double, m string, r string").select("reason")
-    return reports.parse_reasons(rows)
-
-
 @query
 def miss_report(spark, sf_dir):
     rows = diagnose.diagnose(table(spark, sf_dir, "pages"))
@@ -301,12 +252,6 @@ def distinct_counts(spark, sf_dir):
     return reports.distinct_counts(table(spark, sf_dir, "events"), "user_id", "event_type")
 
 
-@query
-def non_null_counts(spark, sf_dir):
-    rows = spark.createDataFrame(X.REASONS, "reason string, c string, a double, s double, m string, r string").select("reason")
-    return reports.non_null_counts(reports.parse_reasons(rows), "marker", "redirect")
-
-
 @query
 def per_board_counts(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select(U.host_of("url").alias("board_url"), "url", "page_id")
@@ -333,110 +278,17 @@ def json_path(spark, sf_dir):
     return e.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "string").alias("k"), F.get_json_object("props", "$.k").alias("k_text"))
 
 
-@query
-def json_first_string(spark, sf_dir):
-    rows = spark.createDataFrame(X.FIRST_STRINGS, "json string, path string, expected string")
-    return rows.select("json", "path", J.json_first_string("json", "path").alias("found"))
-
-
-@query
-def feed_items(spark, sf_dir):
-    body = json.dumps({"totalFound": 2, "content": [{"id": 7, "name": "Dev", "location": {"city": "Paris"}}, {"id": None, "name": "No id"}, {"id": 8, "name": " "}, "junk"]})
-    boards = spark.createDataFrame([("https://careers.smartrecruiters.com/acme", "Acme", "smartrecruiters", None)], "board_url string, company string, ats string, final_url string")
-    fetches = spark.createDataFrame([("https://api.smartrecruiters.com/v1/companies/acme/postings?limit=100", 200, body)], "url string, status int, body string")
-    return C.feed_postings(boards, fetches)
-
-
-@query
-def feed_paging(spark, sf_dir):
-    page = lambda a, b: json.dumps({"totalFound": 250, "content": [{"id": i, "name": f"Job {i}", "location": "X"} for i in range(a, b)]})
-    root = "https://api.smartrecruiters.com/v1/companies/acme/postings?limit=100"
-    fetches = spark.createDataFrame([(root, 200, page(0, 100)), (f"{root}&offset=100", 200, page(100, 200)), (f"{root}&offset=200", 200, page(200, 250))], "url string, status int, body string")
-    boards = spark.createDataFrame([("https://careers.smartrecruiters.com/acme", "Acme", "smartrecruiters", None)], "board_url string, company string, ats string, final_url string")
-    return C.feed_postings(boards, fetches).select("title", "url")
-
-
-@query
-def xml_items(spark, sf_dir):
-    rows = C.xml_records(spark.createDataFrame([(X.XML,)], "body string"), "job", ["title", "city", "url"])
-    return rows.select(F.col("pos").cast("long").alias("pos"), F.col("item_title").alias("title"), F.col("item_city").alias("city"), F.col("item_url").alias("url"))
-
-
-@query
-def jsonld_postings(spark, sf_dir):
-    page = spark.createDataFrame([(X.JSONLD_PAGE,)], "html string").select(H.extract_detail("html").alias("d"))
-    return page.select("d.jsonld.title", "d.jsonld.description", "d.jsonld.company", "d.jsonld.place")
-
-
-@query
-def sitemap_urls(spark, sf_dir):
-    return spark.createDataFrame([(X.SITEMAP,)], "xml string").select(F.posexplode(C.sitemap_urls("xml")).alias("pos", "url")).select(F.col("pos").cast("long").alias("pos"), "url")
-
-
-@query
-def sitemap_frontier(spark, sf_dir):
-    fetches = spark.createDataFrame([(u, 200, b) for u, b in X.FETCHES], "url string, status int, body string")
-    boards = spark.createDataFrame([(f"https://{h}.fr/careers",) for h in "abcd"], "board_url string")
-    found = C.find_sitemaps(boards, fetches)
-    return found.select("board_url", "sitemap", F.size("jobs").cast("long").alias("n_jobs"))
-
-
-@query
-def detail_ladder(spark, sf_dir):
-    rows = spark.createDataFrame([("Row company", "Row title", x[0], "Row place", "none") for x in X.DETAIL_PAGES], "company string, title string, url string, place string, ats string")
-    fetches = spark.createDataFrame([(x[0], 200, x[1]) for x in X.DETAIL_PAGES if x[1]], "url string, status int, body string")
-    return details.read_details(rows, fetches).select("url", "via", "title", "description", "place")
-
-
-@query
-def html_tables(spark, sf_dir):
-    boards = spark.createDataFrame([("https://a.njoyn.com/x/", "Acme", "njoyn", X.NJOYN_PAGE)], "board_url string, company string, ats string, html string")
-    return C.njoyn_postings(boards)
-
-
-@query
-def board_links(spark, sf_dir):
-    boards = spark.createDataFrame([("https://a.fr/careers", "Acme", None, X.ANCHORS_PAGE)], "board_url string, company string, ats string, html string")
-    return C.link_postings(boards).select("title", "url")
-
-
-@query
-def url_signals(spark, sf_dir):
-    pages = spark.createDataFrame([x[:3] for x in X.PLATFORM_PAGES], "page_id long, url string, html string")
-    fired = D.fired_rules(D.extract_signals(pages))
-    return fired.where("source in ('hostname', 'script_src', 'canonical', 'iframe_src', 'link_href')").select("page_id", "signal_id", F.col("points").cast("long").alias("points"))
-
-
 @query
 def capped_scores(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.concat(F.lit("a"), (F.col("l_partkey") % 3).cast("string")).alias("ats"), F.col("l_returnflag").alias("source"), (F.col("l_linenumber").cast("long") * 1_000_000_000_000 + F.col("l_partkey") * 1_000_000 + F.col("l_suppkey") * 100 + F.floor("l_quantity")).alias("rule_idx"), F.floor("l_quantity").cast("int").alias("points"))
     return D.capped_points(li).groupBy("page_id", "ats").agg(F.least(F.sum("allowed"), F.lit(100)).cast("long").alias("score"), F.count("*").alias("n_evidence"))
 
 
-@query
-def verdict(spark, sf_dir):
-    rows = [(1, "a", 0, 90, 3, 1, 3, False), (1, "b", 1, 20, 1, 0, 1, False), (2, "a", 0, 50, 1, 0, 1, False), (3, "a", 0, 60, 2, 1, 1, False), (3, "b", 1, 55, 1, 0, 1, False), (4, "b", 1, 60, 1, 1, 1, True), (4, "a", 0, 90, 2, 1, 2, False)]
-    scored = spark.createDataFrame(rows, "page_id long, ats string, ats_idx int, score long, sources long, tier1 long, tier2 long, has_host boolean")
-    return D.verdicts(scored).select("page_id", "status", "winner", "score", "runner_up", "second_score", "confidence")
-
-
 @query
 def detect_pages(spark, sf_dir):
     return D.detect(table(spark, sf_dir, "pages")).select("page_id", "status", "score", "confidence", "is_job_page", "needs_rendering")
 
 
-@query
-def detect_fixtures(spark, sf_dir):
-    pages = spark.createDataFrame([x[:3] for x in X.PLATFORM_PAGES], "page_id long, url string, html string")
-    return D.detect(pages).select("page_id", "detected_ats", "status")
-
-
-@query
-def unknown_vendor(spark, sf_dir):
-    pages = spark.createDataFrame([x[:3] for x in X.PLATFORM_PAGES], "page_id long, url string, html string")
-    return D.detect(pages).select("page_id", "needs_rendering", "unknown_vendor")
-
-
 @query
 def accuracy_report(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").select(F.concat(F.lit("q"), F.col("quality").cast("string")).alias("expected"), F.concat(F.lit("q"), F.col("toxic").cast("string")).alias("predicted"))
@@ -448,37 +300,6 @@ def look_back_window(spark, sf_dir):
     return incremental.recent(table(spark, sf_dir, "events"), "ts", NOW, "-24 hours").select("event_id")
 
 
-@query
-def cv_sections(spark, sf_dir):
-    cvs = spark.createDataFrame([(1, json.dumps(X.CV))], "id long, cv string")
-    return documents.cv_lines(cvs).select("token", F.col("pos").cast("long").alias("pos"), "bold", "rest", "ends_entry")
-
-
-@query
-def l10n_lookup(spark, sf_dir):
-    l10n = spark.createDataFrame(X.L10N, "locale string, key string, value string")
-    rows = spark.createDataFrame([(1, "fr"), (2, "de"), (3, "en")], "id long, locale string")
-    return documents.with_locale(rows, l10n).select("id", "locale", documents.resolved(F.lit("{SKILLS_TITLE}: {language_fr}!"), F.col("strings")).alias("text"))
-
-
-@query
-def ascii_slug(spark, sf_dir):
-    return spark.createDataFrame(X.SLUGS, "text string, expected string").select("text", J.ascii_slug("text").alias("slug"))
-
-
-@query
-def document_filename(spark, sf_dir):
-    rows = spark.createDataFrame(X.SLUGS, "text string, expected string")
-    return rows.select("text", documents.filename(F.lit("Ann Lee"), F.col("text"), F.lit("Dev")).alias("name"))
-
-
-@query
-def write_validation(spark, sf_dir):
-    incoming = spark.createDataFrame([x[:4] for x in X.ANALYSES_IN], "id long, adequation_grade int, depth_analysis string, job_id long")
-    known, have = spark.createDataFrame([(1,), (2,)], "id long"), spark.createDataFrame([(2,)], "job_id long")
-    return store.check_analyses(incoming, known, have).select("id", "rejected")
-
-
 @query
 def streaming_resume(spark, sf_dir):
     folder = stream_folder(spark)
@@ -489,50 +310,11 @@ def streaming_resume(spark, sf_dir):
     return spark.read.schema(events.schema).parquet(f"{folder}/out")
 
 
-@query
-def ground_truth(spark, sf_dir):
-    rows = spark.createDataFrame([(i, *x[:3]) for i, x in enumerate(X.LABELLED)], "id long, url string, html string, fallback string")
-    return rows.select("id", D.ground_truth("url", "html", "fallback").alias("label"))
-
-
 @query
 def fixture_names(spark, sf_dir):
     return table(spark, sf_dir, "pages").withColumn("label", F.when(F.col("page_id") % 2 == 0, "lever")).select("page_id", D.fixture_name("url", "label").alias("name"))
 
 
-@query
-def evidence_order(spark, sf_dir):
-    pages = spark.createDataFrame([x[:3] for x in X.PLATFORM_PAGES if x[0] in (1, 3)], "page_id long, url string, html string")
-    rows = D.evidence_list(D.capped_points(D.fired_rules(D.extract_signals(pages))))
-    return rows.select("page_id", F.posexplode("evidence").alias("pos", "e")).select("page_id", F.col("pos").cast("long").alias("pos"), "e.signal_id", "e.points")
-
-
-@query
-def workday_feed(spark, sf_dir):
-    page = lambda titles: json.dumps({"total": 45, "jobPostings": [{"title": t, "externalPath": f"/job/{t.split()[-1]}", "locationsText": " Lyon "} for t in titles]})
-    at = "https://acme.wd3.myworkdayjobs.com/wday/cxs/acme/careers/jobs"
-    fetches = spark.createDataFrame([(at, "POST", json.dumps({"offset": o}), 200, page(t)) for o, t in X.WORKDAY_PAGES], "url string, method string, request_body string, status int, body string")
-    boards = spark.createDataFrame([("https://acme.wd3.myworkdayjobs.com/en-US/careers/", "Acme", "workday")], "board_url string, company string, ats string")
-    return C.workday_postings(boards, fetches).select("title", "url", "place")
-
-
-@query
-def comeet_feed(spark, sf_dir):
-    html = '<script>{"company_uid": "30.005", "token": "0123456789ABCDEF0"}</script>'
-    boards = spark.createDataFrame([("https://www.comeet.co/jobs/acme", "Acme", "comeet", html)], "board_url string, company string, ats string, html string")
-    body = json.dumps([{"name": "Dev", "url_comeet_hosted_page": "https://c/1", "location": {"name": "Tel Aviv, Israel", "city": "Tel Aviv"}}, {"name": "No url"}])
-    fetches = spark.createDataFrame([("https://www.comeet.co/careers-api/2.0/company/30.005/positions?token=0123456789ABCDEF0", 200, body)], "url string, status int, body string")
-    return C.comeet_postings(boards, fetches).select("title", "url", "place")
-
-
-@query
-def wordpress_feed(spark, sf_dir):
-    boards = spark.createDataFrame([("https://a.fr/carrieres", "Acme", None, "<link href='/wp-content/x.css'>"), ("https://b.fr/", "B", None, "<p>plain</p>")], "board_url string, company string, ats string, html string")
-    posts = json.dumps([{"title": {"rendered": "Go developer &#8211; Team"}, "link": "https://a.fr/offres/go"}, {"title": {"rendered": ""}, "link": "https://a.fr/offres/x"}])
-    fetches = spark.createDataFrame([("https://a.fr/wp-json/wp/v2/types", 200, json.dumps({"post": {}, "offres": {}})), ("https://a.fr/wp-json/wp/v2/offres?per_page=100&page=1", 200, posts)], "url string, status int, body string")
-    return C.wordpress_postings(boards, fetches).select("board_url", "title", "url")
-
-
 @query
 def reason_lines(spark, sf_dir):
     rows = diagnose.diagnose(table(spark, sf_dir, "pages"))
@@ -575,12 +357,12 @@ def deduplicated_stream(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from gleanwork import queries_stored
+    from gleanwork import queries_cases, queries_stored
 
-    return QUERIES | queries_stored.QUERIES
+    return QUERIES | queries_stored.QUERIES | queries_cases.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from gleanwork import queries_stored
+    from gleanwork import queries_cases, queries_stored
 
-    return ORACLES | queries_stored.ORACLES
+    return ORACLES | queries_stored.ORACLES | queries_cases.ORACLES

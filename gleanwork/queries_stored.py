@@ -7,12 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork import fixtures as X
-from gleanwork.fixtures import values_sql
 from gleanwork.operators import detect as D
-from gleanwork.operators import diagnose, documents, reports, store
+from gleanwork.operators import diagnose, reports, store
 from gleanwork.oracles import ANALYSES, BOTH, JOBS, POSTINGS
-from gleanwork.plans.registry import platform_readers
 from gleanwork.queries import NOW, Query, analyses, jobs, postings, stream_folder, table
 from gleanwork.schemas import JOB_DATA, POSTINGS_DETAILED
 from gleanwork.sources import connectors as C
@@ -132,14 +129,6 @@ def json_bodies(spark, sf_dir):
     return rows.select("event_id", F.col("json").isNotNull().alias("parsed"), F.try_variant_get("json", "$.k", "string").alias("k"))
 
 
-TYPES = [("text/html", True), ("TEXT/PLAIN; charset=x", True), ("application/json", True), ("application/xhtml+xml", True), ("image/png", False), ("application/pdf", False), ("", True), (None, True), ("application/octet-stream", False)]
-
-
-@query(values_sql("content_type, textual", TYPES))
-def textual_types(spark, sf_dir):
-    return spark.createDataFrame(TYPES, "content_type string, expected boolean").select("content_type", FT.is_textual(F.col("content_type")).alias("textual"))
-
-
 @query("SELECT page_id, url FROM pages WHERE page_id % 5 > 0 AND page_id % 7 > 0 AND page_id % 11 > 0 AND html <> ''")
 def usable_fetches(spark, sf_dir):
     return FT.usable(fetched_pages(spark, sf_dir)).select("page_id", "url")
@@ -162,44 +151,6 @@ def probe_causes(spark, sf_dir):
     return rows.where("error is not null or status <> 200 or content_type = 'image/png'").select("page_id", "cause")
 
 
-@query(values_sql("url, status, error", [("https://a/1", "unknown", "TimeoutError"), ("https://a/2", "unknown", "http 503")]))
-def failed_detections(spark, sf_dir):
-    rows = [("https://a/1", None, "TimeoutError"), ("https://a/2", 503, None), ("https://a/3", 200, None)]
-    return D.failed(spark.createDataFrame(rows, "url string, status int, error string")).select("url", "status", "error")
-
-
-@query(values_sql("title, place, url", [x[4:] for x in X.FEED_BOARDS]))
-def feeds_of_all_vendors(spark, sf_dir):
-    """A board of each platform with a feed."""
-    boards = spark.createDataFrame([(x[1], "Orchard", x[0], None) for x in X.FEED_BOARDS], "board_url string, company string, ats string, final_url string")
-    fetches = spark.createDataFrame([(x[2], 200, x[3]) for x in X.FEED_BOARDS], "url string, status int, body string")
-    return C.feed_postings(boards, fetches).select("title", "place", "url")
-
-
-SITEMAP_JOBS = [f"https://e.fr/jobs/{i + 500100}-deck-hand" for i in range(1, 204)]
-
-
-@query(values_sql("url, title, place", [(u, "Ship Cook" if i == 0 else "Deck Hand", "Bergen" if i == 0 else None) for i, u in enumerate(SITEMAP_JOBS)]))
-def sitemap_details(spark, sf_dir):
-    """The first 200 postings of a sitemap read their pages; later ones, fetched or not, take the title of their URL."""
-    pages = [("https://e.fr/sitemap.xml", "".join(f"<loc>{u}</loc>" for u in SITEMAP_JOBS)), (SITEMAP_JOBS[0], X.JSONLD_PAGE), (SITEMAP_JOBS[201], X.JSONLD_PAGE)]
-    fetches = spark.createDataFrame([(u, 200, b) for u, b in pages], "url string, status int, body string")
-    boards = spark.createDataFrame([("https://e.fr/careers", "Orchard", None, "<p>x</p>")], "board_url string, company string, ats string, html string")
-    rows = C.sitemap_postings(boards, fetches)
-    return rows.select("url", "title", "place")
-
-
-READERS = [("workday", "connector", None), ("comeet", "connector", None), ("njoyn", "connector", None), ("lever", "feed", "https://api.lever.co/v0/postings/{token}?mode=json"), ("taleo", "links", None), ("hibob", "general", None), ("phenom", "general", None)]
-
-
-@query(values_sql("ats, reader, endpoint", READERS))
-def vendor_notes(spark, sf_dir):
-    """How postings of a platform are read, or that nothing of its own reads them."""
-    wanted = spark.createDataFrame([(x[0],) for x in READERS], "ats string")
-    notes = spark.createDataFrame(platform_readers(), "ats string, reader string, endpoint string")
-    return notes.join(wanted, "ats", "left_semi").select("ats", "reader", "endpoint")
-
-
 # --- stored state ------------------------------------------------------------
 
 
@@ -268,13 +219,6 @@ def chart_bars(spark, sf_dir):
     return spec.select(parsed.alias("s")).select("s.mark", F.explode("s.data.values").alias("v")).select("v.label", F.col("v.n").alias("value"), "mark")
 
 
-@query(values_sql("page_id, line", [(1, "lever: detected (score 100, confidence 0.9)"), (4, "unknown (score 2, confidence 0.107)"), (6, "ambiguous between teamtailor and recruitee (score 50, confidence 0.267)"), (7, "unknown (score 0, confidence 0.0), looks unrendered, maybe vendorx.io")]))
-def result_lines(spark, sf_dir):
-    """Verdicts as lines for a console."""
-    pages = spark.createDataFrame([x[:3] for x in X.PLATFORM_PAGES if x[0] in (1, 4, 6, 7)], "page_id long, url string, html string")
-    return D.detect(pages).select("page_id", D.result_line().alias("line"))
-
-
 # --- pages and rules --------------------------------------------------------------
 
 UNESCAPED = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
@@ -296,68 +240,3 @@ def page_signals(spark, sf_dir):
     """Title, script text, classes and anchors of one walk over each page."""
     p = D.extract_signals(table(spark, sf_dir, "pages"))
     return p.select("page_id", F.col("meta")["title"].alias("title"), "script_text", F.array_join(F.array_sort("classes"), " ").alias("classes"), F.size("anchor_urls").cast("long").alias("n_anchors"))
-
-
-@query(values_sql("page_id, anchors, ids", [(499, 499, 499), (500, 500, 500), (501, 500, 501), (20_001, 500, 20_000)]))
-def signal_caps(spark, sf_dir):
-    """At most 500 anchors and the attributes of 20,000 elements count."""
-    link = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.format_string('<a id="i%d" href="/%d"></a>', i, i))
-    pages = spark.createDataFrame([(n,) for n in (499, 500, 501, 20_001)], "n int").select(F.col("n").cast("long").alias("page_id"), F.lit("https://a.fr/").alias("url"), F.array_join(link, "").alias("html"))
-    return D.extract_signals(pages).select("page_id", F.size("anchor_urls").cast("long").alias("anchors"), F.size("ids").cast("long").alias("ids"))
-
-
-@query(values_sql("page_id, signal_id, points, matched", [(x[0], *r) for x in X.RULE_PAGES for r in x[3]]))
-def single_rules(spark, sf_dir):
-    """What fires on pages made for one kind of rule each, and on pages where nothing may."""
-    pages = spark.createDataFrame([x[:3] for x in X.RULE_PAGES], "page_id long, url string, html string")
-    return D.fired_rules(D.extract_signals(pages)).select("page_id", "signal_id", F.col("points").cast("long").alias("points"), "matched")
-
-
-@query(values_sql("page_id, signal_id, length", [(1, "lever.jsonld", 160), (2, "breezy.meta", 120)]))
-def evidence_previews(spark, sf_dir):
-    """Long matches are cut for display."""
-    rows = [(1, '<script type="application/ld+json">["https://jobs.lever.co/' + "x" * 400 + '"]</script>'), (2, '<meta name="generator" content="breezy hr ' + "y" * 400 + '">')]
-    pages = spark.createDataFrame([(i, "https://work.orchard.example/", h) for i, h in rows], "page_id long, url string, html string")
-    return D.fired_rules(D.extract_signals(pages)).select("page_id", "signal_id", F.length("matched").cast("long").alias("length"))
-
-
-@query(values_sql("page_id, status, ats", [(1, "detected", "lever"), (2, "unknown", None), (3, "detected", "workday")]))
-def rendered_again(spark, sf_dir):
-    """Verdicts of rendered pages count unless they are still unknown."""
-    names = "page_id long, status string, ats string"
-    first = spark.createDataFrame([(1, "unknown", None), (2, "unknown", None), (3, "detected", "workday")], names)
-    return D.with_rendered(first, spark.createDataFrame([(1, "detected", "lever"), (2, "unknown", "x")], names))
-
-
-@query(values_sql("domain", [(d,) for d in ("jazz.co", "app.jazz.co", "applytojob.com")]))
-def domain_union(spark, sf_dir):
-    """Hosts and asset domains of a platform, each once."""
-    return D.domains_table(spark).where("ats = 'jazzhr'").select("domain").distinct()
-
-
-# --- documents ----------------------------------------------------------------------
-
-PARAGRAPHS = [(1, ["  ", "Ann Lee 🚀", "Cook"], "Ann Lee 🚀"), (2, [], "CV"), (3, ["\t", " Bo "], "Bo")]
-
-
-@query(values_sql("id, name", [(x[0], x[2]) for x in PARAGRAPHS]))
-def candidate_names(spark, sf_dir):
-    rows = spark.createDataFrame([x[:2] for x in PARAGRAPHS], "id long, paragraphs array<string>")
-    return rows.select("id", documents.candidate_name(F.col("paragraphs")).alias("name"))
-
-
-OUTPUTS = [(1, '{"adequation_grade": 70, "depth_analysis": "fits"}', 70), (2, '{"adequation_grade": 101, "depth_analysis": "x"}', None), (3, '{"adequation_grade": 5, "depth_analysis": ""}', None), (4, "no json", None), (5, None, None)]
-
-
-@query(values_sql("id, grade", [(x[0], x[2]) for x in OUTPUTS]))
-def model_outputs(spark, sf_dir):
-    """Grades of outputs that follow the schema."""
-    rows = spark.createDataFrame([x[:2] for x in OUTPUTS], "id long, output string")
-    return documents.parse_verdicts(rows).select("id", F.col("verdict.adequation_grade").cast("long").alias("grade"))
-
-
-@query(values_sql("id, missing", [(1, len(documents.TOKENS)), (2, len(documents.TOKENS) - 1), (3, 0)]))
-def template_gaps(spark, sf_dir):
-    """How many content tokens templates lack."""
-    rows = spark.createDataFrame([(1, []), (2, [documents.TOKENS[0], "OTHER"]), (3, list(documents.TOKENS))], "id long, tokens array<string>")
-    return rows.select("id", F.size(documents.missing_tokens(F.col("tokens"))).cast("long").alias("missing"))
