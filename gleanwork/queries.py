@@ -357,12 +357,12 @@ def deduplicated_stream(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from gleanwork import queries_cases, queries_stored
+    from gleanwork import queries_cases, queries_planted, queries_stored, queries_tables
 
-    return QUERIES | queries_stored.QUERIES | queries_cases.QUERIES
+    return QUERIES | queries_stored.QUERIES | queries_cases.QUERIES | queries_planted.QUERIES | queries_tables.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from gleanwork import queries_cases, queries_stored
+    from gleanwork import queries_cases, queries_planted, queries_stored, queries_tables
 
-    return ORACLES | queries_stored.ORACLES | queries_cases.ORACLES
+    return ORACLES | queries_stored.ORACLES | queries_cases.ORACLES | queries_planted.ORACLES | queries_tables.ORACLES

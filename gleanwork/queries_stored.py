@@ -221,7 +221,7 @@ def chart_bars(spark, sf_dir):
 
 # --- pages and rules --------------------------------------------------------------
 
-UNESCAPED = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
+UNESCAPED = "regexp_replace(replace(replace(replace({0}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;?', '&', 'g')"
 ROOT = r"regexp_extract(url, '^[a-z]+://[^/?#]+')"
 
 ORACLES["anchors"] = rf"""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS found FROM pages),
