@@ -21,8 +21,54 @@ def distinct_counts(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.agg(*[F.countDistinct(F.nullif(F.col(c).cast("string"), F.lit(""))).alias(f"n_{c}") for c in columns])
 
 
+#: Distinct values that may come to the driver in the last step of a selection.
+LAST_VALUES = 20_000
+
+
+def values_at(rows: DataFrame, column: str, ranks: list[int]) -> list[float]:
+    """Values at some ranks (from 0) of a column's numbers in order; nulls do not count.
+
+    Each round asks a mergeable sketch for two values around the ranks, counts
+    what lies below and between them exactly, and goes on between them. Ranks
+    outside widen the stretch again. So no task holds the column, and the driver
+    gets a bounded number of distinct values with their counts.
+    """
+    numbers = rows.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    low, high, below = None, None, 0
+
+    def inside(a: float | None, b: float | None) -> DataFrame:
+        found = numbers
+        if a is not None:
+            found = found.where(F.col("v") >= F.lit(a))
+        return found if b is None else found.where(F.col("v") <= F.lit(b))
+
+    while True:
+        part = inside(low, high)
+        n, distinct = part.agg(F.count("*"), F.approx_count_distinct("v")).first()
+        if distinct <= LAST_VALUES // 2:
+            counts = part.groupBy("v").count().orderBy("v").limit(LAST_VALUES + 1).collect()
+            if len(counts) <= LAST_VALUES:
+                break
+        first, last = (min(ranks) - below) / n, (max(ranks) - below) / n
+        a, b = part.agg(F.percentile_approx("v", [max(0.0, first - 0.01), min(1.0, last + 0.01)], 1000)).first()[0]
+        under, upto = part.agg(F.count_if(F.col("v") < F.lit(a)), F.count_if(F.col("v") <= F.lit(b))).first()
+        if not under <= min(ranks) - below <= max(ranks) - below < upto or upto - under == n:
+            a, b = part.agg(F.percentile_approx("v", [max(0.0, first - 0.1), min(1.0, last + 0.1)], 100_000)).first()[0]
+            under = part.where(F.col("v") < F.lit(a)).count()
+        low, high, below = a, b, below + under
+    out, at = {}, below
+    for value, k in counts:
+        out |= {r: value for r in ranks if at <= r < at + k}
+        at += k
+    return [out[r] for r in ranks]
+
+
 def mean_median(rows: DataFrame, column: str) -> DataFrame:
-    return rows.agg(F.avg(column).alias("mean"), F.median(column).alias("median"))
+    """One row: ``mean`` and the exact ``median``, both null without values."""
+    n = rows.where(F.col(column).isNotNull()).count()
+    middle = values_at(rows, column, [(n - 1) // 2, n // 2]) if n else [None, None]
+    median = None if middle[0] is None else (middle[0] + middle[1]) / 2
+    return rows.agg(F.avg(column).alias("mean"), F.lit(median).cast("double").alias("median"))
 
 
 def group_means(rows: DataFrame, group: str, value: str, top: int = 15) -> DataFrame:

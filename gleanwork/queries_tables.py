@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleanwork.operators import detect as D
+from gleanwork.operators import graph, sketches
 from gleanwork.queries import Query, postings, stream_folder, table
 from gleanwork.queries_planted import ORACLES as PLANTED
 from gleanwork.queries_planted import planted_pages
+from gleanwork.sources.shared import materialise
 from gleanwork.sources.signal_store import SignalStore
 from gleanwork.sources.versioned import Conflict, VersionedTable
+from gleanwork.streaming import keyed
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +102,53 @@ def stored_verdicts(spark, sf_dir):
         store.refresh(rows)
     found = D.detect_signals(store.signals(pages))
     return found.select("page_id", "detected_ats", "status", "score", "confidence", F.array_join("conflicts", ",").alias("conflicts"), "unknown_vendor")
+
+
+# --- streams --------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT *, ntile(3) OVER (ORDER BY ts, event_id) AS part FROM events), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY part, ts, event_id) AS k FROM e) WHERE k = 1)
+    SELECT user_id, event_id, CAST(part - 1 AS BIGINT) AS epoch, row_number() OVER (PARTITION BY part ORDER BY ts, event_id) AS id FROM f""")
+def keyed_stream(spark, sf_dir):
+    """Events in three files, the stream started anew for each: a user's first event counts, by keyed state."""
+    folder = stream_folder(spark)
+    part = F.ntile(3).over(Window.orderBy("ts", "event_id"))
+    events = materialise(table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "ts").withColumn("part", part).drop("ts"), "parted-events")
+    rows = events.drop("part")
+    target = VersionedTable(spark, f"{folder}/firsts", keyed.stored_schema(rows.schema))
+    for k in (1, 2, 3):
+        rows.where(events["part"] == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        keyed.insert_stream(spark, stream, target, f"{folder}/state", "user_id", "at", "event_id")
+    return target.read().select("user_id", "event_id", F.dense_rank().over(Window.orderBy("epoch")).cast("long").alias("nth"), "id").select("user_id", "event_id", (F.col("nth") - 1).alias("epoch"), "id")
+
+
+# --- reports that add up ------------------------------------------------------------------
+
+
+@query("SELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(DISTINCT user_id) AS exact, true AS close FROM events GROUP BY 1")
+def weekly_distinct(spark, sf_dir):
+    """Distinct users of each week from the stored sketches of its days, held against the exact count."""
+    events = table(spark, sf_dir, "events")
+    at = f"{stream_folder(spark)}/sketches"
+    sketches.daily_sketches(events, "ts", "user_id").write.parquet(at)
+    week = lambda c: F.trunc(c, "week").alias("week")
+    found = sketches.distinct_in(spark.read.parquet(at), "user_id", week("day"))
+    exact = events.groupBy(week(F.to_date("ts"))).agg(F.countDistinct("user_id").alias("exact"))
+    return exact.join(found, "week").select("week", "exact", (F.abs(F.col("n_user_id") - F.col("exact")) <= 0.03 * F.col("exact") + 1).alias("close"))
+
+
+# --- links --------------------------------------------------------------------------------
+
+
+@query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), links AS (SELECT DISTINCT page_id AS source, unnest([(page_id * 7 + 1) % (SELECT n FROM n), (page_id * 11 + 3) % (SELECT n FROM n), page_id]) AS target FROM pages),
+    r(start, node, depth) AS (SELECT page_id, page_id, 0 FROM pages WHERE page_id % 20 = 0 UNION SELECT start, target, depth + 1 FROM r JOIN links ON node = source WHERE depth < 6)
+    SELECT start, node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY start, node""")
+def linked_pages(spark, sf_dir):
+    """What every twentieth page reaches in six steps over links with cycles."""
+    pages = table(spark, sf_dir, "pages").select("page_id")
+    n = pages.count()
+    k = F.col("page_id")
+    links = pages.select(k.alias("source"), F.explode(F.array((k * 7 + 1) % n, (k * 11 + 3) % n, k)).alias("target"))
+    found = graph.reachable(links, pages.where(k % 20 == 0).select(k.alias("node")), 6)
+    return found.select("start", "node", F.col("depth").cast("long").alias("depth"))

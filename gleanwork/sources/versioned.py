@@ -15,7 +15,7 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,19 +121,21 @@ class VersionedTable:
         are held against the staged rows, and the rest is published after it.
         ``before_publish`` is called before each try, for tests.
         """
-        with_key = rows.where(F.col(key).isNotNull())
-        first = with_key.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+        seen = Observation()
+        rows = rows.observe(seen, F.count("*").alias("n"))
+        # rows without key are spread by themselves, each a group of its own
+        apart = F.when(F.col(key).isNull(), F.uuid())
+        first = rows.withColumn("_apart", apart).withColumn("_n", F.row_number().over(Window.partitionBy(key, "_apart").orderBy(*order))).where("_n = 1")
         base = self.version()
         known = self.parts(base)
-        fresh = without_done(first, self._rows(known), key).unionByName(rows.where(F.col(key).isNull()))
-        part = self.stage(fresh)
+        part = self.stage(without_done(first, self._rows(known), key))
         for _ in range(tries):
             if before_publish:
                 before_publish()
             try:
                 self._publish(base, [*known, part])
                 inserted = self._rows([part]).count()
-                return inserted, rows.count() - inserted
+                return inserted, seen.get["n"] - inserted
             except Conflict:
                 base = self.version()
                 later = [p for p in self.parts(base) if p not in known]
@@ -144,6 +146,16 @@ class VersionedTable:
         self.drop(part)
         raise Conflict(f"gave up after {tries} tries")
 
+    def append_once(self, rows: DataFrame, name: str) -> bool:
+        """Add rows as a part of this name; nothing happens if the table has it, as when a batch of a stream comes again."""
+        base = self.version()
+        known = self.parts(base)
+        if f"parts/{name}" in known:
+            return False
+        rows.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/parts/{name}")
+        self._publish(base, [*known, f"parts/{name}"])
+        return True
+
     def vacuum(self) -> int:
         """Remove parts that no version names; returns how many. Not while others write."""
         folder = self._at(f"{self.path}/parts")
