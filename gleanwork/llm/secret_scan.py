@@ -1,9 +1,10 @@
 """Secret scans with structural confirmation.
 
 Pattern spans (assignments, access-key ids, hex runs) are always kept. On top
-of them, base64 candidates and hex ones in either letter case are decoded and reported only if their
-bytes parse: DER key encodings with nested lengths that add up, OpenSSH key
-blobs, and signed-token headers.
+of them, base64 and hex candidates are reported only if their bytes parse: DER
+key encodings with nested lengths that add up, OpenSSH key blobs, and
+signed-token headers. Only the bytes that hold lengths are decoded, at each
+place where a key may begin, so time grows in proportion to the text.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,21 +33,25 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
+#: Dotted parts, at every place where one may begin; a JSON header begins with a brace or white space, so with one of these characters.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=([eICD][A-Za-z0-9_-]{7,})\.[A-Za-z0-9_-]{4,}\.([A-Za-z0-9_-]*))")
 #: Between the lines of a key: a line end and what indents the next line, or the escapes of a line end in a quoted string.
 LINE_END = re.compile(r"\r?\n[ \t]*|(?:\\r)?\\n")
-#: First characters of base64 whose bytes begin a DER sequence or an OpenSSH key; a candidate begins with one and has 40 characters.
+#: First characters of base64 whose bytes begin a DER sequence or an OpenSSH key; the first line of a key has 40 characters, later ones 4.
 BASE64_STARTS = ("M", "b3BlbnNzaC1rZXktdjEA", "AAAA")
-BASE64 = tuple(re.compile(rf"{x}[A-Za-z0-9+/]{{{40 - len(x)},}}={{0,2}}(?:(?:{LINE_END.pattern})[A-Za-z0-9+/]{{4,}}={{0,2}})*") for x in BASE64_STARTS)
-#: The same in the alphabet of URLs, on one line.
-URL_BASE64 = tuple(re.compile(rf"{x}[A-Za-z0-9_-]{{{40 - len(x)},}}={{0,2}}") for x in BASE64_STARTS)
-#: A candidate begins where no character of its alphabet is in front, or only the escape of a line end.
-BEFORE, URL_BEFORE = re.compile(r"(?<![A-Za-z0-9+/])|(?<=\\n)"), re.compile(r"(?<![A-Za-z0-9_-])|(?<=\\n)")
+FIRST_LINE, OTHER_LINE = 40, 4
+#: A line end, or a stretch of the alphabet and its padding; alone and in the alphabet of URLs.
+BASE64_PART = re.compile(rf"({LINE_END.pattern})|([A-Za-z0-9+/]+)(={{0,2}})")
+URL_BASE64 = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{40,})(={0,2})")
 HEX_CANDIDATE = re.compile(r"[0-9A-Fa-f]{24,}")
+#: Members of a key structure at most; real ones have ten.
+MAX_MEMBERS = 40
 KEY_NAME = re.compile(rb"(ssh|ecdsa)-[a-z0-9@.-]+")
 #: Fields of a public key blob; a private one has more. Keys on hardware tokens hold no secret.
 PUBLIC_FIELDS = {b"ssh-ed25519": 2, b"ssh-ed448": 2, b"ssh-rsa": 3, b"ssh-dss": 5}
-HEX_STARTS = ("30", "6f70656e7373682d6b65792d7631", "000000")
+#: A sequence, its length and the tag of a number or sequence; the two beginnings of OpenSSH keys.
+HEX_START = re.compile(r"(?=30(?:[1-7][0-9a-f]|81..|82.{4}|83.{6}|84.{8})(?:02|30)|6f70656e7373682d6b65792d7631|000000[0-4][0-9a-f](?:73|65))", re.IGNORECASE)
+MAGIC = b"openssh-key-v1\0"
 
 Span = tuple[str, int, int]
 
@@ -59,7 +66,7 @@ def _decoded64(text: str) -> bytes | None:
         return None
 
 
-def _der(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+def _der(data: Bytes, at: int, end: int) -> tuple[int, int, int] | None:
     """Tag, start and end of the contents of the element at ``at``; None if its length does not fit."""
     if at + 2 > end:
         return None
@@ -78,7 +85,38 @@ def _der(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + size) if at + size <= end else None
 
 
-def nested(data: bytes, at: int, end: int) -> bool:
+class Coded:
+    """Bytes of a stretch of base64 (unpadded) or hex, decoded only where they are looked at."""
+
+    def __init__(self, text: str, begin: int, digits: int) -> None:
+        #: Characters of a whole group, and bytes that they make.
+        self.text, self.begin, self.chars, self.bytes = text, begin, (4 if digits == 64 else 2), (3 if digits == 64 else 1)
+        left = len(text) - begin
+        self.size = (left - (left % 4 == 1)) * 3 // 4 if digits == 64 else left // 2
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at: int | slice) -> int | bytes:
+        if isinstance(at, int):
+            return self[at : at + 1][0]
+        first, last = at.start or 0, self.size if at.stop is None else min(at.stop, self.size)
+        group = first // self.bytes
+        part = self.text[self.begin + group * self.chars : self.begin + -(-last // self.bytes) * self.chars]
+        if self.chars == 2:
+            return bytes.fromhex(part)
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        return base64.b64decode(part + "=" * (-len(part) % 4))[first - group * 3 : last - group * 3]
+
+    def chars_of(self, n: int) -> int:
+        """Characters that hold the first n bytes."""
+        return -(-n * self.chars // self.bytes)
+
+
+Bytes = bytes | Coded
+
+
+def nested(data: Bytes, at: int, end: int) -> bool:
     """Whether the stretch is one octet string or number, or one sequence that its members fill."""
     own = _der(data, at, end)
     if not own or own[2] != end or own[1] == end:
@@ -86,7 +124,9 @@ def nested(data: bytes, at: int, end: int) -> bool:
     if own[0] in (0x02, 0x04):
         return True
     at = own[1]
-    while own[0] == 0x30 and at < end:
+    for _ in range(MAX_MEMBERS if own[0] == 0x30 else 0):
+        if at >= end:
+            break
         x = _der(data, at, end)
         if not x:
             return False
@@ -94,16 +134,16 @@ def nested(data: bytes, at: int, end: int) -> bool:
     return at == end
 
 
-def der_key(data: bytes) -> bool:
-    """Whether the bytes are a key structure: an outer sequence whose members fill it exactly."""
+def der_size(data: Bytes) -> int | None:
+    """Bytes of the key structure that the data begin with: an outer sequence whose members fill it exactly; None if it is none."""
     outer = _der(data, 0, len(data))
-    if not outer or outer[0] != 0x30 or outer[2] - outer[1] < 16 or len(data) - outer[2] > 2:
-        return False
+    if not outer or outer[0] != 0x30 or outer[2] - outer[1] < 16:
+        return None
     members, at = [], outer[1]
     while at < outer[2]:
         x = _der(data, at, outer[2])
-        if not x:
-            return False
+        if not x or len(members) == MAX_MEMBERS:
+            return None
         members.append(x)
         at = x[2]
     tags = [x[0] for x in members]
@@ -113,34 +153,60 @@ def der_key(data: bytes) -> bool:
         return bool(inner and inner[0] == 0x06 and inner[2] > inner[1])
 
     if len(tags) >= 9 and set(tags) == {0x02}:  # version and the numbers of an RSA key
-        return True
-    if len(tags) >= 3 and tags[:3] == [0x02, 0x30, 0x04] and has_oid(members[1]):  # wrapped private key, itself an element
-        return nested(data, *members[2][1:])
-    if len(tags) >= 2 and tags[:2] == [0x02, 0x04] and set(tags[2:]) <= {0xA0, 0xA1}:  # elliptic-curve private key
-        return data[members[0][1] : members[0][2]] == b"\x01"
-    if tags == [0x30, 0x04] and has_oid(members[0]):  # encrypted private key
-        return True
-    return len(tags) in (5, 6) and set(tags) == {0x02} and members[1][2] - members[1][1] >= 16  # DSA
-
-
-def ssh_key(data: bytes) -> bool:
-    """Whether the bytes are an OpenSSH private key, or a blob of more fields than a public key has, whose lengths nest."""
-    magic = b"openssh-key-v1\0"
-    if data.startswith(magic):
-        at = len(magic)
-        for _ in range(3):  # cipher, key derivation and its options
-            if at + 4 > len(data):
-                return False
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        return at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 64
-    fields, at = [], 0
-    while at + 4 <= len(data) and len(fields) < 12:
+        good = True
+    elif len(tags) >= 3 and tags[:3] == [0x02, 0x30, 0x04] and has_oid(members[1]):  # wrapped private key, itself an element
+        good = nested(data, *members[2][1:])
+    elif len(tags) >= 2 and tags[:2] == [0x02, 0x04] and set(tags[2:]) <= {0xA0, 0xA1}:  # elliptic-curve private key
+        good = members[0][2] - members[0][1] == 1 and data[members[0][1]] == 1
+    elif tags == [0x30, 0x04] and has_oid(members[0]):  # encrypted private key
+        good = True
+    else:  # DSA
+        good = len(tags) in (5, 6) and set(tags) == {0x02} and members[1][2] - members[1][1] >= 16
+    return outer[2] if good else None
+
+
+def der_key(data: Bytes) -> bool:
+    """Whether the bytes are a key structure and at most two more."""
+    size = der_size(data)
+    return size is not None and len(data) - size <= 2
+
+
+def fields_of(data: Bytes, at: int, most: int) -> list[tuple[int, int]]:
+    """Begin and end of the length-prefixed fields from ``at`` on, as far as they fit."""
+    found = []
+    while at + 4 <= len(data) and len(found) < most:
         n = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + n > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + n])
+            break
+        found.append((at + 4, at + 4 + n))
         at += 4 + n
-    return at == len(data) and bool(fields) and KEY_NAME.fullmatch(fields[0]) is not None and len(fields) > PUBLIC_FIELDS.get(fields[0], 3)
+    return found
+
+
+def openssh_size(data: Bytes) -> int | None:
+    """Bytes of an OpenSSH private key as its lengths state them; all bytes where they do not fit; None if it is none."""
+    head = fields_of(data, len(MAGIC), 3) if data[: len(MAGIC)] == MAGIC else []
+    if len(head) < 3 or head[-1][1] + 4 > len(data):
+        return None
+    at = head[-1][1]
+    n = int.from_bytes(data[at : at + 4], "big")
+    if not 1 <= n <= 64:
+        return None
+    rest = fields_of(data, at + 4, n + 1)
+    return rest[-1][1] if len(rest) == n + 1 else len(data)
+
+
+def ssh_ends(data: Bytes) -> list[int]:
+    """Where a private key blob may end: after each field beyond those that a public key has."""
+    first = int.from_bytes(data[:4], "big") if len(data) >= 4 else 0
+    if not 5 <= first <= 64 or not KEY_NAME.fullmatch(data[4 : 4 + first]):
+        return []
+    return [end for _, end in fields_of(data, 0, 12)[PUBLIC_FIELDS.get(data[4 : 4 + first], 3) :]]
+
+
+def ssh_key(data: Bytes) -> bool:
+    """Whether the bytes are an OpenSSH private key, or a blob of more fields than a public key has, whose lengths nest."""
+    return openssh_size(data) is not None or len(data) in ssh_ends(data)
 
 
 def token_header(part: str) -> bool:
@@ -167,100 +233,117 @@ def base_spans(text: str) -> list[Span]:
     return spans
 
 
-def key_kind(data: bytes | None) -> str | None:
-    """Kind of the key structure that the bytes are."""
-    if not data:
-        return None
-    return "der" if der_key(data) else "ssh" if ssh_key(data) else None
-
-
-def stated_size(data: bytes) -> int | None:
-    """Bytes of the outer DER sequence as its header states them; the data may end before."""
-    outer = _der(data, 0, 1 << 40) if len(data) >= 6 and data[0] == 0x30 else None
-    return outer[2] if outer else None
+def key_at(data: Coded, ends: Callable[[int, int], int | None]) -> tuple[str, int] | None:
+    """Kind of the key that the data begin with, and how many characters it takes.
 
-
-def base64_key(found: str) -> tuple[str, int] | None:
-    """Kind and length of the key that a base64 candidate begins with: all of it, or the longest stretch of whole lines."""
-    kind = key_kind(_decoded64(found))
-    if kind:
-        return kind, len(found)
-    breaks = list(LINE_END.finditer(found))
-    head = _decoded64(found[:40]) if breaks else None
-    if not head:
-        return None
-    size = stated_size(head)
-    if size is None and not head.startswith(b"openssh-key-v1"):
-        n = int.from_bytes(head[:4], "big")
-        if not 1 <= n <= 64 or not re.match(rb"ssh-|ecdsa-", head[4:]):
-            return None
-    removed = 0  # characters of line ends so far
-    ends = []
-    for m in breaks:
-        n = (m.start() - removed) * 3 // 4
-        removed += m.end() - m.start()
-        if size is None or size <= n <= size + 4:  # padding counts as two bytes at most
-            ends.append(m.start())
-    for end in reversed(ends):
-        kind = key_kind(_decoded64(found[:end]))
-        if kind:
-            return kind, end
-    return None
+    ``ends(low, high)`` gives the largest number of bytes between both at
+    which a line or the data end. A key of stated length takes what follows it
+    on its last line if that is two bytes at most, and else ends where stated.
+    """
+    kind, size = "der", der_size(data)
+    if size is None:
+        kind, size = "ssh", openssh_size(data)
+    if size is not None:
+        upto = ends(size, size + 2)
+        return kind, data.chars_of(size if upto is None else upto)
+    whole = [n for n in ssh_ends(data) if ends(n, n) is not None]
+    return ("ssh", data.chars_of(whole[-1])) if whole else None
+
+
+def base64_lines(text: str) -> Iterator[list[tuple[int, str, int]]]:
+    """Lines of base64 that follow each other, up to one with padding: place, characters and padding of each."""
+    block: list[tuple[int, str, int]] = []
+    at = -1  # end of the block and of a line end after it
+    broken = True
+    for m in BASE64_PART.finditer(text):
+        if m[1] is not None:
+            broken = broken or m.start() != at
+            at = m.end()
+            fresh = True
+            continue
+        if block and not broken and m.start() == at and fresh and len(m[2]) >= OTHER_LINE and not block[-1][2]:
+            block.append((m.start(), m[2], len(m[3])))
+        else:
+            if block:
+                yield block
+            block = [(m.start(), m[2], len(m[3]))]
+        at, broken, fresh = m.end(), False, False
+    if block:
+        yield block
+
+
+def keys_in_lines(lines: list[tuple[int, str, int]]) -> Iterator[Span]:
+    """Keys that begin with a line; each character is looked at a bounded number of times."""
+    if not any(len(x) >= FIRST_LINE and x.startswith(BASE64_STARTS) for _, x, _ in lines):
+        return
+    chars = "".join(x for _, x, _ in lines)
+    stops = list(accumulate(len(x) for _, x, _ in lines))
+    line = 0
+    while line < len(lines):
+        begin, own, _ = lines[line]
+        found = None
+        if len(own) >= FIRST_LINE and own.startswith(BASE64_STARTS):
+            first = stops[line] - len(own)
+            data = Coded(chars, first, 64)
+
+            def ends(low: int, high: int, first: int = first, data: Coded = data) -> int | None:
+                last = first + data.chars_of(high) + 1  # one more character can hold no byte
+                i = bisect_right(stops, last) - 1
+                bytes_ = lambda n: (n - (n % 4 == 1)) * 3 // 4
+                while i >= 0 and stops[i] > first and (n := bytes_(stops[i] - first)) >= low:
+                    if n <= high:
+                        return n
+                    i -= 1
+                return None
+
+            found = key_at(data, ends)
+        if found is None:
+            line += 1
+            continue
+        upto = first + found[1]
+        i = bisect_left(stops, upto)
+        start, part, pad = lines[i]
+        inside = upto - (stops[i] - len(part))
+        if len(part) - inside == 1 and (stops[i] - first) % 4 == 1:
+            inside += 1
+        yield found[0], begin, start + inside + (pad if inside == len(part) else 0)
+        line = i + 1
 
 
 def base64_spans(text: str) -> list[Span]:
-    """Keys in base64; where a candidate holds none, the next may begin at its next line."""
-    spans: list[Span] = []
-    for pattern in BASE64:
-        m = pattern.search(text)
-        while m:
-            found = base64_key(m[0]) if BEFORE.match(text, m.start()) else None
-            if found:
-                spans.append((found[0], m.start(), m.start() + found[1]))
-                at = m.start() + found[1]
-            else:
-                line = LINE_END.search(m[0])
-                at = m.start() + line.start() if line else m.end()
-            m = pattern.search(text, at)
-    for pattern in URL_BASE64:
-        for m in pattern.finditer(text):
-            if ("-" in m[0] or "_" in m[0]) and URL_BEFORE.match(text, m.start()) and (kind := key_kind(_decoded64(m[0]))):
-                spans.append((kind, *m.span()))
+    """Keys in base64: lines that follow each other, and single lines in the alphabet of URLs."""
+    spans = [x for lines in base64_lines(text) for x in keys_in_lines(lines)]
+    for m in URL_BASE64.finditer(text):
+        begin, run = m.start(), m[1]
+        if run[0] == "n" and text[begin - 1 : begin] == "\\":  # behind the escape of a line end
+            begin, run = begin + 1, run[1:]
+        if ("-" in run or "_" in run) and run.startswith(BASE64_STARTS):
+            spans += keys_in_lines([(begin, run.replace("-", "+").replace("_", "/"), len(m[2]))])
     return spans
 
 
-def hex_key(found: str) -> tuple[str, int] | None:
-    """Kind and length of the key that hex digits begin with: all of them, or as many as a DER header states."""
-    if not found.lower().startswith(HEX_STARTS):
-        return None
-    data = bytes.fromhex(found[: len(found) // 2 * 2])
-    kind = key_kind(data)
-    if kind:
-        return kind, 2 * len(data)
-    size = stated_size(data)
-    kind = key_kind(data[:size]) if size and size < len(data) else None
-    return (kind, 2 * size) if kind else None
+def hex_spans(text: str) -> Iterator[Span]:
+    """Keys anywhere in runs of hex digits of either letter case."""
+    for run in HEX_CANDIDATE.finditer(text):
+        digits, at = run[0], 0
+        while m := HEX_START.search(digits, at):
+            data = Coded(digits, m.start(), 16)
+            found = key_at(data, lambda low, high, n=len(data): n if low <= n <= high else None)
+            at = m.start() + (found[1] if found else 1)
+            if found:
+                yield found[0], run.start() + m.start(), run.start() + at
 
 
-def confirmed_spans(text: str, hexes: list[Span]) -> list[Span]:
+def confirmed_spans(text: str) -> list[Span]:
     """Candidates that decode to a key or signed-token structure."""
-    spans: list[Span] = []
-    if "eyJ" in text:
-        spans += [("token", m.start(), m.end()) for m in TOKEN.finditer(text) if token_header(m[1])]
-    spans += base64_spans(text)
-    # runs of digits in either letter case, and the lower-case runs of the base pattern in them
-    for start, end in sorted({(a, b) for _, a, b in hexes} | {m.span() for m in HEX_CANDIDATE.finditer(text)}):
-        found = hex_key(text[start:end])
-        if found and (span := (found[0], start, start + found[1])) not in spans:
-            spans.append(span)
-    return spans
+    tokens = [("token", m.start(), m.end(2)) for m in TOKEN.finditer(text) if token_header(m[1])]
+    return [*tokens, *base64_spans(text), *hex_spans(text)]
 
 
 def scan(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans; both by start, then kind."""
     base = sorted(base_spans(text), key=lambda x: (x[1], RANK[x[0]]))
-    more = confirmed_spans(text, [x for x in base if x[0] == "hex"])
-    return base, sorted(base + more, key=lambda x: (x[1], RANK[x[0]]))
+    return base, sorted(base + confirmed_spans(text), key=lambda x: (x[1], RANK[x[0]]))
 
 
 def joined(spans: list[Span]) -> str:

@@ -172,10 +172,10 @@ def test_keys_before_prose(data, padded):
     lines = "\r\n".join(key[i : i + 64] for i in range(0, len(key), 64))
     for own in (key, lines):
         for after in ("\nthis is prose", "\r\nwords\nmore\nthan one line", f"\n{own}\nthis"):
-            spans = secret_scan.confirmed_spans(f"see {own}{after}", [])
+            spans = secret_scan.confirmed_spans(f"see {own}{after}")
             assert spans[0][1] == 4 and spans[-1][2] == 4 + len(own) * (1 + (own in after)) + (own in after)
     notes = "M" + "x" * 50
-    assert secret_scan.confirmed_spans(f"{notes}\n{key}\nthis", [])[0][1:] == (52, 52 + len(key))
+    assert secret_scan.confirmed_spans(f"{notes}\n{key}\nthis")[0][1:] == (52, 52 + len(key))
 
 
 @pytest.mark.parametrize("data", [RSA, WRAPPED, SSH, OPENSSH])
@@ -184,10 +184,10 @@ def test_keys_in_other_dress(data):
     rows = [key[i : i + 64] for i in range(0, len(key), 64)]
     for gap in ("\n    ", "\r\n\t", "\\n", "\\r\\n"):
         text = f"-----BEGIN PRIVATE KEY-----{gap}{gap.join(rows)}{gap}-----END PRIVATE KEY-----"
-        assert [(a, b) for _, a, b in secret_scan.confirmed_spans(text, [])] == [(text.index(rows[0]), text.index(rows[0]) + len(gap.join(rows)))]
+        assert [(a, b) for _, a, b in secret_scan.confirmed_spans(text)] == [(text.index(rows[0]), text.index(rows[0]) + len(gap.join(rows)))]
     dashed = base64.urlsafe_b64encode(data).decode()
-    assert {(a, b) for _, a, b in secret_scan.confirmed_spans(f"key={dashed} next", [])} == {(4, 4 + len(dashed))}
-    assert secret_scan.confirmed_spans(f"ssh-ed25519 {base64.b64encode(PUBLIC).decode()} me@host", []) == []
+    assert {(a, b) for _, a, b in secret_scan.confirmed_spans(f"key={dashed} next")} == {(4, 4 + len(dashed))}
+    assert secret_scan.confirmed_spans(f"ssh-ed25519 {base64.b64encode(PUBLIC).decode()} me@host") == []
 
 
 def test_hex_keys_in_any_letter_case():
