@@ -35,14 +35,19 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Dotted parts, at every place where one may begin; a JSON header begins with a brace or white space, so with one of these characters.
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=([eICD][A-Za-z0-9_-]{7,})\.[A-Za-z0-9_-]{4,}\.([A-Za-z0-9_-]*))")
+DOTTED = re.compile(r"\.[A-Za-z0-9_-]{4,}\.")
 #: Between the lines of a key: a line end and what indents the next line, or the escapes of a line end in a quoted string.
 LINE_END = re.compile(r"\r?\n[ \t]*|(?:\\r)?\\n")
 #: First characters of base64 whose bytes begin a DER sequence or an OpenSSH key; the first line of a key has 40 characters, later ones 4.
 BASE64_STARTS = ("M", "b3BlbnNzaC1rZXktdjEA", "AAAA")
 FIRST_LINE, OTHER_LINE = 40, 4
-#: A line end, or a stretch of the alphabet and its padding; alone and in the alphabet of URLs.
-BASE64_PART = re.compile(rf"({LINE_END.pattern})|([A-Za-z0-9+/]+)(={{0,2}})")
-URL_BASE64 = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{40,})(={0,2})")
+FIRST_LINES = tuple(re.compile(rf"{x}[A-Za-z0-9+/]{{{FIRST_LINE - len(x)},}}") for x in BASE64_STARTS)
+#: The same in the alphabet of URLs, on one line.
+URL_LINES = tuple(re.compile(rf"{x}[A-Za-z0-9_-]{{{FIRST_LINE - len(x)},}}") for x in BASE64_STARTS)
+#: A first line begins where no character of its alphabet is in front, or only the escape of a line end.
+BEFORE, URL_BEFORE = re.compile(r"(?<![A-Za-z0-9+/])|(?<=\\n)"), re.compile(r"(?<![A-Za-z0-9_-])|(?<=\\n)")
+PADDING = re.compile("={0,2}")
+NEXT_LINE = re.compile(rf"(?:{LINE_END.pattern})([A-Za-z0-9+/]{{{OTHER_LINE},}})(={{0,2}})")
 HEX_CANDIDATE = re.compile(r"[0-9A-Fa-f]{24,}")
 #: Members of a key structure at most; real ones have ten.
 MAX_MEMBERS = 40
@@ -250,32 +255,29 @@ def key_at(data: Coded, ends: Callable[[int, int], int | None]) -> tuple[str, in
     return ("ssh", data.chars_of(whole[-1])) if whole else None
 
 
+def first_lines(text: str, patterns: tuple[re.Pattern, ...], before: re.Pattern) -> list[tuple[int, str]]:
+    """Place and characters of the lines with which a key may begin, in order."""
+    return sorted((m.start(), m[0]) for p in patterns for m in p.finditer(text) if before.match(text, m.start()))
+
+
 def base64_lines(text: str) -> Iterator[list[tuple[int, str, int]]]:
-    """Lines of base64 that follow each other, up to one with padding: place, characters and padding of each."""
-    block: list[tuple[int, str, int]] = []
-    at = -1  # end of the block and of a line end after it
-    broken = True
-    for m in BASE64_PART.finditer(text):
-        if m[1] is not None:
-            broken = broken or m.start() != at
-            at = m.end()
-            fresh = True
+    """Lines of base64 that follow a possible first line, up to one with padding: place, characters and padding of each."""
+    upto = -1
+    for begin, own in first_lines(text, FIRST_LINES, BEFORE):
+        if begin < upto:  # among the lines before
             continue
-        if block and not broken and m.start() == at and fresh and len(m[2]) >= OTHER_LINE and not block[-1][2]:
-            block.append((m.start(), m[2], len(m[3])))
-        else:
-            if block:
-                yield block
-            block = [(m.start(), m[2], len(m[3]))]
-        at, broken, fresh = m.end(), False, False
-    if block:
-        yield block
+        upto = begin + len(own)
+        pad = PADDING.match(text, upto)[0]
+        lines = [(begin, own, len(pad))]
+        upto += len(pad)
+        while not lines[-1][2] and (m := NEXT_LINE.match(text, upto)):
+            lines.append((m.start(1), m[1], len(m[2])))
+            upto = m.end()
+        yield lines
 
 
 def keys_in_lines(lines: list[tuple[int, str, int]]) -> Iterator[Span]:
     """Keys that begin with a line; each character is looked at a bounded number of times."""
-    if not any(len(x) >= FIRST_LINE and x.startswith(BASE64_STARTS) for _, x, _ in lines):
-        return
     chars = "".join(x for _, x, _ in lines)
     stops = list(accumulate(len(x) for _, x, _ in lines))
     line = 0
@@ -313,12 +315,9 @@ def keys_in_lines(lines: list[tuple[int, str, int]]) -> Iterator[Span]:
 def base64_spans(text: str) -> list[Span]:
     """Keys in base64: lines that follow each other, and single lines in the alphabet of URLs."""
     spans = [x for lines in base64_lines(text) for x in keys_in_lines(lines)]
-    for m in URL_BASE64.finditer(text):
-        begin, run = m.start(), m[1]
-        if run[0] == "n" and text[begin - 1 : begin] == "\\":  # behind the escape of a line end
-            begin, run = begin + 1, run[1:]
-        if ("-" in run or "_" in run) and run.startswith(BASE64_STARTS):
-            spans += keys_in_lines([(begin, run.replace("-", "+").replace("_", "/"), len(m[2]))])
+    for begin, own in first_lines(text, URL_LINES, URL_BEFORE):
+        if "-" in own or "_" in own:
+            spans += keys_in_lines([(begin, own.replace("-", "+").replace("_", "/"), len(PADDING.match(text, begin + len(own))[0]))])
     return spans
 
 
@@ -336,7 +335,7 @@ def hex_spans(text: str) -> Iterator[Span]:
 
 def confirmed_spans(text: str) -> list[Span]:
     """Candidates that decode to a key or signed-token structure."""
-    tokens = [("token", m.start(), m.end(2)) for m in TOKEN.finditer(text) if token_header(m[1])]
+    tokens = [("token", m.start(), m.end(2)) for m in TOKEN.finditer(text) if token_header(m[1])] if DOTTED.search(text) else []
     return [*tokens, *base64_spans(text), *hex_spans(text)]
 
 
