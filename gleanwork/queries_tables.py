@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gleanwork.cases import OWNED_SQL, owned
+from gleanwork.functions import json_schema
 from gleanwork.operators import detect as D
 from gleanwork.operators import graph, sketches
 from gleanwork.queries import Query, postings, stream_folder, table
 from gleanwork.queries_planted import ORACLES as PLANTED
 from gleanwork.queries_planted import planted_pages
+from gleanwork.sources import catalog
+from gleanwork.sources import connectors as C
 from gleanwork.sources.shared import materialise
 from gleanwork.sources.signal_store import SignalStore
 from gleanwork.sources.versioned import Conflict, VersionedTable
@@ -152,3 +157,85 @@ def linked_pages(spark, sf_dir):
     links = pages.select(k.alias("source"), F.explode(F.array((k * 7 + 1) % n, (k * 11 + 3) % n, k)).alias("target"))
     found = graph.reachable(links, pages.where(k % 20 == 0).select(k.alias("node")), 6)
     return found.select("start", "node", F.col("depth").cast("long").alias("depth"))
+
+
+# --- XML ----------------------------------------------------------------------------------
+
+
+def xml_feeds(spark, sf_dir):  # noqa: ANN001, ANN201
+    """A feed for each page: items with markup in CDATA, a nested element of the item's own name, comments, attributes with signs; every seventh is cut off."""
+    rows = owned(spark, sf_dir)
+    own, k = F.col("own"), F.col("page_id")
+    item = lambda i, body: F.concat(F.lit(f'<job note="a > b" id="{i}"><!-- <title>no</title> -->'), body, F.lit("</job>"))
+    first = item(1, F.concat(F.lit("<title lang='x'><![CDATA[Cook <1> & "), own, F.lit("]]></title><city> Oslo &amp; Turku </city><place><city>Inner</city></place><url>https://"), own, F.lit("/1</url>")))
+    second = item(2, F.concat(F.lit("<related><job><title>Nested</title></job></related><title>"), own, F.lit("</title><url/>")))
+    last = F.when(k % 7 == 0, F.lit("<job><title>cut")).otherwise(F.lit("</feed>"))
+    return rows.select("page_id", F.concat(F.lit('<?xml version="1.0"?><feed xmlns="http://x/">'), first, second, last).alias("body"))
+
+
+@query(f"""WITH o AS ({OWNED_SQL}) SELECT page_id, 0::BIGINT AS pos, 'Cook <1> & ' || own AS title, 'Oslo & Turku' AS city, 'Inner' AS inner_city, 'https://' || own || '/1' AS url FROM o WHERE page_id % 7 > 0
+    UNION ALL SELECT page_id, 1, own, NULL, NULL, NULL FROM o WHERE page_id % 7 > 0""")
+def xml_feed_items(spark, sf_dir):
+    found = C.xml_records(xml_feeds(spark, sf_dir), "job", ["title", "city", "place.city", "url"])
+    return found.select("page_id", F.col("pos").cast("long").alias("pos"), F.col("item_title").alias("title"), F.col("item_city").alias("city"), F.col("`item_place.city`").alias("inner_city"), F.col("item_url").alias("url"))
+
+
+@query("SELECT page_id FROM pages WHERE page_id % 7 = 0")
+def broken_xml(spark, sf_dir):
+    """Feeds that are no XML, with their bodies kept."""
+    rows = xml_feeds(spark, sf_dir).withColumn("x", C.xml_parsed("body", "job", ["title"]))
+    return rows.where("x._broken = body").select("page_id")
+
+
+@query("SELECT event_id, user_id, event_type, props FROM events")
+def xml_file_rows(spark, sf_dir):
+    """Rows written as XML files and read back by their row tag."""
+    at = f"{stream_folder(spark)}/events"
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
+    rows.write.format("xml").option("rowTag", "event").option("rootTag", "events").save(at)
+    return spark.read.format("xml").option("rowTag", "event").schema(rows.schema).load(at)
+
+
+# --- bodies and tables ----------------------------------------------------------------------
+
+VERDICT_SCHEMA = {
+    "type": "object", "required": ["adequation_grade", "depth_analysis"],
+    "properties": {
+        "adequation_grade": {"type": "integer", "minimum": 0, "maximum": 100}, "depth_analysis": {"type": "string", "minLength": 1},
+        "tags": {"type": "array", "maxItems": 2, "items": {"type": "string", "enum": ["a", "b"]}}, "locale": {"type": "string", "pattern": "^[a-z]{2}$"},
+    },
+}
+
+
+@query("""WITH g AS (SELECT doc_id AS k, quality * 60 + doc_id % 50 AS grade FROM labels)
+    SELECT k AS doc_id, CASE WHEN k % 13 = 0 THEN '$: no JSON' ELSE concat_ws('; ',
+      CASE WHEN k % 11 = 0 THEN '$.adequation_grade: not an integer' WHEN grade > 100 THEN '$.adequation_grade: above 100' END,
+      CASE WHEN k % 7 = 0 THEN '$.depth_analysis: missing' WHEN k % 6 = 0 THEN '$.depth_analysis: shorter than 1' END,
+      CASE WHEN k % 5 = 3 THEN '$.tags: more than 2 items' END, CASE WHEN k % 5 IN (2, 3) THEN '$.tags[]: not one of a, b' END, CASE WHEN k % 4 = 1 THEN '$.locale: does not match ^[a-z]{2}$' END) END AS reasons,
+      CASE WHEN k % 13 > 0 AND k % 11 > 0 AND grade <= 100 AND k % 7 > 0 AND k % 6 > 0 AND k % 5 NOT IN (2, 3) AND k % 4 <> 1 THEN CAST(grade AS BIGINT) END AS grade FROM g""")
+def schema_reasons(spark, sf_dir):
+    """Why bodies made from labels do not follow a schema, and the grades of those that do."""
+    k = F.col("doc_id")
+    grade = (F.col("quality") * 60 + k % 50).cast("string")
+    parts = F.array(
+        F.concat(F.lit('"adequation_grade": '), F.when(k % 11 == 0, F.concat(F.lit('"'), grade, F.lit('"'))).otherwise(grade)),
+        F.when(k % 7 > 0, F.when(k % 6 == 0, F.lit('"depth_analysis": ""')).otherwise(F.lit('"depth_analysis": "fits"'))),
+        F.when(k % 5 == 1, F.lit('"tags": ["a", "b"]')).when(k % 5 == 2, F.lit('"tags": ["c", "d"]')).when(k % 5 == 3, F.lit('"tags": ["a", "c", "b"]')),
+        F.when(k % 4 == 1, F.lit('"locale": "eng"')).when(k % 4 == 2, F.lit('"locale": "en"')).when(k % 4 == 3, F.lit('"locale": null')),
+    )
+    body = F.concat(F.lit("{"), F.array_join(F.filter(parts, lambda x: x.isNotNull()), ", "), F.when(k % 13 == 0, F.lit("")).otherwise(F.lit("}")))
+    rows = table(spark, sf_dir, "labels").select("doc_id", body.alias("body"))
+    return rows.select("doc_id", F.array_join(json_schema.reject_reasons("body", VERDICT_SCHEMA), "; ").alias("reasons"), json_schema.parsed("body", VERDICT_SCHEMA)["adequation_grade"].alias("grade"))
+
+
+@query("SELECT event_id, event_type, CASE WHEN event_id % 2 = 0 THEN 'none' ELSE 'feed' END AS via, CAST(CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id END AS BIGINT) AS rank FROM events")
+def migrated_table(spark, sf_dir):
+    """A table by name: created once, filled, given two columns with defaults (twice), filled again."""
+    name, events = f"stored_{uuid.uuid4().hex}", table(spark, sf_dir, "events")
+    made = [catalog.ensure_table(spark, name, "event_id BIGINT, event_type STRING", f"{stream_folder(spark)}/table") for _ in range(2)]
+    catalog.insert_by_name(events.where("event_id % 2 = 0").select("event_id", "event_type"), name)
+    added = [catalog.add_columns(spark, name, {"via": ("STRING", "'none'"), "rank": ("BIGINT", "0")}) for _ in range(2)]
+    if made != [True, False] or added != [["via", "rank"], []]:
+        raise AssertionError((made, added))
+    catalog.insert_by_name(events.where("event_id % 2 = 1").select(F.col("user_id").alias("rank"), "event_type", F.lit("feed").alias("via"), "event_id"), name)
+    return spark.table(name).select("event_id", "event_type", "via", "rank")

@@ -6,6 +6,7 @@ it runs on stored fetches as well as on fresh ones.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -68,26 +69,36 @@ def feed_pages(requests: DataFrame, fetches: DataFrame, feed: Feed) -> DataFrame
     return feed_page_urls(requests, fetches, feed).join(bodies, F.col("_page") == F.col("_url")).drop("_url", "_page")
 
 
-def xml_items(body: Column, tag: str, *fields: str) -> Column:
-    """Array of structs of each element's leaf texts, by XPath."""
-    lists = {f: F.xpath(body, F.lit(f"//{tag}/{f}/text()")) for f in fields}
-    return F.arrays_zip(*[v.alias(k) for k, v in lists.items()])
+#: How feeds in XML are read: names without prefix, white space as it is, and what cannot be parsed set aside.
+XML_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "ignoreNamespace": "true", "attributePrefix": "_attr_", "valueTag": "_text", "ignoreSurroundingSpaces": "false"}
+
+
+def xml_type(tag: str, fields: Sequence[str]) -> str:
+    """Type of a feed whose root holds ``tag`` elements; a dotted field is a leaf inside another element."""
+    tree: dict = {}
+    for f in fields:
+        at = tree
+        for part in f.split("."):
+            at = at.setdefault(part, {})
+    kind = lambda node: "struct<" + ", ".join(f"`{k}`: {kind(v) if v else 'string'}" for k, v in node.items()) + ">"
+    return f"struct<`{tag}`: array<{kind(tree)}>, `_broken`: string>"
+
+
+def xml_parsed(body: Column | str, tag: str, fields: Sequence[str]) -> Column:
+    """A feed's elements; ``_broken`` holds the body if it is no XML."""
+    return F.from_xml(body, xml_type(tag, fields), XML_OPTIONS)
 
 
 def xml_records(bodies: DataFrame, tag: str, fields: list[str], body: str = "body") -> DataFrame:
-    """A row for each ``tag`` element with the stripped texts of its leaf children; missing ones are null."""
-    pattern = rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"
-    rows = bodies.withColumn("_pos_item", F.explode(F.transform(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)), lambda x, i: F.struct(i.alias("pos"), x.alias("xml")))))
-
-    def leaf(name: str) -> Column:
-        raw = F.regexp_extract(F.col("_pos_item.xml"), rf"(?s)<{name}(?:\s[^>]*)?>(?:\s*<!\[CDATA\[(.*?)\]\]>\s*|([^<]*))</{name}>", 1)
-        plain = F.regexp_extract(F.col("_pos_item.xml"), rf"(?s)<{name}(?:\s[^>]*)?>([^<]*)</{name}>", 1)
-        text = F.trim(F.when(raw != "", raw).otherwise(plain))
-        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-            text = F.replace(text, F.lit(entity), F.lit(char))
-        return F.nullif(text, F.lit(""))
-
-    return rows.select("*", F.col("_pos_item.pos").alias("pos"), *[leaf(f).alias(f"item_{f}") for f in fields]).drop("_pos_item")
+    """A row for each ``tag`` element below the root, with the stripped texts of its leaves as ``item_<leaf>``; missing ones are null.
+
+    Comments, CDATA, attributes and elements of the same name inside others are
+    the parser's matter. Bodies that are no XML give no rows.
+    """
+    rows = bodies.withColumn("_feed", xml_parsed(body, tag, fields)).where(F.col("_feed._broken").isNull())
+    rows = rows.select("*", F.posexplode(F.col(f"_feed.`{tag}`")).alias("pos", "_item")).drop("_feed")
+    leaf = lambda f: F.nullif(F.trim(F.col("_item." + ".".join(f"`{p}`" for p in f.split(".")))), F.lit(""))
+    return rows.select("*", *[leaf(f).alias(f"item_{f}") for f in fields]).drop("_item")
 
 
 def feed_postings(boards: DataFrame, fetches: DataFrame) -> DataFrame:
