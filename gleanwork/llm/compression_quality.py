@@ -91,9 +91,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Model from ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, quality`` 0 or 1).
 
     Without labelled texts of both kinds (at most 64 KiB long) all texts score
-    0.5. Of repeated ids in ``labels`` the lower label counts; repeated rows of
-    ``docs`` count as often as they come; null ids and null texts are not
-    learned from.
+    0.5. Of repeated ids in ``labels`` the lower label counts, and of repeated
+    ids in ``docs`` the least text, so that the driver gets one text for each
+    drawn id; null ids and null texts are not learned from.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.withColumn("rank", F.md5(F.col("doc_id").cast("string")))
@@ -104,6 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     drawn = [known.where(F.col("quality") == q).orderBy("rank", "doc_id").limit(most) for q in (0, 1)]
     ids = docs.sparkSession.createDataFrame(drawn[0].union(drawn[1]).collect(), known.schema).withColumnRenamed("doc_id", "_id")  # at most 2 * most rows
     texts = docs.where(F.octet_length("text") <= MOST_BYTES).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    texts = texts.groupBy("quality", "rank", "doc_id").agg(F.min("text").alias("text"))
     by_label: dict[int, list[bytes]] = {0: [], 1: []}
     for q, _, _, text in sorted(texts.select("quality", "rank", "doc_id", "text").collect()):
         by_label[q].append(text.encode("utf-8", "replace"))

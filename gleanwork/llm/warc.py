@@ -107,7 +107,8 @@ def refer_to(pages: DataFrame) -> DataFrame:
     slim = pages.where(size >= MIN_SHARED_BYTES).select("page_id", "url", F.sha2("html", 256).alias("digest"))
     groups = slim.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.max_by("url", "page_id").alias("refers_url"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
     groups = materialise(groups.select(F.col("digest").alias("_digest"), F.col("refers_to").alias("_to"), F.col("refers_url").alias("_url")), "warc-repeats")
-    own = F.when(size >= MIN_SHARED_BYTES, F.sha2("html", 256))
+    # smaller payloads have no group; they are dealt by their page instead of all by null
+    own = F.when(size >= MIN_SHARED_BYTES, F.sha2("html", 256)).otherwise(F.concat(F.lit("small "), F.xxhash64("page_id", "url").cast("string")))
     met = pages.withColumn("_own", own).join(groups, F.col("_own") == F.col("_digest"), "left")
     revisit = F.coalesce(F.col("_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_to")), F.lit(False))
     return met.select("page_id", "url", "html", F.when(revisit, F.col("_to")).alias("refers_to"), revisit.alias("is_revisit"), F.when(revisit, F.col("_url")).alias("refers_url"))

@@ -7,6 +7,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gleanwork.llm import bpe, compression_quality, fingerprints, lm_scoring, mixing, near_dedup, quality_rules, secret_scan, token_files, warc
@@ -257,6 +258,17 @@ def test_labels_without_texts_score_evenly(spark, odd):
     assert compression_quality.score_quality(odd.where("false"), model).count() == 0
 
 
+def test_repeated_ids_send_one_text_each(spark, monkeypatch):
+    docs = [(i, prose(40 + i % 7, i) if i % 2 else "# $ " * 40 + prose(9, i)) for i in range(1, 240)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, quality int")
+    once = spark.createDataFrame(docs, "doc_id long, text string")
+    sent = []
+    real = compression_quality.trained_dictionary
+    monkeypatch.setattr(compression_quality, "trained_dictionary", lambda texts: sent.append(len(texts)) or real(texts))
+    often = once.unionAll(once.where("doc_id in (3, 4)").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(20_000)))).drop("n"))
+    assert compression_quality.fit(often, labels) == compression_quality.fit(once, labels) and sent[:2] == sent[2:]
+
+
 def test_columns_that_clash(spark, odd):
     """Operators that keep columns rename those that clash; those with fixed columns leave the others out."""
     clash = odd.withColumnRenamed("lang", "n_tokens").withColumnRenamed("source", "fingerprint").withColumnRenamed("n_chars", "text_hash")
