@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from gleanwork.functions.text import is_blank, keyword_hits, matches_any
 from gleanwork.functions.urls import norm_url, title_from_url
 
+# --- fixed values: thresholds of both filters ---
 MIN_HITS = 2
 MIN_HITS_DETAILED, MIN_HITS_INCOMPLETE = 5, 3
 MAX_UNJUDGED_PER_COMPANY = 300
+# --- end of fixed values ---
 
 
 def recover_titles(postings: DataFrame) -> DataFrame:
@@ -25,14 +27,13 @@ def capped_per_group(rows: DataFrame, group: str, key: str, most: int, exempt: C
 
     Ranked by md5 of the key: a group's window keeps only the first ``most``
     rows of each task before the shuffle, so a huge company costs no more than
-    its cap in each task. ``exempt`` rows stay and do not count: each is a
-    group of its own, so one window over one scan serves both.
+    its cap in each task. ``exempt`` rows stay and do not count; they are never
+    moved, for which the input is scanned twice.
     """
     free = F.coalesce(exempt, F.lit(False)) if exempt is not None else F.lit(False)
-    rows = rows.withColumn("_free", free).where(F.col("_free") | F.col(group).isNotNull())
-    rows = rows.withColumn("_alone", F.when(F.col("_free"), F.monotonically_increasing_id()))
-    order = Window.partitionBy(group, "_alone").orderBy(F.md5(F.coalesce(F.col(key), F.lit(""))), key)
-    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank", "_free", "_alone")
+    order = Window.partitionBy(group).orderBy(F.md5(F.coalesce(F.col(key), F.lit(""))), key)
+    capped = rows.where(~free & F.col(group).isNotNull()).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
+    return capped if exempt is None else rows.where(free).unionByName(capped)
 
 
 def first_filter(postings: DataFrame, keywords: Sequence[str], blacklist: Sequence[str], min_hits: int = MIN_HITS, most_unjudged: int = MAX_UNJUDGED_PER_COMPANY) -> DataFrame:
@@ -66,7 +67,8 @@ def second_filter(postings: DataFrame, keywords: Sequence[str], blacklist: Seque
 
 
 def dedupe(postings: DataFrame, url: str = "url", order: Sequence[str] = ("pos",)) -> DataFrame:
-    """First row of each normalised URL by ``order``; rows without URL all stay."""
-    keyed = postings.withColumn("_key", norm_url(url)).withColumn("_alone", F.when(F.col("_key").isNull(), F.monotonically_increasing_id()))
-    window = Window.partitionBy("_key", "_alone").orderBy(*order)
-    return keyed.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n", "_key", "_alone")
+    """First row of each normalised URL by ``order``; rows without URL all stay, where they are."""
+    window = Window.partitionBy("_key").orderBy(*order)
+    keyed = postings.where(F.col(url).isNotNull()).withColumn("_key", norm_url(url))
+    first = keyed.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n", "_key")
+    return first.unionByName(postings.where(F.col(url).isNull()))

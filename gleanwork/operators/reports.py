@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "(blank)"
+# --- fixed values: the grammar of a reason line ---
 REASON = r"^(.*?)(?:\s*\((\d+) anchors, (\d+) scripts(?:, ([^)]*))?\))?(?:\s*\(redirected to ([^)]*)\))?$"
+# --- end of fixed values ---
 
 
 def value_counts(rows: DataFrame, column: str, top: int = 0) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanwork.functions.text import interval_of, strip
 from gleanwork.operators.ranges import numbered
+from gleanwork.sources.shared import materialise
 
 
 def since(timestamp: str, window: str, now: Column | None = None) -> Column:
@@ -102,24 +103,30 @@ def for_generation(jobs: DataFrame, analyses: DataFrame, job_id: int) -> DataFra
     return job.join(analyses, F.col("_id") == F.col("job_id")).select("description", F.col("id").alias("analysis_id"), "depth_analysis")
 
 
+def new_rows(existing: DataFrame, batch: DataFrame, order: list[str]) -> DataFrame:
+    """Rows of ``batch`` whose URL is new: the first of equal URLs by ``order``, and all without URL."""
+    window = Window.partitionBy("url").orderBy(*order)
+    with_url = batch.where("url is not null").withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
+    return with_url.join(existing.select("url").where("url is not null").distinct(), "url", "left_anti").unionByName(batch.where("url is null"))
+
+
 def insert_ignore(existing: DataFrame, batch: DataFrame, order: list[str]) -> DataFrame:
     """Rows of ``batch`` whose URL is new, with ids after the existing ones.
 
     The first of equal URLs in the batch counts; rows without URL never
-    conflict. Ids follow ``order``, whose first column is a number.
+    conflict. Ids follow ``order``, whose first column is a number. The new
+    rows are found once and written to the shared folder; numbers are given to
+    what was written.
     """
-    window = Window.partitionBy("url").orderBy(*order)
-    with_url = batch.where("url is not null").withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
-    fresh = with_url.join(existing.select("url").where("url is not null").distinct(), "url", "left_anti").unionByName(batch.where("url is null"))
-    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    start = top.first()["_top"]
-    return numbered(fresh, order, "id", start + 1)
+    fresh = materialise(new_rows(existing, batch, order), "new-rows")
+    top = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    return numbered(fresh, order, "id", top + 1)
 
 
 def insert_counts(existing: DataFrame, batch: DataFrame, order: list[str]) -> DataFrame:
     """One row: how many rows of the batch are new, and how many are skipped."""
-    fresh = insert_ignore(existing, batch, order)
-    return fresh.agg(F.count("*").alias("inserted")).join(batch.agg(F.count("*").alias("_all"))).select("inserted", (F.col("_all") - F.col("inserted")).alias("skipped"))
+    fresh = new_rows(existing, batch, order).agg(F.count("*").alias("inserted"))
+    return fresh.join(batch.agg(F.count("*").alias("_all"))).select("inserted", (F.col("_all") - F.col("inserted")).alias("skipped"))
 
 
 def without_done(rows: DataFrame, done: DataFrame, key: str = "url") -> DataFrame:

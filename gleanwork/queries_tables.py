@@ -9,14 +9,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleanwork.cases import OWNED_SQL, owned
-from gleanwork.functions import json_schema
+from gleanwork.functions import json_schema, registered
+from gleanwork.functions import urls as U
 from gleanwork.operators import detect as D
 from gleanwork.operators import graph, sketches
+from gleanwork.oracles import HOST
+from gleanwork.plans import pipeline
 from gleanwork.queries import Query, postings, stream_folder, table
 from gleanwork.queries_planted import ORACLES as PLANTED
 from gleanwork.queries_planted import planted_pages
 from gleanwork.sources import catalog
 from gleanwork.sources import connectors as C
+from gleanwork.sources import fetches as FT
 from gleanwork.sources.shared import materialise
 from gleanwork.sources.signal_store import SignalStore
 from gleanwork.sources.versioned import Conflict, VersionedTable
@@ -128,6 +132,27 @@ def keyed_stream(spark, sf_dir):
     return target.read().select("user_id", "event_id", F.dense_rank().over(Window.orderBy("epoch")).cast("long").alias("nth"), "id").select("user_id", "event_id", (F.col("nth") - 1).alias("epoch"), "id")
 
 
+@query("SELECT url, md5(html) AS digest, 200 AS status, CAST(1 AS BIGINT) AS asked FROM pages")
+def fetched_stream(spark, sf_dir):
+    """Requests as a stream that is stopped and started again, some of them twice in it: each is asked once, by hosts, and its answer stored."""
+    folder, pages = stream_folder(spark), table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    schema = "page_id long, url string"
+    asked = VersionedTable(spark, f"{folder}/asked", "url string")
+    target = VersionedTable(spark, f"{folder}/answers", "url string, status int, body string, epoch long")
+
+    def backend(requests):  # noqa: ANN001, ANN202
+        asked.append(requests.select("url"))
+        by_host = requests.repartition(U.host_of("url")).sortWithinPartitions("url")
+        return by_host.join(pages.select("url", F.col("html").alias("body")), "url").withColumn("status", F.lit(200))
+
+    for run in (pages.where("page_id % 3 = 0"), pages.where("page_id % 2 = 0"), pages):
+        run.select("page_id", "url").coalesce(1).write.mode("append").parquet(f"{folder}/requests")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/requests")
+        keyed.insert_stream(spark, stream, target, f"{folder}/state", "url", "page_id", work=backend)
+    times = asked.read().groupBy("url").agg(F.count("*").alias("asked"))
+    return target.read().join(times, "url").select("url", F.md5("body").alias("digest"), "status", "asked")
+
+
 # --- reports that add up ------------------------------------------------------------------
 
 
@@ -239,3 +264,47 @@ def migrated_table(spark, sf_dir):
         raise AssertionError((made, added))
     catalog.insert_by_name(events.where("event_id % 2 = 1").select(F.col("user_id").alias("rank"), "event_type", F.lit("feed").alias("via"), "event_id"), name)
     return spark.table(name).select("event_id", "event_type", "via", "rank")
+
+
+# --- fetched bytes, and all stages ------------------------------------------------------------
+
+
+@query("""SELECT page_id, md5(CASE page_id % 5 WHEN 3 THEN html || chr(65533) WHEN 4 THEN url || 'é' ELSE html END) AS digest FROM pages""")
+def decoded_bodies(spark, sf_dir):
+    """Bodies as bytes in the charset that their type declares, quoted or not, in none, in an unknown one, with a bad byte, and in Latin-1."""
+    k = F.col("page_id") % 5
+    utf8 = F.encode("html", "UTF-8")
+    raw = F.when(k == 1, F.encode("html", "UTF-16LE")).when(k == 3, F.concat(utf8, F.unhex(F.lit("FF")))).when(k == 4, F.encode(F.concat("url", F.lit("é")), "ISO-8859-1")).otherwise(utf8)
+    kind = F.when(k == 1, 'text/html; x=1; Charset="UTF-16LE"').when(k == 2, "text/html; charset=x-none").when(k == 4, "text/html;charset=iso-8859-1").when(k == 0, F.lit(None)).otherwise("text/html")
+    rows = table(spark, sf_dir, "pages").select("page_id", raw.alias("raw"), kind.alias("kind"))
+    return rows.select("page_id", F.md5(FT.text_of_bytes("raw", "kind")).alias("digest"))
+
+
+@query(f"""WITH o AS ({OWNED_SQL}), j AS (SELECT page_id, own, unnest([41, 42]) AS n FROM o)
+    SELECT 'https://' || own || '.fr/jobs/' || n || CASE n WHEN 41 THEN '-ship-cook' ELSE '-deck-hand' END AS url, own AS company, CASE n WHEN 41 THEN 'Ship Cook' ELSE 'Deck Hand' END AS title,
+      'Work' || repeat(' cook deck', CAST(page_id % 4 AS INTEGER)) AS description FROM j WHERE 4 + 2 * (page_id % 4) >= 5 AND page_id % 6 > 0""")
+def staged_run(spark, sf_dir):
+    """All stages for a board on each page: links are read, filtered by title, fetched, filtered by text, stored; a second run adds nothing."""
+    rows, k = owned(spark, sf_dir), F.col("page_id")
+    root = F.concat(F.lit("https://"), F.col("own"), F.lit(".fr"))
+    boards = rows.select(F.concat(root, F.lit("/careers")).alias("board_url"), F.col("own").alias("company"), F.lit(None).cast("string").alias("ats"), F.lit(None).cast("string").alias("final_url"), F.lit(LINKS).alias("html"))
+    text = F.concat(F.lit("<html><body><main>Work"), F.repeat(F.lit(" cook deck"), (k % 4).cast("int")), F.when(k % 6 == 0, F.lit(" idiot")).otherwise(F.lit("")), F.lit("</main></body></html>"))
+    paths = F.explode(F.array(*[F.lit(p) for p in ("/jobs/41-ship-cook", "/jobs/42-deck-hand", "/jobs/43-second-mate")]))
+    fetches = rows.select(root.alias("root"), text.alias("body"), paths.alias("path")).select(F.concat("root", "path").alias("url"), F.lit("GET").alias("method"), F.lit(None).cast("string").alias("request_body"), F.lit(200).alias("status"), "body")
+    settings = pipeline.Settings(stream_folder(spark), ["cook", "deck", "hand", "ship"], ["idiot"], materialise(boards, "boards"), materialise(fetches, "fetches"))
+    pipeline.run(spark, settings)
+    pipeline.run(spark, settings, "detail", "store")
+    return spark.read.parquet(settings.path("job_data")).select("url", "company", "title", "description")
+
+
+LINKS = '<a href="/jobs/41-ship-cook">Ship Cook</a><a href="/jobs/42-deck-hand">Deck Hand</a><a href="/jobs/43-second-mate">Second Mate</a><a href="/about">About us</a>'
+
+
+@query(rf"""SELECT page_id, regexp_replace(split_part(url, '#', 1), '/+$', '') AS norm, {HOST.format('url')} AS host, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS anchors FROM pages WHERE html LIKE '%<a href=%'""")
+def functions_in_sql(spark, sf_dir):
+    """Registered functions and a table function in one SQL statement over the pages."""
+    registered.register(spark)
+    return spark.sql(
+        "SELECT page_id, norm_url(url) AS norm, host_of(url) AS host, anchors FROM {pages} JOIN (SELECT page_id AS id, count(*) AS anchors FROM {pages} p, LATERAL html_anchors(p.html, p.url) GROUP BY page_id) ON page_id = id",
+        pages=table(spark, sf_dir, "pages").select("page_id", "url", "html"),
+    )

@@ -306,8 +306,8 @@ def scrape(boards: DataFrame, fetches: DataFrame, rendered: DataFrame | None = N
 
 
 def pages_once(fetches: DataFrame) -> DataFrame:
-    """One fetch for each request; the first successful one counts."""
-    order = Window.partitionBy("url", "method", "request_body").orderBy(F.desc(F.coalesce(F.col("status") == 200, F.lit(False))), F.desc_nulls_last("status"))
+    """One fetch for each request: a successful one before others, of several the one whose body has the least digest."""
+    order = Window.partitionBy("url", "method", "request_body").orderBy(F.desc(F.coalesce(F.col("status") == 200, F.lit(False))), F.desc_nulls_last("status"), F.md5("body"))
     return fetches.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 

@@ -8,10 +8,13 @@ import urllib.error
 import urllib.request
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from gleanwork.functions.types import STRING
+
 # --- fixed values ---
 TEXTUAL = ("text/", "application/xhtml", "application/xml", "application/json", "application/rss", "application/ld+json")
 RETRY_STATUSES = (429, 500, 502, 503, 504)
@@ -50,6 +53,12 @@ def decoded_body(raw: bytes, content_type: str | None) -> str:
         return raw.decode("utf-8", "replace")
 
 
+@F.pandas_udf(STRING)
+def text_of_bytes(body: pd.Series, content_type: pd.Series) -> pd.Series:
+    """Bodies kept as bytes, decoded as ``decoded_body`` does; null stays null."""
+    return pd.Series([None if b is None else decoded_body(bytes(b), c) for b, c in zip(body, content_type, strict=True)], dtype=object)
+
+
 def usable(fetches: DataFrame) -> DataFrame:
     """Fetches with a text that can be read: status 200, textual, not empty."""
     return fetches.where((F.col("status") == 200) & F.col("error").isNull() & is_textual(F.col("content_type")) & (F.coalesce("body", F.lit("")) != ""))

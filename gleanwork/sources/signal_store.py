@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,12 +31,9 @@ class SignalStore:
         and a join of digests. Texts go with the digests only once they are new.
         """
         keyed = pages.select(content_digest(url, html).alias("digest"), F.col(url).alias("url"), F.col(html).alias("html"))
-        seen, parsed = Observation(), Observation()
-        keyed = keyed.observe(seen, F.count("*").alias("pages"))
         fresh = keyed.join(self.table.read().select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
-        fresh = fresh.observe(parsed, F.count("*").alias("parsed"))
-        self.table.insert_new(fresh.select("digest", extract_page("html", "url").alias("p")), "digest", "digest")
-        return {"pages": seen.get["pages"], "parsed": parsed.get["parsed"]}
+        parsed, _ = self.table.insert_new(fresh.select("digest", extract_page("html", "url").alias("p")), "digest", "digest")
+        return {"pages": pages.count(), "parsed": parsed}
 
     def signals(self, pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
         """Stored signals of pages, as ``detect.extract_signals`` gives them; pages that are not in the store are left out."""

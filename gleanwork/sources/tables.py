@@ -12,9 +12,12 @@ from pyspark.sql import types as T
 from gleanwork.functions.text import strip
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, na_tokens: Sequence[str] = ()) -> DataFrame:
-    """CSV with a header; fields may hold line breaks and doubled quotes. Empty cells (and ``na_tokens``) are null."""
-    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, na_tokens: Sequence[str] = (), line_breaks: bool = True) -> DataFrame:
+    """CSV with a header; fields may hold doubled quotes and, with ``line_breaks``, line breaks. Empty cells (and ``na_tokens``) are null.
+
+    A file whose fields may hold line breaks is read by one task; without them large files are split.
+    """
+    rows = spark.read.schema(schema).option("header", True).option("multiLine", line_breaks).option("quote", '"').option("escape", '"').csv(path)
     if na_tokens:
         rows = rows.select(*[F.when(~F.col(c).isin(*na_tokens), F.col(c)).alias(c) for c in rows.columns])
     return rows

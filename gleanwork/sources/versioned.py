@@ -15,6 +15,7 @@ import os
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,14 @@ class Conflict(Exception):
     """Another writer has published the version in the meantime."""
 
 
+def _observed(seen: Observation, rows: DataFrame) -> int:
+    """The observed count; counted again where the planner has left the observation out, as it does where nothing is new."""
+    try:
+        return seen.get["n"]
+    except Py4JJavaError:
+        return rows.count()
+
+
 class VersionedTable:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -123,9 +132,11 @@ class VersionedTable:
         """
         seen = Observation()
         rows = rows.observe(seen, F.count("*").alias("n"))
-        # rows without key are spread by themselves, each a group of its own
-        apart = F.when(F.col(key).isNull(), F.uuid())
-        first = rows.withColumn("_apart", apart).withColumn("_n", F.row_number().over(Window.partitionBy(key, "_apart").orderBy(*order))).where("_n = 1")
+        # rows without key all stay; they are spread by what they hold
+        keyless = F.col(key).isNull()
+        apart = F.when(keyless, F.xxhash64(F.to_json(F.struct(*self.schema.fieldNames()))))
+        numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key, apart).orderBy(*order)))
+        first = numbered.where(keyless | (F.col("_n") == 1))
         base = self.version()
         known = self.parts(base)
         part = self.stage(without_done(first, self._rows(known), key))
@@ -135,7 +146,7 @@ class VersionedTable:
             try:
                 self._publish(base, [*known, part])
                 inserted = self._rows([part]).count()
-                return inserted, seen.get["n"] - inserted
+                return inserted, _observed(seen, rows) - inserted
             except Conflict:
                 base = self.version()
                 later = [p for p in self.parts(base) if p not in known]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -46,11 +46,13 @@ def first_of_key(stream: DataFrame, key: str, *order: str, keep_ms: int = 0) ->
     return stream.groupBy(key).applyInPandasWithState(first, stream.schema, "at long", "append", timeout)
 
 
-def insert_stream(spark: SparkSession, stream: DataFrame, target: VersionedTable, checkpoint: str, key: str, *order: str, keep_ms: int = 0) -> None:
+def insert_stream(spark: SparkSession, stream: DataFrame, target: VersionedTable, checkpoint: str, key: str, *order: str, keep_ms: int = 0, work: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Drain a stream into a table with versions: each key once, with ``epoch`` and its place ``id`` in it by ``order``, whose first column is a number.
 
-    A batch is published as a part named by its number, so one that comes
-    again after a failure adds nothing.
+    ``work`` makes the stored rows of a batch's new ones, as fetching does of
+    requests. A batch is published as a part named by its number, so one that
+    comes again after a failure adds nothing, and is not worked on again once
+    it is there.
     """
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
@@ -58,7 +60,8 @@ def insert_stream(spark: SparkSession, stream: DataFrame, target: VersionedTable
     def write(batch: DataFrame, epoch: int) -> None:
         rows = materialise(batch, "epoch")  # state is read and written in one pass
         if not rows.isEmpty():
-            target.append_once(numbered(rows, list(order), "id", 1).withColumn("epoch", F.lit(epoch).cast("long")), f"epoch-{epoch}")
+            fresh = numbered(rows, list(order), "id", 1).withColumn("epoch", F.lit(epoch).cast("long"))
+            target.append_once(work(fresh) if work else fresh, f"epoch-{epoch}")
 
     try:
         rows = first_of_key(stream, key, *order, keep_ms=keep_ms)
