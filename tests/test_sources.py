@@ -94,7 +94,7 @@ def test_stage_slice():
 def test_pipeline_resumes(spark, tmp_path):
     boards = spark.createDataFrame([("https://a.fr/careers", "Acme", None, None, None)], "board_url string, company string, ats string, final_url string, html string")
     body = "<body><main>Python and Java and Docker and Kubernetes and SQL</main></body>"
-    pages = [("https://a.fr/sitemap.xml", X.SITEMAP.replace("1-dev", "1-python-java"))] + [(f"https://a.fr/jobs/{x}", body) for x in ("1-python-java", "2-ops", "333")]
+    pages = [("https://a.fr/sitemap.xml", X.SITEMAP.replace("orchard.fr", "a.fr").replace("1-dev", "1-python-java"))] + [(f"https://a.fr/jobs/{x}", body) for x in ("1-python-java", "2-ops", "333")]
     data = spark.createDataFrame([(u, "GET", None, 200, "text/html", u, b) for u, b in pages], "url string, method string, request_body string, status int, content_type string, final_url string, body string")
     s = pipeline.Settings(str(tmp_path), ["python", "java", "docker", "kubernetes", "sql"], [], boards, data)
     found = pipeline.run(spark, s)
