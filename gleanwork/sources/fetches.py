@@ -8,11 +8,11 @@ import urllib.error
 import urllib.request
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from gleanwork.functions.batches import row_udf
 from gleanwork.functions.types import STRING
 
 # --- fixed values ---
@@ -53,10 +53,10 @@ def decoded_body(raw: bytes, content_type: str | None) -> str:
         return raw.decode("utf-8", "replace")
 
 
-@F.pandas_udf(STRING)
-def text_of_bytes(body: pd.Series, content_type: pd.Series) -> pd.Series:
+@row_udf(STRING)
+def text_of_bytes(body: bytes | None, content_type: str | None) -> str | None:
     """Bodies kept as bytes, decoded as ``decoded_body`` does; null stays null."""
-    return pd.Series([None if b is None else decoded_body(bytes(b), c) for b, c in zip(body, content_type, strict=True)], dtype=object)
+    return None if body is None else decoded_body(body, content_type)
 
 
 def usable(fetches: DataFrame) -> DataFrame:
