@@ -13,6 +13,7 @@ from gleanwork.functions import json_schema, registered
 from gleanwork.functions import urls as U
 from gleanwork.operators import detect as D
 from gleanwork.operators import graph, sketches
+from gleanwork.operators.ranges import numbered
 from gleanwork.oracles import HOST
 from gleanwork.plans import pipeline
 from gleanwork.queries import Query, postings, stream_folder, table
@@ -119,17 +120,23 @@ def stored_verdicts(spark, sf_dir):
 @query("""WITH e AS (SELECT *, ntile(3) OVER (ORDER BY ts, event_id) AS part FROM events), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY part, ts, event_id) AS k FROM e) WHERE k = 1)
     SELECT user_id, event_id, CAST(part - 1 AS BIGINT) AS epoch, row_number() OVER (PARTITION BY part ORDER BY ts, event_id) AS id FROM f""")
 def keyed_stream(spark, sf_dir):
-    """Events in three files, the stream started anew for each: a user's first event counts, by keyed state."""
+    """Events in three parts by time, the stream started anew for each: a user's first event counts, by keyed state."""
     folder = stream_folder(spark)
-    part = F.ntile(3).over(Window.orderBy("ts", "event_id"))
-    events = materialise(table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "ts").withColumn("part", part).drop("ts"), "parted-events")
-    rows = events.drop("part")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    events = materialise(numbered(events, ["at", "event_id"], "n"), "numbered-events")
+    size, rest = divmod(events.count(), 3)  # as ntile deals them: the first parts take what is left over
+    rows = events.drop("n")
     target = VersionedTable(spark, f"{folder}/firsts", keyed.stored_schema(rows.schema))
-    for k in (1, 2, 3):
-        rows.where(events["part"] == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    for k in range(3):
+        start = k * size + min(k, rest)
+        part = (events["n"] > start) & (events["n"] <= start + size + (k < rest))
+        rows.where(part).write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
         keyed.insert_stream(spark, stream, target, f"{folder}/state", "user_id", "at", "event_id")
-    return target.read().select("user_id", "event_id", F.dense_rank().over(Window.orderBy("epoch")).cast("long").alias("nth"), "id").select("user_id", "event_id", (F.col("nth") - 1).alias("epoch"), "id")
+    found = target.read()
+    epochs = found.select("epoch").distinct()  # one for each batch of the stream
+    nth = epochs.select("epoch", (F.dense_rank().over(Window.orderBy("epoch")) - 1).cast("long").alias("nth"))
+    return found.join(F.broadcast(nth), "epoch").select("user_id", "event_id", F.col("nth").alias("epoch"), "id")
 
 
 @query("SELECT url, md5(html) AS digest, 200 AS status, CAST(1 AS BIGINT) AS asked FROM pages")

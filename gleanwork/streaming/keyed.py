@@ -18,6 +18,14 @@ from gleanwork.sources.versioned import VersionedTable
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _least(rows: pd.DataFrame, by: list[str]) -> int:
+    """Place of the row that a stable sort puts first, nulls last; a key's few rows are not worth a sort of frames."""
+    if len(rows) == 1 or not by:
+        return 0
+    keys = list(zip(*([(True, None) if null else (False, x) for null, x in zip(rows[c].isna().tolist(), rows[c].tolist(), strict=True)] for c in by), strict=True))
+    return min(range(len(keys)), key=keys.__getitem__)
+
+
 def first_of_key(stream: DataFrame, key: str, *order: str, keep_ms: int = 0) -> DataFrame:
     """Of each key's rows the one that comes first: in an earlier batch, or in one batch the first by ``order``.
 
@@ -34,13 +42,14 @@ def first_of_key(stream: DataFrame, key: str, *order: str, keep_ms: int = 0) ->
             return
         best = None
         for part in parts:  # read to the end, also where the key is known
-            both = part if best is None else pd.concat([best, part])
-            best = (both.sort_values(by, kind="stable") if by else both).head(1)
+            if not state.exists:
+                both = part if best is None else pd.concat([best, part])
+                best = both.iloc[[_least(both, by)]]
         if not state.exists and best is not None:
             state.update((int(time.time() * 1000),))
             if keep_ms:
                 state.setTimeoutDuration(keep_ms)
-            yield best[columns]
+            yield best if list(best.columns) == columns else best[columns]
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout
     return stream.groupBy(key).applyInPandasWithState(first, stream.schema, "at long", "append", timeout)
