@@ -229,14 +229,16 @@ def sitemap_search(boards: DataFrame, fetches: DataFrame) -> DataFrame:
     Each round takes one request of every open board: the two usual places,
     then job-like children of an index, then those robots.txt names. The loop
     has as many rounds as requests, whatever the number of boards; a board's
-    queue is an array on its row.
+    queue is an array on its row. Postings are read once the search is over,
+    and boards that ask nothing more meet by a key of their own, not all by null.
     """
     known = fetches.groupBy(F.col("url").alias("_url")).agg(F.max(F.when(F.col("status") == 200, F.col("body"))).alias("body"))
     root = root_of("board_url")
     empty = F.array().cast("array<string>")
+    asked_or_own = lambda c: F.coalesce(c, F.concat(F.lit("\n"), "board_url"))  # noqa: E731  (no fetched URL begins with a line end)
     rows = boards.select("board_url").distinct().withColumn("_root", root).select(
         "board_url", "_root", F.array(F.concat("_root", F.lit("/sitemap.xml")), F.concat("_root", F.lit("/sitemap_index.xml"))).alias("queue"), empty.alias("nested"), empty.alias("seen"),
-        F.lit(False).alias("robots"), F.lit(None).cast("string").alias("sitemap"), empty.alias("jobs"), F.lit(None).cast("string").alias("next"),
+        F.lit(False).alias("robots"), F.lit(None).cast("string").alias("sitemap"), F.lit(None).cast("string").alias("next"),
     )
     for _ in range(SITEMAP_REQUESTS):
         fresh = F.array_except("queue", "seen")
@@ -244,27 +246,29 @@ def sitemap_search(boards: DataFrame, fetches: DataFrame) -> DataFrame:
         rows = rows.withColumn("queue", F.when(F.size(fresh) > 0, fresh).otherwise(nested)).withColumn("nested", F.when(F.size(fresh) > 0, F.col("nested")).otherwise(empty))
         ask_robots = (F.size("queue") == 0) & ~F.col("robots")
         target = F.when(F.col("sitemap").isNotNull(), F.lit(None)).when(ask_robots, F.concat("_root", F.lit("/robots.txt"))).otherwise(F.get("queue", F.lit(0)))
-        rows = rows.withColumn("_ask", ask_robots).withColumn("_target", target).join(known, F.col("_target") == F.col("_url"), "left")
+        rows = rows.withColumn("_ask", ask_robots).withColumn("_target", target).withColumn("_key", asked_or_own("_target")).join(known, F.col("_key") == F.col("_url"), "left")
         named = F.transform(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(ROBOTS), F.lit(1)), lambda u: U.resolve(F.col("_root"), u))
-        jobs = sitemap_urls(F.coalesce("body", F.lit("")))
-        hit = F.col("sitemap").isNull() & ~F.col("_ask") & (F.size(jobs) >= MIN_SITEMAP_JOBS)
+        hit = F.col("sitemap").isNull() & ~F.col("_ask") & (F.size(sitemap_urls(F.coalesce("body", F.lit("")))) >= MIN_SITEMAP_JOBS)
         rows = rows.select(
             "board_url", "_root", F.when(F.col("_ask"), named).otherwise(F.slice("queue", F.lit(2), F.greatest(F.size("queue"), F.lit(1)))).alias("queue"),
             F.when(F.col("_ask"), F.col("nested")).otherwise(F.concat("nested", nested_sitemaps(F.coalesce("body", F.lit(""))))).alias("nested"),
             F.when(F.col("_target").isNull(), F.col("seen")).otherwise(F.concat("seen", F.array("_target"))).alias("seen"), (F.col("robots") | F.col("_ask")).alias("robots"),
-            F.when(hit, F.col("_target")).otherwise(F.col("sitemap")).alias("sitemap"), F.when(hit, jobs).otherwise(F.col("jobs")).alias("jobs"),
+            F.when(hit, F.col("_target")).otherwise(F.col("sitemap")).alias("sitemap"),
             F.coalesce("next", F.when(F.col("_url").isNull(), F.col("_target"))).alias("next"),
         )
-    return rows.select("board_url", "sitemap", "jobs", "next")
+    rows = rows.select("board_url", "sitemap", "next").withColumn("_key", asked_or_own("sitemap")).join(known, F.col("_key") == F.col("_url"), "left")
+    return rows.select("board_url", "sitemap", F.when(F.col("sitemap").isNotNull(), sitemap_urls("body")).otherwise(empty).alias("jobs"), "next")
 
 
 def sitemap_postings(boards: DataFrame, fetches: DataFrame) -> DataFrame:
     """Postings of sitemaps; the first 200 of a board take title and place from their pages' JSON-LD, the rest the URL's title."""
-    urls = find_sitemaps(boards, fetches).select("board_url", F.posexplode("jobs").alias("pos", "url"))
-    ok = fetches.where("status = 200").select(F.col("url").alias("_url"), H.extract_detail("body").alias("d"))
-    met = urls.join(ok, (F.col("url") == F.col("_url")) & (F.col("pos") < MAX_DETAIL), "left").join(boards.select("board_url", "company").dropDuplicates(["board_url"]), "board_url")
-    title = F.coalesce(F.nullif(F.col("d.jsonld.title"), F.lit("")), U.title_from_url("url"))
-    return met.select("board_url", "company", title.alias("title"), "url", F.col("d.jsonld.place").alias("place"), F.lit("sitemap").alias("via"))
+    companies = boards.select("board_url", "company").dropDuplicates(["board_url"])
+    urls = find_sitemaps(boards, fetches).join(companies, "board_url").select("board_url", "company", F.posexplode("jobs").alias("pos", "url"))
+    with_blocks = F.when(F.rlike("body", F.lit("(?i)<script")), F.col("body"))  # only these can hold JSON-LD; sitemaps are no trees to walk
+    ok = fetches.where("status = 200").select(F.col("url").alias("_url"), H.extract_detail(with_blocks).alias("d")).select("_url", "d.jsonld.title", "d.jsonld.place")
+    met = urls.join(ok, (F.col("url") == F.col("_url")) & (F.col("pos") < MAX_DETAIL), "left")
+    title = F.coalesce(F.nullif(F.col("title"), F.lit("")), U.title_from_url("url"))
+    return met.select("board_url", "company", title.alias("title"), "url", "place", F.lit("sitemap").alias("via"))
 
 
 def shapes_table(spark: SparkSession) -> DataFrame:
