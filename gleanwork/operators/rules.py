@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanwork.functions.urls import host_of, host_suffixes, registrable
+from gleanwork.operators.dealing import dealt
 from gleanwork.plans.registry import ATS, INDEX, Rule, all_rules
 
 URL_COLUMNS = {
@@ -193,16 +194,17 @@ def met_keys(signals: DataFrame, more: Column | None = None) -> DataFrame:
 EVIDENCE = ["rule_idx", "ats", "ats_idx", "signal_id", "source", "points", "tier"]
 
 
-def fired(met: DataFrame) -> DataFrame:
+def fired(met: DataFrame, rows: int) -> DataFrame:
     """``page_id``, the columns of the rules that fired, and what they matched.
 
     A rule fires when enough distinct probes meet it and, if it is gated, when
     the page lies on a host of its platform. It shows the least of the first
-    matches that it needs. All steps follow one exchange by page.
+    matches that it needs. All steps follow one exchange by page, which deals
+    the ``rows`` met probes to tasks of bounded size.
     """
-    rows = met.where("rule_idx is not null and matched <> ''").repartition("page_id").groupBy("page_id", *EVIDENCE, "needed", "gated")
-    rows = rows.agg(F.array_sort(F.collect_set(F.struct("part", "pos", "matched"))).alias("hits")).where(F.size("hits") >= F.col("needed"))
+    found = dealt(met.where("rule_idx is not null and matched <> ''"), rows, "page_id").groupBy("page_id", *EVIDENCE, "needed", "gated")
+    found = found.agg(F.array_sort(F.collect_set(F.struct("part", "pos", "matched"))).alias("hits")).where(F.size("hits") >= F.col("needed"))
     shown = F.array_min(F.transform(F.slice("hits", F.lit(1), F.col("needed")), lambda x: x["matched"]))
     owner = F.max(F.col("source") == "hostname").over(Window.partitionBy("page_id", "ats"))
-    rows = rows.withColumn("owner", owner).where(F.col("owner") | ~F.col("gated"))
-    return rows.select("page_id", *EVIDENCE, F.substring(shown, 1, TEXT_PREVIEW).alias("matched"))
+    found = found.withColumn("owner", owner).where(F.col("owner") | ~F.col("gated"))
+    return found.select("page_id", *EVIDENCE, F.substring(shown, 1, TEXT_PREVIEW).alias("matched"))

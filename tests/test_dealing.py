@@ -30,3 +30,14 @@ def test_dealing_changes_no_points(spark, monkeypatch):
     fired = spark.createDataFrame(rows, "page_id int, ats string, source string, rule_idx int, points int")
     dealt, plain = (sorted(map(str, detect.capped_points(fired, rows=n).collect())) for n in (len(rows), None))
     assert dealt == plain and 0 < len(dealt) < len(rows)
+
+
+def test_scores_stay_where_evidence_was_dealt(spark):
+    rows = [(i % 300, "ab"[i % 2], i % 2, "wxyz"[i % 4] if i % 5 else None, i % 4 or None, 10) for i in range(3_000)]
+    evidence = spark.createDataFrame(rows, "page_id int, ats string, ats_idx int, source string, tier int, allowed long")
+    found = detect.scores(evidence.repartition(37, "page_id")).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in found}) > 20  # not the session's four
+    for r in found:
+        own = [x for x in rows if (x[0], x[1]) == (r.page_id, r.ats)]
+        counts = [len({x[3] for x in own if x[3] and (t is None or (x[4] or 9) <= t)}) for t in (None, 1, 2)]
+        assert [r.sources, r.tier1, r.tier2] == counts and r.score == min(100, 10 * len(own))
