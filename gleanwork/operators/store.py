@@ -107,7 +107,7 @@ def new_rows(existing: DataFrame, batch: DataFrame, order: list[str]) -> DataFra
     """Rows of ``batch`` whose URL is new: the first of equal URLs by ``order``, and all without URL."""
     window = Window.partitionBy("url").orderBy(*order)
     with_url = batch.where("url is not null").withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
-    return with_url.join(existing.select("url").where("url is not null").distinct(), "url", "left_anti").unionByName(batch.where("url is null"))
+    return with_url.join(existing.select("url").where("url is not null").distinct().hint("merge"), "url", "left_anti").unionByName(batch.where("url is null"))
 
 
 def insert_ignore(existing: DataFrame, batch: DataFrame, order: list[str]) -> DataFrame:
@@ -130,8 +130,8 @@ def insert_counts(existing: DataFrame, batch: DataFrame, order: list[str]) -> Da
 
 
 def without_done(rows: DataFrame, done: DataFrame, key: str = "url") -> DataFrame:
-    """Rows whose key is not done; blank keys never count as done."""
-    return rows.join(done.select(key).where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).distinct(), key, "left_anti")
+    """Rows whose key is not done; blank keys never count as done. What is done grows without end, so it is never broadcast."""
+    return rows.join(done.select(key).where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).distinct().hint("merge"), key, "left_anti")
 
 
 def funnel(kept: DataFrame, stored: DataFrame, fetched: DataFrame, key: str = "url") -> DataFrame:

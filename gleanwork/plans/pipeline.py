@@ -45,7 +45,7 @@ def stage_slice(first: str, last: str) -> tuple[str, ...]:
 
 
 def _scrape(spark: SparkSession, s: Settings) -> dict:
-    postings = scrape(s.boards, s.fetches).join(s.boards.select(F.col("board_url"), "ats").dropDuplicates(["board_url"]), "board_url")
+    postings = scrape(s.boards, s.fetches).join(s.boards.select(F.col("board_url"), "ats").dropDuplicates(["board_url"]).hint("merge"), "board_url")
     return write_table(dedupe(postings, order=("board_url", "url")), s.path("jobs"), POSTINGS_RAW.fieldNames())
 
 

@@ -6,7 +6,7 @@ it runs on stored fetches as well as on fresh ones.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +16,7 @@ from gleanwork.functions import html as H
 from gleanwork.functions import jsonx as J
 from gleanwork.functions import urls as U
 from gleanwork.plans.registry import FEEDS, SHAPES, Feed
+from gleanwork.sources.shared import materialise
 
 # --- fixed values ---
 LOC = r"(?i)<loc>\s*([^<\s]+)\s*</loc>"
@@ -44,6 +45,20 @@ def templated(template: str, **values: Column) -> Column:
     return out
 
 
+def bodies_of(fetches: DataFrame) -> DataFrame:
+    """``_url, body`` of fetches that went well, to be joined by sorting.
+
+    There are as many as postings, and Parquet makes them look small: read as
+    such they would be broadcast, which holds them in the driver.
+    """
+    return fetches.where("status = 200").select(F.col("url").alias("_url"), "body").hint("merge")
+
+
+def of_feed(feeds: Sequence[Feed], value: Callable[[Feed], Column]) -> Column:
+    """What a row's platform has by its feed, null for other platforms."""
+    return F.coalesce(*[F.when(F.col("ats") == f.ats, value(f)) for f in feeds])
+
+
 def feed_requests(boards: DataFrame, feed: Feed) -> DataFrame:
     """First request of each board of a feed's platform: ``token, endpoint``; boards without a token go."""
     token = U.first_token([F.col("final_url"), F.col("board_url")], feed.tokens)
@@ -56,17 +71,17 @@ def feed_page_urls(requests: DataFrame, fetches: DataFrame, feed: Feed) -> DataF
     first = requests.withColumn("offset", F.lit(0).cast("long")).withColumn("_page", F.col("endpoint"))
     if not feed.param:
         return first
-    bodies = fetches.where("status = 200").select(F.col("url").alias("_url"), "body")
+    bodies = bodies_of(fetches)
     total = F.coalesce(F.try_variant_get(F.try_parse_json("body"), f"$.{feed.total}", "bigint"), F.lit(0))
     more = requests.join(bodies, F.col("endpoint") == F.col("_url")).withColumn("_last", F.least((total - 1).cast("long"), F.lit((FEED_PAGES - 1) * FEED_PAGE))).where(F.col("_last") >= FEED_PAGE)
     more = more.withColumn("offset", F.explode(F.sequence(F.lit(FEED_PAGE), F.col("_last"), F.lit(FEED_PAGE)))).drop("_last", "body", "_url")
     return first.unionByName(more.withColumn("_page", U.with_param(F.col("endpoint"), F.lit(feed.param), F.col("offset").cast("string"))))
 
 
-def feed_pages(requests: DataFrame, fetches: DataFrame, feed: Feed) -> DataFrame:
-    """Bodies of a board's pages. Paged feeds state a total; pages follow until it is seen."""
-    bodies = fetches.where("status = 200").select(F.col("url").alias("_url"), "body")
-    return feed_page_urls(requests, fetches, feed).join(bodies, F.col("_page") == F.col("_url")).drop("_url", "_page")
+def feed_pages(boards: DataFrame, fetches: DataFrame) -> DataFrame:
+    """``board_url, company, ats, token, body``: fetched pages of all feeds, by one join. Paged feeds state a total; pages follow until it is seen."""
+    asked = [feed_page_urls(feed_requests(boards, f), fetches, f).select("board_url", "company", "ats", "token", "_page") for f in FEEDS]
+    return reduce(DataFrame.unionByName, asked).join(bodies_of(fetches), F.col("_page") == F.col("_url")).drop("_url", "_page")
 
 
 #: How feeds in XML are read: names without prefix, white space as it is, and what cannot be parsed set aside.
@@ -89,6 +104,11 @@ def xml_parsed(body: Column | str, tag: str, fields: Sequence[str]) -> Column:
     return F.from_xml(body, xml_type(tag, fields), XML_OPTIONS)
 
 
+def xml_leaf(item: Column, field: str) -> Column:
+    """Stripped text of an element's leaf, null if there is none."""
+    return F.nullif(F.trim(reduce(Column.getField, field.split("."), item)), F.lit(""))
+
+
 def xml_records(bodies: DataFrame, tag: str, fields: list[str], body: str = "body") -> DataFrame:
     """A row for each ``tag`` element below the root, with the stripped texts of its leaves as ``item_<leaf>``; missing ones are null.
 
@@ -97,25 +117,27 @@ def xml_records(bodies: DataFrame, tag: str, fields: list[str], body: str = "bod
     """
     rows = bodies.withColumn("_feed", xml_parsed(body, tag, fields)).where(F.col("_feed._broken").isNull())
     rows = rows.select("*", F.posexplode(F.col(f"_feed.`{tag}`")).alias("pos", "_item")).drop("_feed")
-    leaf = lambda f: F.nullif(F.trim(F.col("_item." + ".".join(f"`{p}`" for p in f.split(".")))), F.lit(""))
-    return rows.select("*", *[leaf(f).alias(f"item_{f}") for f in fields]).drop("_item")
+    return rows.select("*", *[xml_leaf(F.col("_item"), f).alias(f"item_{f}") for f in fields]).drop("_item")
+
+
+def xml_feed_items(body: Column, feed: Feed) -> Column:
+    """Items of a feed in XML as ``J.feed_items`` gives those of one in JSON; null if it is no XML."""
+    leaves = {"id": "id", "title": feed.title, "place": feed.place, "link": feed.link}
+    parsed = xml_parsed(body, feed.item_tag, sorted({x for x in leaves.values() if x}))
+    item = lambda x: F.struct(*[(xml_leaf(x, f) if f else F.lit(None).cast("string")).alias(name) for name, f in leaves.items()])
+    return F.when(parsed["_broken"].isNull(), F.transform(parsed[feed.item_tag], item))
 
 
 def feed_postings(boards: DataFrame, fetches: DataFrame) -> DataFrame:
     """Postings of all boards whose platform has a feed; items without title, URL or (where it makes the URL) id go."""
-    found = []
-    for feed in FEEDS:
-        pages = feed_pages(feed_requests(boards, feed), fetches, feed)
-        if feed.item_tag:
-            fields = sorted({"id", feed.title, feed.place, *([feed.link] if feed.link else [])})
-            rows = xml_records(pages, feed.item_tag, fields)
-            rows = rows.select("board_url", "company", "token", F.col("item_id").alias("id"), F.col(f"item_{feed.title}").alias("title"), F.col(f"item_{feed.place}").alias("place"), (F.col(f"item_{feed.link}") if feed.link else F.lit(None).cast("string")).alias("link"))
-        else:
-            items = J.feed_items("body", F.lit(feed.items), F.lit(feed.title), F.lit(feed.place), F.lit(feed.link))
-            rows = pages.select("board_url", "company", "token", F.explode(items).alias("i")).select("board_url", "company", "token", "i.*")
-        url = templated(feed.link_url, token=F.col("token"), id=F.col("id")) if feed.link_url else F.col("link")
-        found.append(rows.withColumn("url", url).withColumn("via", F.lit("feed")).where(_filled("title", "url")).select(*JOBS))
-    return reduce(DataFrame.unionByName, found)
+    xml = [f for f in FEEDS if f.item_tag]
+    json = [f for f in FEEDS if not f.item_tag]
+    paths = [of_feed(json, lambda f, name=name: F.lit(getattr(f, name))) for name in ("items", "title", "place", "link")]
+    own = lambda *feeds: F.when(F.col("ats").isin([f.ats for f in feeds]), F.col("body"))
+    items = F.coalesce(*[xml_feed_items(own(f), f) for f in xml], J.feed_items(own(*json), *paths))
+    rows = feed_pages(boards, fetches).select("board_url", "company", "ats", "token", F.explode(items).alias("i")).select("board_url", "company", "ats", "token", "i.*")
+    url = of_feed(FEEDS, lambda f: templated(f.link_url, token=F.col("token"), id=F.col("id")) if f.link_url else F.col("link"))
+    return rows.withColumn("url", url).withColumn("via", F.lit("feed")).where(_filled("title", "url")).select(*JOBS)
 
 
 def workday_endpoints(boards: DataFrame) -> DataFrame:
@@ -129,7 +151,7 @@ def workday_endpoints(boards: DataFrame) -> DataFrame:
 def workday_pages(boards: DataFrame, fetches: DataFrame) -> DataFrame:
     """Fetched pages of Workday boards with ``offset`` and ``items``, up to the first short one."""
     rows = workday_endpoints(boards)
-    posts = fetches.where("lower(method) = 'post' and status = 200").select(F.col("url").alias("_url"), F.get_json_object("request_body", "$.offset").cast("long").alias("offset"), "body")
+    posts = fetches.where("lower(method) = 'post' and status = 200").select(F.col("url").alias("_url"), F.get_json_object("request_body", "$.offset").cast("long").alias("offset"), "body").hint("merge")
     items = J.feed_items("body", F.lit("jobPostings"), F.lit("title"), F.lit("locationsText"), F.lit("externalPath"))
     pages = rows.join(posts, F.col("endpoint") == F.col("_url")).withColumn("items", items)
     before = Window.partitionBy("board_url").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
@@ -155,7 +177,7 @@ def comeet_postings(boards: DataFrame, fetches: DataFrame) -> DataFrame:
     """Comeet boards: company id and token from the page, then one JSON request."""
     rows = comeet_endpoints(boards)
     items = J.feed_items("body", F.lit(""), F.lit("name"), F.lit("location.city"), F.lit("url_comeet_hosted_page"))
-    met = rows.join(fetches.where("status = 200").select(F.col("url").alias("_url"), "body"), F.col("endpoint") == F.col("_url"))
+    met = rows.join(bodies_of(fetches), F.col("endpoint") == F.col("_url"))
     jobs = met.select("board_url", "company", F.explode(items).alias("i")).select("board_url", "company", "i.title", F.col("i.link").alias("url"), "i.place", F.lit("comeet").alias("via"))
     return jobs.where(_filled("title", "url")).select(*JOBS)
 
@@ -186,7 +208,7 @@ def wordpress_types(boards: DataFrame) -> DataFrame:
 
 def wordpress_pages(boards: DataFrame, fetches: DataFrame) -> DataFrame:
     """``board_url, company, page, _page``: the pages of the first job-like post type of boards whose types were fetched."""
-    ok = fetches.where("status = 200").select(F.col("url").alias("_url"), "body")
+    ok = bodies_of(fetches)
     types = wordpress_types(boards).join(ok, F.col("endpoint") == F.col("_url")).withColumn("_names", F.json_object_keys("body"))
     kind = F.get(F.filter("_names", lambda n: F.rlike(n, F.lit(WORDPRESS_TYPE))), F.lit(0))
     types = types.select("board_url", "company", "_root", kind.alias("_type")).where("_type is not null")
@@ -195,7 +217,7 @@ def wordpress_pages(boards: DataFrame, fetches: DataFrame) -> DataFrame:
 
 def wordpress_read(boards: DataFrame, fetches: DataFrame) -> DataFrame:
     """Fetched pages with ``items``, up to the first short one."""
-    ok = fetches.where("status = 200").select(F.col("url").alias("_url"), "body")
+    ok = bodies_of(fetches)
     items = J.feed_items("body", F.lit(""), F.lit("title.rendered"), F.lit("-"), F.lit("link"))
     pages = wordpress_pages(boards, fetches).join(ok, F.col("_page") == F.col("_url")).withColumn("items", items)
     before = Window.partitionBy("board_url").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
@@ -232,7 +254,7 @@ def sitemap_search(boards: DataFrame, fetches: DataFrame) -> DataFrame:
     queue is an array on its row. Postings are read once the search is over,
     and boards that ask nothing more meet by a key of their own, not all by null.
     """
-    known = fetches.groupBy(F.col("url").alias("_url")).agg(F.max(F.when(F.col("status") == 200, F.col("body"))).alias("body"))
+    known = fetches.groupBy(F.col("url").alias("_url")).agg(F.max(F.when(F.col("status") == 200, F.col("body"))).alias("body")).hint("merge")
     root = root_of("board_url")
     empty = F.array().cast("array<string>")
     asked_or_own = lambda c: F.coalesce(c, F.concat(F.lit("\n"), "board_url"))  # noqa: E731  (no fetched URL begins with a line end)
@@ -262,10 +284,10 @@ def sitemap_search(boards: DataFrame, fetches: DataFrame) -> DataFrame:
 
 def sitemap_postings(boards: DataFrame, fetches: DataFrame) -> DataFrame:
     """Postings of sitemaps; the first 200 of a board take title and place from their pages' JSON-LD, the rest the URL's title."""
-    companies = boards.select("board_url", "company").dropDuplicates(["board_url"])
+    companies = boards.select("board_url", "company").dropDuplicates(["board_url"]).hint("merge")
     urls = find_sitemaps(boards, fetches).join(companies, "board_url").select("board_url", "company", F.posexplode("jobs").alias("pos", "url"))
     with_blocks = F.when(F.rlike("body", F.lit("(?i)<script")), F.col("body"))  # only these can hold JSON-LD; sitemaps are no trees to walk
-    ok = fetches.where("status = 200").select(F.col("url").alias("_url"), H.extract_detail(with_blocks).alias("d")).select("_url", "d.jsonld.title", "d.jsonld.place")
+    ok = fetches.where("status = 200").select(F.col("url").alias("_url"), H.extract_detail(with_blocks).alias("d")).select("_url", "d.jsonld.title", "d.jsonld.place").hint("merge")
     met = urls.join(ok, (F.col("url") == F.col("_url")) & (F.col("pos") < MAX_DETAIL), "left")
     title = F.coalesce(F.nullif(F.col("title"), F.lit("")), U.title_from_url("url"))
     return met.select("board_url", "company", title.alias("title"), "url", "place", F.lit("sitemap").alias("via"))
@@ -297,16 +319,23 @@ def first_strategy(postings: DataFrame) -> DataFrame:
     """Of a board's postings those of its first strategy that found any."""
     rank = F.coalesce(*[F.when(F.col("via") == v, F.lit(i)) for i, v in enumerate(ORDER)], F.lit(0))  # vendor connectors are feeds
     ranked = postings.withColumn("_rank", rank)
-    best = ranked.groupBy("board_url").agg(F.min("_rank").alias("_best"))
+    best = ranked.groupBy("board_url").agg(F.min("_rank").alias("_best")).hint("merge")
     return ranked.join(best, "board_url").where("_rank = _best").drop("_rank", "_best")
 
 
 def scrape(boards: DataFrame, fetches: DataFrame, rendered: DataFrame | None = None) -> DataFrame:
-    """All postings of boards (``board_url, company, ats, final_url, html``), each board by its first strategy that finds any."""
-    parts = [feed_postings(boards, fetches), workday_postings(boards, fetches), comeet_postings(boards, fetches), njoyn_postings(boards), wordpress_postings(boards, fetches), sitemap_postings(boards, fetches), link_postings(boards).select(*JOBS)]
+    """All postings of boards (``board_url, company, ats, final_url, html``), each board by its first strategy that finds any.
+
+    What each group of connectors finds is written to the shared folder, one
+    after the other, and the choice reads that: the choice and what follows it
+    use the postings several times, and a plan that holds all connectors as
+    often is more than the driver's memory takes, however small the tables.
+    """
+    vendors = [workday_postings(boards, fetches), comeet_postings(boards, fetches), njoyn_postings(boards)]
+    groups = [feed_postings(boards, fetches), reduce(DataFrame.unionByName, vendors), wordpress_postings(boards, fetches), sitemap_postings(boards, fetches), link_postings(boards).select(*JOBS)]
     if rendered is not None:
-        parts.append(link_postings(rendered, via="rendered").select(*JOBS))
-    return first_strategy(reduce(DataFrame.unionByName, parts))
+        groups.append(link_postings(rendered, via="rendered").select(*JOBS))
+    return first_strategy(reduce(DataFrame.unionByName, [materialise(g, "scraped") for g in groups]))
 
 
 def pages_once(fetches: DataFrame) -> DataFrame:
